@@ -5,20 +5,84 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomfield.llm import simhash
+from loomfield.llm import packing, quality, secrets, simhash, urls
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
+def op3_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents serve as labels of the pages with their ids: bad is low quality or toxic."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad"))
+    return urls.judge(_table(spark, sf_dir, "pages"), labels)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_host_quality": op2_host_quality,
+    "op3_pow2_packing": op3_pow2_packing,
+    "op4_url_templates": op4_url_templates,
+    "op10_secret_scan": op10_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 6)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), measured AS (
+  SELECT w.doc_id, w.source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+  FROM words w LEFT JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id)
+), flagged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured
+), hosts AS (
+  SELECT source, count(*) AS n_docs,
+    count(*) FILTER (WHERE base_failed OR 10 * n_symbols > n_words OR 5 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS n_failed
+  FROM flagged WHERE source IS NOT NULL GROUP BY source
+), moments AS (
+  SELECT avg(n_failed / n_docs) AS m, greatest(var_pop(n_failed / n_docs) - avg((n_failed / n_docs) * (1 - n_failed / n_docs) / n_docs), 0) AS v FROM hosts
+), prior AS (
+  SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 10000.0 END, 1.0), 10000.0) AS weight FROM moments
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce((n_failed + m * weight) / (n_docs + weight) > 0.5, false) AS kept, n_docs::BIGINT AS host_docs, n_failed::BIGINT AS host_failed
+FROM flagged LEFT JOIN hosts USING (source) CROSS JOIN prior
+"""
+
+SQL: dict[str, str] = {"op2_host_quality": OP2_SQL}
