@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import packing, quality, secrets, simhash, urls
+from loomfield.llm import ann, lines, mixing, packing, quality, secrets, simhash, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,6 +41,19 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), labels)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs)
+
+
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
 
@@ -50,6 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_host_quality": op2_host_quality,
     "op3_pow2_packing": op3_pow2_packing,
     "op4_url_templates": op4_url_templates,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_rp_forest": op8_rp_forest,
+    "op9_raked_mixing": op9_raked_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
 
