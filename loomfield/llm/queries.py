@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import ann, lines, mixing, packing, quality, secrets, simhash, urls
+from loomfield.llm import ann, chat, lines, mixing, packing, pii, quality, secrets, simhash, urls
 
 TOKENIZER = "word_bpe_49k.json"
+#: A real run passes a secret of its own.
+PII_KEY = "loomfield-demo-key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +48,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs)
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, PII_KEY)
+
+
+def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(_table(spark, sf_dir, "conversations"))
+
+
 def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pow2_packing": op3_pow2_packing,
     "op4_url_templates": op4_url_templates,
     "op5_line_dedup": op5_line_dedup,
+    "op6_pii_surrogates": op6_pii_surrogates,
+    "op7_tool_call_linking": op7_tool_call_linking,
     "op8_rp_forest": op8_rp_forest,
     "op9_raked_mixing": op9_raked_mixing,
     "op10_secret_scan": op10_secret_scan,
