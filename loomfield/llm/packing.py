@@ -8,6 +8,7 @@ from one bucket, nothing is padded, and no sequence crosses documents.  One Arro
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,12 @@ class WordEncoder:
         return b"".join([x if (x := known(c)) is not None else chunk(c) for c in text.replace("\n", " ").split(" ")])
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One encoder per worker process: tasks that follow find its vocabulary loaded and its words known."""
+    return WordEncoder(path)
+
+
 def piece_lengths(n: int, longest: int) -> list[int]:
     """n as multiples of longest and the powers of two of the rest, largest first."""
     rest = n % longest
@@ -87,7 +94,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2
     schema = "doc_id long, start long, length long, tokens binary, doc_tokens long, bucket int"
 
     def run(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             rows, held = [[] for _ in range(6)], 0
             for d, t in zip(batch.column(0), batch.column(1)):
