@@ -26,13 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.shared import Workspace, fresh, only
+from loomfield.llm.shared import Workspace, fresh, only, small_or_shuffled
 
 THRESHOLD = (4, 5)  # similarity 0.8 as a fraction, so that bounds are exact
 MIN_TOKENS = 5
 COUNTERS = 1 << 18
-#: Rows up to which a side is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 200_000
 _TEXT_BLOCK = 1 << 20
 _REMEMBERED = 200_000
 _LOW = np.int64((1 << 42) - 1)
@@ -165,11 +163,6 @@ def set_mark(ws: set[str], known: _Hashes) -> int:
     return int((mixed ^ (mixed >> 32)).sum())
 
 
-def _small_or_shuffled(side: DataFrame) -> DataFrame:
-    """side (a written table) for a join: broadcast up to BROADCAST_ROWS rows, else left to a shuffle."""
-    return F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
-
-
 def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of different sets which may match.
 
@@ -198,7 +191,7 @@ def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 def _exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_id, place, tokens) of the first documents' lines; wanted: doc_id, sets (array)."""
-    rows = docs.join(_small_or_shuffled(wanted), "doc_id")
+    rows = docs.join(small_or_shuffled(wanted), "doc_id")
 
     def run(batches):
         known = _Hashes()
@@ -275,7 +268,7 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tok
     docs = docs.select(*[c for c in docs.columns if c not in names.values()])
     key, gone = fresh(docs, "line_doc"), fresh(docs, "line_gone")
     taken = removals(docs, ws, threshold, min_tokens).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
-    rows = docs.join(_small_or_shuffled(taken), docs["doc_id"] == F.col(key), "left").drop(key)
+    rows = docs.join(small_or_shuffled(taken), docs["doc_id"] == F.col(key), "left").drop(key)
     place, schema = docs.columns.index("text"), docs.schema
     for n in names.values():
         schema = schema.add(n, "long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.shared import Workspace, fresh
+from loomfield.llm.shared import Workspace, fresh, small_or_shuffled
 
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -118,8 +118,8 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["source"].cast("string").alias("host"))
     ws = Workspace(docs.sparkSession)
     measured = ws.save(with_features(rows, own).drop("text"))
-    hosts = host_verdicts(measured, "host", own, max_rate)
-    joined = measured.join(hosts, "host", "left")
+    hosts = ws.save(host_verdicts(measured, "host", own, max_rate))
+    joined = measured.join(small_or_shuffled(hosts), "host", "left")
     failed = base_failed(own)
     return joined.select(
         "doc_id", *FEATURES, failed.alias("base_failed"), (~failed & ~F.coalesce("rejected", F.lit(False))).alias("kept"),
@@ -132,8 +132,8 @@ def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     names = {f: fresh(docs, f"quality_{f}") for f in FEATURES}
     ws = Workspace(docs.sparkSession)
     measured = ws.save(with_features(docs, names))
-    bad = host_verdicts(measured, "source", names, max_rate).where("rejected").select(F.col("host").alias(fresh(docs, "quality_host")))
+    bad = ws.save(host_verdicts(measured, "source", names, max_rate).where("rejected").select(F.col("host").alias(fresh(docs, "quality_host"))))
     good = measured.where(~base_failed(names))
     if not bad.isEmpty():  # else the texts would be shuffled by host for nothing
-        good = good.join(bad, good["source"] == bad[bad.columns[0]], "left_anti")
+        good = good.join(small_or_shuffled(bad), good["source"] == bad[bad.columns[0]], "left_anti")
     return good.select(*docs.columns)

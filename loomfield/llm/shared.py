@@ -73,6 +73,15 @@ def only(df: DataFrame, **casts: str) -> DataFrame:
     return df.select(*[df[c].cast(t).alias(c) for c, t in casts.items()])
 
 
+#: Rows up to which a side is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_or_shuffled(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """side (a written table) for a join: broadcast up to ``rows`` rows, else left to a shuffle."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+
+
 def components(edges: DataFrame, ws: Workspace, jumps: int = 2) -> DataFrame:
     """Connected components by repeated contraction.
 
