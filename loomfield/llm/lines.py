@@ -21,34 +21,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.shared import Workspace, fresh, only, small_or_shuffled
+from loomfield.llm.shared import BROADCAST_ROWS, Workspace, fresh, only, small_or_shuffled
 
 THRESHOLD = (4, 5)  # similarity 0.8 as a fraction, so that bounds are exact
 MIN_TOKENS = 5
 COUNTERS = 1 << 18
 _TEXT_BLOCK = 1 << 20
-_REMEMBERED = 200_000
 _LOW = np.int64((1 << 42) - 1)
 
 
-class _Hashes(dict):
-    """Token -> signed 64-bit hash, remembered for frequent use."""
-
-    def __missing__(self, token: str) -> int:
-        h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 7)
-        h -= (h >> 63) << 64
-        if len(self) < _REMEMBERED:
-            self[token] = h
-        return h
-
-
-def tokens(line: str) -> set[str]:
-    return set(line.lower().split())
+#: A random 64-bit number per byte, and powers of an odd one by place: a token's hash is their dot product.
+_RNG = np.random.Generator(np.random.PCG64(20240229))
+_BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_POWER = np.cumprod(np.full(1 << 12, _RNG.integers(1 << 40, 1 << 63, 1, np.uint64)[0] | np.uint64(1)))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def hashed_tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of a text's tokens, runs of other than ASCII white space in lower case, and the
+    number of the line each is on; all tokens at once."""
+    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    if not len(raw):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    space = _SPACE[raw]
+    first = ~space
+    first[1:] &= space[:-1]
+    start = np.flatnonzero(first)
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    owner = np.cumsum(first, dtype=np.int32) - 1
+    owner[: start[0]] = 0
+    place = (np.arange(len(raw), dtype=np.int32) - start.astype(np.int32)[owner]) & (len(_POWER) - 1)
+    value = _BYTE[raw]
+    value *= _POWER[place]
+    value[space] = 0
+    h = np.add.reduceat(value, start)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    breaks = np.flatnonzero(raw == 10)
+    return h.view(np.int64), np.searchsorted(breaks, start)
 
 
 def _blocks(ids: list, texts: list) -> Iterator[tuple[list, list]]:
@@ -69,12 +86,11 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     width = 1 << 12
 
     def run(batches):
-        known, counts = _Hashes(), np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, part in _blocks([None] * len(batch), batch.column(0).to_pylist()):
-                words = " ".join(t for t in part if t).lower().split()
-                got = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                counts += np.bincount(got & (COUNTERS - 1), minlength=COUNTERS)
+                h, _ = hashed_tokens("\n".join(t for t in part if t))
+                counts += np.bincount(h & (COUNTERS - 1), minlength=COUNTERS)
         task = TaskContext.get().partitionId() // 256
         for s in range(0, COUNTERS, width):
             if counts[s : s + width].any():
@@ -94,164 +110,198 @@ def token_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _set_rows(ids: list, texts: list, known: _Hashes, rank: np.ndarray, threshold: tuple[int, int], min_tokens: int):
-    """Arrays of one row per different token set of a document: doc, set hash, size, signature, prefix."""
-    words: list[str] = []
-    sizes, owner = [], []
-    for i, t in enumerate(texts):
-        for line in (t or "").lower().split("\n"):
-            w = line.split()
-            if len(w) >= min_tokens:
-                words += w
-                sizes.append(len(w))
-                owner.append(i)
-    if not sizes:
+def _ordered(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order of tokens by line, then rarity.  One key of line, coarse rank and hash bits sorts fast; if
+    two different tokens of a line share it, all three keys are sorted in full."""
+    r = rank[h & (COUNTERS - 1)]
+    key = (line << 51) | (r << 42) | ((h >> 20) & _LOW)
+    order = np.argsort(key, kind="stable")
+    k, g = key[order], h[order]
+    if ((k[1:] == k[:-1]) & (g[1:] != g[:-1])).any():
+        order = np.lexsort((h, (h >> 20) & _LOW, r, line))
+    return order
+
+
+def _set_rows(ids: list, texts: list, rank: np.ndarray, threshold: tuple[int, int], min_tokens: int):
+    """Arrays of one row per different token set of a document: doc, set hash, first place, whether it comes
+    again, size, signature, prefix."""
+    whole = "\n".join(t or "" for t in texts)
+    h, line = hashed_tokens(whole)
+    if not len(h):
         return None
-    h = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    key = (rank[h & (COUNTERS - 1)] << 42) | ((h >> 20) & _LOW)
-    order = np.lexsort((key, line))
-    key, line, h = key[order], line[order], h[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line, h = key[new], line[new], h[new]
-    n = np.bincount(line, minlength=len(sizes))
+    n_lines = np.array([(t or "").count("\n") + 1 for t in texts])
+    first_line = np.concatenate(([0], np.cumsum(n_lines)[:-1]))
+    # lines numbered without gaps, in parts that fit the sort key
+    used, line = np.unique(line, return_inverse=True)
+    order = np.concatenate([lo + _ordered(h[lo:hi], line[lo:hi] - line[lo], rank) for lo, hi in _parts(line)])
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, line = h[new], line[new]
+    n = np.bincount(line, minlength=len(used))
     start = np.concatenate(([0], np.cumsum(n)[:-1]))
-    mixed = h * np.int64(-7046029254386353131)
-    mixed ^= mixed >> 29
-    mixed *= np.int64(-4658895280553007687)
-    mark = np.add.reduceat(mixed ^ (mixed >> 32), start)
+    mark = np.add.reduceat(_mixed(h), start)
     sign = np.bitwise_or.reduceat(np.int64(1) << ((h >> 12) & 63), start)
     a, b = threshold
     prefix = n - (a * n + b - 1) // b + 1
     keep = n >= min_tokens
-    at = np.arange(len(key)) - start[line]
+    owner = np.searchsorted(first_line, used, side="right") - 1
+    # one row per set and document, that of its first place
+    pair = np.lexsort((used, mark, owner))
+    pair = pair[keep[pair]]
+    same = np.zeros(len(pair), bool)
+    same[1:] = (mark[pair][1:] == mark[pair][:-1]) & (owner[pair][1:] == owner[pair][:-1])
+    again = np.zeros(len(used), bool)
+    again[pair[:-1][same[1:]]] = True
+    keep[pair[same]] = False
+    at = np.arange(len(h)) - start[line]
     chosen = (at < prefix[line]) & keep[line]
-    owner = np.array(owner)
-    # one row per set and document
-    pair = np.lexsort((mark, owner))
-    first = np.ones(len(pair), bool)
-    first[1:] = (mark[pair][1:] != mark[pair][:-1]) | (owner[pair][1:] != owner[pair][:-1])
-    keep[pair[~first]] = False
-    chosen &= keep[line]
     offsets = np.concatenate(([0], np.cumsum(prefix[keep]))).astype(np.int32)
+    places = (used - first_line[owner])[keep].astype(np.int32)
     return (
-        pa.array([ids[i] for i in owner[keep]], pa.int64()), pa.array(mark[keep]), pa.array(n[keep].astype(np.int32)), pa.array(sign[keep]),
+        pa.array([ids[i] for i in owner[keep]], pa.int64()), pa.array(mark[keep]), pa.array(places), pa.array(again[keep]), pa.array(n[keep].astype(np.int32)), pa.array(sign[keep]),
         pa.ListArray.from_arrays(pa.array(offsets), pa.array((h[chosen] >> 32).astype(np.int32))),
     )
 
 
+def _parts(line: np.ndarray, most: int = 4000) -> list[tuple[int, int]]:
+    """Ranges of tokens with at most ``most`` lines each; tokens come line by line."""
+    cuts = np.searchsorted(line, np.arange(0, line[-1] + 1, most))
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(line)]))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    m = h * np.int64(-7046029254386353131)
+    m ^= m >> 29
+    m *= np.int64(-4658895280553007687)
+    return m ^ (m >> 32)
+
+
+_SET_COLUMNS = "doc_id long, set_id long, place int, again boolean, n int, sign long, prefix array<int>"
+
+
 def line_sets(docs: DataFrame, rank: np.ndarray, threshold: tuple[int, int], min_tokens: int) -> DataFrame:
-    schema = "doc_id long, set_id long, n int, sign long, prefix array<int>"
+    names = [c.split()[0] for c in _SET_COLUMNS.split(", ")]
 
     def run(batches):
-        known = _Hashes()
         for batch in batches:
             for part in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (rows := _set_rows(*part, known, rank, threshold, min_tokens)) is not None:
-                    yield pa.RecordBatch.from_arrays(list(rows), ["doc_id", "set_id", "n", "sign", "prefix"])
-
-    return docs.mapInArrow(run, schema)
-
+                if (rows := _set_rows(*part, rank, threshold, min_tokens)) is not None:
+                    yield pa.RecordBatch.from_arrays(list(rows), names)
 
-def set_mark(ws: set[str], known: _Hashes) -> int:
-    """The set hash of _set_rows, of one line."""
-    h = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-    mixed = h * np.int64(-7046029254386353131)
-    mixed ^= mixed >> 29
-    mixed *= np.int64(-4658895280553007687)
-    return int((mixed ^ (mixed >> 32)).sum())
+    return docs.mapInArrow(run, _SET_COLUMNS)
 
 
 def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of different sets which may match.
+    """Pairs (a, b) of different sets which may match, a's first place before b's.
 
     Tokens are compared by 32 bits of their hashes: the rare collision gives a candidate more, which the
     verification drops.  The positional bound is that of the first common token, which both prefixes
     have if the sets match.
     """
-    a, b = threshold
-    posts = sets.select("set_id", "n", "sign", F.posexplode("prefix").alias("pos", "token"))
+    p, q = threshold
+    posts = sets.select("set_id", "first", "place", "n", "sign", F.posexplode("prefix").alias("pos", "token"))
     x, y = posts.alias("x"), posts.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
-    need = F.floor((a * (nx + ny) + (a + b) - 1) / (a + b))  # common tokens at least
-    rest = F.least(nx - F.col("x.pos"), ny - F.col("y.pos"))
+    need = F.floor((p * (nx + ny) + (p + q) - 1) / (p + q))  # common tokens at least
     cond = (
         (F.col("x.token") == F.col("y.token"))
-        & ((nx < ny) | ((nx == ny) & (F.col("x.set_id") < F.col("y.set_id"))))
-        & (b * nx >= a * ny)
-        & (rest >= need)
+        & ((F.col("x.first") < F.col("y.first")) | ((F.col("x.first") == F.col("y.first")) & (F.col("x.place") < F.col("y.place"))))
+        & (q * nx >= p * ny) & (q * ny >= p * nx)
+        & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= need)
         & (F.bit_count(F.col("x.sign").bitwiseXOR(F.col("y.sign"))) <= nx + ny - 2 * need)
-    )
-    pairs = x.join(y, cond).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-    first = sets.select("set_id", "first")
-    pairs = pairs.join(first.toDF("a", "doc_a"), "a")
-    return pairs.join(first.toDF("b", "doc_b"), "b")
+    )
+    return x.join(y, cond).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
 
 
 def _exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, place, tokens) of the first documents' lines; wanted: doc_id, sets (array)."""
-    rows = docs.join(small_or_shuffled(wanted), "doc_id")
+    """(set_id, tokens) of the lines at the wanted places; wanted: doc_id, lines (array of place, set_id).
+
+    Tokens go as their 64-bit hashes, which are what sets are told by."""
+    rows = docs.join(small_or_shuffled(wanted, 4 * BROADCAST_ROWS), "doc_id")
 
     def run(batches):
-        known = _Hashes()
         for batch in batches:
-            out = []
-            for t, sets in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                left = set(sets)
-                for i, line in enumerate((t or "").split("\n")):
-                    ws = tokens(line)
-                    if ws and (m := set_mark(ws, known)) in left:
-                        left.discard(m)
-                        out.append((m, i, sorted(ws)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.list_(pa.string())))], ["set_id", "place", "tokens"])
+            sets, tokens = [], []
+            for t, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = (t or "").split("\n")
+                for x in lines:
+                    sets.append(x["set_id"])
+                    tokens.append(np.unique(hashed_tokens(body[x["place"]])[0]))
+            offsets = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *tokens])))], ["set_id", "tokens"])
 
-    return rows.select("text", "sets").mapInArrow(run, "set_id long, place int, tokens array<string>").dropDuplicates(["set_id"])
+    return rows.select("text", "lines").mapInArrow(run, "set_id long, tokens array<long>")
 
 
 def removals(docs: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, everywhere, later): the set hashes of lines to remove from a document, all of their
-    occurrences or all but the first; documents which lose none have no row."""
+    """(doc_id, gone): for each document that loses lines the set hashes of these lines, and whether the
+    first of them stays."""
     rows = only(docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()), doc_id="long", text="string")
     counts = token_counts(rows.select("text"))
-    rank = np.minimum(counts, (1 << 20) - 1)
+    rank = np.minimum(np.round(16 * np.log2(counts + 1.0)), 511).astype(np.int64)
     lines = ws.save(line_sets(rows, rank, threshold, min_tokens))
-    sets = ws.save(lines.groupBy("set_id", "n", "sign", "prefix").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")))
+    sets = lines.groupBy("set_id", "n", "sign", "prefix").agg(F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("docs"))
+    sets = ws.save(sets)
+    ws.free()
     found = ws.save(_candidates(sets, threshold))
-
-    ends = found.select(F.col("a").alias("set_id"), F.col("doc_a").alias("doc_id")).unionAll(found.select("b", "doc_b")).distinct()
-    wanted = ws.save(ends.groupBy("doc_id").agg(F.collect_list("set_id").alias("sets")))
-    exact = ws.save(_exact_sets(rows, wanted))
-    left = exact.select(F.col("set_id").alias("a"), F.col("place").alias("place_a"), F.col("tokens").alias("tokens_a"))
-    right = exact.select(F.col("set_id").alias("b"), F.col("place").alias("place_b"), F.col("tokens").alias("tokens_b"))
+    ws.free()
+
+    ends = found.select(F.col("a").alias("set_id")).unionAll(found.select("b")).distinct()
+    wanted = sets.select("set_id", "first", "place").join(ends, "set_id", "left_semi")
+    wanted = ws.save(wanted.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("place", "set_id")).alias("lines")))
+    # rows that repeat a doc_id may give a set twice
+    exact = ws.save(_exact_sets(rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows, wanted))
+    left, right = exact.toDF("a", "tokens_a"), exact.toDF("b", "tokens_b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     p, q = threshold
     pairs = found.join(left, "a").join(right, "b").where(q * common >= p * (F.size("tokens_a") + F.size("tokens_b") - common))
-    earlier = (F.col("doc_a") < F.col("doc_b")) | ((F.col("doc_a") == F.col("doc_b")) & (F.col("place_a") < F.col("place_b")))
-    lost = pairs.select(F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("set_id")).distinct()
+    lost = pairs.select(F.col("b").alias("set_id")).distinct()
     gone = sets.where("docs > 1").select("set_id", "first").join(lost.withColumn("lost", F.lit(True)), "set_id", "full")
     gone = ws.save(gone.select("set_id", "first", F.coalesce("lost", F.lit(False)).alias("lost")))
-    where = lines.select("doc_id", "set_id").join(gone, "set_id")
-    all_of_it = F.col("lost") | (F.col("doc_id") > F.col("first"))
-    return ws.save(where.where(all_of_it).groupBy("doc_id").agg(F.collect_list("set_id").alias("gone")))
+    ws.free()
+    where = lines.select("doc_id", "set_id", "again").join(gone, "set_id", "left")
+    everywhere = F.coalesce(F.col("lost") | (F.col("doc_id") > F.col("first")), F.lit(False))
+    where = where.where(everywhere | F.col("again"))
+    return ws.save(where.groupBy("doc_id").agg(F.collect_list(F.struct("set_id", everywhere.alias("all"))).alias("gone")))
+
 
+def _repeats(rows: DataFrame) -> bool:
+    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
 
-def rewrite(text: str, gone: set[int] | None, known: _Hashes, min_tokens: int) -> tuple[str, int, int, int, int]:
-    """The text without its removed lines; lines and tokens before, lines and tokens removed."""
-    kept, seen, lines, words, cut, cut_words = [], set(), 0, 0, 0, 0
+
+def rewrite(text: str, gone: dict[int, bool] | None) -> tuple[str, int, int, int, int]:
+    """The text without its removed lines; lines and tokens before, lines and tokens removed.  gone: set hash
+    -> whether its first line goes too."""
+    lines = text.count("\n") + 1
+    words = len(text.encode("utf-8", "replace").split())
+    if not gone:
+        return text, lines, words, 0, 0
+    kept, seen, cut, cut_words = [], set(), 0, 0
     for line in text.split("\n"):
-        w = line.lower().split()
-        lines += 1
-        words += len(w)
-        if len(w) >= min_tokens and len(ws := set(w)) >= min_tokens:
-            m = set_mark(ws, known) if gone else frozenset(ws)
-            if m in seen or gone and m in gone:
+        h = hashed_tokens(line)[0]
+        m = int(_mixed(np.unique(h)).sum()) if len(h) else None
+        if m in gone:
+            if gone[m] or m in seen:
                 cut += 1
-                cut_words += len(w)
+                cut_words += len(h)
                 continue
             seen.add(m)
         kept.append(line)
-    return ("\n".join(kept) if cut else text), lines, words, cut, cut_words
+    return "\n".join(kept), lines, words, cut, cut_words
+
+
+def own_repeats(text: str, min_tokens: int) -> dict[int, bool]:
+    """What rewrite() needs to remove a text's own repeated lines."""
+    seen, again = set(), {}
+    for line in text.split("\n"):
+        h = np.unique(hashed_tokens(line)[0])
+        if len(h) >= min_tokens:
+            m = int(_mixed(h).sum())
+            if m in seen:
+                again[m] = False
+            seen.add(m)
+    return again
 
 
 def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, names: dict[str, str] | None = None) -> DataFrame:
@@ -259,9 +309,8 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tok
 
     Lines with fewer than ``min_tokens`` different tokens always stay.  Rows that share a doc_id count as
     one document: none of them is earlier.  Within a text, a line equal as a set to an earlier line of
-    that text is removed as well.  A null text stays null and counts nothing; a row without doc_id loses
-    only its own repeats.  Empty tables give empty results; columns that clash with the new ones are
-    replaced by them.
+    that text is removed as well.  A null text stays null and counts nothing; a row without doc_id
+    loses only its own repeats.  Empty tables give empty results; columns that clash with the new ones are replaced by them.
     """
     names = names or {k: k for k in ("n_lines", "n_words", "n_removed", "removed_words")}
     ws = Workspace(docs.sparkSession)
@@ -269,16 +318,18 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tok
     key, gone = fresh(docs, "line_doc"), fresh(docs, "line_gone")
     taken = removals(docs, ws, threshold, min_tokens).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     rows = docs.join(small_or_shuffled(taken), docs["doc_id"] == F.col(key), "left").drop(key)
-    place, schema = docs.columns.index("text"), docs.schema
+    place, ids, schema = docs.columns.index("text"), docs.columns.index("doc_id"), docs.schema
     for n in names.values():
         schema = schema.add(n, "long")
 
     def run(batches):
-        known = _Hashes()
         for batch in batches:
             cut = batch.column(len(batch.columns) - 1).to_pylist()
             texts = batch.column(place).to_pylist()
-            new = [(None, 0, 0, 0, 0) if t is None else rewrite(t, set(g) if g else None, known, min_tokens) for t, g in zip(texts, cut)]
+            new = []
+            for d, t, g in zip(batch.column(ids).to_pylist(), texts, cut):
+                known = {x["set_id"]: x["all"] for x in g} if g else own_repeats(t, min_tokens) if d is None and t else None
+                new.append((None, 0, 0, 0, 0) if t is None else rewrite(t, known))
             columns = list(batch.columns)[:-1]
             columns[place] = pa.array([x[0] for x in new], columns[place].type)
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[i] for x in new], pa.int64()) for i in range(1, 5)]], schema.names)

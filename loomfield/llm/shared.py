@@ -47,6 +47,10 @@ class Workspace:
         for t in tables:
             self._delete(t._workspace_path)
 
+    def free(self) -> None:
+        """Has the driver collect its garbage, whereupon executors delete shuffle files no plan holds."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop_all(self) -> None:
         try:
             self._delete(self.path)
