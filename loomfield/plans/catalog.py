@@ -1,10 +1,4 @@
 """Every query of the engine by name, with its oracle SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from loomfield.plans import html_queries, page_queries, record_queries, stat_queries, text_queries  # noqa: F401
+from loomfield.plans.registry import QUERIES, SQL  # noqa: F401
