@@ -68,6 +68,27 @@ def hashed_tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h.view(np.int64), np.searchsorted(breaks, start)
 
 
+def distinct_tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different token hashes of each line, the lines they are on, and their number on every line."""
+    h, line = hashed_tokens(text)
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    h, line = h[new], line[new]
+    return h, line, np.bincount(line, minlength=text.count("\n") + 1)
+
+
+def line_marks(text: str) -> tuple[list[int], list[int]]:
+    """Each line's set hash, 0 for lines without tokens, and its number of different tokens."""
+    h, line, n = distinct_tokens(text)
+    marks = np.zeros(len(n), np.int64)
+    held = np.flatnonzero(n)
+    if len(held):
+        marks[held] = np.add.reduceat(_mixed(h), np.concatenate(([0], np.cumsum(n[held])[:-1])))
+    return marks.tolist(), n.tolist()
+
+
 def _blocks(ids: list, texts: list) -> Iterator[tuple[list, list]]:
     """Rows in runs of about a megabyte of text, which bounds what one run holds."""
     at, held = 0, 0
@@ -193,25 +214,48 @@ def line_sets(docs: DataFrame, rank: np.ndarray, threshold: tuple[int, int], min
 
 
 def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of different sets which may match, a's first place before b's.
+    """Pairs of different sets which may match: b, the later one, first_a and a, the earlier.
 
     Tokens are compared by 32 bits of their hashes: the rare collision gives a candidate more, which the
     verification drops.  The positional bound is that of the first common token, which both prefixes
-    have if the sets match.
+    have if the sets match.  A posting is four numbers; order and places join the few pairs later.
     """
     p, q = threshold
-    posts = sets.select("set_id", "first", "place", "n", "sign", F.posexplode("prefix").alias("pos", "token"))
+    size = 1 << 32
+    posts = sets.select("set_id", "sign", F.posexplode("prefix").alias("pos", "token"), "n").select("token", "set_id", "sign", (F.col("n").cast("long") * size + F.col("pos")).alias("at"))
     x, y = posts.alias("x"), posts.alias("y")
-    nx, ny = F.col("x.n"), F.col("y.n")
+    nx, ny = F.shiftright("x.at", 32), F.shiftright("y.at", 32)
+    px, py = F.col("x.at").bitwiseAND(F.lit(size - 1)), F.col("y.at").bitwiseAND(F.lit(size - 1))
     need = F.floor((p * (nx + ny) + (p + q) - 1) / (p + q))  # common tokens at least
     cond = (
-        (F.col("x.token") == F.col("y.token"))
-        & ((F.col("x.first") < F.col("y.first")) | ((F.col("x.first") == F.col("y.first")) & (F.col("x.place") < F.col("y.place"))))
-        & (q * nx >= p * ny) & (q * ny >= p * nx)
-        & (F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= need)
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.set_id") < F.col("y.set_id"))
         & (F.bit_count(F.col("x.sign").bitwiseXOR(F.col("y.sign"))) <= nx + ny - 2 * need)
+        & (q * nx >= p * ny) & (q * ny >= p * nx) & (F.least(nx - px, ny - py) >= need)
     )
-    return x.join(y, cond).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
+    return x.join(y, cond).select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y")).distinct()
+
+
+def _oriented(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, first_a, b): the set with the earlier first place, and the other."""
+    at = sets.select("set_id", "first", "place")
+    both = pairs.join(at.toDF("x", "first_x", "place_x"), "x").join(at.toDF("y", "first_y", "place_y"), "y")
+    before = (F.col("first_x") < F.col("first_y")) | ((F.col("first_x") == F.col("first_y")) & (F.col("place_x") < F.col("place_y")))
+    pick = lambda u, v: F.when(before, F.col(u)).otherwise(F.col(v))
+    return both.select(pick("x", "y").alias("a"), pick("first_x", "first_y").alias("first_a"), pick("y", "x").alias("b"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, ws: Workspace, threshold: tuple[int, int]) -> DataFrame:
+    """The b of those pairs (a, b) whose token sets really match."""
+    ends = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
+    wanted = sets.select("set_id", "first", "place").join(ends, "set_id", "left_semi")
+    wanted = ws.save(wanted.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("place", "set_id")).alias("lines")))
+    exact = ws.save(_exact_sets(rows, wanted))
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    p, q = threshold
+    joined = pairs.join(exact.toDF("a", "tokens_a"), "a").join(exact.toDF("b", "tokens_b"), "b")
+    out = ws.save(joined.where(q * common >= p * (F.size("tokens_a") + F.size("tokens_b") - common)).select("b").distinct())
+    ws.drop(wanted, exact)
+    return out
 
 
 def _exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -222,14 +266,15 @@ def _exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets, tokens = [], []
-            for t, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sets, lines = [], []
+            for t, wanted_lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 body = (t or "").split("\n")
-                for x in lines:
-                    sets.append(x["set_id"])
-                    tokens.append(np.unique(hashed_tokens(body[x["place"]])[0]))
-            offsets = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *tokens])))], ["set_id", "tokens"])
+                sets += [x["set_id"] for x in wanted_lines]
+                lines += [body[x["place"]] for x in wanted_lines]
+            for ids, part in _blocks(sets, lines):
+                h, line, n = distinct_tokens("\n".join(part))
+                offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h))], ["set_id", "tokens"])
 
     return rows.select("text", "lines").mapInArrow(run, "set_id long, tokens array<long>")
 
@@ -246,24 +291,24 @@ def removals(docs: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESH
     ws.free()
     found = ws.save(_candidates(sets, threshold))
     ws.free()
-
-    ends = found.select(F.col("a").alias("set_id")).unionAll(found.select("b")).distinct()
-    wanted = sets.select("set_id", "first", "place").join(ends, "set_id", "left_semi")
-    wanted = ws.save(wanted.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("place", "set_id")).alias("lines")))
-    # rows that repeat a doc_id may give a set twice
-    exact = ws.save(_exact_sets(rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows, wanted))
-    left, right = exact.toDF("a", "tokens_a"), exact.toDF("b", "tokens_b")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    p, q = threshold
-    pairs = found.join(left, "a").join(right, "b").where(q * common >= p * (F.size("tokens_a") + F.size("tokens_b") - common))
-    lost = pairs.select(F.col("b").alias("set_id")).distinct()
+    pairs = ws.save(_oriented(found, sets))
+    # a row that repeats a doc_id would give its sets twice
+    once = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
+    # one match is enough to lose a line: of a group of near copies only each line's earliest candidate is
+    # compared; lines that this doesn't settle are compared with all of theirs
+    lost = _verified(ws.save(pairs.groupBy("b").agg(F.min_by("a", "first_a").alias("a"))), once, sets, ws, threshold)
+    open_ = ws.save(pairs.select("a", "b").join(lost, "b", "left_anti"))
+    lost = lost.unionAll(_verified(open_, once, sets, ws, threshold)) if not open_.isEmpty() else lost
+    lost = lost.select(F.col("b").alias("set_id"))
     gone = sets.where("docs > 1").select("set_id", "first").join(lost.withColumn("lost", F.lit(True)), "set_id", "full")
     gone = ws.save(gone.select("set_id", "first", F.coalesce("lost", F.lit(False)).alias("lost")))
     ws.free()
     where = lines.select("doc_id", "set_id", "again").join(gone, "set_id", "left")
     everywhere = F.coalesce(F.col("lost") | (F.col("doc_id") > F.col("first")), F.lit(False))
     where = where.where(everywhere | F.col("again"))
-    return ws.save(where.groupBy("doc_id").agg(F.collect_list(F.struct("set_id", everywhere.alias("all"))).alias("gone")))
+    out = ws.save(where.groupBy("doc_id").agg(F.collect_list(F.struct("set_id", everywhere.alias("all"))).alias("gone")))
+    ws.drop(lines, sets, found, pairs, open_, gone)
+    return out
 
 
 def _repeats(rows: DataFrame) -> bool:
@@ -278,13 +323,11 @@ def rewrite(text: str, gone: dict[int, bool] | None) -> tuple[str, int, int, int
     if not gone:
         return text, lines, words, 0, 0
     kept, seen, cut, cut_words = [], set(), 0, 0
-    for line in text.split("\n"):
-        h = hashed_tokens(line)[0]
-        m = int(_mixed(np.unique(h)).sum()) if len(h) else None
+    for line, m in zip(text.split("\n"), line_marks(text)[0]):
         if m in gone:
             if gone[m] or m in seen:
                 cut += 1
-                cut_words += len(h)
+                cut_words += len(line.encode("utf-8", "replace").split())
                 continue
             seen.add(m)
         kept.append(line)
@@ -294,10 +337,8 @@ def rewrite(text: str, gone: dict[int, bool] | None) -> tuple[str, int, int, int
 def own_repeats(text: str, min_tokens: int) -> dict[int, bool]:
     """What rewrite() needs to remove a text's own repeated lines."""
     seen, again = set(), {}
-    for line in text.split("\n"):
-        h = np.unique(hashed_tokens(line)[0])
-        if len(h) >= min_tokens:
-            m = int(_mixed(h).sum())
+    for m, n in zip(*line_marks(text)):
+        if n >= min_tokens:
             if m in seen:
                 again[m] = False
             seen.add(m)
