@@ -128,12 +128,16 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
+    """The rows of docs that judge() keeps, with all their columns.
+
+    Documents are measured twice, for their hosts and for themselves: texts are neither written between
+    nor shuffled by host."""
     names = {f: fresh(docs, f"quality_{f}") for f in FEATURES}
     ws = Workspace(docs.sparkSession)
-    measured = ws.save(with_features(docs, names))
+    measured = ws.save(with_features(docs.select("source", "text"), names).drop("text"))
     bad = ws.save(host_verdicts(measured, "source", names, max_rate).where("rejected").select(F.col("host").alias(fresh(docs, "quality_host"))))
-    good = measured.where(~base_failed(names))
-    if not bad.isEmpty():  # else the texts would be shuffled by host for nothing
+    ws.drop(measured)
+    good = with_features(docs, names).where(~base_failed(names))
+    if not bad.isEmpty():
         good = good.join(small_or_shuffled(bad), good["source"] == bad[bad.columns[0]], "left_anti")
     return good.select(*docs.columns)
