@@ -7,8 +7,8 @@ whether or not the earlier one stays.
 1. Rarity: tokens are counted over all documents in a fixed number of hashed counters.  Any total order of
    tokens makes the join exact, so collisions cost speed only, and the counters' size doesn't grow.
 2. Every line gives one row with its set's hash, size, 64-bit signature and prefix: with the tokens in
-   order of rarity, matching lines share a token of their prefixes.  Equal sets become one row first,
-   combined before the shuffle, so a line which millions of documents share has one row in the join.
+   order of rarity, matching lines share a token of their prefixes.  Of equal sets only the first one
+   joins, so a line which millions of documents share has one row in the join.
 3. Prefix tokens are joined under the length, positional and signature filters; all three are conditions
    of the join, which gives few rows besides true matches.
 4. Candidates are verified on their exact token sets, taken from the documents once more.
@@ -255,6 +255,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, ws: Workspace,
     joined = pairs.join(exact.toDF("a", "tokens_a"), "a").join(exact.toDF("b", "tokens_b"), "b")
     out = ws.save(joined.where(q * common >= p * (F.size("tokens_a") + F.size("tokens_b") - common)).select("b").distinct())
     ws.drop(wanted, exact)
+    ws.free()
     return out
 
 
@@ -286,8 +287,11 @@ def removals(docs: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESH
     counts = token_counts(rows.select("text"))
     rank = np.minimum(np.round(16 * np.log2(counts + 1.0)), 511).astype(np.int64)
     lines = ws.save(line_sets(rows, rank, threshold, min_tokens))
-    sets = lines.groupBy("set_id", "n", "sign", "prefix").agg(F.min("doc_id").alias("first"), F.min_by("place", "doc_id").alias("place"), F.count("*").alias("docs"))
-    sets = ws.save(sets)
+    # sets of several documents, which are few; a set's row is that of its first document
+    shared = lines.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).where("docs > 1")
+    shared = ws.save(shared.select("set_id", "first"))
+    own = lines.join(small_or_shuffled(shared, 4 * BROADCAST_ROWS), "set_id", "left").where("first is null or doc_id = first")
+    sets = own.select("set_id", F.col("doc_id").alias("first"), "place", "n", "sign", "prefix")
     ws.free()
     found = ws.save(_candidates(sets, threshold))
     ws.free()
@@ -300,14 +304,14 @@ def removals(docs: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESH
     open_ = ws.save(pairs.select("a", "b").join(lost, "b", "left_anti"))
     lost = lost.unionAll(_verified(open_, once, sets, ws, threshold)) if not open_.isEmpty() else lost
     lost = lost.select(F.col("b").alias("set_id"))
-    gone = sets.where("docs > 1").select("set_id", "first").join(lost.withColumn("lost", F.lit(True)), "set_id", "full")
+    gone = shared.join(lost.withColumn("lost", F.lit(True)), "set_id", "full")
     gone = ws.save(gone.select("set_id", "first", F.coalesce("lost", F.lit(False)).alias("lost")))
     ws.free()
     where = lines.select("doc_id", "set_id", "again").join(gone, "set_id", "left")
     everywhere = F.coalesce(F.col("lost") | (F.col("doc_id") > F.col("first")), F.lit(False))
     where = where.where(everywhere | F.col("again"))
     out = ws.save(where.groupBy("doc_id").agg(F.collect_list(F.struct("set_id", everywhere.alias("all"))).alias("gone")))
-    ws.drop(lines, sets, found, pairs, open_, gone)
+    ws.drop(lines, shared, found, pairs, open_, gone)
     return out
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +50,12 @@ class Workspace:
             self._delete(t._workspace_path)
 
     def free(self) -> None:
-        """Has the driver collect its garbage, whereupon executors delete shuffle files no plan holds."""
-        self.spark.sparkContext._jvm.System.gc()
+        """Has executors delete the shuffle files that no plan holds any more; else these stay until the
+        driver's heap happens to be full."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)
 
     def drop_all(self) -> None:
         try:
