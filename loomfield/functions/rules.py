@@ -102,6 +102,13 @@ HTML_API_PATTERNS = (
     ("graphql", "graphql", 0),
     ("/rest/", r""""/rest/[^"']+\"""", 0),
 )
+SCRIPT_API_PATTERNS = (
+    ("/api/", r"""["'](/api/[a-zA-Z0-9/_-]+)["']""", 1),
+    ("/v/", r"""["'](/v\d+/[a-zA-Z0-9/_-]+)["']""", 1),
+    ("absolute", r"""["'](https?://[a-zA-Z0-9._-]+/api/)["']""", 1),
+    ("baseURL", r"""baseURL["']?\s*[:=]\s*["']([^"']+)["']""", 1),
+    ("endpoint", r"""endpoint["']?\s*[:=]\s*["']([^"']+)["']""", 1),
+)
 GUESSED_ENDPOINTS = ("/api", "/api/v1", "/graphql", "/rest", "/wp-json/wp/v2", "/feed.json")
 
 

@@ -171,3 +171,18 @@ def unwrap_responses(spark, sf_dir):
 def json_fields(spark, sf_dir):
     v = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(v).alias("k"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {_RAW} SELECT 2::BIGINT AS count, '{{"count":2,"schema":{{"id":"bigint","qty":"bigint"}},"data":[{{"id":1,"qty":12}},{{"id":4,"qty":8}}]}}' AS document""")
+def validated_envelope(spark, sf_dir):
+    rules = {"id": R.FieldRule("bigint", required=True), "qty": R.FieldRule("bigint", required=True)}
+    return R.validated_envelope(_raw(spark).where("id in (1, 3, 4)"), rules, ["id"])
+
+
+@query("""SELECT id, name FROM (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 2 = 0) UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0""")
+def skill_import(spark, sf_dir):
+    """Exported skills as JSON rows, read back and added where their key isn't there yet."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    exported = p.where("id % 3 = 0").withColumn("name", F.upper("name")).select(F.to_json(F.struct("id", "name")).alias("line"))
+    given = exported.select(F.from_json("line", "id long, name string").alias("r")).select("r.*")
+    return R.insert_or_ignore(p.where("id % 2 = 0"), given, ["id"])
