@@ -145,7 +145,8 @@ def _ordered(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _set_rows(ids: list, texts: list, rank: np.ndarray, threshold: tuple[int, int], min_tokens: int):
     """Arrays of one row per different token set of a document: doc, set hash, first place, whether it comes
-    again, size, signature, prefix."""
+    again, size, signatures, prefix.  A signature has the parity of the tokens of each bit's class, so that
+    different bits are never more than different tokens."""
     whole = "\n".join(t or "" for t in texts)
     h, line = hashed_tokens(whole)
     if not len(h):
@@ -162,7 +163,9 @@ def _set_rows(ids: list, texts: list, rank: np.ndarray, threshold: tuple[int, in
     n = np.bincount(line, minlength=len(used))
     start = np.concatenate(([0], np.cumsum(n)[:-1]))
     mark = np.add.reduceat(_mixed(h), start)
-    sign = np.bitwise_or.reduceat(np.int64(1) << ((h >> 12) & 63), start)
+    sign = np.bitwise_xor.reduceat(np.int64(1) << ((h >> 12) & 63), start)
+    bit, word = np.int64(1) << ((h >> 18) & 63), ((h >> 24) & 0xFFFF) % 3
+    wide = [np.bitwise_xor.reduceat(np.where(word == w, bit, 0), start) for w in range(3)]
     a, b = threshold
     prefix = n - (a * n + b - 1) // b + 1
     keep = n >= min_tokens
@@ -180,7 +183,7 @@ def _set_rows(ids: list, texts: list, rank: np.ndarray, threshold: tuple[int, in
     offsets = np.concatenate(([0], np.cumsum(prefix[keep]))).astype(np.int32)
     places = (used - first_line[owner])[keep].astype(np.int32)
     return (
-        pa.array([ids[i] for i in owner[keep]], pa.int64()), pa.array(mark[keep]), pa.array(places), pa.array(again[keep]), pa.array(n[keep].astype(np.int32)), pa.array(sign[keep]),
+        pa.array([ids[i] for i in owner[keep]], pa.int64()), pa.array(mark[keep]), pa.array(places), pa.array(again[keep]), pa.array(n[keep].astype(np.int32)), pa.array(sign[keep]), *[pa.array(w[keep]) for w in wide],
         pa.ListArray.from_arrays(pa.array(offsets), pa.array((h[chosen] >> 32).astype(np.int32))),
     )
 
@@ -198,7 +201,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return m ^ (m >> 32)
 
 
-_SET_COLUMNS = "doc_id long, set_id long, place int, again boolean, n int, sign long, prefix array<int>"
+_SET_COLUMNS = "doc_id long, set_id long, place int, again boolean, n int, sign long, wide0 long, wide1 long, wide2 long, prefix array<int>"
 
 
 def line_sets(docs: DataFrame, rank: np.ndarray, threshold: tuple[int, int], min_tokens: int) -> DataFrame:
@@ -235,10 +238,15 @@ def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return x.join(y, cond).select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y")).distinct()
 
 
-def _oriented(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, first_a, b): the set with the earlier first place, and the other."""
-    at = sets.select("set_id", "first", "place")
-    both = pairs.join(at.toDF("x", "first_x", "place_x"), "x").join(at.toDF("y", "first_y", "place_y"), "y")
+def _oriented(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, first_a, b): the set with the earlier first place, and the other, of pairs that also pass the
+    filter by 192 more bits, which sets of hundreds of tokens need."""
+    at = sets.select("set_id", "first", "place", "n", "wide0", "wide1", "wide2")
+    named = lambda e: at.toDF(e, *[f"{c}_{e}" for c in at.columns[1:]])
+    p, q = threshold
+    total = F.col("n_x") + F.col("n_y")
+    differ = sum((F.bit_count(F.col(f"wide{i}_x").bitwiseXOR(F.col(f"wide{i}_y"))) for i in (1, 2)), F.bit_count(F.col("wide0_x").bitwiseXOR(F.col("wide0_y"))))
+    both = pairs.join(named("x"), "x").join(named("y"), "y").where(differ <= total - 2 * F.floor((p * total + (p + q) - 1) / (p + q)))
     before = (F.col("first_x") < F.col("first_y")) | ((F.col("first_x") == F.col("first_y")) & (F.col("place_x") < F.col("place_y")))
     pick = lambda u, v: F.when(before, F.col(u)).otherwise(F.col(v))
     return both.select(pick("x", "y").alias("a"), pick("first_x", "first_y").alias("first_a"), pick("y", "x").alias("b"))
@@ -291,11 +299,11 @@ def removals(docs: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESH
     shared = lines.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).where("docs > 1")
     shared = ws.save(shared.select("set_id", "first"))
     own = lines.join(small_or_shuffled(shared, 4 * BROADCAST_ROWS), "set_id", "left").where("first is null or doc_id = first")
-    sets = own.select("set_id", F.col("doc_id").alias("first"), "place", "n", "sign", "prefix")
+    sets = own.select("set_id", F.col("doc_id").alias("first"), "place", "n", "sign", "wide0", "wide1", "wide2", "prefix")
     ws.free()
     found = ws.save(_candidates(sets, threshold))
     ws.free()
-    pairs = ws.save(_oriented(found, sets))
+    pairs = ws.save(_oriented(found, sets, threshold))
     # a row that repeats a doc_id would give its sets twice
     once = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
     # one match is enough to lose a line: of a group of near copies only each line's earliest candidate is
