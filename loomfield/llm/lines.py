@@ -11,6 +11,8 @@ whether or not the earlier one stays.
    joins, so a line which millions of documents share has one row in the join.
 3. Prefix tokens are joined under the length, positional and signature filters; all three are conditions
    of the join, which gives few rows besides true matches.
+   Before that, lines are compared with their neighbours by their rarest tokens only, which settles most
+   lines of large groups of near copies; the join takes the later line from those that are left.
 4. Candidates are verified on their exact token sets, taken from the documents once more.
 5. Removed lines join back to their documents, and the texts are rewritten.
 """
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.shared import BROADCAST_ROWS, Workspace, fresh, only, small_or_shuffled
@@ -216,40 +218,63 @@ def line_sets(docs: DataFrame, rank: np.ndarray, threshold: tuple[int, int], min
     return docs.mapInArrow(run, _SET_COLUMNS)
 
 
-def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of different sets which may match: b, the later one, first_a and a, the earlier.
+def _posts(sets: DataFrame, most: int | None = None) -> DataFrame:
+    """A row per prefix token, of the rarest ``most`` ones if given; a set is told by its first place."""
+    prefix = F.slice("prefix", 1, most) if most else F.col("prefix")
+    return sets.select(F.posexplode(prefix).alias("pos", "token"), "first", "place", "n", "sign")
 
-    Tokens are compared by 32 bits of their hashes: the rare collision gives a candidate more, which the
-    verification drops.  The positional bound is that of the first common token, which both prefixes
-    have if the sets match.  A posting is four numbers; order and places join the few pairs later.
-    """
+
+def _may_match(x: dict[str, Column], y: dict[str, Column], threshold: tuple[int, int]) -> Column:
+    """The length, positional and signature filters for two postings of one token.
+
+    The positional bound is that of the first common token, which both prefixes have if the sets match."""
     p, q = threshold
-    size = 1 << 32
-    posts = sets.select("set_id", "sign", F.posexplode("prefix").alias("pos", "token"), "n").select("token", "set_id", "sign", (F.col("n").cast("long") * size + F.col("pos")).alias("at"))
-    x, y = posts.alias("x"), posts.alias("y")
-    nx, ny = F.shiftright("x.at", 32), F.shiftright("y.at", 32)
-    px, py = F.col("x.at").bitwiseAND(F.lit(size - 1)), F.col("y.at").bitwiseAND(F.lit(size - 1))
-    need = F.floor((p * (nx + ny) + (p + q) - 1) / (p + q))  # common tokens at least
-    cond = (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.set_id") < F.col("y.set_id"))
-        & (F.bit_count(F.col("x.sign").bitwiseXOR(F.col("y.sign"))) <= nx + ny - 2 * need)
-        & (q * nx >= p * ny) & (q * ny >= p * nx) & (F.least(nx - px, ny - py) >= need)
+    need = F.floor((p * (x["n"] + y["n"]) + (p + q) - 1) / (p + q))  # common tokens at least
+    return (
+        (F.bit_count(x["sign"].bitwiseXOR(y["sign"])) <= x["n"] + y["n"] - 2 * need)
+        & (q * x["n"] >= p * y["n"]) & (q * y["n"] >= p * x["n"]) & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need)
     )
-    return x.join(y, cond).select(F.col("x.set_id").alias("x"), F.col("y.set_id").alias("y")).distinct()
 
 
-def _oriented(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(a, first_a, b): the set with the earlier first place, and the other, of pairs that also pass the
-    filter by 192 more bits, which sets of hundreds of tokens need."""
+_POST = ("first", "place", "n", "sign", "pos")
+
+
+def _neighbours(sets: DataFrame, threshold: tuple[int, int], rarest: int = 3) -> DataFrame:
+    """Candidates (first_a, place_a, first_b, place_b) among lines with a rare token in common: each line
+    with the earliest one and the two before it.  A row gives three pairs at most, however many lines
+    share its token."""
+    w = Window.partitionBy("token").orderBy("first", "place")
+    row = F.struct(*_POST)
+    before = F.array(F.first(row).over(w), F.lag(row, 1).over(w), F.lag(row, 2).over(w))
+    near = _posts(sets, rarest).select(*_POST, before.alias("before"))
+    mine = {c: F.col(c) for c in _POST}
+    near = near.withColumn("before", F.filter("before", lambda r: r.isNotNull() & ((r["first"] < mine["first"]) | (r["place"] < mine["place"])) & _may_match({c: r[c] for c in _POST}, mine, threshold)))
+    pairs = near.where(F.size("before") > 0).select("first", "place", F.explode("before").alias("a"))
+    return pairs.select(F.col("a.first").alias("first_a"), F.col("a.place").alias("place_a"), F.col("first").alias("first_b"), F.col("place").alias("place_b")).distinct()
+
+
+def _candidates(sets: DataFrame, later: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Candidates (first_a, place_a, first_b, place_b): any set before any of ``later``.
+
+    Tokens are compared by 32 bits of their hashes: the rare collision gives a candidate more, which the
+    verification drops."""
+    x, y = _posts(sets).alias("x"), _posts(later).alias("y")
+    of = lambda e: {c: F.col(f"{e}.{c}") for c in _POST}
+    before = (F.col("x.first") < F.col("y.first")) | ((F.col("x.first") == F.col("y.first")) & (F.col("x.place") < F.col("y.place")))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & before & _may_match(of("x"), of("y"), threshold))
+    return pairs.select(*[F.col(f"{e}.{c}").alias(f"{c}_{n}") for e, n in (("x", "a"), ("y", "b")) for c in ("first", "place")]).distinct()
+
+
+def _named(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(a, first_a, b): the set hashes of pairs that also pass the filter by 192 more bits, which sets of
+    hundreds of tokens need."""
     at = sets.select("set_id", "first", "place", "n", "wide0", "wide1", "wide2")
-    named = lambda e: at.toDF(e, *[f"{c}_{e}" for c in at.columns[1:]])
+    side = lambda e: at.toDF(e, *[f"{c}_{e}" for c in at.columns[1:]])
     p, q = threshold
-    total = F.col("n_x") + F.col("n_y")
-    differ = sum((F.bit_count(F.col(f"wide{i}_x").bitwiseXOR(F.col(f"wide{i}_y"))) for i in (1, 2)), F.bit_count(F.col("wide0_x").bitwiseXOR(F.col("wide0_y"))))
-    both = pairs.join(named("x"), "x").join(named("y"), "y").where(differ <= total - 2 * F.floor((p * total + (p + q) - 1) / (p + q)))
-    before = (F.col("first_x") < F.col("first_y")) | ((F.col("first_x") == F.col("first_y")) & (F.col("place_x") < F.col("place_y")))
-    pick = lambda u, v: F.when(before, F.col(u)).otherwise(F.col(v))
-    return both.select(pick("x", "y").alias("a"), pick("first_x", "first_y").alias("first_a"), pick("y", "x").alias("b"))
+    total = F.col("n_a") + F.col("n_b")
+    bits = [F.bit_count(F.col(f"wide{i}_a").bitwiseXOR(F.col(f"wide{i}_b"))) for i in range(3)]
+    both = pairs.join(side("a"), ["first_a", "place_a"]).join(side("b"), ["first_b", "place_b"])
+    return both.where(bits[0] + bits[1] + bits[2] <= total - 2 * F.floor((p * total + (p + q) - 1) / (p + q))).select("a", "first_a", "b")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, ws: Workspace, threshold: tuple[int, int]) -> DataFrame:
@@ -301,15 +326,18 @@ def removals(docs: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESH
     own = lines.join(small_or_shuffled(shared, 4 * BROADCAST_ROWS), "set_id", "left").where("first is null or doc_id = first")
     sets = own.select("set_id", F.col("doc_id").alias("first"), "place", "n", "sign", "wide0", "wide1", "wide2", "prefix")
     ws.free()
-    found = ws.save(_candidates(sets, threshold))
-    ws.free()
-    pairs = ws.save(_oriented(found, sets, threshold))
     # a row that repeats a doc_id would give its sets twice
     once = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
-    # one match is enough to lose a line: of a group of near copies only each line's earliest candidate is
-    # compared; lines that this doesn't settle are compared with all of theirs
-    lost = _verified(ws.save(pairs.groupBy("b").agg(F.min_by("a", "first_a").alias("a"))), once, sets, ws, threshold)
-    open_ = ws.save(pairs.select("a", "b").join(lost, "b", "left_anti"))
+    if once is not rows:
+        sets = sets.dropDuplicates(["set_id"])
+    # one match is enough to lose a line, so a group of near copies needs no pairs: most of its lines match
+    # a neighbour or the group's earliest line.  Only the lines which don't are joined with all before them.
+    pairs = ws.save(_named(_neighbours(sets, threshold), sets, threshold).distinct())
+    lost = _verified(pairs, once, sets, ws, threshold)
+    later = sets.join(small_or_shuffled(lost, 4 * BROADCAST_ROWS), F.col("set_id") == F.col("b"), "left_anti")
+    found = ws.save(_candidates(sets, later, threshold))
+    ws.free()
+    open_ = ws.save(_named(found, sets, threshold))
     lost = lost.unionAll(_verified(open_, once, sets, ws, threshold)) if not open_.isEmpty() else lost
     lost = lost.select(F.col("b").alias("set_id"))
     gone = shared.join(lost.withColumn("lost", F.lit(True)), "set_id", "full")
