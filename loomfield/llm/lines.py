@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,7 +222,7 @@ def line_sets(docs: DataFrame, rank: np.ndarray, threshold: tuple[int, int], min
 def _posts(sets: DataFrame, most: int | None = None) -> DataFrame:
     """A row per prefix token, of the rarest ``most`` ones if given; a set is told by its first place."""
     prefix = F.slice("prefix", 1, most) if most else F.col("prefix")
-    return sets.select(F.posexplode(prefix).alias("pos", "token"), "first", "place", "n", "sign")
+    return sets.select(F.posexplode(prefix).alias("pos", "token"), "first", "place", "n", "sign", "wide0", *[c for c in sets.columns if c == "late"])
 
 
 def _may_match(x: dict[str, Column], y: dict[str, Column], threshold: tuple[int, int]) -> Column:
@@ -231,12 +232,12 @@ def _may_match(x: dict[str, Column], y: dict[str, Column], threshold: tuple[int,
     p, q = threshold
     need = F.floor((p * (x["n"] + y["n"]) + (p + q) - 1) / (p + q))  # common tokens at least
     return (
-        (F.bit_count(x["sign"].bitwiseXOR(y["sign"])) <= x["n"] + y["n"] - 2 * need)
+        (F.bit_count(x["sign"].bitwiseXOR(y["sign"])) <= x["n"] + y["n"] - 2 * need) & (F.bit_count(x["wide0"].bitwiseXOR(y["wide0"])) <= x["n"] + y["n"] - 2 * need)
         & (q * x["n"] >= p * y["n"]) & (q * y["n"] >= p * x["n"]) & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need)
     )
 
 
-_POST = ("first", "place", "n", "sign", "pos")
+_POST = ("first", "place", "n", "sign", "wide0", "pos")
 
 
 def _neighbours(sets: DataFrame, threshold: tuple[int, int], rarest: int = 3) -> DataFrame:
@@ -253,15 +254,17 @@ def _neighbours(sets: DataFrame, threshold: tuple[int, int], rarest: int = 3) ->
     return pairs.select(F.col("a.first").alias("first_a"), F.col("a.place").alias("place_a"), F.col("first").alias("first_b"), F.col("place").alias("place_b")).distinct()
 
 
-def _candidates(sets: DataFrame, later: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Candidates (first_a, place_a, first_b, place_b): any set before any of ``later``.
+def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Candidates (first_a, place_a, first_b, place_b): any set before any with ``late``, which is a column
+    so that both sides of the join are one exchange.
 
     Tokens are compared by 32 bits of their hashes: the rare collision gives a candidate more, which the
     verification drops."""
-    x, y = _posts(sets).alias("x"), _posts(later).alias("y")
+    posts = _posts(sets)
+    x, y = posts.alias("x"), posts.alias("y")
     of = lambda e: {c: F.col(f"{e}.{c}") for c in _POST}
     before = (F.col("x.first") < F.col("y.first")) | ((F.col("x.first") == F.col("y.first")) & (F.col("x.place") < F.col("y.place")))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & before & _may_match(of("x"), of("y"), threshold))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & F.col("y.late") & before & _may_match(of("x"), of("y"), threshold))
     return pairs.select(*[F.col(f"{e}.{c}").alias(f"{c}_{n}") for e, n in (("x", "a"), ("y", "b")) for c in ("first", "place")]).distinct()
 
 
@@ -334,8 +337,8 @@ def removals(docs: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESH
     # a neighbour or the group's earliest line.  Only the lines which don't are joined with all before them.
     pairs = ws.save(_named(_neighbours(sets, threshold), sets, threshold).distinct())
     lost = _verified(pairs, once, sets, ws, threshold)
-    later = sets.join(small_or_shuffled(lost, 4 * BROADCAST_ROWS), F.col("set_id") == F.col("b"), "left_anti")
-    found = ws.save(_candidates(sets, later, threshold))
+    left = sets.join(small_or_shuffled(lost, 4 * BROADCAST_ROWS), F.col("set_id") == F.col("b"), "left").withColumn("late", F.col("b").isNull())
+    found = ws.save(_candidates(left, threshold))
     ws.free()
     open_ = ws.save(_named(found, sets, threshold))
     lost = lost.unionAll(_verified(open_, once, sets, ws, threshold)) if not open_.isEmpty() else lost
@@ -355,13 +358,24 @@ def _repeats(rows: DataFrame) -> bool:
     return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def rewrite(text: str, gone: dict[int, bool] | None) -> tuple[str, int, int, int, int]:
-    """The text without its removed lines; lines and tokens before, lines and tokens removed.  gone: set hash
-    -> whether its first line goes too."""
-    lines = text.count("\n") + 1
-    words = len(text.encode("utf-8", "replace").split())
-    if not gone:
-        return text, lines, words, 0, 0
+def text_counts(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of lines and tokens of each text, off the column's own bytes; none for nulls."""
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(text) else np.empty(0, np.uint8)
+    at = offsets - offsets[0]
+    space = _SPACE[raw]
+    first = ~space
+    first[1:] &= space[:-1]
+    heads = at[:-1][at[:-1] < len(raw)]
+    first[heads] = ~space[heads]
+    held = text.is_valid().to_numpy(zero_copy_only=False)
+    count = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[at])
+    return np.where(held, count(raw == 10) + 1, 0), np.where(held, count(first), 0)
+
+
+def rewrite(text: str, gone: dict[int, bool]) -> tuple[str, int, int]:
+    """The text without its removed lines, and how many lines and tokens that were.  gone: set hash ->
+    whether its first line goes too."""
     kept, seen, cut, cut_words = [], set(), 0, 0
     for line, m in zip(text.split("\n"), line_marks(text)[0]):
         if m in gone:
@@ -371,7 +385,7 @@ def rewrite(text: str, gone: dict[int, bool] | None) -> tuple[str, int, int, int
                 continue
             seen.add(m)
         kept.append(line)
-    return "\n".join(kept), lines, words, cut, cut_words
+    return "\n".join(kept), cut, cut_words
 
 
 def own_repeats(text: str, min_tokens: int) -> dict[int, bool]:
@@ -405,15 +419,21 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tok
 
     def run(batches):
         for batch in batches:
-            cut = batch.column(len(batch.columns) - 1).to_pylist()
-            texts = batch.column(place).to_pylist()
+            cut, text = batch.column(len(batch.columns) - 1), batch.column(place).cast(pa.large_string())
+            lines_, words = text_counts(text)
+            removed, removed_words = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+            # only texts that lose lines become Python strings
+            touched = np.asarray(pc.or_(cut.is_valid(), batch.column(ids).is_null()).to_numpy(zero_copy_only=False)) & np.asarray(text.is_valid().to_numpy(zero_copy_only=False))
             new = []
-            for d, t, g in zip(batch.column(ids).to_pylist(), texts, cut):
-                known = {x["set_id"]: x["all"] for x in g} if g else own_repeats(t, min_tokens) if d is None and t else None
-                new.append((None, 0, 0, 0, 0) if t is None else rewrite(t, known))
+            for i in np.flatnonzero(touched).tolist():
+                t, g = text[i].as_py(), cut[i].as_py()
+                known = {x["set_id"]: x["all"] for x in g} if g else own_repeats(t, min_tokens)
+                t, removed[i], removed_words[i] = rewrite(t, known)
+                new.append(t)
             columns = list(batch.columns)[:-1]
-            columns[place] = pa.array([x[0] for x in new], columns[place].type)
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([x[i] for x in new], pa.int64()) for i in range(1, 5)]], schema.names)
+            if new:
+                columns[place] = pc.replace_with_mask(text, pa.array(touched), pa.array(new, pa.large_string())).cast(columns[place].type)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in (lines_, words, removed, removed_words)]], schema.names)
 
     return rows.mapInArrow(run, schema)
 
