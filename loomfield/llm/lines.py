@@ -359,18 +359,25 @@ def _repeats(rows: DataFrame) -> bool:
 
 
 def text_counts(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of lines and tokens of each text, off the column's own bytes; none for nulls."""
+    """The numbers of lines and tokens of each text, off the column's own bytes; none for nulls.  Runs of
+    about a megabyte bound the arrays of a run."""
     offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-    raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(text) else np.empty(0, np.uint8)
-    at = offsets - offsets[0]
-    space = _SPACE[raw]
-    first = ~space
-    first[1:] &= space[:-1]
-    heads = at[:-1][at[:-1] < len(raw)]
-    first[heads] = ~space[heads]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    lines, words, lo = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), 0
+    while lo < len(text):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _TEXT_BLOCK, side="right")) - 1)
+        hi = min(hi, len(text))
+        raw, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        space = _SPACE[raw]
+        first = ~space
+        first[1:] &= space[:-1]
+        heads = at[:-1][at[:-1] < len(raw)]
+        first[heads] = ~space[heads]
+        for flags, out in ((raw == 10, lines), (first, words)):
+            out[lo:hi] = np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[at])
+        lo = hi
     held = text.is_valid().to_numpy(zero_copy_only=False)
-    count = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[at])
-    return np.where(held, count(raw == 10) + 1, 0), np.where(held, count(first), 0)
+    return np.where(held, lines + 1, 0), np.where(held, words, 0)
 
 
 def rewrite(text: str, gone: dict[int, bool]) -> tuple[str, int, int]:
