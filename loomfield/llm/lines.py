@@ -2,19 +2,20 @@
 
 A line's tokens are its different lower-cased words.  Two lines match if the Jaccard similarity of their
 token sets reaches ``threshold``; a line that matches an earlier one (by doc_id, then place) is removed,
-whether or not the earlier one stays.
-
-1. Rarity: tokens are counted over all documents in a fixed number of hashed counters.  Any total order of
-   tokens makes the join exact, so collisions cost speed only, and the counters' size doesn't grow.
-2. Every line gives one row with its set's hash, size, 64-bit signature and prefix: with the tokens in
-   order of rarity, matching lines share a token of their prefixes.  Of equal sets only the first one
-   joins, so a line which millions of documents share has one row in the join.
-3. Prefix tokens are joined under the length, positional and signature filters; all three are conditions
-   of the join, which gives few rows besides true matches.
-   Before that, lines are compared with their neighbours by their rarest tokens only, which settles most
-   lines of large groups of near copies; the join takes the later line from those that are left.
-4. Candidates are verified on their exact token sets, taken from the documents once more.
-5. Removed lines join back to their documents, and the texts are rewritten.
+whether or not the earlier one stays.  Equal sets are told by 128-bit hashes of whole tokens, other
+matches are verified on their token sets.
+
+1. One pass gives every line's set hash, and counts all tokens in a fixed number of hashed counters.
+   Of equal sets only the first line goes on, so a line which millions of documents share is one row.
+2. Rarity: tokens are ordered by their counters.  Any total order makes the join exact, so collisions cost
+   speed only, and the counters' size doesn't grow.  Every line gives its size, a 256-bit signature and
+   its prefix: with the tokens in that order, matching lines share a token of their prefixes.
+3. Postings are dealt by token.  Within a token's postings each line is compared with earlier ones under the
+   length, positional and signature filters up to the first that passes, so that a group of near copies
+   gives no pairs beyond a few for each line.  A token with more than HOT postings is dealt in chunks.
+4. Candidates are verified on their token sets.  A line none of whose candidates matched, or one with a
+   chunked token, is then joined with all earlier lines under the same filters.
+5. Removed lines join back to their documents by place, and the texts are rewritten.
 """
 
 from __future__ import annotations
@@ -24,101 +25,140 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.llm.shared import BROADCAST_ROWS, Workspace, fresh, only, small_or_shuffled
+from loomfield.llm.shared import Workspace, fresh, only, small_or_shuffled
 
 THRESHOLD = (4, 5)  # similarity 0.8 as a fraction, so that bounds are exact
-MIN_TOKENS = 5
+MIN_TOKENS = 1
 COUNTERS = 1 << 18
-_TEXT_BLOCK = 1 << 20
-_LOW = np.int64((1 << 42) - 1)
-
-
-#: A random 64-bit number per byte, and powers of an odd one by place: a token's hash is their dot product.
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _RNG.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_POWER = np.cumprod(np.full(1 << 12, _RNG.integers(1 << 40, 1 << 63, 1, np.uint64)[0] | np.uint64(1)))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def hashed_tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of a text's tokens, runs of other than ASCII white space in lower case, and the
-    number of the line each is on; all tokens at once."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
-    if not len(raw):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    space = _SPACE[raw]
-    first = ~space
-    first[1:] &= space[:-1]
-    start = np.flatnonzero(first)
-    if not len(start):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    owner = np.cumsum(first, dtype=np.int32) - 1
-    owner[: start[0]] = 0
-    place = (np.arange(len(raw), dtype=np.int32) - start.astype(np.int32)[owner]) & (len(_POWER) - 1)
-    value = _BYTE[raw]
-    value *= _POWER[place]
-    value[space] = 0
-    h = np.add.reduceat(value, start)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    breaks = np.flatnonzero(raw == 10)
-    return h.view(np.int64), np.searchsorted(breaks, start)
-
-
-def distinct_tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different token hashes of each line, the lines they are on, and their number on every line."""
-    h, line = hashed_tokens(text)
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[new], line[new]
-    return h, line, np.bincount(line, minlength=text.count("\n") + 1)
-
-
-def line_marks(text: str) -> tuple[list[int], list[int]]:
-    """Each line's set hash, 0 for lines without tokens, and its number of different tokens."""
-    h, line, n = distinct_tokens(text)
-    marks = np.zeros(len(n), np.int64)
-    held = np.flatnonzero(n)
-    if len(held):
-        marks[held] = np.add.reduceat(_mixed(h), np.concatenate(([0], np.cumsum(n[held])[:-1])))
-    return marks.tolist(), n.tolist()
-
-
-def _blocks(ids: list, texts: list) -> Iterator[tuple[list, list]]:
-    """Rows in runs of about a megabyte of text, which bounds what one run holds."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= _TEXT_BLOCK:
-            yield ids[at : i + 1], texts[at : i + 1]
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield ids[at:], texts[at:]
-
-
-def token_counts(texts: DataFrame) -> np.ndarray:
-    """Hashed counts of all tokens; each task sends one array in slices, and a sum adds 256 of them at most
-    before the last one, whose share is a 256th of the tasks."""
-    width = 1 << 12
+#: Postings of a token beyond which they are dealt in chunks.
+HOT = 4096
+_TEXT_BLOCK = 1 << 21
+_POST_BLOCK = 1 << 17
+#: A place is a line's number; rows that repeat a doc_id with another text add a multiple of this.
+_ROW = 1 << 40
+_SIGNS = ("s0", "s1", "s2", "s3")
+
+
+def _lines(texts: list[str | None]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """All lines of the texts in lower case, and the number of the first line of each text."""
+    texts = [t or "" for t in texts]
+    n = np.array([t.count("\n") + 1 for t in texts])
+    lines = pc.split_pattern(pa.array(["\n".join(texts).lower()], pa.large_string()), "\n").flatten()
+    return lines, np.concatenate(([0], np.cumsum(n)[:-1]))
+
+
+class Tokens:
+    """The tokens of lines, runs of other than ASCII white space: the line each is on, its number among the
+    different ones, and those ones' 128-bit hashes as two halves."""
+
+    def __init__(self, lines: pa.LargeStringArray):
+        words = pc.ascii_split_whitespace(lines)
+        coded = words.flatten().dictionary_encode()
+        code, vocabulary = coded.indices.to_numpy(), coded.dictionary
+        line = np.repeat(np.arange(len(lines)), np.diff(words.offsets.to_numpy()))
+        at = np.frombuffer(vocabulary.buffers()[1], np.int64)[vocabulary.offset : vocabulary.offset + len(vocabulary) + 1].tolist() if len(vocabulary) else [0]
+        data = vocabulary.buffers()[2].to_pybytes() if at[-1] else b""
+        digest = xxhash.xxh3_128_digest
+        halves = np.frombuffer(b"".join([digest(data[i:j]) for i, j in zip(at, at[1:])]), np.uint64).reshape(-1, 2)
+        self.low, self.high = halves[:, 0].copy(), halves[:, 1].copy()
+        held = (np.diff(at) > 0)[code] if len(code) else np.empty(0, bool)  # white space around a line gives empty words
+        self.line, self.code = line[held], code[held].astype(np.int64)
+
+    def sets(self, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lines with tokens, the number of different tokens of each, and these, line by line in the
+        order of rank, then hash."""
+        by = np.argsort(self.low) if rank is None else np.lexsort((self.high, self.low, rank))
+        order = np.empty(len(by), np.int64)
+        order[by] = np.arange(len(by))
+        bits = max(len(by).bit_length(), 1)
+        key = np.sort((self.line << bits) | order[self.code])
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        line = key >> bits
+        first = np.ones(len(line), bool)
+        first[1:] = line[1:] != line[:-1]
+        start = np.flatnonzero(first)
+        return line[start], np.diff(np.append(start, len(line))), by[key & ((1 << bits) - 1)]
+
+
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(n)[:-1])).astype(np.int64)
+
+
+def _marks(tokens: Tokens, n: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each set's hash."""
+    start = _starts(n)
+    return np.add.reduceat(tokens.low[token], start).view(np.int64), np.add.reduceat(tokens.high[token], start).view(np.int64)
+
+
+def _blocks(text: pa.Array, *columns: pa.Array) -> Iterator[list[list]]:
+    """Rows in runs of some megabytes of text, as lists; this bounds what one run holds."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(text):
+        before = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, before + _TEXT_BLOCK, side="right")))
+        yield [c.slice(at, end - at).to_pylist() for c in (text, *columns)]
+        at = end
+
+
+# ---- first pass: set hashes and token counts
+
+_KEYS = "doc_id long, place long, k1 long, k2 long, more array<long>, slice long, task long, counts binary"
+_KEY_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
+_KEY_NAMES = [c.split()[0] for c in _KEYS.split(", ")]
+_SLICE = 1 << 12
+
+
+def _key_rows(texts: list, ids: list, bases: list, tokens: Tokens, first_line: np.ndarray, min_tokens: int) -> list | None:
+    used, n, token = tokens.sets()
+    if not len(used):
+        return None
+    k1, k2 = _marks(tokens, n, token)
+    owner = np.searchsorted(first_line, used, side="right") - 1
+    place = used - first_line[owner] + np.asarray(bases, np.int64)[owner]
+    pick = np.lexsort((used, k2, k1, owner))
+    pick = pick[n[pick] >= min_tokens]
+    if not len(pick):
+        return None
+    head = np.ones(len(pick), bool)
+    head[1:] = (k1[pick][1:] != k1[pick][:-1]) | (k2[pick][1:] != k2[pick][:-1]) | (owner[pick][1:] != owner[pick][:-1])
+    again = np.diff(np.append(np.flatnonzero(head), len(pick))) - 1
+    more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(again))).astype(np.int32)), pa.array(place[pick[~head]]))
+    pick = pick[head]
+    return [pa.array(np.asarray(ids, np.int64)[owner[pick]]), *[pa.array(x[pick]) for x in (place, k1, k2)], more]
+
+
+def read_keys(rows: DataFrame, min_tokens: int) -> DataFrame:
+    """A row per document and set, doc_id, place, k1, k2, more (places where the set comes again); and each
+    task's token counters, in slices."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, part in _blocks([None] * len(batch), batch.column(0).to_pylist()):
-                h, _ = hashed_tokens("\n".join(t for t in part if t))
-                counts += np.bincount(h & (COUNTERS - 1), minlength=COUNTERS)
+            for texts, ids, bases in _blocks(batch.column(2), batch.column(0), batch.column(1)):
+                lines, first_line = _lines(texts)
+                tokens = Tokens(lines)
+                np.add.at(counts, (tokens.low & np.uint64(COUNTERS - 1)).astype(np.int64), np.bincount(tokens.code, minlength=len(tokens.low)))
+                if (got := _key_rows(texts, ids, bases, tokens, first_line, min_tokens)) is not None:
+                    yield pa.RecordBatch.from_arrays([*got, *[pa.nulls(len(got[0]), t) for t in _KEY_TYPES[5:]]], _KEY_NAMES)
         task = TaskContext.get().partitionId() // 256
-        for s in range(0, COUNTERS, width):
-            if counts[s : s + width].any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // width]), pa.array([task]), pa.array([counts[s : s + width].tobytes()])], ["slice", "task", "counts"])
+        held = [s for s in range(0, COUNTERS, _SLICE) if counts[s : s + _SLICE].any()]
+        if held:
+            sums = [pa.array([s // _SLICE for s in held], pa.int64()), pa.array([task] * len(held), pa.int64()), pa.array([counts[s : s + _SLICE].tobytes() for s in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(held), t) for t in _KEY_TYPES[:5]], *sums], _KEY_NAMES)
+
+    return rows.mapInArrow(run, _KEYS)
+
+
+def token_counts(keys: DataFrame) -> np.ndarray:
+    """The counters of all tasks added up: 256 of them at most at first, then the sums."""
 
     def total(rows):
         import pandas as pd
@@ -128,327 +168,341 @@ def token_counts(texts: DataFrame) -> np.ndarray:
 
     schema = "slice long, task long, counts binary"
     out = np.zeros(COUNTERS, np.int64)
-    sums = texts.mapInArrow(run, schema).groupBy("slice", "task").applyInPandas(total, schema)
+    sums = keys.where("counts is not null").select("slice", "task", "counts").groupBy("slice", "task").applyInPandas(total, schema)
     for r in sums.groupBy("slice").applyInPandas(total, schema).collect():
-        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.counts, np.int64)
+        out[r.slice * _SLICE : (r.slice + 1) * _SLICE] = np.frombuffer(r.counts, np.int64)
     return out
 
 
-def _ordered(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The order of tokens by line, then rarity.  One key of line, coarse rank and hash bits sorts fast; if
-    two different tokens of a line share it, all three keys are sorted in full."""
-    r = rank[h & (COUNTERS - 1)]
-    key = (line << 51) | (r << 42) | ((h >> 20) & _LOW)
-    order = np.argsort(key, kind="stable")
-    k, g = key[order], h[order]
-    if ((k[1:] == k[:-1]) & (g[1:] != g[:-1])).any():
-        order = np.lexsort((h, (h >> 20) & _LOW, r, line))
-    return order
-
-
-def _set_rows(ids: list, texts: list, rank: np.ndarray, threshold: tuple[int, int], min_tokens: int):
-    """Arrays of one row per different token set of a document: doc, set hash, first place, whether it comes
-    again, size, signatures, prefix.  A signature has the parity of the tokens of each bit's class, so that
-    different bits are never more than different tokens."""
-    whole = "\n".join(t or "" for t in texts)
-    h, line = hashed_tokens(whole)
-    if not len(h):
-        return None
-    n_lines = np.array([(t or "").count("\n") + 1 for t in texts])
-    first_line = np.concatenate(([0], np.cumsum(n_lines)[:-1]))
-    # lines numbered without gaps, in parts that fit the sort key
-    used, line = np.unique(line, return_inverse=True)
-    order = np.concatenate([lo + _ordered(h[lo:hi], line[lo:hi] - line[lo], rank) for lo, hi in _parts(line)])
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    h, line = h[new], line[new]
-    n = np.bincount(line, minlength=len(used))
-    start = np.concatenate(([0], np.cumsum(n)[:-1]))
-    mark = np.add.reduceat(_mixed(h), start)
-    sign = np.bitwise_xor.reduceat(np.int64(1) << ((h >> 12) & 63), start)
-    bit, word = np.int64(1) << ((h >> 18) & 63), ((h >> 24) & 0xFFFF) % 3
-    wide = [np.bitwise_xor.reduceat(np.where(word == w, bit, 0), start) for w in range(3)]
-    a, b = threshold
-    prefix = n - (a * n + b - 1) // b + 1
-    keep = n >= min_tokens
-    owner = np.searchsorted(first_line, used, side="right") - 1
-    # one row per set and document, that of its first place
-    pair = np.lexsort((used, mark, owner))
-    pair = pair[keep[pair]]
-    same = np.zeros(len(pair), bool)
-    same[1:] = (mark[pair][1:] == mark[pair][:-1]) & (owner[pair][1:] == owner[pair][:-1])
-    again = np.zeros(len(used), bool)
-    again[pair[:-1][same[1:]]] = True
-    keep[pair[same]] = False
-    at = np.arange(len(h)) - start[line]
-    chosen = (at < prefix[line]) & keep[line]
-    offsets = np.concatenate(([0], np.cumsum(prefix[keep]))).astype(np.int32)
-    places = (used - first_line[owner])[keep].astype(np.int32)
-    return (
-        pa.array([ids[i] for i in owner[keep]], pa.int64()), pa.array(mark[keep]), pa.array(places), pa.array(again[keep]), pa.array(n[keep].astype(np.int32)), pa.array(sign[keep]), *[pa.array(w[keep]) for w in wide],
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array((h[chosen] >> 32).astype(np.int32))),
-    )
-
+# ---- second pass: sets with their prefixes
 
-def _parts(line: np.ndarray, most: int = 4000) -> list[tuple[int, int]]:
-    """Ranges of tokens with at most ``most`` lines each; tokens come line by line."""
-    cuts = np.searchsorted(line, np.arange(0, line[-1] + 1, most))
-    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(line)]))
+_SETS = "first long, place long, n int, s0 long, s1 long, s2 long, s3 long, light int, prefix array<long>"
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    m = h * np.int64(-7046029254386353131)
-    m ^= m >> 29
-    m *= np.int64(-4658895280553007687)
-    return m ^ (m >> 32)
+def _set_rows(texts: list, ids: list, bases: list, skips: list, counts: np.ndarray, threshold: tuple[int, int], least: int, hot: int = HOT) -> list | None:
+    """Arrays of _SETS for the lines of the texts, without those at the places to skip.
 
+    A signature has the parity of the tokens of each bit's class, so that different bits are never more
+    than different tokens."""
+    lines, first_line = _lines(texts)
+    keep = np.ones(len(lines), bool)
+    for at, base, skip in zip(first_line.tolist(), bases, skips):
+        if skip is not None:
+            keep[np.asarray(skip, np.int64) - base + at] = False
+    number = np.flatnonzero(keep)
+    tokens = Tokens(lines.filter(pa.array(keep)))
+    seen = counts[(tokens.low & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    used, n, token = tokens.sets(seen)
+    enough = n >= least
+    if not enough.any():
+        return None
+    token, used, n = token[np.repeat(enough, n)], number[used[enough]], n[enough]
+    start = _starts(n)
+    owner = np.searchsorted(first_line, used, side="right") - 1
+    place = used - first_line[owner] + np.asarray(bases, np.int64)[owner]
+    bit, word = np.uint64(1) << (tokens.high & np.uint64(63)), (tokens.high >> np.uint64(6)) & np.uint64(3)
+    signs = [np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0))[token], start).view(np.int64) for w in range(4)]
+    p, q = threshold
+    prefix = n - (p * n + q - 1) // q + 1
+    within = np.arange(len(token)) - np.repeat(start, n)
+    chosen = within < np.repeat(prefix, n)
+    offsets = np.concatenate(([0], np.cumsum(prefix)))
+    light = np.add.reduceat((seen[token[chosen]] <= hot).astype(np.int64), offsets[:-1])
+    return [
+        pa.array(np.asarray(ids, np.int64)[owner]), pa.array(place), pa.array(n.astype(np.int32)), *[pa.array(s) for s in signs], pa.array(light.astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens.low[token[chosen]].view(np.int64))),
+    ]
 
-_SET_COLUMNS = "doc_id long, set_id long, place int, again boolean, n int, sign long, wide0 long, wide1 long, wide2 long, prefix array<int>"
 
+def line_sets(rows: DataFrame, counts: np.ndarray, threshold: tuple[int, int], min_tokens: int, hot: int = HOT) -> DataFrame:
+    """rows: doc_id, base, text, skip.  light is the number of prefix tokens that can't be hot; they come first.
 
-def line_sets(docs: DataFrame, rank: np.ndarray, threshold: tuple[int, int], min_tokens: int) -> DataFrame:
-    names = [c.split()[0] for c in _SET_COLUMNS.split(", ")]
+    Sets too small to match any but equal ones have no row."""
+    p, q = threshold
+    least = max(min_tokens, -(-p // (q - p)))
+    names = [c.split()[0] for c in _SETS.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for part in _blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (rows := _set_rows(*part, rank, threshold, min_tokens)) is not None:
-                    yield pa.RecordBatch.from_arrays(list(rows), names)
+            for part in _blocks(*[batch.column(i) for i in (2, 0, 1, 3)]):
+                if (got := _set_rows(*part, counts, threshold, least, hot)) is not None:
+                    yield pa.RecordBatch.from_arrays(got, names)
 
-    return docs.mapInArrow(run, _SET_COLUMNS)
+    return rows.select("doc_id", "base", "text", "skip").mapInArrow(run, _SETS)
 
 
-def _posts(sets: DataFrame, most: int | None = None) -> DataFrame:
-    """A row per prefix token, of the rarest ``most`` ones if given; a set is told by its first place."""
-    prefix = F.slice("prefix", 1, most) if most else F.col("prefix")
-    return sets.select(F.posexplode(prefix).alias("pos", "token"), "first", "place", "n", "sign", "wide0", *[c for c in sets.columns if c == "late"])
+# ---- candidates
 
+_POST = ("first", "place", "n", "pos", *_SIGNS)
+_PAIR = "first_a long, place_a long, first_b long, place_b long"
 
-def _may_match(x: dict[str, Column], y: dict[str, Column], threshold: tuple[int, int]) -> Column:
-    """The length, positional and signature filters for two postings of one token.
 
-    The positional bound is that of the first common token, which both prefixes have if the sets match."""
-    p, q = threshold
-    need = F.floor((p * (x["n"] + y["n"]) + (p + q) - 1) / (p + q))  # common tokens at least
-    return (
-        (F.bit_count(x["sign"].bitwiseXOR(y["sign"])) <= x["n"] + y["n"] - 2 * need) & (F.bit_count(x["wide0"].bitwiseXOR(y["wide0"])) <= x["n"] + y["n"] - 2 * need)
-        & (q * x["n"] >= p * y["n"]) & (q * y["n"] >= p * x["n"]) & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need)
-    )
+def _posts(sets: DataFrame) -> DataFrame:
+    """A row per prefix token; a set is told by its first place."""
+    return sets.select(F.posexplode("prefix").alias("pos", "token"), "first", "place", "n", *_SIGNS)
 
 
-_POST = ("first", "place", "n", "sign", "wide0", "pos")
+def _passing(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether postings x and y of one token pass the length, positional and signature filters.
 
+    The positional bound is that of the first common token, which both prefixes have if the sets match."""
+    p, q = threshold
+    nx, ny = c["n"][x], c["n"][y]
+    need = (p * (nx + ny) + (p + q) - 1) // (p + q)  # common tokens at least
+    ok = (q * nx >= p * ny) & (q * ny >= p * nx) & (np.minimum(nx - c["pos"][x], ny - c["pos"][y]) >= need)
+    at = np.flatnonzero(ok)
+    apart = np.zeros(len(at), np.int64)
+    for s in _SIGNS:
+        apart += np.bitwise_count((c[s][x[at]] ^ c[s][y[at]]).view(np.uint64))
+    ok[at] = apart <= nx[at] + ny[at] - 2 * need[at]
+    return ok
+
+
+def _first_passing(c: dict[str, np.ndarray], threshold: tuple[int, int]) -> list[np.ndarray]:
+    """For each posting the first earlier one of its list that passes, if any does."""
+    new = np.ones(len(c["token"]), bool)
+    new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["chunk"][1:] != c["chunk"][:-1])
+    run = np.cumsum(new)
+    order = np.lexsort((c["place"], c["first"], run))
+    c = {k: v[order] for k, v in c.items()}
+    start = np.flatnonzero(new)[run - 1]
+    y, k, found = np.flatnonzero(~new), 0, []
+    while len(y):
+        x = start[y] + k
+        ok = _passing(c, x, y, threshold)
+        found.append((x[ok], y[ok]))
+        y = y[~ok]
+        k += 1
+        y = y[start[y] + k < y]
+    x, y = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+    return [c["first"][x], c["place"][x], c["first"][y], c["place"][y]]
+
+
+def _search(dealt: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Candidates among postings that are sorted by token and chunk; lists are held whole, and HOT bounds
+    what a list can be."""
+    names = ["token", "chunk", *_POST]
 
-def _neighbours(sets: DataFrame, threshold: tuple[int, int], rarest: int = 3) -> DataFrame:
-    """Candidates (first_a, place_a, first_b, place_b) among lines with a rare token in common: each line
-    with the earliest one and the two before it.  A row gives three pairs at most, however many lines
-    share its token."""
-    w = Window.partitionBy("token").orderBy("first", "place")
-    row = F.struct(*_POST)
-    before = F.array(F.first(row).over(w), F.lag(row, 1).over(w), F.lag(row, 2).over(w))
-    near = _posts(sets, rarest).select(*_POST, before.alias("before"))
-    mine = {c: F.col(c) for c in _POST}
-    near = near.withColumn("before", F.filter("before", lambda r: r.isNotNull() & ((r["first"] < mine["first"]) | (r["place"] < mine["place"])) & _may_match({c: r[c] for c in _POST}, mine, threshold)))
-    pairs = near.where(F.size("before") > 0).select("first", "place", F.explode("before").alias("a"))
-    return pairs.select(F.col("a.first").alias("first_a"), F.col("a.place").alias("place_a"), F.col("first").alias("first_b"), F.col("place").alias("place_b")).distinct()
+    def run(batches):
+        def search(parts):
+            c = {k: np.concatenate([b[i] for b in parts]) for i, k in enumerate(names)}
+            rows = [pa.array(a) for a in _first_passing(c, threshold)]
+            return pa.RecordBatch.from_arrays(rows, ["first_a", "place_a", "first_b", "place_b"])
 
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(len(names))]
+            # up to where the batch's last list begins, all lists are complete
+            token, chunk = columns[0], columns[1]
+            edge = np.flatnonzero((token != token[-1]) | (chunk != chunk[-1]))
+            cut = int(edge[-1]) + 1 if len(edge) else 0
+            size += len(token)
+            if size >= _POST_BLOCK and (cut or held and (held[-1][0][-1] != token[0] or held[-1][1][-1] != chunk[0])):
+                yield search([*held, [c[:cut] for c in columns]])
+                held, size = [[c[cut:] for c in columns]], len(token) - cut
+            else:
+                held.append(columns)
+        if held:
+            yield search(held)
+
+    return dealt.select(*names).mapInArrow(run, _PAIR)
+
+
+def _may_match(threshold: tuple[int, int]) -> Column:
+    """_passing() as a condition on postings x and y."""
+    p, q = threshold
+    x, y = ({c: F.col(f"{e}.{c}") for c in _POST} for e in "xy")
+    need = F.floor((p * (x["n"] + y["n"]) + (p + q) - 1) / (p + q))
+    apart = sum((F.bit_count(x[s].bitwiseXOR(y[s])) for s in _SIGNS[1:]), F.bit_count(x["s0"].bitwiseXOR(y["s0"])))
+    return (q * x["n"] >= p * y["n"]) & (q * y["n"] >= p * x["n"]) & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) >= need) & (apart <= x["n"] + y["n"] - 2 * need)
 
-def _candidates(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Candidates (first_a, place_a, first_b, place_b): any set before any with ``late``, which is a column
-    so that both sides of the join are one exchange.
 
-    Tokens are compared by 32 bits of their hashes: the rare collision gives a candidate more, which the
-    verification drops."""
-    posts = _posts(sets)
-    x, y = posts.alias("x"), posts.alias("y")
-    of = lambda e: {c: F.col(f"{e}.{c}") for c in _POST}
+def _all_earlier(sets: DataFrame, open_: DataFrame, ws: Workspace, threshold: tuple[int, int]) -> DataFrame:
+    """Candidates of the open lines (first, place) among all earlier lines."""
+    late = ws.save(_posts(sets.join(small_or_shuffled(open_), ["first", "place"], "left_semi")))
+    x, y = _posts(sets).alias("x"), small_or_shuffled(late).alias("y")
     before = (F.col("x.first") < F.col("y.first")) | ((F.col("x.first") == F.col("y.first")) & (F.col("x.place") < F.col("y.place")))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & F.col("y.late") & before & _may_match(of("x"), of("y"), threshold))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & before & _may_match(threshold))
     return pairs.select(*[F.col(f"{e}.{c}").alias(f"{c}_{n}") for e, n in (("x", "a"), ("y", "b")) for c in ("first", "place")]).distinct()
 
 
-def _named(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(a, first_a, b): the set hashes of pairs that also pass the filter by 192 more bits, which sets of
-    hundreds of tokens need."""
-    at = sets.select("set_id", "first", "place", "n", "wide0", "wide1", "wide2")
-    side = lambda e: at.toDF(e, *[f"{c}_{e}" for c in at.columns[1:]])
-    p, q = threshold
-    total = F.col("n_a") + F.col("n_b")
-    bits = [F.bit_count(F.col(f"wide{i}_a").bitwiseXOR(F.col(f"wide{i}_b"))) for i in range(3)]
-    both = pairs.join(side("a"), ["first_a", "place_a"]).join(side("b"), ["first_b", "place_b"])
-    return both.where(bits[0] + bits[1] + bits[2] <= total - 2 * F.floor((p * total + (p + q) - 1) / (p + q))).select("a", "first_a", "b")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, sets: DataFrame, ws: Workspace, threshold: tuple[int, int]) -> DataFrame:
-    """The b of those pairs (a, b) whose token sets really match."""
-    ends = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
-    wanted = sets.select("set_id", "first", "place").join(ends, "set_id", "left_semi")
-    wanted = ws.save(wanted.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list(F.struct("place", "set_id")).alias("lines")))
+def _verified(pairs: DataFrame, rows: DataFrame, ws: Workspace, threshold: tuple[int, int]) -> DataFrame:
+    """(first, place) of the later lines of those pairs whose token sets really match."""
+    end = lambda e: pairs.select(F.col(f"first_{e}").alias("doc_id"), F.col(f"place_{e}").alias("place"))
+    wanted = end("a").unionAll(end("b")).distinct().groupBy("doc_id", _base("place").alias("base")).agg(F.collect_list("place").alias("lines"))
+    wanted = ws.save(wanted)
     exact = ws.save(_exact_sets(rows, wanted))
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     p, q = threshold
-    joined = pairs.join(exact.toDF("a", "tokens_a"), "a").join(exact.toDF("b", "tokens_b"), "b")
-    out = ws.save(joined.where(q * common >= p * (F.size("tokens_a") + F.size("tokens_b") - common)).select("b").distinct())
+    joined = pairs.join(exact.toDF("first_a", "place_a", "tokens_a"), ["first_a", "place_a"]).join(exact.toDF("first_b", "place_b", "tokens_b"), ["first_b", "place_b"])
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    hits = joined.where(q * common >= p * (F.size("tokens_a") + F.size("tokens_b") - common))
+    out = ws.save(hits.select(F.col("first_b").alias("first"), F.col("place_b").alias("place")).distinct())
     ws.drop(wanted, exact)
     ws.free()
     return out
 
 
-def _exact_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, tokens) of the lines at the wanted places; wanted: doc_id, lines (array of place, set_id).
+def _base(place: str) -> Column:
+    return F.shiftright(place, 40) * F.lit(_ROW)
+
 
-    Tokens go as their 64-bit hashes, which are what sets are told by."""
-    rows = docs.join(small_or_shuffled(wanted, 4 * BROADCAST_ROWS), "doc_id")
+def _exact_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, place, tokens) of the lines at the wanted places; tokens go as 64 bits of their hashes."""
+    found = rows.join(small_or_shuffled(wanted), ["doc_id", "base"])
 
     def run(batches):
         for batch in batches:
-            sets, lines = [], []
-            for t, wanted_lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                body = (t or "").split("\n")
-                sets += [x["set_id"] for x in wanted_lines]
-                lines += [body[x["place"]] for x in wanted_lines]
-            for ids, part in _blocks(sets, lines):
-                h, line, n = distinct_tokens("\n".join(part))
-                offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h))], ["set_id", "tokens"])
-
-    return rows.select("text", "lines").mapInArrow(run, "set_id long, tokens array<long>")
-
-
-def removals(docs: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, gone): for each document that loses lines the set hashes of these lines, and whether the
-    first of them stays."""
-    rows = only(docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()), doc_id="long", text="string")
-    counts = token_counts(rows.select("text"))
-    rank = np.minimum(np.round(16 * np.log2(counts + 1.0)), 511).astype(np.int64)
-    lines = ws.save(line_sets(rows, rank, threshold, min_tokens))
-    # sets of several documents, which are few; a set's row is that of its first document
-    shared = lines.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("docs")).where("docs > 1")
-    shared = ws.save(shared.select("set_id", "first"))
-    own = lines.join(small_or_shuffled(shared, 4 * BROADCAST_ROWS), "set_id", "left").where("first is null or doc_id = first")
-    sets = own.select("set_id", F.col("doc_id").alias("first"), "place", "n", "sign", "wide0", "wide1", "wide2", "prefix")
+            for texts, ids, bases, places in _blocks(*[batch.column(i) for i in (2, 0, 1, 3)]):
+                body = [t.split("\n") for t in texts]
+                lines = [b[p - base] for b, base, ps in zip(body, bases, places) for p in ps]
+                tokens = Tokens(pa.array([x.lower() for x in lines], pa.large_string()))
+                used, n, token = tokens.sets()
+                count = np.zeros(len(lines), np.int64)
+                count[used] = n
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(tokens.low[token].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, ps in zip(ids, places) for _ in ps], pa.int64()), pa.array([p for ps in places for p in ps], pa.int64()), sets], ["doc_id", "place", "tokens"])
+
+    return found.select("doc_id", "base", "text", "lines").mapInArrow(run, "doc_id long, place long, tokens array<long>")
+
+
+# ---- what goes
+
+
+def repeated_ids(rows: DataFrame, ws: Workspace) -> DataFrame | None:
+    """(doc_id, digest, base) of rows that share a doc_id: a multiple of _ROW for each different text; None if
+    no two rows do."""
+    many = ws.save(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if many.isEmpty():
+        return None
+    texts = rows.join(small_or_shuffled(many), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("digest")).distinct()
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))
+    return ws.save(texts.select("doc_id", "digest", ((nth - 1).cast("long") * F.lit(_ROW)).alias("base")))
+
+
+def removals(rows: DataFrame, ws: Workspace, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, bases: DataFrame | None = None, most: int = HOT) -> DataFrame:
+    """(doc_id, base, gone): the places of the lines that each document loses.  rows: doc_id, text; bases:
+    repeated_ids()."""
+    if bases is None:
+        rows = rows.select("doc_id", F.lit(0).cast("long").alias("base"), "text")
+    else:
+        # rows that repeat both doc_id and text count once
+        rows = rows.withColumn("digest", F.sha2("text", 256)).join(small_or_shuffled(bases), ["doc_id", "digest"], "left")
+        rows = ws.save(rows.select("doc_id", F.coalesce("base", F.lit(0).cast("long")).alias("base"), "text").dropDuplicates(["doc_id", "base"]))
+    keys = ws.save(read_keys(rows, min_tokens))
+    counts = token_counts(keys)
+    own = keys.where("counts is null").select("doc_id", "place", "k1", "k2", "more")
+    # equal sets: all but the first place go
+    first = F.min("doc_id").alias("first") if bases is None else F.min(F.struct("doc_id", _base("place"))).alias("first")
+    shared = ws.save(own.groupBy("k1", "k2").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"))
+    here = F.col("doc_id") if bases is None else F.struct("doc_id", _base("place"))
+    later = own.select("doc_id", "place", "k1", "k2").join(small_or_shuffled(shared), ["k1", "k2"]).where(here > F.col("first")).select("doc_id", "place")
+    again = own.where("more is not null").select("doc_id", F.explode("more").alias("place"))
+    equal = later.unionAll(again).groupBy("doc_id", _base("place").alias("base")).agg(F.collect_set("place").alias("skip"))
+    equal = ws.save(equal)
+    ws.drop(keys, shared)
     ws.free()
-    # a row that repeats a doc_id would give its sets twice
-    once = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
-    if once is not rows:
-        sets = sets.dropDuplicates(["set_id"])
-    # one match is enough to lose a line, so a group of near copies needs no pairs: most of its lines match
-    # a neighbour or the group's earliest line.  Only the lines which don't are joined with all before them.
-    pairs = ws.save(_named(_neighbours(sets, threshold), sets, threshold).distinct())
-    lost = _verified(pairs, once, sets, ws, threshold)
-    left = sets.join(small_or_shuffled(lost, 4 * BROADCAST_ROWS), F.col("set_id") == F.col("b"), "left").withColumn("late", F.col("b").isNull())
-    found = ws.save(_candidates(left, threshold))
+    once = rows.join(small_or_shuffled(equal), ["doc_id", "base"], "left")
+    sets = ws.save(line_sets(once, counts, threshold, min_tokens, most))
+    tail = sets.where("light < size(prefix)").select("first", "place", F.explode(F.slice("prefix", F.col("light") + 1, F.size("prefix"))).alias("token"))
+    hot = ws.save(tail.groupBy("token").count().where(F.col("count") > most).select("token", F.ceil(F.col("count") / most).alias("chunks")))
+    posts = _posts(sets)
+    some = not hot.isEmpty()
+    chunk = F.pmod(F.xxhash64("first", "place"), "chunks")
+    posts = posts.join(small_or_shuffled(hot), "token", "left").withColumn("chunk", F.coalesce(chunk, F.lit(0))) if some else posts.withColumn("chunk", F.lit(0).cast("long"))
+    dealt = posts.repartition("token", "chunk").sortWithinPartitions("token", "chunk")
+    pairs = ws.save(_search(dealt, threshold).distinct())
     ws.free()
-    open_ = ws.save(_named(found, sets, threshold))
-    lost = lost.unionAll(_verified(open_, once, sets, ws, threshold)) if not open_.isEmpty() else lost
-    lost = lost.select(F.col("b").alias("set_id"))
-    gone = shared.join(lost.withColumn("lost", F.lit(True)), "set_id", "full")
-    gone = ws.save(gone.select("set_id", "first", F.coalesce("lost", F.lit(False)).alias("lost")))
+    lost = _verified(pairs, rows, ws, threshold)
+    # lines that may still match: those with false candidates, and those of chunked tokens
+    open_ = pairs.select(F.col("first_b").alias("first"), F.col("place_b").alias("place"))
+    if some:
+        open_ = open_.unionAll(tail.join(small_or_shuffled(hot), "token", "left_semi").select("first", "place"))
+    open_ = ws.save(open_.distinct().join(small_or_shuffled(lost), ["first", "place"], "left_anti"))
+    if not open_.isEmpty():
+        found = ws.save(_all_earlier(sets, open_, ws, threshold).join(small_or_shuffled(pairs), _PAIR.replace(" long", "").split(", "), "left_anti"))
+        ws.free()
+        if not found.isEmpty():
+            lost = lost.unionAll(_verified(found, rows, ws, threshold))
+    near = lost.distinct().groupBy(F.col("first").alias("doc_id"), _base("place").alias("base")).agg(F.collect_list("place").alias("skip"))
+    out = ws.save(equal.unionByName(near).groupBy("doc_id", "base").agg(F.flatten(F.collect_list("skip")).alias("gone")))
+    ws.drop(equal, sets, hot, pairs, open_)
     ws.free()
-    where = lines.select("doc_id", "set_id", "again").join(gone, "set_id", "left")
-    everywhere = F.coalesce(F.col("lost") | (F.col("doc_id") > F.col("first")), F.lit(False))
-    where = where.where(everywhere | F.col("again"))
-    out = ws.save(where.groupBy("doc_id").agg(F.collect_list(F.struct("set_id", everywhere.alias("all"))).alias("gone")))
-    ws.drop(lines, shared, found, pairs, open_, gone)
     return out
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-
-
-def text_counts(text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of lines and tokens of each text, off the column's own bytes; none for nulls.  Runs of
-    about a megabyte bound the arrays of a run."""
-    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-    lines, words, lo = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), 0
-    while lo < len(text):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _TEXT_BLOCK, side="right")) - 1)
-        hi = min(hi, len(text))
-        raw, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        space = _SPACE[raw]
-        first = ~space
-        first[1:] &= space[:-1]
-        heads = at[:-1][at[:-1] < len(raw)]
-        first[heads] = ~space[heads]
-        for flags, out in ((raw == 10, lines), (first, words)):
-            out[lo:hi] = np.diff(np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))[at])
-        lo = hi
-    held = text.is_valid().to_numpy(zero_copy_only=False)
-    return np.where(held, lines + 1, 0), np.where(held, words, 0)
-
-
-def rewrite(text: str, gone: dict[int, bool]) -> tuple[str, int, int]:
-    """The text without its removed lines, and how many lines and tokens that were.  gone: set hash ->
-    whether its first line goes too."""
-    kept, seen, cut, cut_words = [], set(), 0, 0
-    for line, m in zip(text.split("\n"), line_marks(text)[0]):
-        if m in gone:
-            if gone[m] or m in seen:
-                cut += 1
-                cut_words += len(line.encode("utf-8", "replace").split())
-                continue
-            seen.add(m)
-        kept.append(line)
-    return "\n".join(kept), cut, cut_words
-
-
-def own_repeats(text: str, min_tokens: int) -> dict[int, bool]:
-    """What rewrite() needs to remove a text's own repeated lines."""
-    seen, again = set(), {}
-    for m, n in zip(*line_marks(text)):
-        if n >= min_tokens:
-            if m in seen:
-                again[m] = False
-            seen.add(m)
-    return again
+def own_repeats(text: str, min_tokens: int) -> list[int]:
+    """The places of a text's lines that are equal as sets to earlier ones of that text."""
+    tokens = Tokens(_lines([text])[0])
+    used, n, token = tokens.sets()
+    if not len(used):
+        return []
+    seen, out = set(), []
+    for at, size, mark in zip(used.tolist(), n.tolist(), zip(*(k.tolist() for k in _marks(tokens, n, token)))):
+        if size >= min_tokens:
+            if mark in seen:
+                out.append(at)
+            seen.add(mark)
+    return out
 
 
-def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, names: dict[str, str] | None = None) -> DataFrame:
-    """docs with their texts rewritten, and n_lines, n_words, n_removed, removed_words (or ``names``).
+def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tokens: int = MIN_TOKENS, names: dict[str, str] | None = None, hot: int = HOT) -> DataFrame:
+    """docs with their texts rewritten, and n_lines and n_removed, the lines before and those removed (or
+    under ``names``).  Postings of a token are dealt in chunks of about ``hot``.
 
-    Lines with fewer than ``min_tokens`` different tokens always stay.  Rows that share a doc_id count as
-    one document: none of them is earlier.  Within a text, a line equal as a set to an earlier line of
-    that text is removed as well.  A null text stays null and counts nothing; a row without doc_id
-    loses only its own repeats.  Empty tables give empty results; columns that clash with the new ones are replaced by them.
+    Lines with fewer than ``min_tokens`` different tokens always stay, and lines without a token do.  Rows
+    that share a doc_id and a text are one document; rows that share only a doc_id are ordered by their
+    texts' digests.  Within a text, a line equal as a set to an earlier one of that text is removed as
+    well.  A null text stays null and counts nothing; a row without doc_id loses only its own repeats.  A
+    text all of whose lines go becomes empty.  Empty tables give empty results; columns that clash with
+    the new ones are replaced by them.
     """
-    names = names or {k: k for k in ("n_lines", "n_words", "n_removed", "removed_words")}
+    names = names or {k: k for k in ("n_lines", "n_removed")}
     ws = Workspace(docs.sparkSession)
     docs = docs.select(*[c for c in docs.columns if c not in names.values()])
-    key, gone = fresh(docs, "line_doc"), fresh(docs, "line_gone")
-    taken = removals(docs, ws, threshold, min_tokens).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
-    rows = docs.join(small_or_shuffled(taken), docs["doc_id"] == F.col(key), "left").drop(key)
+    key, digest, base, gone = (fresh(docs, f"line_{n}") for n in ("doc", "digest", "base", "gone"))
+    rows = only(docs.where(docs["doc_id"].isNotNull() & docs["text"].isNotNull()), doc_id="long", text="string")
+    bases = repeated_ids(rows, ws)
+    taken = removals(rows, ws, threshold, min_tokens, bases, hot).select(F.col("doc_id").alias(key), F.col("base").alias(base), F.col("gone").alias(gone))
+    same = docs["doc_id"].cast("long") == F.col(key)
+    if bases is None:
+        joined = docs.join(small_or_shuffled(taken.drop(base)), same, "left").drop(key)
+    else:
+        which = small_or_shuffled(bases.select(F.col("doc_id").alias(key), F.col("digest").alias(digest), F.col("base").alias(base)))
+        marked = docs.join(which, same & (F.sha2(docs["text"].cast("string"), 256) == F.col(digest)), "left").drop(key, digest)
+        taken = small_or_shuffled(taken.withColumnRenamed(base, digest))
+        joined = marked.join(taken, (marked["doc_id"].cast("long") == F.col(key)) & (F.coalesce(base, F.lit(0).cast("long")) == F.col(digest)), "left").drop(key, base, digest)
     place, ids, schema = docs.columns.index("text"), docs.columns.index("doc_id"), docs.schema
     for n in names.values():
         schema = schema.add(n, "long")
 
     def run(batches):
         for batch in batches:
-            cut, text = batch.column(len(batch.columns) - 1), batch.column(place).cast(pa.large_string())
-            lines_, words = text_counts(text)
-            removed, removed_words = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-            # only texts that lose lines become Python strings
-            touched = np.asarray(pc.or_(cut.is_valid(), batch.column(ids).is_null()).to_numpy(zero_copy_only=False)) & np.asarray(text.is_valid().to_numpy(zero_copy_only=False))
+            cut, body = batch.column(len(batch.columns) - 1), batch.column(place).cast(pa.large_string())
+            held = body.is_valid().to_numpy(zero_copy_only=False)
+            n_lines = np.where(held, pc.fill_null(pc.count_substring(body, "\n"), 0).to_numpy(zero_copy_only=False) + 1, 0)
+            removed = np.zeros(len(body), np.int64)
+            # only texts that may lose lines become Python strings
+            touched = np.asarray(pc.or_(cut.is_valid(), batch.column(ids).is_null()).to_numpy(zero_copy_only=False)) & held
             new = []
             for i in np.flatnonzero(touched).tolist():
-                t, g = text[i].as_py(), cut[i].as_py()
-                known = {x["set_id"]: x["all"] for x in g} if g else own_repeats(t, min_tokens)
-                t, removed[i], removed_words[i] = rewrite(t, known)
-                new.append(t)
+                t, g = body[i].as_py(), cut[i].as_py()
+                drop = {p % _ROW for p in g} if g else set(own_repeats(t, min_tokens))
+                removed[i] = len(drop)
+                new.append("\n".join([x for p, x in enumerate(t.split("\n")) if p not in drop]) if drop else t)
             columns = list(batch.columns)[:-1]
             if new:
-                columns[place] = pc.replace_with_mask(text, pa.array(touched), pa.array(new, pa.large_string())).cast(columns[place].type)
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in (lines_, words, removed, removed_words)]], schema.names)
+                columns[place] = pc.replace_with_mask(body, pa.array(touched), pa.array(new, pa.large_string())).cast(columns[place].type)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in (n_lines, removed)]], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
 
 
-def drop_repeated_lines(docs: DataFrame, min_kept: float = 0.2) -> DataFrame:
-    """docs with repeated lines removed; a document which loses more than 1 - min_kept of its words to
-    earlier lines repeats other documents, and goes.  Columns stay as they are."""
-    names = {k: fresh(docs, f"lines_{k}") for k in ("n_lines", "n_words", "n_removed", "removed_words")}
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with repeated lines removed; a document of which no word is left goes, others stay, also those
+    that had none before.  Null texts, null doc_ids, repeated rows and ties are as in dedup_lines(); columns
+    stay as they are."""
+    names = {k: fresh(docs, f"lines_{k}") for k in ("n_lines", "n_removed")}
     done = dedup_lines(docs, names=names)
-    words, lost = F.col(names["n_words"]), F.col(names["removed_words"])
-    return done.where((lost == 0) | (words - lost >= min_kept * words)).select(*docs.columns)
+    return done.where((F.col(names["n_removed"]) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)

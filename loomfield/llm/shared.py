@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder every executor shares; a private one only where the session names none."""
+    """The folder every executor shares.  Where the session names none, a private one on one machine, and an
+    error on a cluster, whose executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomfield-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -83,13 +88,34 @@ def only(df: DataFrame, **casts: str) -> DataFrame:
     return df.select(*[df[c].cast(t).alias(c) for c, t in casts.items()])
 
 
-#: Rows up to which a side is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of data up to which a side is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 
 
-def small_or_shuffled(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """side (a written table) for a join: broadcast up to ``rows`` rows, else left to a shuffle."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About what a value takes in memory."""
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        flat = isinstance(inner, (StringType, BinaryType, ArrayType, StructType))
+        total = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, inner)) if flat else 8 * F.size(value).cast("long")
+    elif isinstance(kind, StructType):
+        total = sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    elif isinstance(kind, (StringType, BinaryType)):
+        total = F.octet_length(value).cast("long")
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(total, F.lit(0).cast("long")) + 8
+
+
+def data_bytes(side: DataFrame) -> int:
+    """About what a table takes in memory, by the types of its columns."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in side.schema.fields), F.lit(16).cast("long"))
+    return side.agg(F.sum(row)).first()[0] or 0
+
+
+def small_or_shuffled(side: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """side (a written table) for a join: broadcast up to ``most`` bytes, else left to a shuffle."""
+    return F.broadcast(side) if data_bytes(side) <= most else side
 
 
 def components(edges: DataFrame, ws: Workspace, jumps: int = 2) -> DataFrame:
