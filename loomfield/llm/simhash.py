@@ -66,19 +66,12 @@ def _segment_counts(fp: Column) -> Column:
     return fp.bitwiseXOR(next_).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(next_).bitwiseAND(odd), 1))
 
 
-def _byte_counts(p: Column) -> Column:
-    """The packed two-bit counts summed within each byte."""
-    low = F.lit(0x3333333333333333)
-    q = p.bitwiseAND(low) + F.shiftrightunsigned(p, 2).bitwiseAND(low)
-    return (q + F.shiftrightunsigned(q, 4)).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F))
-
-
 def _manhattan(a: Column, b: Column) -> Column:
-    byte = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))
-    total = F.abs(byte(a, 0) - byte(b, 0))
-    for i in range(1, 8):
-        total = total + F.abs(byte(a, i) - byte(b, i))
-    return total
+    """The distance of two vectors of packed counts 00, 01 and 10: where they differ their xor is 01 or 11 for a
+    difference of one, and 10 for one of two."""
+    odd, x = F.lit(0x5555555555555555), a.bitwiseXOR(b)
+    low = x.bitwiseAND(odd)
+    return F.bit_count(low) + 2 * F.bit_count(F.shiftrightunsigned(x, 1).bitwiseAND(odd).bitwiseAND(F.bitwise_not(low)))
 
 
 def _masks(bits: int) -> list[int]:
@@ -88,47 +81,44 @@ def _masks(bits: int) -> list[int]:
 
 def classes(prints: DataFrame, ws: Workspace, bits: int = 4) -> DataFrame:
     """(fp, component_id) of every different fingerprint; component_id is the smallest doc_id reachable
-    over links of at most ``bits`` (0 to 7) differing bits.  Rows without a doc_id lend no name."""
+    over links of at most ``bits`` (0 to 7) differing bits.
+
+    Nodes are the fingerprints themselves, so that one all of whose rows lack a doc_id links others too; a
+    component without any doc_id has a null component_id."""
     if not 0 <= bits <= 7:
         raise ValueError("bits must be between 0 and 7")
     reps = ws.save(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    # nodes need a name of their own: a fingerprint all of whose rows lack an id has none
-    named = reps.where("id is not null")
-    orphans = reps.where("id is null")
     seg = _segment_counts(F.col("fp"))
-    cells = named.select("fp", "id", F.posexplode(F.array(*[seg.bitwiseAND(F.lit(m)) for m in _masks(bits)])).alias("grid", "cell"))
+    cells = reps.select("fp", F.posexplode(F.array(*[seg.bitwiseAND(F.lit(m)) for m in _masks(bits)])).alias("grid", "cell"))
     w = Window.partitionBy("grid", "cell").orderBy("fp")
-    crowded = ws.save(
-        cells.select("grid", "cell", "fp", "id", F.lag("fp").over(w).alias("fp0"), F.lag("id").over(w).alias("id0"), F.lead("fp").over(w).alias("fp1"))
-        .where("fp0 is not null or fp1 is not null")
-        .drop("fp1")
-    )
+    crowded = ws.save(cells.select("grid", "cell", "fp", F.lag("fp").over(w).alias("fp0"), F.lead("fp").over(w).alias("fp1")).where("fp0 is not null or fp1 is not null").drop("fp1"))
     near = crowded.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= bits)
-    first = ws.save(components(near.select(F.col("id").alias("a"), F.col("id0").alias("b")), ws))
+    first = ws.save(components(near.select(F.col("fp").alias("a"), F.col("fp0").alias("b")), ws))
 
-    members = crowded.select("grid", "cell", "fp", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
-    members = ws.save(members.select("grid", "cell", "fp", F.coalesce("component", "id").alias("component")))
+    members = crowded.select("grid", "cell", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left")
+    members = ws.save(members.select("grid", "cell", "fp", F.coalesce("component", "fp").alias("component")))
     ws.drop(crowded)
     mixed = members.groupBy("grid", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("grid", "cell")
-    mixed = ws.save(members.join(mixed, ["grid", "cell"]).withColumn("q", _byte_counts(_segment_counts(F.col("fp")))))
+    mixed = ws.save(members.join(mixed, ["grid", "cell"]).withColumn("counts", _segment_counts(F.col("fp"))))
     ws.drop(members)
     a, b = mixed.alias("a"), mixed.alias("b")
     same = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") < F.col("b.component"))
-    link = (_manhattan(F.col("a.q"), F.col("b.q")) <= bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
+    link = (_manhattan(F.col("a.counts"), F.col("b.counts")) <= bits) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= bits)
     second = ws.save(components(a.join(b, same & link).select(F.col("a.component").alias("a"), F.col("b.component").alias("b")), ws))
     ws.drop(mixed)
 
-    to = named.join(first.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("c"))
-    to = to.join(second.withColumnRenamed("node", "c"), "c", "left").select("fp", F.coalesce("component", "c").alias("component_id"))
-    return to.unionAll(orphans.select("fp", F.col("id").alias("component_id")))
+    to = reps.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("c"))
+    to = ws.save(to.join(second.withColumnRenamed("node", "c"), "c", "left").select("fp", "id", F.coalesce("component", "c").alias("c")))
+    names = to.groupBy("c").agg(F.min("id").alias("component_id"))
+    return to.join(names, "c").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id for every row of docs.
 
     Null, empty and wordless texts have fingerprint zero and are linked like any other; repeated rows
-    share a component; a row without doc_id gets the component of its fingerprint, which is null if no
-    row with that fingerprint has an id.  An empty table gives an empty result.
+    share a component; a row without doc_id links others and gets the component of its fingerprint, which
+    is null if no row reachable has an id.  An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession)
     prints = ws.save(fingerprints(docs, width))

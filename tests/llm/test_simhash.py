@@ -3,6 +3,7 @@ import random
 import xxhash
 
 from loomfield.llm import simhash
+from loomfield.llm.shared import Workspace
 
 
 def brute(rows, width=4, bits=4):
@@ -95,3 +96,19 @@ def test_drop_keeps_one_of_each_group_and_all_columns(spark):
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, kept_id string"))
     assert got.columns == ["doc_id", "text", "kept_id"]
     assert sorted((r.doc_id or -1) for r in got.collect()) == [-1, 2, 5]
+
+
+def test_rows_without_ids_link_others(spark):
+    prints = spark.createDataFrame([(9, 0), (None, 15), (3, 255), (None, 1 << 40 | 0xFFFFF000), (4, 15 << 50)], "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.classes(prints, Workspace(spark)).collect()}
+    assert got == {0: 3, 15: 3, 255: 3, 1 << 40 | 0xFFFFF000: None, 15 << 50: 3}
+
+
+def test_manhattan_bounds_hamming(spark):
+    rnd = random.Random(6)
+    pairs = [(a := rnd.getrandbits(64) - (1 << 63), a ^ sum(1 << b for b in rnd.sample(range(63), rnd.randint(0, 9)))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    counts = lambda x: [(x >> (2 * i) & 1) + (x >> (2 * i + 1) & 1) for i in range(32)]
+    for r in df.select("a", "b", simhash._manhattan(simhash._segment_counts(df.a), simhash._segment_counts(df.b)).alias("d")).collect():
+        a, b = r.a % (1 << 64), r.b % (1 << 64)
+        assert r.d == sum(abs(x - y) for x, y in zip(counts(a), counts(b))) <= (a ^ b).bit_count()
