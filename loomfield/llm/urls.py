@@ -2,10 +2,11 @@
 
 Every path becomes a template: segments that are variable by their form (numbers, hex, dates, ids) turn
 into wildcards.  Templates are counted per host with their labelled and bad pages, and everything after
-works on these counts, not on pages.  From the root down, level by level, a node with very many literal
-children has its rare ones generalised to ``*``; sibling branches with equal sub-trees whose bad shares
-don't differ significantly are merged into ``~``.  A template whose smoothed share of bad labels reaches
-``min_bad`` is rejected.  All of it is built-in expressions, aggregates and joins.
+works on these counts, not on pages.  From the leaves up, at every level where a node of the tree branches,
+a node with very many literal children has its rare ones generalised to ``*``; sibling branches with equal
+sub-trees, as generalised below, whose bad shares don't differ significantly are merged into ``~``.  A
+template whose smoothed share of bad labels reaches ``min_bad`` is rejected.  All of it is built-in
+expressions, aggregates and joins.
 """
 
 from __future__ import annotations
@@ -15,11 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.shared import Workspace
+from loomfield.llm.shared import Workspace, small_or_shuffled
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Segments below this depth are one wildcard.
-DEPTH = 8
 
 _FORMS = (
     (r"^[0-9]+$", "{n}"),
@@ -64,10 +63,8 @@ def _form(segment: Column) -> Column:
 
 
 def template(path: Column) -> Column:
-    """The array of a path's segments by form, DEPTH long at most; a final slash isn't a segment."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    head = F.transform(F.slice(parts, 1, DEPTH), _form)
-    return F.when(F.size(parts) > DEPTH, F.concat(head, F.array(F.lit("**")))).otherwise(head)
+    """The array of a path's segments by form; slashes without a segment between them count once."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _form)
 
 
 def _prefix(level: int) -> Column:
@@ -78,16 +75,24 @@ def _set(level: int, value: Column) -> Column:
     return F.transform("t", lambda s, i: F.when(i == level, value).otherwise(s))
 
 
+def branching_levels(tree: DataFrame) -> list[int]:
+    """The levels at which any node has two children or more, deepest first.  There is nothing to generalise
+    between them, so that a path of thousands of segments costs no more rounds than others."""
+    prefix = F.transform("t", lambda _, i: F.xxhash64(F.slice("t", F.lit(1), i)))
+    steps = tree.select("host", F.posexplode(F.arrays_zip(prefix.alias("prefix"), F.col("t").alias("seg"))).alias("level", "s"))
+    nodes = steps.groupBy("host", "level", "s.prefix").agg(F.min("s.seg").alias("low"), F.max("s.seg").alias("high"))
+    return sorted((r.level for r in nodes.where("low < high").select("level").distinct().collect()), reverse=True)
+
+
 def generalise(counts: DataFrame, ws: Workspace, max_children: int = 32, rare: float = 0.05, z: float = 1.96) -> DataFrame:
     """(host, t0, t): each template t0 of a host and what it has become in the tree.
 
     counts: host, t0 (array), n, labelled, bad.
     """
     tree = ws.save(counts.withColumn("t", F.col("t0")))
-    depth = tree.agg(F.max(F.size("t"))).first()[0] or 0
-    for level in range(depth):
+    for level in branching_levels(tree):
         here = tree.where(F.size("t") > level).withColumn("prefix", _prefix(level)).withColumn("seg", F.element_at("t", level + 1))
-        rest = F.xxhash64(F.slice("t", level + 2, DEPTH + 1))
+        rest = F.xxhash64(F.slice("t", F.lit(level + 2), F.size("t")))
         # different remainders per branch, then one order-free mark of their set
         parts = here.groupBy("host", "prefix", "seg", rest.alias("rest")).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         children = parts.groupBy("host", "prefix", "seg").agg(F.bit_xor("rest").alias("below"), F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
@@ -111,7 +116,7 @@ def generalise(counts: DataFrame, ws: Workspace, max_children: int = 32, rare: f
     return tree
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_bad: float = 0.7, weight: float = 10.0) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_bad: float = 0.7, weight: float = 4.0) -> DataFrame:
     """page_id, host, path, rule, verdict, template for every row of pages.
 
     labels: (page_id, bad 0/1); a page labelled more than once is bad if any label says so, nulls don't
@@ -135,6 +140,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     share = total["bad"] / total["labelled"] if total["labelled"] else 0.0
     nodes = tree.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     nodes = nodes.select("host", "t", ((F.col("bad") + weight * share) / (F.col("labelled") + weight) >= min_bad).alias("rejected"))
-    verdicts = tree.select("host", "t0", "t").join(nodes, ["host", "t"]).select("host", "t0", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), "rejected")
+    verdicts = tree.select("host", "t0", "t").join(small_or_shuffled(ws.save(nodes)), ["host", "t"]).select("host", "t0", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), "rejected")
     own = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return parsed.join(verdicts, ["host", "t0"]).select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template")
+    # beyond the size for a broadcast, adaptive execution splits a template with very many pages
+    return parsed.join(small_or_shuffled(ws.save(verdicts)), ["host", "t0"]).select("page_id", "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "template")

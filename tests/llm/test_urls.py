@@ -1,3 +1,4 @@
+import random
 import re
 
 from loomfield.llm import urls
@@ -48,3 +49,90 @@ def test_forms(spark):
     cases = {"123": "{n}", "12.html": "{n}.html", "2024-01-02": "{date}", "deadbeef01": "{hex}", "about": "about", "v2": "v2", "0f8fad5b-d9cb-469f-a165-70867728950e": "{uuid}"}
     df = spark.createDataFrame([(x,) for x in cases], "s string")
     assert {r.s: r.t[0] for r in df.select("s", urls.template(df["s"]).alias("t")).collect()} == cases
+
+
+def form(segment):
+    stem, ext = re.fullmatch(r"(?s)(.*?)(\.[A-Za-z0-9]{1,5})?", segment).groups()
+    for pattern, name in urls._FORMS:
+        if re.fullmatch(pattern.strip("^$"), stem.lower()) and (name != "{hex}" or len(stem) >= 6):
+            return name + (ext or "")
+    return segment
+
+
+def plain_verdicts(pages, labels, max_children=32, rare=0.05, z=1.96, min_bad=0.7, weight=4.0):
+    """page -> (template, verdict) by plain dictionaries."""
+    known, count = {}, {}
+    for p, bad in labels:
+        known[p] = max(bad, known.get(p, 0))
+    t0 = {}
+    for p, url in pages:
+        host, path, _, said = brute(url)
+        t0[p] = (host, tuple(form(s) for s in path.split("/") if s), said)
+        c = count.setdefault(t0[p][:2], [0, 0, 0])
+        c[0] += 1
+        if p in known:
+            c[1] += 1
+            c[2] += known[p]
+    now = {k: list(k[1]) for k in count}
+    for level in reversed(range(max((len(k[1]) for k in count), default=0))):
+        children = {}
+        for k, t in now.items():
+            if len(t) > level:
+                node = children.setdefault((k[0], tuple(t[:level])), {}).setdefault(t[level], [0, 0, 0, set(), []])
+                for i in range(3):
+                    node[i] += count[k][i]
+                node[3].add(tuple(t[level + 1 :]))
+                node[4].append(k)
+        for kids in children.values():
+            if len(kids) < 2:
+                continue
+            total = sum(c[0] for c in kids.values())
+            pool, groups = {}, {}
+            for c in kids.values():
+                pooled = pool.setdefault(frozenset(c[3]), [0, 0])
+                pooled[0] += c[1]
+                pooled[1] += c[2]
+            side = {s: (frozenset(c[3]), c[2] * pool[frozenset(c[3])][0] > pool[frozenset(c[3])][1] * c[1]) for s, c in kids.items()}
+            for s, c in kids.items():
+                g = groups.setdefault(side[s], [0, 0, 0])
+                g[0] += 1
+                g[1] += c[1]
+                g[2] += c[2]
+            for s, c in kids.items():
+                like, labelled, bad = groups[side[s]]
+                p = bad / labelled if labelled else 0.0
+                far = abs(c[2] - c[1] * p) > z * (c[1] * p * (1 - p)) ** 0.5 + 0.5
+                to = "*" if len(kids) > max_children and c[0] < rare * total else "~" if like > 1 and not far and not s.startswith("{") else s
+                for k in c[4]:
+                    now[k][level] = to
+    labelled, bad = sum(c[1] for c in count.values()), sum(c[2] for c in count.values())
+    share, nodes = bad / labelled if labelled else 0.0, {}
+    for k, t in now.items():
+        n = nodes.setdefault((k[0], tuple(t)), [0, 0])
+        n[0] += count[k][1]
+        n[1] += count[k][2]
+    out = {}
+    for p, (host, t, said) in t0.items():
+        n = nodes[host, tuple(now[host, t])]
+        out[p] = "/" + "/".join(now[host, t]), said or ("block" if (n[1] + weight * share) / (n[0] + weight) >= min_bad else "allow")
+    return out
+
+
+def test_templates_and_verdicts_against_a_plain_version(spark):
+    rnd = random.Random(8)
+    pages, labels = [], []
+    for k in range(1500):
+        kind = rnd.choice(["news", "sport", "spam", "casino", "tag", "deep"])
+        leaf = {"tag": rnd.choice("abcdefghij") * rnd.randint(1, 6), "deep": "/".join("xy"[rnd.random() < 0.02] for _ in range(30))}.get(kind, f"{rnd.choice(['a', 'b'])}/{rnd.randint(1, 99)}.html")
+        pages.append((k, f"http://{rnd.choice(['h.com', 'i.com', 'a.net'])}/{kind}/{leaf}"))
+        if rnd.random() < 0.4:
+            labels.append((k, int(rnd.random() < (0.95 if kind in ("spam", "casino") else 0.05))))
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
+    want = plain_verdicts(pages, labels)
+    assert {r.page_id: (r.template, r.verdict) for r in got} == want
+    assert sum(v == "block" for _, v in want.values()) > 300 and len({t for t, _ in want.values()}) > 10
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert urls.judge(none, spark.createDataFrame([], "page_id long, bad int")).collect() == []
