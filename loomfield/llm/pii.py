@@ -1,9 +1,15 @@
 """PII surrogates in built-in expressions only.
 
-One pattern finds all entities of a text, from left to right.  A surrogate is a pure function of a key,
-the entity's type and its canonical form, so that all mentions of an entity, in whatever format, get the
-same replacement in every document without a join.  It is laid into the mention's own format: digits
-replace digits, letters replace letters of their case and script, and names keep their title's gender.
+One pattern finds all entities of a text, from left to right; card and account numbers count only if their
+check digits are right.  A surrogate is a pure function of a key, the entity's type and its canonical form,
+so that all mentions of an entity, in whatever format, get the same replacement in every document without a
+join.  It is laid into the mention's own format: digits replace digits and check digits are right again,
+letters replace letters of their case and script.
+
+Names are replaced word by word, and titles stay: a word has the same replacement in every name, so that
+``Mr. John Smith``, ``Dr John Smith`` and ``Mr Smith`` stay one person.  A given name's last letter shows the
+gender of its title, or, after a title without gender, of the same name elsewhere in the text.  A full name
+that has a title somewhere in a text is also replaced where it stands without one.
 
 Collisions are then checked over the different entities of the corpus: an entity whose surrogate another
 entity has as well, or which is itself an entity of the corpus, takes its next attempt, until all are
@@ -17,54 +23,95 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.shared import Workspace, fresh
 
-#: Titles by gender; a name is a title and one to three capitalised words.
+#: Titles by gender, also all in capitals; a name is a title and one to three words.
 TITLES = {
-    "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "г-н", "господин"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа", "госпожа"),
+    "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "г-н", "господин", "κύριος", "מר", "السيد"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа", "госпожа", "κυρία", "גברת", "السيدة"),
     "n": ("Dr", "Prof", "Mx"),
 }
 _END, _START = r"(?![\p{L}\p{N}_])", r"(?<![\p{L}\p{N}_])"
-_TITLE = "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True))
-#: Types by priority where several begin at one place; each has one group in the joint pattern.
+_TITLE = "|".join(sorted({v for ts in TITLES.values() for t in ts for v in (t, t.upper())}, key=lambda t: (-len(t), t)))
+_TAIL = r"[\p{L}\p{M}]*(?:['’-](?!s(?!\p{L}))[\p{L}\p{M}]+){0,3}"
+_WORD = rf"(?:\p{{Lu}}|[\p{{IsHebrew}}\p{{IsArabic}}&&\p{{L}}]){_TAIL}"
+#: Types by priority where several begin at one place; each has one group in the joint pattern.  Repeated
+#: groups are bounded, as a matcher goes one level deeper for each round of one: a host has 127 labels at most.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": r"(?<![\p{L}\p{N}_.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}_]|-[0-9])",
     "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?|[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{6,12})(?![\p{L}\p{N}_]|-[0-9])",
-    "name": _START + rf"(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
+    "name": _START + rf"(?:{_TITLE})\.? {_WORD}(?: {_WORD}){{0,2}}",
 }
 PATTERN = "(?:" + "|".join(f"({p})" for p in PATTERNS.values()) + ")"
 #: Texts without any of these can't hold an entity.
-_HINT = r"@|[0-9]|" + rf"(?:{_TITLE})\.? \p{{Lu}}"
-
-_CONSONANTS = {"latin": "bdfghklmnprstvz", "cyrillic": "бвгдзклмнпрстфхш", "greek": "βγδζκλμνπρστφχθ"}
-_VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αεηιο"}
-#: Last letters of a given name by gender and script.
-_GENDERED = {
-    "latin": {"m": "o", "f": "a", "n": "e"},
-    "cyrillic": {"m": "н", "f": "а", "n": "о"},
-    "greek": {"m": "ς", "f": "α", "n": "ο"},
+_HINT = r"@|[0-9]|" + rf"(?:{_TITLE})\.? [\p{{Lu}}\p{{IsHebrew}}\p{{IsArabic}}]"
+
+#: Letters that names are made of: consonants and vowels by script, and the last letters of given names by gender.
+SCRIPTS = {
+    # fixed values
+    "cyrillic": (r"\p{IsCyrillic}", "бвгдзклмнпрстфхш", "аеиоу", {"m": "н", "f": "а", "n": "о"}),
+    "greek": (r"\p{IsGreek}", "βγδζκλμνπρστφχθ", "αεηιο", {"m": "ς", "f": "α", "n": "ο"}),
+    "hebrew": (r"\p{IsHebrew}", "בגדזחטלמנסעפקרש", "אהוי", {"m": "ן", "f": "ה", "n": "י"}),
+    "arabic": (r"\p{IsArabic}", "بتدرزسشفقكلمنه", "اوي", {"m": "د", "f": "ة", "n": "ي"}),
+    "latin": (r"\p{L}", "bdfghklmnprstvz", "aeiou", {"m": "o", "f": "a", "n": "e"}),
 }
+#: A word's surrogate is longer than it from this attempt on, which makes room for short words.
+_LONGER = 3
 _SEP = "\x1f"
 
 
+def _digits_of(c: Column) -> Column:
+    return F.regexp_replace(c, "[^0-9]", "")
+
+
+def luhn_rest(digits: Column) -> Column:
+    """The sum of a card number's digits by Luhn's rule modulo ten, which is 0 if the last one is right."""
+    n = F.length(digits)
+    digit = lambda i: F.substring(digits, n - i, F.lit(1)).cast("int")
+    twice = lambda d: d * 2 - F.when(d > 4, 9).otherwise(0)
+    return F.pmod(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + F.when(F.pmod(i, F.lit(2)) == 1, twice(digit(i))).otherwise(digit(i))), F.lit(10))
+
+
+def iban_rest(account: Column) -> Column:
+    """An account number modulo 97 after its first four characters went to the end, which is 1 if it is right."""
+    plain = F.replace(account, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+    value = lambda i: F.substring(turned, i, F.lit(1))
+    step = lambda s, i: F.pmod(F.when(value(i).rlike("[0-9]"), s * 10 + F.ascii(value(i)) - 48).otherwise(s * 100 + F.ascii(value(i)) - 55), F.lit(97))
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
+
+
 def entity_type(mention: Column) -> Column:
-    """The first type whose whole pattern is the mention; looking around is of no use within it."""
+    """The first type whose whole pattern is the mention, as looking around is of no use within it; null for
+    card and account numbers with wrong check digits."""
+    checks = {"card": lambda: luhn_rest(_digits_of(mention)) == 0, "iban": lambda: iban_rest(mention) == 1}
     out = None
     for name, p in PATTERNS.items():
         hit = mention.rlike(f"^(?:{p})$")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+        kind = F.when(checks[name](), F.lit(name)) if name in checks else F.lit(name)
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("phone")
 
 
+def words_of(name: Column) -> Column:
+    """A name's words after its title."""
+    words = F.split(name, " ")
+    return F.slice(words, 2, F.size(words))
+
+
+def _gender(name: Column) -> Column:
+    title = F.upper(F.regexp_replace(F.substring_index(name, " ", 1), r"\.$", ""))
+    return F.when(title.isin(*[t.upper() for t in TITLES["m"]]), "m").when(title.isin(*[t.upper() for t in TITLES["f"]]), "f").otherwise("n")
+
+
 def canonical(kind: Column, mention: Column) -> Column:
-    """What mentions of one entity have in common: case and format don't matter."""
-    digits = F.regexp_replace(mention, "[^0-9]", "")
+    """What mentions of one entity have in common: case and format don't matter.  A name's entities are its
+    words, of kind word."""
     return (
-        F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).when(kind == "name", F.regexp_replace(mention, r"\.? ", " "))
-        .when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(digits)
+        F.when(kind.isin("email", "word"), F.lower(mention)).when(kind == "ip", mention)
+        .when(kind == "iban", F.regexp_replace(mention, " ", "")).otherwise(_digits_of(mention))
     )
 
 
@@ -83,11 +130,31 @@ def _pick(letters: str, at: Column) -> Column:
     return F.substring(F.lit(letters), at + 1, F.lit(1))
 
 
+def _drawn(stream: Column, n: Column) -> Column:
+    """n digits, the first one not 0."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, _draw(stream, i, 9) + 1).otherwise(_draw(stream, i, 10)).cast("string")), "")
+
+
+def _laid(value: Column, digits: Column, skip: Column) -> Column:
+    """value with digits in the places of its own, but for those among its first ``skip`` characters."""
+    number = lambda i: F.length(_digits_of(F.substring(value, F.lit(1), i + 1)))
+    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9]$") & (i >= skip), F.substring(digits, number(i), F.lit(1))).otherwise(c)), "")
+
+
 def _digits(value: Column, stream: Column, skip: Column) -> Column:
-    """value with each digit after the first ``skip`` characters drawn anew, by the digit's number."""
-    chars = F.split(value, "")
-    number = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9]", ""))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$") & (i >= skip), _draw(stream, number(i), 10).cast("string")).otherwise(c)), "")
+    return _laid(value, _drawn(stream, F.length(_digits_of(value))), skip)
+
+
+def _card(value: Column, stream: Column) -> Column:
+    body = _drawn(stream, F.length(_digits_of(value)) - 1)
+    check = F.pmod(10 - luhn_rest(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+    return _laid(value, F.concat(body, check), F.lit(0))
+
+
+def _iban(value: Column, stream: Column) -> Column:
+    body = _letters_and_digits(value, stream, F.lit(4))
+    check = F.lpad((98 - iban_rest(F.concat(F.substring(body, 1, 2), F.lit("00"), F.substring(body, F.lit(5), F.length(body))))).cast("string"), 2, "0")
+    return F.concat(F.substring(body, 1, 2), check, F.substring(body, F.lit(5), F.length(body)))
 
 
 def _letters_and_digits(value: Column, stream: Column, skip: Column) -> Column:
@@ -100,44 +167,56 @@ def _letters_and_digits(value: Column, stream: Column, skip: Column) -> Column:
 
 
 def _octets(value: Column, stream: Column) -> Column:
-    """Four octets; the first keeps out of the reserved ranges."""
+    """Four octets; the first is of a range without reserved addresses."""
     part = lambda i: F.conv(F.substring(stream, 1 + 4 * i, 4), 16, 10).cast("int")
-    return F.concat_ws(".", (F.pmod(part(0), F.lit(98)) + 128).cast("string"), *[F.pmod(part(i), F.lit(256)).cast("string") for i in (1, 2, 3)])
+    return F.concat_ws(".", (F.pmod(part(0), F.lit(89)) + 11).cast("string"), *[F.pmod(part(i), F.lit(256)).cast("string") for i in (1, 2, 3)])
+
+
+def _word(word: Column, stream: Column, attempt: Column, gender: Column | None = None) -> Column:
+    """A made-up word of the word's length, case and script, with its marks between letters; consonants and
+    vowels take turns.  gender sets the last letter."""
+    length = F.length(word)
+    chars = F.transform(F.sequence(F.lit(1), length + F.greatest(attempt - (_LONGER - 1), F.lit(0))), lambda i: F.struct(F.substring(word, F.least(i, length), F.lit(1)).alias("c"), i.alias("i")))
 
+    def made(x: Column) -> Column:
+        c, i, out = x["c"], x["i"], None
+        for pattern, consonants, vowels, last in SCRIPTS.values():
+            new = F.when(F.pmod(i, F.lit(2)) == 1, _pick(consonants, _draw(stream, i, len(consonants)))).otherwise(_pick(vowels, _draw(stream, i, len(vowels))))
+            if gender is not None:
+                ends = F.when(gender == "m", last["m"]).when(gender == "f", last["f"]).otherwise(last["n"])
+                new = F.when(i == F.size(chars), ends).otherwise(new)
+            cased = F.when((F.upper(c) == c) & (F.lower(c) != c) & (i <= length), F.upper(new)).otherwise(new)
+            out = F.when(c.rlike(f"^{pattern}$"), cased) if out is None else out.when(c.rlike(f"^{pattern}$"), cased)
+        return out.otherwise(c)
 
-def _name(value: Column, stream: Column) -> Column:
-    """The title, then a made-up word for each word: its script, the given name's gender."""
-    words = F.split(value, " ")
-    title = F.regexp_replace(words[0], r"\.$", "")
-    gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
-    script = F.when(value.rlike(r"\p{IsCyrillic}\p{L}+$"), "cyrillic").when(value.rlike(r"\p{IsGreek}\p{L}+$"), "greek").otherwise("latin")
+    return F.array_join(F.transform(chars, made), "")
 
-    def word(_, i):
-        syllables = F.sequence(F.lit(0), F.lit(3))
-        made = None
-        for s, cs in _CONSONANTS.items():
-            vs = _VOWELS[s]
-            body = F.array_join(F.transform(syllables, lambda j: F.concat(_pick(cs, _draw(stream, i * 8 + j * 2, len(cs))), _pick(vs, _draw(stream, i * 8 + j * 2 + 1, len(vs))))), "")
-            last = F.when(gender == "m", _GENDERED[s]["m"]).when(gender == "f", _GENDERED[s]["f"]).otherwise(_GENDERED[s]["n"])
-            # the given name bears the gender; a lone name after the title is a family name
-            body = F.when((i == 0) & (F.size(words) > 2), F.concat(F.substring(body, 1, 7), last)).otherwise(body)
-            made = F.when(script == s, body) if made is None else made.when(script == s, body)
-        return F.initcap(made)
 
-    return F.concat_ws(" ", words[0], F.array_join(F.transform(F.slice(words, 2, F.size(words)), word), " "))
+def _name(key: str, name: Column, gender: Column, attempt_of) -> Column:
+    """The title, then each word's surrogate; the first of several words is a given name."""
+    words = words_of(name)
+
+    def one(w: Column, i: Column) -> Column:
+        attempt = attempt_of(F.lit("word"), F.lower(w))
+        stream = _stream(key, F.lit("word"), F.lower(w), attempt)
+        return F.when((i == 0) & (F.size(words) > 1), _word(w, stream, attempt, gender)).otherwise(_word(w, stream, attempt))
+
+    return F.array_join(F.transform(words, one), " ")
 
 
 def surrogate(key: str, kind: Column, mention: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of a mention: of its type and format, the same for all mentions of an entity."""
     s = _stream(key, kind, canon, attempt)
-    local, domain = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
+    local = F.substring_index(mention, "@", 1)
     # mail goes to reserved example domains only
-    mail = F.concat(_letters_and_digits(local, _stream(key, kind, F.lower(local), attempt), F.lit(0)), F.lit(F"@"), F.concat(F.lit("m"), F.substring(F.sha2(F.concat_ws(_SEP, F.lit(key), F.lower(mention), attempt.cast("string")), 256), 1, 10), F.lit(".example.org")))
+    mail = F.concat(_letters_and_digits(local, _stream(key, kind, F.lower(local), attempt), F.lit(0)), F.lit("@m"), F.substring(F.sha2(F.concat_ws(_SEP, F.lit(key), F.lower(mention), attempt.cast("string")), 256), 1, 10), F.lit(".example.org"))
     country = F.length(F.regexp_extract(mention, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0))
-    return (
-        F.when(kind == "email", mail).when(kind == "ip", _octets(mention, s)).when(kind == "name", _name(mention, s))
-        .when(kind == "iban", _letters_and_digits(mention, s, F.lit(2))).when(kind == "phone", _digits(mention, s, country)).otherwise(_digits(mention, s, F.lit(0)))
+    made = (
+        F.when(kind == "email", mail).when(kind == "ip", _octets(mention, s)).when(kind == "word", _word(mention, s, attempt)).when(kind == "card", _card(mention, s))
+        .when(kind == "iban", _iban(mention, s)).when(kind == "phone", _digits(mention, s, country)).otherwise(_digits(mention, s, F.lit(0)))
     )
+    # where a format has no more free values, the type and 80 bits
+    return F.when(attempt < ROUNDS, made).otherwise(F.concat(kind, F.lit("-"), F.substring(s, 1, 20)))
 
 
 def mentions(text: Column) -> Column:
@@ -145,46 +224,78 @@ def mentions(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def attempts(docs: DataFrame, key: str, ws: Workspace, rounds: int = 20) -> DataFrame | None:
+#: Attempts after which a surrogate gives up the mention's format.
+ROUNDS = 20
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    """found, with a column mention, as a row per entity: kind, canon, mention.  A name's entities are its words."""
+    found = found.withColumn("kind", entity_type(F.col("mention"))).where("kind is not null")
+    parts = F.when(F.col("kind") == "name", words_of(F.col("mention"))).otherwise(F.array("mention"))
+    found = found.withColumn("mention", F.explode(parts)).withColumn("kind", F.when(F.col("kind") == "name", "word").otherwise(F.col("kind")))
+    return found.withColumn("canon", canonical(F.col("kind"), F.col("mention")))
+
+
+def _claimed(kind: Column, made: Column) -> Column:
+    """What surrogates of two entities mustn't share: a word's last letter may differ by gender."""
+    return F.when(kind == "word", F.concat(F.lower(F.substring(made, F.lit(1), F.length(made) - 1)), F.lit("*"))).otherwise(made)
+
+
+def attempts(docs: DataFrame, key: str, ws: Workspace) -> DataFrame | None:
     """(kind, canon, attempt) of entities whose first surrogate collides; None if none does.
 
     A collision is told by the surrogates' canonical forms: of two different entities, or of a surrogate
-    and an entity of the corpus.  The smaller canonical form keeps its surrogate."""
-    found = docs.select(F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention")).withColumn("kind", entity_type(F.col("mention")))
-    found = found.withColumn("canon", canonical(F.col("kind"), F.col("mention")))
+    and an entity of the corpus.  The smaller canonical form keeps its surrogate.  After ROUNDS attempts
+    surrogates are distinct by 80 bits, so that the search ends."""
+    found = _entities(docs.select(F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention")))
     entities = ws.save(found.groupBy("kind", "canon").agg(F.min("mention").alias("mention")))
+    real = ws.save(entities.select("kind", _claimed(F.col("kind"), F.col("canon")).alias("claim")).distinct())
     now, bumped = entities.withColumn("attempt", F.lit(0)), None
-    for n in range(1, rounds + 1):
-        made = surrogate(key, F.col("kind"), F.col("mention"), F.col("canon"), F.col("attempt"))
-        made = ws.save(now.withColumn("made", canonical(F.col("kind"), made)))
-        taken = made.groupBy("kind", "made").agg(F.min("canon").alias("first"), F.count("*").alias("claims")).where("claims > 1").select("kind", "made", "first")
-        clash = made.join(taken, ["kind", "made"]).where("canon <> first").select("kind", "canon")
-        real = made.join(entities.select("kind", F.col("canon").alias("made")), ["kind", "made"], "left_semi").select("kind", "canon")
-        again = ws.save(clash.unionAll(real).distinct().withColumn("again", F.lit(True)))
+    for n in range(1, ROUNDS + 1):
+        made = canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("mention"), F.col("canon"), F.col("attempt")))
+        made = ws.save(now.withColumn("claim", _claimed(F.col("kind"), made)))
+        taken = made.groupBy("kind", "claim").agg(F.min("canon").alias("first"), F.count("*").alias("claims")).where("claims > 1").select("kind", "claim", "first")
+        clash = made.join(taken, ["kind", "claim"]).where("canon <> first").select("kind", "canon")
+        own = made.join(real, ["kind", "claim"], "left_semi").select("kind", "canon")
+        again = ws.save(clash.unionAll(own).distinct().withColumn("again", F.lit(True)))
         if again.isEmpty():
             return bumped
         old = now
         now = ws.save(old.join(again, ["kind", "canon"], "left").withColumn("attempt", F.when(F.col("again"), n).otherwise(F.col("attempt"))).select("kind", "canon", "mention", "attempt"))
         bumped = now.where("attempt > 0").select("kind", "canon", "attempt")
-    raise RuntimeError(f"surrogates still collide after {rounds} attempts")
+    return bumped
 
 
 def rewritten(text: Column, key: str, attempt_of) -> tuple[Column, Column]:
     """text with its entities replaced, and the array of their types."""
-    found = mentions(text)
-    parts = F.split(text, PATTERN, -1)
+    found = F.transform(mentions(text), lambda m: F.struct(m.alias("m"), entity_type(m).alias("kind")))
+    named = F.filter(found, lambda x: (x["kind"] == "name") & (F.size(words_of(x["m"])) > 1))
+    full = F.array_distinct(F.transform(named, lambda x: F.struct(F.array_join(words_of(x["m"]), " ").alias("name"), _gender(x["m"]).alias("gender"))))
+    known = F.filter(full, lambda x: x["gender"] != "n")
 
-    def replaced(m):
-        kind = entity_type(m)
+    def gender_of(name: Column, own: Column) -> Column:
+        other = F.filter(known, lambda x: x["name"] == name)
+        return F.when(own != "n", own).otherwise(F.coalesce(F.get(other, F.lit(0))["gender"], F.lit("n")))
+
+    def replaced(x: Column) -> Column:
+        m, kind = x["m"], x["kind"]
         canon = canonical(kind, m)
-        return surrogate(key, kind, m, canon, attempt_of(kind, canon))
+        name = F.concat(F.substring_index(m, " ", 1), F.lit(" "), _name(key, m, gender_of(F.array_join(words_of(m), " "), _gender(m)), attempt_of))
+        return F.when(kind.isNull(), m).when(kind == "name", name).otherwise(surrogate(key, kind, m, canon, attempt_of(kind, canon)))
 
-    new = F.zip_with(parts, F.transform(found, replaced), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    return F.when(F.size(found) > 0, F.array_join(new, "")).otherwise(text), F.transform(found, entity_type)
+    # the names that stand without a title, in what lies between the mentions
+    names = F.array_distinct(F.transform(full, lambda x: x["name"]))
+    bare = F.transform(names, lambda n: F.struct(n.alias("old"), _name(key, F.concat(F.lit("- "), n), gender_of(n, F.lit("n")), attempt_of).alias("new")))
+    without = lambda p: F.aggregate(bare, p, lambda t, n: F.regexp_replace(t, F.concat(F.lit(_START), n["old"], F.lit(_END)), n["new"]))
+    parts = F.split(text, PATTERN, -1)
+    new = F.zip_with(parts, F.transform(found, replaced), lambda p, s: F.concat(F.when(F.size(names) > 0, without(p)).otherwise(p), F.coalesce(s, F.lit(""))))
+    kinds = F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull())
+    return F.when(F.size(found) > 0, F.array_join(new, "")).otherwise(text), kinds
 
 
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
-    """docs with their texts rewritten, and n_email ... n_name counts of the replaced mentions.
+    """docs with their texts rewritten, and n_email ... n_name counts of the replaced mentions (names by their
+    titles; those without one aren't counted).
 
     Null texts stay null and count nothing; empty texts and texts without entities stay as they are;
     repeated rows get the same result; a null doc_id is a row like others.  Empty tables give empty
@@ -200,8 +311,8 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
         rows, attempt_of = docs, lambda kind, canon: F.lit(0)
     else:
         # the few texts with colliding entities get their attempts as a map; keyed by text, as ids may repeat
-        named = docs.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(mentions(F.col("text")))).alias("m")).withColumn("kind", entity_type(F.col("m")))
-        named = named.withColumn("canon", canonical(F.col("kind"), F.col("m"))).join(bumped, ["kind", "canon"])
+        named = docs.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(mentions(F.col("text")))).alias("mention"))
+        named = _entities(named).join(bumped, ["kind", "canon"])
         maps = named.select("h", F.concat_ws(_SEP, "kind", "canon").alias("k"), "attempt").distinct().groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias(place))
         h = fresh(docs, "pii_text")
         rows = docs.withColumn(h, F.xxhash64("text")).join(maps.withColumnRenamed("h", h), h, "left").drop(h)
