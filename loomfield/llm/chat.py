@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.shared import Workspace, only
@@ -109,13 +109,14 @@ def format_chat(turns: DataFrame, schemas: Mapping[str, Schema] = SCHEMAS) -> Da
     """One row per message: conv_id, turn, part, role, call_id, level, valid, problems, status, json.
 
     part is 0 for the message itself; a message's calls follow it as rows of their own, in topological
-    order: part counts them by level, then place.  A result is a row of role tool with its call's level.
+    order: part counts them from 1 by level, then place; calls that never resolve come last.  A result is a row of role tool with its call's level.
     status: ``plain``, ``linked`` (call and result found each other), ``unanswered``, ``orphan`` (a result
     without a call before it), ``repeated`` (an id that an earlier message of the conversation used, for
     calls and for results), ``cyclic`` (a call whose dependencies never resolve).  json is canonical.
 
-    Null texts are null contents; null roles are plain; null conv_ids or turns link nothing; repeated rows
-    count each time, and only the first use of an id links; empty tables give empty results.
+    Null texts are null contents; null roles are plain; null conv_ids or turns link nothing; only the first
+    use of an id links, and rows that repeat a message in full are all that use; a text that isn't JSON, or
+    names a key twice in one object, is plain content; empty tables give empty results.
     """
     ws = Workspace(turns.sparkSession)
     rows = ws.save(parse(only(turns, conv_id="long", turn="long", role="string", text="string")))
@@ -147,8 +148,7 @@ def format_chat(turns: DataFrame, schemas: Mapping[str, Schema] = SCHEMAS) -> Da
     status = F.when(F.col("first_turn").isNotNull() & ~own, "repeated").when(F.col("first_turn").isNotNull() & F.col("level").isNull(), "cyclic").when(F.col("answer_turn").isNotNull(), "linked").otherwise("unanswered")
     call_rows = linked.select(
         "conv_id", "turn",
-        # by level, then place; calls of one message are few, so the rank needs no window
-        (F.coalesce("level", F.lit(1 << 15)) * (1 << 15) + F.col("place") + 1).cast("int").alias("part"),
+        F.dense_rank().over(Window.partitionBy("conv_id", "turn").orderBy(F.col("level").asc_nulls_last(), "place")).alias("part"),
         F.lit("assistant").alias("role"), "call_id", "level", (F.size("problems") == 0).alias("valid"), "problems", status.alias("status"),
         F.concat(F.lit('{"arguments":'), F.coalesce(canonical_json(F.col("arguments")), F.lit("null")), F.lit(',"id":'), _quoted(F.col("call_id")), F.lit(',"name":'), _quoted(F.col("name")), F.lit("}")).alias("json"),
     )

@@ -29,6 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomfield.llm.shared import Workspace, fresh, only, small_or_shuffled
 
@@ -473,7 +474,7 @@ def dedup_lines(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, min_tok
         marked = docs.join(which, same & (F.sha2(docs["text"].cast("string"), 256) == F.col(digest)), "left").drop(key, digest)
         taken = small_or_shuffled(taken.withColumnRenamed(base, digest))
         joined = marked.join(taken, (marked["doc_id"].cast("long") == F.col(key)) & (F.coalesce(base, F.lit(0).cast("long")) == F.col(digest)), "left").drop(key, base, digest)
-    place, ids, schema = docs.columns.index("text"), docs.columns.index("doc_id"), docs.schema
+    place, ids, schema = docs.columns.index("text"), docs.columns.index("doc_id"), StructType(list(docs.schema.fields))
     for n in names.values():
         schema = schema.add(n, "long")
 

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.shared import only
+from loomfield.llm.shared import only, small_batches
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_KNOWN = 250_000
+_KNOWN = 120_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,7 +70,7 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
+def shared_encoder(path: str) -> WordEncoder:
     """One encoder per worker process: tasks that follow find its vocabulary loaded and its words known."""
     return WordEncoder(path)
 
@@ -90,11 +90,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, longest: int = 2
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
     schema = "doc_id long, start long, length long, tokens binary, doc_tokens long, bucket int"
 
     def run(batches):
-        encoder = _encoder(tokenizer_path)
+        encoder = shared_encoder(tokenizer_path)
         for batch in batches:
             rows, held = [[] for _ in range(6)], 0
             for d, t in zip(batch.column(0), batch.column(1)):

@@ -53,8 +53,27 @@ def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(docs, PII_KEY)
 
 
+def tool_talk(turns: DataFrame) -> DataFrame:
+    """Conversations as talks with tools: each user turn is a call, which cites the user turn's call before
+    it, and each assistant turn the result of the call that the turn before it made.  The calls' tools and
+    arguments follow from turn and text length, so that some name an unknown tool or have a wrong type."""
+    size, turn = F.length("text"), F.col("turn")
+    call_id = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    cited = F.concat(F.lit("${"), call_id(turn - 2), F.lit("} "), F.col("text"))
+    limit = F.when(size % 5 == 0, F.to_json(F.struct(cited.alias("query"), F.lit("all").alias("limit")))).otherwise(F.to_json(F.struct(cited.alias("query"), size.alias("limit"))))
+    kind = (turn + size) % 4
+    arguments = F.when(kind == 0, limit).when(kind == 1, F.to_json(F.struct(cited.alias("url")))).when(kind == 2, F.to_json(F.struct(cited.alias("expression")))).otherwise("{}")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("search", "fetch", "calculate", "nosuch")]), kind.cast("int") + 1)
+    head = F.to_json(F.struct(call_id(turn).alias("id"), name.alias("name")))
+    call = F.concat(F.lit('{"tool_calls":['), F.left(head, F.length(head) - 1), F.lit(',"arguments":'), arguments, F.lit('}],"content":null}'))
+    result = F.to_json(F.struct(call_id(turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    return turns.select("conv_id", "turn", role.alias("role"), F.when(F.col("role") == "user", call).when(F.col("role") == "assistant", result).otherwise(F.col("text")).alias("text"))
+
+
 def op7_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(_table(spark, sf_dir, "conversations"))
+    rows = chat.format_chat(tool_talk(_table(spark, sf_dir, "conversations")))
+    return rows.withColumn("problems", F.array_join("problems", "; "))
 
 
 def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +81,7 @@ def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +133,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM flagged LEFT JOIN hosts USING (source) CROSS JOIN prior
 """
 
-SQL: dict[str, str] = {"op2_host_quality": OP2_SQL}
+OP7_SQL = """
+WITH RECURSIVE talk AS (
+  SELECT conv_id, turn, role, text, length(text) AS n, 'c' || turn AS call_id, 'c' || (turn - 1) AS answers, '${c' || (turn - 2) || '} ' || text AS cited, (turn + length(text)) % 4 AS kind FROM conversations
+), calls AS (
+  SELECT conv_id, turn, call_id, ['search', 'fetch', 'calculate', 'nosuch'][kind + 1] AS name,
+    CASE kind WHEN 0 THEN '{"limit":' || CASE WHEN n % 5 = 0 THEN '"all"' ELSE n::VARCHAR END || ',"query":' || to_json(cited) || '}' WHEN 1 THEN '{"url":' || to_json(cited) || '}' WHEN 2 THEN '{"expression":' || to_json(cited) || '}' ELSE '{}' END AS arguments,
+    CASE WHEN kind = 0 AND n % 5 = 0 THEN 'limit isn''t number' WHEN kind = 3 THEN 'unknown tool' ELSE '' END AS problems, kind < 3 AS cites
+  FROM talk WHERE role = 'user'
+), levels AS (
+  SELECT c.conv_id, c.turn, 0 AS level FROM calls c WHERE NOT cites OR NOT EXISTS (FROM calls d WHERE d.conv_id = c.conv_id AND d.turn = c.turn - 2)
+  UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM calls c JOIN levels l ON c.conv_id = l.conv_id AND c.turn = l.turn + 2 WHERE c.cites
+), results AS (
+  SELECT t.conv_id, t.turn, t.answers AS call_id, t.text, c.turn AS called FROM talk t LEFT JOIN calls c ON c.conv_id = t.conv_id AND c.call_id = t.answers WHERE t.role = 'assistant'
+)
+SELECT conv_id, turn, 0 AS part, CASE role WHEN 'user' THEN 'assistant' ELSE role END AS role, NULL AS call_id, NULL::INT AS level, NULL::BOOLEAN AS valid, '' AS problems, 'plain' AS status,
+  CASE role WHEN 'user' THEN '{"content":null,"role":"assistant"}' ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json FROM talk WHERE role <> 'assistant'
+UNION ALL SELECT c.conv_id, c.turn, 1, 'assistant', c.call_id, l.level, problems = '', problems, CASE WHEN EXISTS (FROM results r WHERE r.conv_id = c.conv_id AND r.called = c.turn) THEN 'linked' ELSE 'unanswered' END,
+  '{"arguments":' || arguments || ',"id":"' || c.call_id || '","name":"' || name || '"}' FROM calls c JOIN levels l ON l.conv_id = c.conv_id AND l.turn = c.turn
+UNION ALL SELECT r.conv_id, r.turn, 0, 'tool', r.call_id, l.level, NULL, '', CASE WHEN called IS NULL THEN 'orphan' ELSE 'linked' END, '{"content":' || to_json(text) || ',"role":"tool","tool_call_id":"' || r.call_id || '"}'
+FROM results r LEFT JOIN levels l ON l.conv_id = r.conv_id AND l.turn = r.called
+"""
+
+SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op7_tool_call_linking": OP7_SQL}

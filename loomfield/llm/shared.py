@@ -29,6 +29,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of a batch between the JVM and Python; texts are long, and both sides hold some batches a task.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send batches of BATCH_ROWS at most, which bounds a task's memory beside the heap."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 class Workspace:
     """Tables written to the shared checkpoint folder.
 
@@ -38,6 +49,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{checkpoint_root(spark)}/loomfield-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self.drop_all)

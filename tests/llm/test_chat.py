@@ -67,3 +67,12 @@ def test_empty_and_plain(spark):
     assert rows(spark, []) == []
     assert [r.status for r in rows(spark, TALK[:1])] == ["plain"]
     assert chat.format_chat(spark.createDataFrame(TALK[:1], "conv_id long, turn long, role string, text string")).columns == list(chat.COLUMNS)
+
+
+def test_many_calls_and_doubled_keys(spark):
+    many = [call(f"m{i}", "calculate", expression=f"${{m{i - 1}}}" if i % 50 else "1") for i in range(200)]
+    talk = [(1, 0, "assistant", assistant(*many)), (1, 1, "assistant", '{"tool_calls": [], "tool_calls": [1], "content": 1}')]
+    got = rows(spark, talk)
+    parts = sorted((r.part, r.level, r.call_id) for r in got if r.call_id)
+    assert [p for p, _, _ in parts] == list(range(1, 201)) and [x for _, x, _ in parts] == sorted(x for _, x, _ in parts) and parts[-1][1] == 49
+    assert [r.status for r in got if r.turn == 1] == ["plain"]
