@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomfield.functions.scalar import blank, lookup
+from loomfield.functions.scalar import blank
 
 # The values below are fixed: other results would follow from other words.
 
@@ -120,31 +120,56 @@ def has_any(low: Column, words: Sequence[str]) -> Column:
     return out
 
 
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789 _-")
+
+
+def _found(low: Column, pattern: str) -> Column:
+    """Whether a pattern matches; one without regular expression syntax is searched for as plain text."""
+    return low.contains(pattern) if _PLAIN.issuperset(pattern) else low.rlike(pattern)
+
+
 def matching(low: Column, patterns: Sequence[str]) -> Column:
     """The patterns that match, in their order."""
-    return F.array_compact(F.array(*[F.when(low.rlike(p), p) for p in patterns]))
+    return F.array_compact(F.array(*[F.when(_found(low, p), p) for p in patterns]))
 
 
 def problem(html: Column, status: Column, headers: Column, error: Column) -> Column:
     """struct(problem_type, severity, description, evidence): the first rule group that matches the page, its
-    status, headers and error taken together; then http, request and length rules; null if none."""
+    status, headers and error taken together; then http, request and length rules; null if none.
+
+    The text is lowered once and the first rule's number found once: both are bound by a lambda, so that no
+    field of the result repeats the search."""
     text = F.concat_ws(" ", F.lower(blank(html)), F.coalesce(status, F.lit(200)).cast("string"), F.lower(blank(headers)), F.lower(blank(error)))
-    kind = severity = evidence = None
-    none = F.array().cast("array<string>")
-    for name, level, patterns in PROBLEM_PATTERNS:
-        hit = text.rlike("|".join(f"(?:{p})" for p in patterns))
-        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-        severity = F.when(hit, level) if severity is None else severity.when(hit, level)
-        evidence = F.when(hit, matching(text, patterns)) if evidence is None else evidence.when(hit, matching(text, patterns))
     bad, failed = F.coalesce(status >= 400, F.lit(False)), blank(error) != ""
     small = (F.length(blank(html)) < 500) & F.lower(blank(html)).contains("<html")
-    kind = kind.when(bad, "http_error").when(failed, "request_error").when(small, "minimal_content")
-    severity = severity.when(bad & (status < 500), "high").when(bad | failed, "medium").when(small, "low")
-    evidence = evidence.when(bad, F.array(F.concat(F.lit("Status code: "), status.cast("string")))).when(failed, F.array(F.left(error, F.lit(500)))).when(
-        small, F.array(F.concat(F.lit("HTML length: "), F.length(html).cast("string")))
-    ).otherwise(none)
-    said = F.when(kind == "http_error", F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" error"))).when(kind == "request_error", F.left(error, F.lit(200)))
-    return F.struct(kind.alias("problem_type"), severity.alias("severity"), F.coalesce(said, lookup(kind, DESCRIPTIONS)).alias("description"), evidence.alias("evidence"))
+    groups = [p for _, _, p in PROBLEM_PATTERNS]
+    http, request, minimal = len(groups), len(groups) + 1, len(groups) + 2
+    names = [n for n, _, _ in PROBLEM_PATTERNS] + ["http_error", "request_error", "minimal_content"]
+    levels = [x for _, x, _ in PROBLEM_PATTERNS] + ["medium", "medium", "low"]
+    none = F.array().cast("array<string>")
+
+    def rule(t: Column) -> Column:
+        out = None
+        for i, patterns in enumerate(groups):
+            hit = _found(t, patterns[0])
+            for p in patterns[1:]:
+                hit = hit | _found(t, p)
+            out = F.when(hit, i) if out is None else out.when(hit, i)
+        return out.when(bad, http).when(failed, request).when(small, minimal)
+
+    def judged(r: Column) -> Column:
+        i = r["rule"]
+        nth = lambda values: F.when(i.isNotNull(), F.element_at(F.array(*[F.lit(v) for v in values]), F.coalesce(i, F.lit(0)) + 1))
+        severity = F.when((i == http) & (status < 500), "high").otherwise(nth(levels))
+        said = F.when(i == http, F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" error"))).when(i == request, F.left(error, F.lit(200))).otherwise(nth([DESCRIPTIONS[n] for n in names]))
+        evidence = F.when(i == http, F.array(F.concat(F.lit("Status code: "), status.cast("string")))).when(i == request, F.array(F.left(error, F.lit(500))))
+        evidence = evidence.when(i == minimal, F.array(F.concat(F.lit("HTML length: "), F.length(html).cast("string"))))
+        for k, patterns in enumerate(groups):
+            evidence = evidence.when(i == k, matching(r["text"], patterns))
+        return F.struct(nth(names).alias("problem_type"), severity.alias("severity"), said.alias("description"), evidence.otherwise(none).alias("evidence"))
+
+    ruled = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), rule(t).alias("rule")))
+    return F.transform(ruled, judged)[0]
 
 
 def first_rule(low: Column, rules: Sequence[tuple[str, Sequence[str]]], otherwise: str) -> Column:

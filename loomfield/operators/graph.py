@@ -28,10 +28,11 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     The frontier holds nodes not seen before only; its lineage is cut every round, so a deep search
     doesn't recompute its past."""
     ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.select("src", "dst").checkpoint()  # read in every round
     seen = start.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = seen
     for depth in range(1, max_depth + 1):
-        step = frontier.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct()
+        step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
         frontier = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
             break

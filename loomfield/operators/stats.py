@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.session import ensure_checkpoint_dir
+
 
 def rate(ok: Column) -> Column:
     return F.avg(ok.cast("double"))
@@ -28,9 +30,23 @@ def last_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def global_rank(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """df with rank, each row's place in the order of the whole table, from 1.  Rows are dealt by ranges of the
+    order and counted by range, so that no task holds them all; ``order`` must tell rows apart."""
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.select("*", F.spark_partition_id().alias("__range"), F.monotonically_increasing_id().alias("__id")).checkpoint()
+    before, total = {}, 0
+    for r in dealt.groupBy("__range").agg(F.count("*").alias("n"), F.min("__id").alias("low")).orderBy("__range").collect():  # one row a range
+        before[r["__range"]] = total - r.low + 1
+        total += r.n
+    shift = F.element_at(F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]), F.col("__range")) if before else F.lit(1)
+    return dealt.withColumn("rank", F.col("__id") + shift).drop("__range", "__id")
+
+
 def ranked_round_robin(df: DataFrame, order: Sequence[Column], workers: int) -> DataFrame:
-    """Each row's worker by its rank modulo the number of workers; the table is a bounded dimension."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("worker", F.pmod(F.col("rank") - 1, F.lit(workers)))
+    """Each row's worker by its rank modulo the number of workers."""
+    return global_rank(df, order).withColumn("worker", F.pmod(F.col("rank") - 1, F.lit(workers)))
 
 
 def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int = 20) -> DataFrame:
@@ -103,6 +119,47 @@ def sliding_allowed(df: DataFrame, by: str, seconds: Column, window_s: int, limi
     return df.withColumn("in_window", F.count("*").over(w)).withColumn("within", F.col("in_window") <= limit)
 
 
+CATEGORY_OF_PROBLEM = {
+    # fixed values
+    "bot_detected": "anti_detection",
+    "cloudflare": "protection",
+    "rate_limited": "rate_limiting",
+    "captcha": "captcha",
+    "js_required": "rendering",
+    "auth_required": "authentication",
+    "empty_content": "data_extraction",
+    "http_error": "network",
+}
+
+
+def skill_candidates(problems: DataFrame, skills: DataFrame, categories: Mapping[str, str] = CATEGORY_OF_PROBLEM, most: int = 10, per_word: int = 5) -> DataFrame:
+    """problems with skill, each candidate once: the ``most`` surest skills of the problem's type, of its host as
+    site pattern and, from confidence 0.5, of its category, and for each of its first five keywords the
+    ``per_word`` surest ones whose keywords or tags hold it.
+
+    problems: problem_id, problem_type, keywords, host.  Lists are made once for each type, word, host and
+    category, so that a problem meets a few dozen skills however many there are."""
+    sure, row = [F.desc("confidence"), F.desc("success_rate"), F.col("id")], F.struct(*skills.columns)
+
+    def lists(found: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+        top = found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("nth") <= k)
+        return top.select("key", "skill")
+
+    own = skills.select(*skills.columns, row.alias("skill"))
+    by_type = lists(own.withColumn("key", F.concat(F.lit("t:"), "problem_type")), sure, most)
+    by_host = lists(own.where("site_pattern is not null").withColumn("key", F.concat(F.lit("h:"), "site_pattern")), sure, most)
+    by_category = lists(own.where("confidence >= 0.5").withColumn("key", F.concat(F.lit("c:"), "category")), sure, most)
+    first = F.array_distinct(F.slice("keywords", 1, 5))
+    words = problems.select(F.explode(first).alias("word")).distinct()
+    held = F.coalesce(F.col("error_keywords").contains(F.col("word")), F.lit(False)) | F.coalesce(F.col("tags").contains(F.col("word")), F.lit(False))
+    by_word = lists(own.join(words, held).withColumn("key", F.concat(F.lit("w:"), "word")), [F.desc("confidence"), F.col("id")], per_word)
+    category = F.element_at(F.create_map(*[F.lit(x) for kv in categories.items() for x in kv]), F.col("problem_type"))
+    keys = F.array_compact(F.concat(F.array(F.concat(F.lit("t:"), "problem_type"), F.concat(F.lit("h:"), "host"), F.concat(F.lit("c:"), category)), F.transform(first, lambda w: F.concat(F.lit("w:"), w))))
+    every = by_type.unionAll(by_host).unionAll(by_category).unionAll(by_word)
+    asked = problems.withColumn("key", F.explode(keys)).join(every, "key")
+    return asked.drop("key").dropDuplicates(["problem_id", "skill"])
+
+
 def match_score(problem_type: Column, keywords: Column, host: Column, skill: dict[str, Column]) -> Column:
     """How well a skill fits a problem, at most 1: type, shared keywords, host suffix, confidence, success,
     and keywords found within the skill's texts."""

@@ -60,12 +60,13 @@ def url_filters(spark, sf_dir):
     return flags.groupBy(*flags.columns).agg(F.count("*").alias("n"))
 
 
-_EDGES = """edges AS (SELECT DISTINCT l_partkey % 997 AS src, l_suppkey % 997 AS dst FROM lineitem WHERE l_linenumber = 1)"""
+_EDGES = """edges AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem)"""
 
 
 def _edges(spark, sf_dir):
-    mod = lambda c: F.pmod(c, F.lit(997))
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(mod("l_partkey").alias("src"), mod("l_suppkey").alias("dst")).distinct()
+    """Parts and their suppliers linked both ways; a supplier's node is its number below zero."""
+    one = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    return one.unionAll(one.select("dst", "src"))
 
 
 @query(f"WITH {_EDGES}, ends AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM ends GROUP BY node")

@@ -42,35 +42,39 @@ def skill_should_apply(spark, sf_dir):
 
 
 _PROBLEMS = """problems AS (SELECT event_id AS problem_id, ['bot_detected', 'cloudflare', 'rate_limited', 'captcha', 'js_required'][(event_id % 5 + 1)::INT] AS problem_type,
-  [event_type, ['bolt', 'ring', 'widget', 'gear'][(event_id % 4 + 1)::INT], 'brand#' || (event_id % 25)] AS keywords, 'h' || (event_id % 3) || '.example.com' AS host FROM events WHERE event_type = 'error' AND event_id % 10 = 0)"""
+  [event_type, ['bolt', 'ring', 'widget', 'gear'][(event_id % 4 + 1)::INT], 'brand#' || (event_id % 25)] AS keywords, CASE WHEN event_id % 3 = 0 THEN '*example.com' ELSE 'h' || (event_id % 3) || '.example.com' END AS host FROM events WHERE event_type = 'error')"""
+#: The catalog's categories are those of parts.
+_CATEGORIES = {"bot_detected": "promo", "cloudflare": "economy", "captcha": "large"}
 
 
 def _problems(spark, sf_dir):
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod("event_id", F.lit(n)) + 1).cast("int"))
-    e = table(spark, sf_dir, "events").where("event_type = 'error' and event_id % 10 = 0")
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
     words = F.array("event_type", pick(("bolt", "ring", "widget", "gear"), 4), F.concat(F.lit("brand#"), F.pmod("event_id", F.lit(25)).cast("string")))
     return e.select(
         F.col("event_id").alias("problem_id"), pick(("bot_detected", "cloudflare", "rate_limited", "captcha", "js_required"), 5).alias("problem_type"), words.alias("keywords"),
-        F.concat(F.lit("h"), F.pmod("event_id", F.lit(3)).cast("string"), F.lit(".example.com")).alias("host"),
+        F.when(F.pmod("event_id", F.lit(3)) == 0, "*example.com").otherwise(F.concat(F.lit("h"), F.pmod("event_id", F.lit(3)).cast("string"), F.lit(".example.com"))).alias("host"),
     )
 
 
-@query(f"""WITH {SKILLS}, {_PROBLEMS}, pairs AS (SELECT p.*, s.* EXCLUDE (problem_type), s.problem_type AS own_type FROM problems p JOIN skills s ON s.problem_type = p.problem_type AND s.confidence >= 0.5
-  UNION SELECT p.*, s.* EXCLUDE (problem_type), s.problem_type FROM problems p, unnest(p.keywords) k(w), skills s WHERE list_contains(string_split(s.error_keywords, ','), w)),
-scored AS (SELECT problem_id, id, round(least(1.0, CASE WHEN problem_type = own_type THEN 0.4 ELSE 0 END + least(0.2, 0.05 * len(list_intersect(list_distinct(string_split(error_keywords, ',') || string_split(tags, ',')), keywords)))
+@query(f"""WITH {SKILLS}, {_PROBLEMS}, words AS (SELECT DISTINCT unnest(keywords[1:5]) AS w FROM problems),
+t AS (SELECT 't:' || problem_type AS key, id FROM skills QUALIFY row_number() OVER (PARTITION BY problem_type ORDER BY confidence DESC, success_rate DESC, id) <= 10),
+h AS (SELECT 'h:' || site_pattern AS key, id FROM skills WHERE site_pattern IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site_pattern ORDER BY confidence DESC, success_rate DESC, id) <= 10),
+c AS (SELECT 'c:' || category AS key, id FROM skills WHERE confidence >= 0.5 QUALIFY row_number() OVER (PARTITION BY category ORDER BY confidence DESC, success_rate DESC, id) <= 10),
+k AS (SELECT 'w:' || w AS key, id FROM skills JOIN words ON contains(error_keywords, w) OR contains(tags, w) QUALIFY row_number() OVER (PARTITION BY w ORDER BY confidence DESC, id) <= 5),
+lists AS (FROM t UNION ALL FROM h UNION ALL FROM c UNION ALL FROM k),
+asked AS (SELECT problem_id, 't:' || problem_type AS key FROM problems UNION SELECT problem_id, 'h:' || host FROM problems UNION SELECT problem_id, 'c:' || CASE problem_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _CATEGORIES.items())} END FROM problems UNION SELECT problem_id, 'w:' || unnest(keywords[1:5]) FROM problems),
+pairs AS (SELECT DISTINCT problem_id, id FROM asked JOIN lists USING (key)),
+scored AS (SELECT problem_id, id, round(least(1.0, CASE WHEN p.problem_type = s.problem_type THEN 0.4 ELSE 0 END + least(0.2, 0.05 * len(list_intersect(list_distinct(string_split(error_keywords, ',') || string_split(tags, ',')), keywords)))
   + CASE WHEN coalesce(site_pattern, '') <> '' AND host LIKE '%' || replace(site_pattern, '*', '') THEN 0.2 ELSE 0 END + confidence * 0.15 + success_rate * 0.15
-  + list_sum(list_transform(keywords, lambda w: CASE WHEN contains(error_keywords, w) THEN 0.05 ELSE 0 END + CASE WHEN contains(tags, w) THEN 0.03 ELSE 0 END))), 9) AS score FROM pairs)
-SELECT problem_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, id) AS r FROM scored) WHERE r = 1""")
+  + list_sum(list_transform(keywords, lambda w: CASE WHEN contains(error_keywords, w) THEN 0.05 ELSE 0 END + CASE WHEN contains(tags, w) THEN 0.03 ELSE 0 END))), 9) AS score FROM pairs JOIN problems p USING (problem_id) JOIN skills s USING (id))
+SELECT problem_id, id, score FROM scored QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, id) = 1""")
 def skill_match_top1(spark, sf_dir):
-    """Candidates by type and by keyword, scored; the best per problem by a partially aggregated maximum."""
-    s, p = skills(spark, sf_dir).withColumnRenamed("problem_type", "own_type"), _problems(spark, sf_dir)
-    by_type = p.join(s.where("confidence >= 0.5"), F.col("problem_type") == F.col("own_type"))
-    words = s.withColumn("w", F.explode(F.array_distinct(F.split("error_keywords", ","))))
-    by_word = p.withColumn("w", F.explode(F.array_distinct("keywords"))).join(words, "w").drop("w")
-    pairs = by_type.select(*p.columns, *s.columns).unionByName(by_word.select(*p.columns, *s.columns))
-    parts = {c: F.col(c) for c in ("error_keywords", "tags", "site_pattern", "confidence", "success_rate")} | {"problem_type": F.col("own_type")}
+    """Candidates by type, keyword, host and category, scored; the best per problem by a partially aggregated maximum."""
+    pairs = stats.skill_candidates(_problems(spark, sf_dir), skills(spark, sf_dir), _CATEGORIES)
+    parts = {c: F.col(f"skill.{c}") for c in ("problem_type", "error_keywords", "tags", "site_pattern", "confidence", "success_rate")}
     score = F.round(stats.match_score(F.col("problem_type"), F.col("keywords"), F.col("host"), parts), 9)
-    best = pairs.select("problem_id", "id", score.alias("score")).groupBy("problem_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("b"))
+    best = pairs.select("problem_id", "skill.id", score.alias("score")).groupBy("problem_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("b"))
     return best.select("problem_id", "b.id", (-F.col("b.s")).alias("score"))
 
 
@@ -123,11 +127,11 @@ def queue_state_counts(spark, sf_dir):
     return queue(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"), F.sum("attempts").alias("n_attempts"))
 
 
-@query(f"WITH {QUEUE} SELECT seq, priority, rank FROM (SELECT seq, priority, row_number() OVER (ORDER BY priority DESC, seq)::INT AS rank FROM queue WHERE state = 'pending') WHERE rank <= 200")
+@query(f"WITH {QUEUE} SELECT seq, priority, row_number() OVER (ORDER BY priority DESC, seq)::BIGINT AS rank FROM queue WHERE state = 'pending'")
 def queue_priority_order(spark, sf_dir):
-    """Highest priority first, first in first out within one; a bounded top, then ranked."""
-    top = queue(spark, sf_dir).where("state = 'pending'").orderBy(F.desc("priority"), "seq").limit(200)
-    return top.select("seq", "priority", F.row_number().over(Window.orderBy(F.desc("priority"), "seq")).alias("rank"))
+    """Highest priority first, first in first out within one."""
+    pending = queue(spark, sf_dir).where("state = 'pending'").select("seq", "priority")
+    return stats.global_rank(pending, [F.desc("priority"), F.col("seq")])
 
 
 @query(f"""WITH {QUEUE}, i AS (SELECT substring(md5(url), 1, 16) AS id, * FROM queue), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS r FROM i WHERE state = 'pending') SELECT id, seq FROM f WHERE r = 1 AND id NOT IN (SELECT id FROM i WHERE state = 'completed' AND seq % 3 = 0)""")
@@ -158,7 +162,7 @@ def due_jobs(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderstatus <> 'P' and o_orderdate <= timestamp_ntz '1996-06-01'").select("o_orderkey")
 
 
-@query(f"""WITH {ATTEMPTS}, e AS (SELECT domain, avg(success::INT::DOUBLE) AS rate, avg(time_taken) AS latency FROM attempts GROUP BY domain), r AS (SELECT *, row_number() OVER (ORDER BY round(-rate, 9), round(latency, 9), domain)::INT AS rank FROM e) SELECT domain, rank, ((rank - 1) % 4)::INT AS worker FROM r""")
+@query(f"""WITH {ATTEMPTS}, e AS (SELECT domain, avg(success::INT::DOUBLE) AS rate, avg(time_taken) AS latency FROM attempts GROUP BY domain), r AS (SELECT *, row_number() OVER (ORDER BY round(-rate, 9), round(latency, 9), domain)::BIGINT AS rank FROM e) SELECT domain, rank, ((rank - 1) % 4)::BIGINT AS worker FROM r""")
 def ranked_round_robin(spark, sf_dir):
     e = attempts(spark, sf_dir).groupBy("domain").agg(F.round(-stats.rate(F.col("success")), 9).alias("r"), F.round(F.avg("time_taken"), 9).alias("latency"))
     return stats.ranked_round_robin(e, [F.col("r"), F.col("latency"), F.col("domain")], 4).select("domain", "rank", "worker")
@@ -278,13 +282,14 @@ def facts_by_skill(spark, sf_dir):
     return a.join(s, "id").groupBy("domain").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"))
 
 
-@query("""SELECT n_name AS nation, l_returnflag, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY ROLLUP (n_name, l_returnflag)""")
+@query("""SELECT n_name AS nation, l_returnflag, count(*) AS n, round(sum((l_extendedprice::DECIMAL(15,2) * (1 - l_discount::DECIMAL(15,2)))::DECIMAL(38,4)), 2)::DOUBLE AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY ROLLUP (n_name, l_returnflag)""")
 def star_rollup(spark, sf_dir):
-    """A star join under a roll-up, as a check of the general surface."""
+    """A star join under a roll-up, as a check of the general surface; sums of decimals don't depend on their order."""
     l = table(spark, sf_dir, "lineitem").where("l_shipdate < timestamp_ntz '1996-01-01'")
     j = l.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     j = j.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.rollup(F.col("n_name").alias("nation"), "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    price = F.col("l_extendedprice").cast("decimal(15,2)") * (1 - F.col("l_discount").cast("decimal(15,2)"))
+    return j.rollup(F.col("n_name").alias("nation"), "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(price.cast("decimal(28,4)")), 2).cast("double").alias("revenue"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM q, embeddings WHERE vec_id <> query_id)
