@@ -17,6 +17,10 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+#: Mail addresses in Java's syntax.  A match begins where a run of local characters does, or behind the match
+#: before it, so that long runs without an @ are read once.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+
 # ---- text
 
 

@@ -43,3 +43,33 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
 def crawl(edges: DataFrame, start: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
     """(node, depth) of the first max_pages nodes by depth, then name."""
     return reach(edges, start, max_depth).orderBy("depth", "node").limit(max_pages)
+
+
+def crawl_in_steps(edges: DataFrame, start: DataFrame, path: str, max_depth: int, max_pages: int, steps: int | None = None) -> tuple[DataFrame, bool]:
+    """(node, depth) reached so far, and whether the crawl has ended; ``steps`` levels at most are added by this
+    call, all if None.  Each level is a table under ``path``, in a folder that all executors share, so that a
+    crawl which was paused, or whose driver was lost, goes on with the next call where it stopped."""
+    spark = edges.sparkSession
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda depth: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/level={depth}/_SUCCESS"))
+    schema = "node " + dict(start.dtypes)["node"] + ", depth int"
+    level = lambda depth: spark.read.schema(schema).parquet(f"{path}/level={depth}")
+    if not there(0):
+        start.select("node", F.lit(0).alias("depth")).distinct().write.mode("overwrite").parquet(f"{path}/level=0")
+    depth = 0
+    while there(depth + 1):
+        depth += 1
+    seen = level(0)
+    for d in range(1, depth + 1):
+        seen = seen.unionAll(level(d))
+    added = 0
+    while depth < max_depth and (steps is None or added < steps):
+        if level(depth).isEmpty() or seen.limit(max_pages).count() >= max_pages:
+            return seen.orderBy("depth", "node").limit(max_pages), True
+        step = level(depth).select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("node")).distinct()
+        depth, added = depth + 1, added + 1
+        step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")).write.mode("overwrite").parquet(f"{path}/level={depth}")
+        seen = seen.unionAll(level(depth))
+    ended = depth >= max_depth or level(depth).isEmpty() or seen.limit(max_pages).count() >= max_pages
+    return seen.orderBy("depth", "node").limit(max_pages), ended

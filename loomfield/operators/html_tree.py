@@ -73,13 +73,27 @@ class Node:
             self.parent.children = [c for c in self.parent.children if c is not self]
             self.parent = None
 
-    def html(self) -> str:
+    def _open(self) -> str:
         attrs = "".join(f' {k}="{v.replace(chr(34), "&quot;")}"' for k, v in self.attrs.items())
-        if self.tag in VOID:
-            return f"<{self.tag}{attrs}/>"
-        raw = self.tag in ("script", "style")
-        inner = "".join(c.html() if isinstance(c, Node) else c if raw else _escaped(c) for c in self.children)
-        return inner if self.tag == "[document]" else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        return f"<{self.tag}{attrs}/>" if self.tag in VOID else f"<{self.tag}{attrs}>"
+
+    def html(self) -> str:
+        """The element as HTML; a stack, not recursion, as pages nest without bound."""
+        out: list[str] = []
+        stack: list[tuple[Node | str, bool]] = [(self, False)]  # a text with its raw flag, or an element
+        while stack:
+            n, raw = stack.pop()
+            if isinstance(n, str):
+                out.append(n if raw else _escaped(n))
+                continue
+            if n.tag != "[document]":
+                out.append(n._open())
+            if n.tag in VOID:
+                continue
+            if n.tag != "[document]":
+                stack.append((f"</{n.tag}>", True))
+            stack.extend((c, n.tag in ("script", "style")) for c in reversed(n.children))
+        return "".join(out)
 
 
 def _escaped(text: str) -> str:

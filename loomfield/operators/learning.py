@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions.scalar import base_domain, blank, lookup, netloc
+from loomfield.functions.scalar import EMAIL, base_domain, blank, lookup, netloc
+from loomfield.session import ensure_checkpoint_dir
 
 # ---- answers
 
@@ -36,7 +37,7 @@ def prompted(html: Column, prompt: Column) -> dict[str, Column]:
     every = lambda p, g=0: F.regexp_extract_all(html, F.lit(p), F.lit(g))
     ask = lambda words, found: F.when(low.rlike(words), found).otherwise(none)
     return {
-        "emails": ask("email", F.array_sort(F.array_distinct(every(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")))),
+        "emails": ask("email", F.array_sort(F.array_distinct(every(EMAIL)))),
         "phones": ask("phone", every(r"\+?1?[-. ]?\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ]?[0-9]{4}")),
         "prices": ask("price", every(r"\$[0-9,]+\.?[0-9]*")),
         "titles": ask("title|heading", F.slice(every(r"(?is)<h[1-3][^>]*>([^<]*)", 1), 1, 10)),
@@ -45,21 +46,23 @@ def prompted(html: Column, prompt: Column) -> dict[str, Column]:
     }
 
 
-def list_objects(df: DataFrame, body: str, keep: Sequence[str], levels: int = 4) -> DataFrame:
+def list_objects(df: DataFrame, body: str, keep: Sequence[str]) -> DataFrame:
     """Objects that are direct items of a list reached through nested objects, as JSON; objects that are
-    given aren't searched themselves."""
-    now = df.select(*keep, F.try_parse_json(F.col(body)).alias("v"))
-    found = []
-    for _ in range(levels):
-        kind = F.schema_of_variant("v")
-        lists = now.where(kind.startswith("ARRAY")).select(*keep, F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("i"))
-        found.append(lists.where(F.schema_of_variant("i").startswith("OBJECT")).select(*keep, F.to_json("i").alias("item")))
-        fields = now.where(kind.startswith("OBJECT")).select(*keep, F.explode(F.map_values(F.try_variant_get("v", "$", "map<string,variant>"))).alias("v"))
-        now = fields
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionAll(f)
-    return out
+    given aren't searched themselves.  A level of nesting is a round, until none holds an object; each is
+    written, so that the plan doesn't grow with the depth."""
+    ensure_checkpoint_dir(df.sparkSession)
+    now, out = df.select(*keep, F.try_parse_json(F.col(body)).alias("__v")), None
+    while True:
+        kind = F.schema_of_variant("__v")
+        lists = now.where(kind.startswith("ARRAY")).select(*keep, F.explode(F.try_variant_get("__v", "$", "array<variant>")).alias("__i"))
+        found = lists.where(F.schema_of_variant("__i").startswith("OBJECT")).select(*keep, F.to_json("__i").alias("item"))
+        out = found if out is None else out.unionAll(found)
+        inner = now.where(kind.startswith("OBJECT")).select(*keep, F.explode(F.map_values(F.try_variant_get("__v", "$", "map<string,variant>"))).alias("__v"))
+        # written as JSON; a value without a bracket holds no list
+        inner = inner.select(*keep, F.to_json("__v").alias("__v")).where("__v like '%[%'").checkpoint()
+        if inner.isEmpty():
+            return out
+        now = inner.withColumn("__v", F.parse_json("__v"))
 
 
 # ---- demonstrations
@@ -122,25 +125,26 @@ def first_solution(problems: DataFrame, patterns: DataFrame) -> DataFrame:
     of the type, its confidence cut by a fifth without keywords; 0.4 and no technique where there is none."""
     first = patterns.groupBy("problem_type").agg(F.min_by(F.struct("technique", "confidence"), "seq").alias("p"))
     cut = F.when(F.size("keywords") > 0, 1.0).otherwise(0.8)
-    joined = problems.join(F.broadcast(first), "problem_type", "left")
+    joined = problems.join(first, "problem_type", "left")
     return joined.withColumn("technique", F.col("p.technique")).withColumn("confidence", F.coalesce(F.col("p.confidence") * cut, F.lit(0.4))).drop("p")
 
 
 def suggestions(flags: Mapping[str, Column]) -> Column:
     """What to try, by a site's flags cloudflare, antibot, captcha, lazy_load."""
     tries = (
+        # fixed values
         (flags["cloudflare"], "Use stealth browser mode"), (flags["antibot"], "Try proxy rotation"), (flags["lazy_load"], "Use scroll pattern"), (flags["captcha"] | flags["lazy_load"], "Increase wait times")
     )
     return F.array_compact(F.array(*[F.when(f, s) for f, s in tries]))
 
 
 def best_agent(tasks: DataFrame, agents: DataFrame) -> DataFrame:
-    """tasks: task_type; agents: agent, specialization, completed, a bounded list.  Specialisation in either
-    direction counts one, experience a hundredth each; a score must be above 0; ties to the first name."""
+    """tasks: task_type; agents: agent, specialization, completed.  Specialisation in either direction counts one,
+    experience a hundredth each; a score must be above 0; ties to the first name.  Agents are scanned once
+    for the different task types, and each task keeps one agent a type."""
     a, t = F.lower("specialization"), F.lower("task_type")
     score = F.when(a.contains(t) | t.contains(a), 1.0).otherwise(0.0) + F.col("completed") / 100
-    rows = [F.struct(*[F.lit(r[c]).alias(c) for c in ("agent", "specialization", "completed")]) for r in agents.collect()]
-    pairs = tasks.select("task_type").distinct().select("task_type", F.explode(F.array(*rows)).alias("a")).select("task_type", "a.*").withColumn("score", score).where("score > 0")
+    pairs = agents.select("agent", "specialization", "completed").crossJoin(tasks.select("task_type").distinct()).withColumn("score", score).where("score > 0")
     return pairs.groupBy("task_type").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("agent"))).alias("b")).select("task_type", "b.agent", (-F.col("b.s")).alias("score"))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from loomfield.functions.scalar import is_falsy, normalize_record_url, null_string, record_key, strip_control
 
@@ -184,3 +187,19 @@ def ensure(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def map_rows(df: DataFrame, run: Callable[[dict], Iterable[dict] | dict | None], schema: str) -> DataFrame:
+    """Rows that a user's function gives for each row: a dict, several, or none.  Rows go in Arrow batches, and
+    what run() keeps is kept per worker; fields that it leaves out are null."""
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def batches(it):
+        for b in it:
+            out = []
+            for row in b.to_pylist():
+                got = run(row)
+                out += [got] if isinstance(got, Mapping) else list(got or ())
+            yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in arrow} for r in out], arrow)
+
+    return df.mapInArrow(batches, schema)

@@ -56,41 +56,71 @@ def page_of(df: DataFrame, order: Sequence[Column], page: int, size: int = 20) -
 
 
 def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, start: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
-    """An ordered fold per group: the group's values sorted by ``order``, then reduced.  A group must fit in a
-    task, as an ordered fold has no partial form; streams use keyed state for it instead."""
+    """An ordered fold per group by any step: the group's values sorted by ``order``, then reduced.  A group must
+    fit in a task; fold_linear() splits groups, and streams use keyed state."""
     row = F.struct(*[F.col(o) for o in order], value.alias("__v"))
     got = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
     return got.select(*by, F.aggregate(F.transform("__rows", lambda r: r["__v"]), start, step).alias(name))
 
 
-def confidence_step(acc: Column, ok: Column) -> Column:
+def linear(a: float | Column = 1.0, b: float | Column = 0.0, lo: float | Column = float("-inf"), hi: float | Column = float("inf")) -> Column:
+    """A step x -> min(hi, max(lo, a * x + b)) with a >= 0.  Such steps compose to steps of the same form."""
+    one = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("double")
+    return F.struct(one(a).alias("a"), one(b).alias("b"), one(lo).alias("lo"), one(hi).alias("hi"))
+
+
+def _applied(step: Column, x: Column) -> Column:
+    # 0 times infinity isn't a number
+    inner = F.when(step["a"] == 0, step["b"]).otherwise(step["a"] * x + step["b"])
+    return F.least(step["hi"], F.greatest(step["lo"], inner))
+
+
+def _then(first: Column, second: Column) -> Column:
+    b = F.when(second["a"] == 0, second["b"]).otherwise(second["a"] * first["b"] + second["b"])
+    return F.struct((first["a"] * second["a"]).alias("a"), b.alias("b"), _applied(second, first["lo"]).alias("lo"), _applied(second, first["hi"]).alias("hi"))
+
+
+def fold_linear(df: DataFrame, by: Sequence[str], order: Sequence[str], step: Column, start: float, name: str, unit: str = "day") -> DataFrame:
+    """An ordered fold per group by linear() steps: the steps of each ``unit`` of time (the first of ``order``)
+    are composed to one, then those of a group in order.  So a group of any size is dealt by group and unit,
+    and only one step a unit meets in a task."""
+    row = F.struct(*[F.col(o) for o in order], step.alias("__s"))
+    parts = df.groupBy(*by, F.date_trunc(unit, F.col(order[0])).alias("__t")).agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    composed = F.aggregate(F.transform("__rows", lambda r: r["__s"]), linear(), _then)
+    whole = parts.select(*by, "__t", composed.alias("__s")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__t", "__s"))).alias("__rows"))
+    return whole.select(*by, F.aggregate(F.transform("__rows", lambda r: r["__s"]), F.lit(float(start)), lambda x, s: _applied(s, x)).alias(name))
+
+
+def _chosen(ok: Column, yes: Column, no: Column) -> Column:
+    return F.when(ok, yes).otherwise(no)
+
+
+def confidence_step(ok: Column) -> Column:
     """Up 0.05 to 1 at most, down 0.1 without a floor."""
-    return F.least(F.lit(1.0), acc + F.when(ok, 0.05).otherwise(-0.1))
+    return linear(b=F.when(ok, 0.05).otherwise(-0.1), hi=1.0)
 
 
-def improve_step(acc: Column, ok: Column) -> Column:
+def improve_step(ok: Column) -> Column:
     """Up 0.1 to 1 at most, down 0.15 to 0.1 at least."""
-    return F.when(ok, F.least(F.lit(1.0), acc + 0.1)).otherwise(F.greatest(F.lit(0.1), acc - 0.15))
+    return _chosen(ok, linear(b=0.1, hi=1.0), linear(b=-0.15, lo=0.1))
 
 
-def profile_step(acc: Column, ok: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc + F.when(ok, 0.1).otherwise(-0.1)))
+def profile_step(ok: Column) -> Column:
+    return linear(b=F.when(ok, 0.1).otherwise(-0.1), lo=0.0, hi=1.0)
 
 
-def pattern_step(acc: Column, ok: Column) -> Column:
-    return F.when(ok, F.least(F.lit(0.95), acc + 0.1)).otherwise(acc)
+def pattern_step(ok: Column) -> Column:
+    return _chosen(ok, linear(b=0.1, hi=0.95), linear())
 
 
-def ema_step(acc: Column, v: Column) -> Column:
-    return acc * 0.7 + v * 0.3
+def ema_step(v: Column) -> Column:
+    return linear(a=0.7, b=v * 0.3)
 
 
-def delay_step(acc: Column, v: Column, down: float = 0.95, floor: float = 1.0, cap: float = 60.0, retry_scale: float = 1.0) -> Column:
-    """v: struct(status, retry_after).  Success shortens the delay, 429 doubles it or takes retry_after,
-    5xx adds half."""
-    status, retry = v["status"], v["retry_after"]
-    limited = F.when(retry.isNotNull(), retry * retry_scale).otherwise(acc * 2)
-    return F.when(status == 429, F.least(F.lit(cap), limited)).when(status >= 500, F.least(F.lit(cap), acc * 1.5)).otherwise(F.greatest(F.lit(floor), acc * down))
+def delay_step(status: Column, retry_after: Column, down: float = 0.95, floor: float = 1.0, cap: float = 60.0, retry_scale: float = 1.0) -> Column:
+    """Success shortens the delay, 429 doubles it or takes retry_after, 5xx adds half."""
+    limited = _chosen(retry_after.isNotNull(), linear(a=0.0, b=F.coalesce(retry_after * retry_scale, F.lit(0.0)), hi=cap), linear(a=2.0, hi=cap))
+    return F.when(status == 429, limited).when(status >= 500, linear(a=1.5, hi=cap)).otherwise(linear(a=down, lo=floor))
 
 
 def breaker_step(acc: Column, v: Column, threshold: int = 5, reset_s: int = 60) -> Column:
@@ -160,6 +190,27 @@ def skill_candidates(problems: DataFrame, skills: DataFrame, categories: Mapping
     return asked.drop("key").dropDuplicates(["problem_id", "skill"])
 
 
+def both_limits(df: DataFrame, by: str, seconds: Column, own: tuple[int, int], every: tuple[int, int]) -> DataFrame:
+    """df with own_count and all_count, the requests of the key and of all keys in the seconds up to each request,
+    and allowed, whether both keep within their limits; a limit is (requests, seconds).  Requests of all keys are
+    counted by second first, so that no task holds more than a row a second."""
+    (own_limit, own_s), (limit, all_s) = own, every
+    rows = df.withColumn("__s", seconds.cast("long"))
+    w = Window.partitionBy(by).orderBy("__s").rangeBetween(-own_s, Window.currentRow)
+    total = rows.groupBy("__s").agg(F.count("*").alias("__n"))
+    total = total.select("__s", F.sum("__n").over(Window.orderBy("__s").rangeBetween(-all_s, Window.currentRow)).alias("all_count"))
+    counted = rows.withColumn("own_count", F.count("*").over(w)).join(total, "__s")
+    return counted.withColumn("allowed", (F.col("own_count") <= own_limit) & (F.col("all_count") <= limit)).drop("__s")
+
+
+def pool_stats(df: DataFrame, by: Sequence[str], ok: Column) -> DataFrame:
+    """n, n_ok, n_failed and success_rate per group; a null ``ok`` is a member that wasn't tried yet, and a group
+    of those alone has the rate 1."""
+    tried = F.count(ok.cast("int"))
+    good = F.count_if(ok)
+    return df.groupBy(*by).agg(F.count("*").alias("n"), good.alias("n_ok"), F.count_if(~ok).alias("n_failed"), F.when(tried > 0, good / tried).otherwise(1.0).alias("success_rate"))
+
+
 def match_score(problem_type: Column, keywords: Column, host: Column, skill: dict[str, Column]) -> Column:
     """How well a skill fits a problem, at most 1: type, shared keywords, host suffix, confidence, success,
     and keywords found within the skill's texts."""

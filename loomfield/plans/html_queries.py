@@ -16,6 +16,12 @@ FIXTURE = """<html><head><title>Shop</title><meta property="og:title" content="S
 <video src="v.mp4"><source src="w.webm"></video><ul><li>one<li>two</ul></body></html>"""
 
 
+#: The text pieces of HTML without its tags, as SQL: trimmed, none of them empty.
+_UNESCAPED = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_PIECES = "list_filter(list_transform(regexp_split_to_array({}, '<[^>]*>'), lambda x: " + _UNESCAPED.format("trim(x, ' ' || chr(9) || chr(10) || chr(13))") + "), lambda x: x <> '')"
+_PARAGRAPHS = "SELECT page_id, unnest(range(1, len(parts) + 1)) AS k, split_part(unnest(parts), '</p>', 1) AS s FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:] AS parts FROM pages)"
+
+
 def _pages(spark, sf_dir):
     fixture = spark.createDataFrame([(-1, "https://shop.example.com/p/", FIXTURE)], "page_id long, url string, html string")
     return fixture.unionByName(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -53,9 +59,12 @@ def product_records(spark, sf_dir):
     return X.extract_pages(_pages(spark, sf_dir), spec)
 
 
-@query()
+@query(f"""WITH p AS ({_PARAGRAPHS}), m AS (SELECT page_id, k, array_to_string({_PIECES.format("replace(s, '<br>', '<x>' || chr(1) || '<x>')")}, ' ') || chr(10) AS t FROM p),
+b AS (SELECT page_id, string_agg(replace(t, chr(1), chr(10)), ' ' ORDER BY k) AS body FROM m WHERE t <> chr(10) GROUP BY page_id),
+w AS (SELECT page_id, array_to_string({_PIECES.format("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")}, ' ') || ' # ' || array_to_string({_PIECES.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, ' ') || ' ' || coalesce(body, '') AS t FROM pages LEFT JOIN b USING (page_id))
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), ' ' || chr(10)) AS markdown FROM w""")
 def markdown_pages(spark, sf_dir):
-    return X.flat_map(_pages(spark, sf_dir), lambda h, u: [(X.markdown(h),)], "markdown string")
+    return X.flat_map(table(spark, sf_dir, "pages").select("page_id", "url", "html"), lambda h, u: [(X.markdown(h),)], "markdown string")
 
 
 @query("""SELECT page_id, NULL::VARCHAR AS og_title, '' AS og_images, 0 AS n_ld FROM pages UNION ALL SELECT -1, 'Shop', '/a.png,/b.png', 1""")
@@ -74,20 +83,23 @@ def xpath_headings(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH p AS ({_PARAGRAPHS}), e AS (SELECT page_id, 'p' AS tag, s FROM p UNION ALL SELECT page_id, 'h1', unnest(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1)) FROM pages UNION ALL SELECT page_id, 'a', unnest(regexp_extract_all(html, '(?s)<a [^>]*>(.*?)</a>', 1)) FROM pages),
+t AS (SELECT page_id, tag, array_to_string({_PIECES.format("s")}, ' ') AS text FROM e) SELECT page_id, tag, left(text, 200) AS text FROM t WHERE length(text) > 10""")
 def page_text_rows(spark, sf_dir):
-    return X.flat_map(_pages(spark, sf_dir), lambda h, u: X.text_rows(h), "tag string, text string")
+    return X.flat_map(table(spark, sf_dir, "pages").select("page_id", "url", "html"), lambda h, u: X.text_rows(h), "tag string, text string")
 
 
-@query()
+@query("SELECT tag, count(*) AS n, count(*) AS n_css, count(*) AS n_xpaths FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
 def element_paths(spark, sf_dir):
-    rows = X.flat_map(_pages(spark, sf_dir), lambda h, u: X.element_paths(h), "tag string, css string, xpath string")
-    return rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("xpath").alias("n_xpaths"))
+    """Every element of a page has a selector and an XPath of its own."""
+    rows = X.flat_map(table(spark, sf_dir, "pages").select("page_id", "url", "html"), lambda h, u: X.element_paths(h), "tag string, css string, xpath string")
+    return rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id", "css").alias("n_css"), F.count_distinct("page_id", "xpath").alias("n_xpaths"))
 
 
-@query()
+@query("""SELECT page_id, 0 AS removed, len(regexp_extract_all(html, '<a '))::INT AS n_links FROM pages UNION ALL SELECT -1, 1, 2""")
 def pages_without_ads(spark, sf_dir):
-    return X.flat_map(_pages(spark, sf_dir), lambda h, u: [X.without_ads(h)], "clean string, removed int").select("page_id", "removed", F.length("clean").alias("n_chars"))
+    rows = X.flat_map(_pages(spark, sf_dir), lambda h, u: [X.without_ads(h)], "clean string, removed int")
+    return rows.select("page_id", "removed", F.size(F.regexp_extract_all("clean", F.lit("<a "), F.lit(0))).alias("n_links"))
 
 
 @query("SELECT -1::BIGINT AS page_id, 'script' AS kind, 'https://x.doubleclick.net/a.js' AS url")

@@ -198,6 +198,21 @@ def requests_per_minute(spark, sf_dir):
     return got.select("domain", "n", F.round("s", 3).alias("seconds"), F.round(F.col("n") * 60.0 / F.col("s"), 6).alias("per_minute"))
 
 
+@query(f"""WITH {ATTEMPTS}, c AS (SELECT attempt_id, count(*) OVER (PARTITION BY domain ORDER BY (epoch_us(ts) // 1000000) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS own_count, count(*) OVER (ORDER BY (epoch_us(ts) // 1000000) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS all_count FROM attempts)
+SELECT attempt_id, own_count::BIGINT AS own_count, all_count::BIGINT AS all_count, own_count <= 2 AND all_count <= 20 AS allowed FROM c""")
+def both_rate_limits(spark, sf_dir):
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return stats.both_limits(attempts(spark, sf_dir), "domain", seconds, (2, 3600), (20, 3600)).select("attempt_id", "own_count", "all_count", "allowed")
+
+
+@query(f"""WITH {ATTEMPTS}, p AS (SELECT method, domain, CASE WHEN domain % 7 <> 0 THEN success END AS ok FROM attempts) SELECT domain, count(*) AS n, count(*) FILTER (WHERE ok) AS n_ok, count(*) FILTER (WHERE NOT ok) AS n_failed,
+round(CASE WHEN count(ok) > 0 THEN count(*) FILTER (WHERE ok) / count(ok) ELSE 1.0 END, 9)::DOUBLE AS success_rate FROM p GROUP BY domain""")
+def proxy_pool_stats(spark, sf_dir):
+    """Members that weren't tried yet count as good."""
+    tried = F.when(F.pmod("domain", F.lit(7)) != 0, F.col("success"))
+    return stats.pool_stats(attempts(spark, sf_dir), ["domain"], tried).withColumn("success_rate", F.round("success_rate", 9))
+
+
 @query(f"""WITH {ATTEMPTS} SELECT attempt_id, in_window::BIGINT AS in_window, in_window <= 2 AS within FROM (SELECT attempt_id, count(*) OVER (PARTITION BY domain ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS in_window FROM attempts)""")
 def rate_limit_sliding(spark, sf_dir):
     t = attempts(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -208,33 +223,33 @@ def _list_fold(step: str, start: str, out: str, value: str = "success") -> str:
     return f"""WITH {ATTEMPTS}, g AS (SELECT domain, list({value} ORDER BY ts, attempt_id) AS v FROM attempts GROUP BY domain) SELECT domain, round(list_reduce(v, lambda acc, x: {step}, {start}), 6) AS {out} FROM g"""
 
 
-def _fold(spark, sf_dir, value, start, step, name):
-    return stats.fold(attempts(spark, sf_dir), ["domain"], ["ts", "attempt_id"], value, start, step, name).withColumn(name, F.round(name, 6))
+def _fold(spark, sf_dir, step, start, name):
+    return stats.fold_linear(attempts(spark, sf_dir), ["domain"], ["ts", "attempt_id"], step, start, name).withColumn(name, F.round(name, 6))
 
 
 @query(_list_fold("least(1.0, acc + CASE WHEN x > 0.5 THEN 0.05 ELSE -0.1 END)", "0.5::DOUBLE", "confidence", "success::INT::DOUBLE"))
 def confidence_fold(spark, sf_dir):
-    return _fold(spark, sf_dir, F.col("success"), F.lit(0.5), stats.confidence_step, "confidence")
+    return _fold(spark, sf_dir, stats.confidence_step(F.col("success")), 0.5, "confidence")
 
 
 @query(_list_fold("CASE WHEN x > 0.5 THEN least(1.0, acc + 0.1) ELSE greatest(0.1, acc - 0.15) END", "0.5::DOUBLE", "confidence", "success::INT::DOUBLE"))
 def improve_fold(spark, sf_dir):
-    return _fold(spark, sf_dir, F.col("success"), F.lit(0.5), stats.improve_step, "confidence")
+    return _fold(spark, sf_dir, stats.improve_step(F.col("success")), 0.5, "confidence")
 
 
 @query(_list_fold("greatest(0.0, least(1.0, acc + CASE WHEN x > 0.5 THEN 0.1 ELSE -0.1 END))", "0.5::DOUBLE", "rate", "success::INT::DOUBLE"))
 def profile_fold(spark, sf_dir):
-    return _fold(spark, sf_dir, F.col("success"), F.lit(0.5), stats.profile_step, "rate")
+    return _fold(spark, sf_dir, stats.profile_step(F.col("success")), 0.5, "rate")
 
 
 @query(_list_fold("CASE WHEN x > 0.5 THEN least(0.95, acc + 0.1) ELSE acc END", "0.5::DOUBLE", "confidence", "success::INT::DOUBLE"))
 def pattern_fold(spark, sf_dir):
-    return _fold(spark, sf_dir, F.col("success"), F.lit(0.5), stats.pattern_step, "confidence")
+    return _fold(spark, sf_dir, stats.pattern_step(F.col("success")), 0.5, "confidence")
 
 
 @query(_list_fold("acc * 0.7 + x * 0.3", "0.0::DOUBLE", "latency", "time_taken"))
 def ema_latency(spark, sf_dir):
-    return _fold(spark, sf_dir, F.col("time_taken"), F.lit(0.0), stats.ema_step, "latency")
+    return _fold(spark, sf_dir, stats.ema_step(F.col("time_taken")), 0.0, "latency")
 
 
 _STATUS = "CASE WHEN NOT success AND attempt_id % 2 = 0 THEN 429.0 WHEN NOT success THEN 500.0 ELSE 200.0 END::DOUBLE"
@@ -243,8 +258,7 @@ _STATUS = "CASE WHEN NOT success AND attempt_id % 2 = 0 THEN 429.0 WHEN NOT succ
 @query(_list_fold("CASE WHEN x = 429 THEN least(60.0, acc * 2) WHEN x >= 500 THEN least(60.0, acc * 1.5) ELSE greatest(1.0, acc * 0.95) END", "3.0::DOUBLE", "delay", _STATUS))
 def delay_fold(spark, sf_dir):
     status = F.when(~F.col("success") & (F.pmod("attempt_id", F.lit(2)) == 0), 429).when(~F.col("success"), 500).otherwise(200)
-    value = F.struct(status.alias("status"), F.lit(None).cast("double").alias("retry_after"))
-    return _fold(spark, sf_dir, value, F.lit(3.0), lambda acc, v: stats.delay_step(acc, v), "delay")
+    return _fold(spark, sf_dir, stats.delay_step(status, F.lit(None).cast("double")), 3.0, "delay")
 
 
 @query(f"""WITH {ATTEMPTS}, m AS (SELECT domain, ts, attempt_id, success, count(*) FILTER (WHERE success) OVER (PARTITION BY domain ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM attempts), r AS (SELECT domain, island, count(*) AS n FROM m WHERE NOT success GROUP BY ALL) SELECT d.domain, coalesce(max(n), 0)::BIGINT AS longest FROM (SELECT DISTINCT domain FROM attempts) d LEFT JOIN r USING (domain) GROUP BY d.domain""")
@@ -252,9 +266,18 @@ def consecutive_failures(spark, sf_dir):
     return stats.runs_of_failures(attempts(spark, sf_dir), "domain", "ts", "success")
 
 
-@query()
+_BREAKER = f"""WITH RECURSIVE {ATTEMPTS}, a AS (SELECT domain, (epoch_us(ts) // 1000000) AS t, success AS ok, row_number() OVER (PARTITION BY domain ORDER BY ts, attempt_id) AS k FROM attempts),
+b(domain, k, state, failures, opened) AS (SELECT DISTINCT domain, 0::BIGINT, 'closed', 0, 0::BIGINT FROM a UNION ALL
+SELECT domain, k, CASE WHEN refused THEN 'open' WHEN ok THEN 'closed' WHEN opens THEN 'open' ELSE state END, failures, CASE WHEN opens THEN t ELSE opened END FROM (
+  SELECT *, NOT refused AND NOT ok AND (failures >= 2 OR state = 'half_open') AS opens FROM (
+    SELECT domain, k, t, ok, opened, state, state = 'open' AS refused, CASE WHEN state = 'open' THEN failures WHEN ok THEN 0 ELSE failures + 1 END AS failures FROM (
+      SELECT a.domain, a.k, a.t, a.ok, b.opened, b.failures, CASE WHEN b.state = 'open' AND a.t - b.opened >= 3600 THEN 'half_open' ELSE b.state END AS state FROM b JOIN a ON a.domain = b.domain AND a.k = b.k + 1))))
+SELECT domain, state, failures FROM b QUALIFY row_number() OVER (PARTITION BY domain ORDER BY k DESC) = 1"""
+
+
+@query(_BREAKER)
 def circuit_breaker_fold(spark, sf_dir):
-    """The breaker's last state per domain; tests compare it with a plain state machine."""
+    """The breaker's last state per domain."""
     value = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("success").alias("ok"))
     start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).cast("long").alias("opened"))
     got = stats.fold(attempts(spark, sf_dir), ["domain"], ["ts", "attempt_id"], value, start, lambda a, v: stats.breaker_step(a, v, threshold=2, reset_s=3600), "b")

@@ -77,7 +77,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 @query(f"""WITH m AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{EMAIL}'))) AS raw FROM documents)
 SELECT doc_id, raw, CASE WHEN regexp_matches(lower(trim(raw)), '^[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{{2,}}$') THEN lower(trim(raw)) ELSE '' END AS email FROM m""")
 def contact_emails(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)))).alias("raw"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(S.EMAIL), F.lit(0)))).alias("raw"))
     return found.select("doc_id", "raw", S.clean_email(F.col("raw")).alias("email"))
 
 

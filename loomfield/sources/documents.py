@@ -5,7 +5,9 @@ PDF needs a parser that isn't part of the standard library; pdf_rows() uses one
 from __future__ import annotations
 
 import io
+import json
 import re
+import sqlite3
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Mapping, Sequence
@@ -78,17 +80,90 @@ def xlsx_rows(files: DataFrame) -> DataFrame:
     return _rows(files, parse_xlsx, "path string, sheet string, row int, cells array<string>", (pa.string(), pa.int32(), pa.list_(pa.string())), ("sheet", "row", "cells"))
 
 
-def pdf_rows(files: DataFrame) -> DataFrame:
-    """(path, page, text) where the pypdf library is installed on the executors."""
+_CORE = ("title", "creator", "subject", "keywords", "description", "created", "modified")
+
+
+def docx_properties(files: DataFrame) -> DataFrame:
+    """(path, name, value) of the core properties of DOCX files, those of _CORE that are there."""
+
+    def parse(data: bytes):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            if "docProps/core.xml" not in z.namelist():
+                return []
+            held = {n.tag.rsplit("}", 1)[-1]: (n.text or "").strip() for n in ET.fromstring(z.read("docProps/core.xml"))}
+        return [(k, held[k]) for k in _CORE if held.get(k)]
+
+    return _rows(files, parse, "path string, name string, value string", (pa.string(), pa.string()), ("name", "value"))
+
+
+def pdf_tables(files: DataFrame) -> DataFrame:
+    """(path, page, table, row, cells) where the pdfplumber library is installed on the executors."""
 
     def parse(data: bytes):
         try:
-            from pypdf import PdfReader
+            import pdfplumber
         except ImportError as e:
-            raise RuntimeError("reading PDF files needs pypdf on every executor") from e
-        return [(i + 1, p.extract_text() or "") for i, p in enumerate(PdfReader(io.BytesIO(data)).pages)]
+            raise RuntimeError("tables of PDF files need pdfplumber on every executor") from e
+        with pdfplumber.open(io.BytesIO(data)) as pdf:
+            return [(i, j, k, [c or "" for c in row]) for i, page in enumerate(pdf.pages, 1) for j, t in enumerate(page.extract_tables() or []) for k, row in enumerate(t)]
+
+    return _rows(files, parse, "path string, page int, table int, row int, cells array<string>", (pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())), ("page", "table", "row", "cells"))
+
+
+def document_texts(files: DataFrame, pdf: bool = True) -> DataFrame:
+    """(path, kind, text, error) of files by their extension: DOCX paragraphs and XLSX cells by line, PDF pages if
+    ``pdf``; other kinds, and files that can't be read, have an error instead of a text."""
 
-    return _rows(files, parse, "path string, page int, text string", (pa.int32(), pa.string()), ("page", "text"))
+    def text(path: str, data: bytes) -> tuple[str, str | None, str | None]:
+        kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+        try:
+            if kind == "docx":
+                return kind, "\n".join(t for _, _, t, _ in parse_docx(data)), None
+            if kind == "xlsx":
+                return kind, "\n".join("\t".join(cells) for _, _, cells in parse_xlsx(data)), None
+            if kind == "pdf" and pdf:
+                return kind, "\n".join(t for _, t in _pdf_pages(data)), None
+        except Exception as e:  # one bad file is a row, not the end of the job
+            return kind, None, f"{type(e).__name__}: {e}"
+        return kind, None, "unsupported format"
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, *text(p, d)) for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["path", "kind", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, kind string, text string, error string")
+
+
+def sqlite_rows(files: DataFrame, query: str, schema: str) -> DataFrame:
+    """path and the rows of a query over each SQLite file; schema: the query's columns.  Files are read as they
+    are in the store, in memory, a task a file or more."""
+    from pyspark.sql import functions as F
+
+    def parse(data: bytes):
+        con = sqlite3.connect(":memory:")
+        con.deserialize(data)
+        con.row_factory = sqlite3.Row
+        try:
+            return [(json.dumps(dict(r), default=str),) for r in con.execute(query)]
+        finally:
+            con.close()
+
+    rows = _rows(files, parse, "path string, json string", (pa.string(),), ("json",))
+    return rows.select("path", F.from_json("json", schema).alias("r")).select("path", "r.*")
+
+
+def _pdf_pages(data: bytes) -> list[tuple[int, str]]:
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs pypdf on every executor") from e
+    return [(i + 1, p.extract_text() or "") for i, p in enumerate(PdfReader(io.BytesIO(data)).pages)]
+
+
+def pdf_rows(files: DataFrame) -> DataFrame:
+    """(path, page, text) where the pypdf library is installed on the executors."""
+    return _rows(files, _pdf_pages, "path string, page int, text string", (pa.int32(), pa.string()), ("page", "text"))
 
 
 _TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{}</Types>'
@@ -104,10 +179,11 @@ def _zip(parts: Mapping[str, str]) -> bytes:
     return out.getvalue()
 
 
-def make_docx(paragraphs: Sequence[tuple[str | None, str]], tables: Sequence[Sequence[Sequence[str]]] = ()) -> bytes:
+def make_docx(paragraphs: Sequence[tuple[str | None, str]], tables: Sequence[Sequence[Sequence[str]]] = (), properties: Mapping[str, str] | None = None) -> bytes:
     p = lambda t, s=None: "<w:p>" + (f'<w:pPr><w:pStyle w:val="{s}"/></w:pPr>' if s else "") + f"<w:r><w:t>{escape(t)}</w:t></w:r></w:p>"
     body = "".join(p(t, s) for s, t in paragraphs) + "".join("<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in t) + "</w:tbl>" for t in tables)
-    return _zip({
+    core = "".join(f"<{k}>{escape(v)}</{k}>" for k, v in (properties or {}).items())
+    return _zip(({"docProps/core.xml": f'<?xml version="1.0"?><coreProperties>{core}</coreProperties>'} if core else {}) | {
         "[Content_Types].xml": _TYPES.format('<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/>'),
         "_rels/.rels": _RELS.format(f'<Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="word/document.xml"/>'),
         "word/document.xml": f'<?xml version="1.0"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>',

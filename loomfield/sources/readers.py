@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,10 +76,45 @@ def filter_sitemap(rows: DataFrame, min_priority: float | None = None, changefre
 
 def sitemap_urls(xml: Column) -> Column:
     """The loc texts of a sitemap of any form, without excluded urls."""
-    return F.filter(F.regexp_extract_all(xml, F.lit(r"(?i)<loc[^>]*>\s*([^<\s]+)\s*</loc>"), F.lit(1)), lambda u: ~is_excluded(u))
+    found = F.regexp_extract_all(xml, F.lit(r"(?i)<loc[^>]*>\s*([^<\s]+)\s*</loc>"), F.lit(1))
+    return F.filter(F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))), lambda u: ~is_excluded(u))
 
 
 def robots_sitemaps(lines: DataFrame, column: str = "value") -> DataFrame:
     """Sitemap urls of robots.txt lines, with their case kept."""
     found = F.regexp_extract(F.trim(column), r"(?i)^sitemap:\s*(\S+)", 1)
     return lines.select(found.alias("url")).where("url <> ''").distinct()
+
+
+def sitemap_pages(pages: DataFrame, sitemaps: DataFrame, xml: str) -> DataFrame:
+    """The pages whose urls a sitemap of any form lists, without excluded urls.  pages: url and others; each url
+    is looked up once, however often it is listed."""
+    listed = sitemaps.select(F.explode(sitemap_urls(F.col(xml))).alias("url")).distinct()
+    return pages.join(listed, "url", "left_semi")
+
+
+def parse_values(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with a stored text as a value: parsed if ``name`` ends in .json and the text is JSON, else as it is."""
+    parsed = F.when(F.col(name).endswith(".json"), F.try_parse_json(column))
+    return df.withColumn(f"{column}_json", parsed)
+
+
+#: What a run starts from where no file says otherwise.
+DEFAULT_CONFIG = {"requests": {"timeout": 30, "max_retries": 3}, "output": {"formats": ["json", "csv", "xlsx"]}}
+
+
+def load_config(spark: SparkSession, path: str | None = None) -> dict:
+    """A YAML file from any store Spark reads, over DEFAULT_CONFIG; JSON is YAML, and the only form where no YAML
+    parser is installed."""
+    if path is None:
+        return dict(DEFAULT_CONFIG)
+    text = spark.read.text(path, wholetext=True).first()
+    try:
+        import yaml
+
+        held = yaml.safe_load(text.value if text else "")
+    except ImportError:
+        held = json.loads(text.value) if text else None
+    if held is not None and not isinstance(held, dict):
+        raise ValueError(f"{path} isn't a mapping")
+    return DEFAULT_CONFIG | (held or {})

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.operators.records import export_columns, flatten
-from loomfield.sources.documents import make_xlsx
+from loomfield.sources.documents import make_xlsx, parse_xlsx
 
 #: Rows a workbook may hold; results beyond are an error, not cut.
 WORKBOOK_ROWS = 1_000_000
@@ -32,15 +33,63 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def workbook(df: DataFrame, sheet: str = "data") -> bytes:
-    """A bounded result as one sheet with a header row; lists and structs as JSON or joined text."""
+def write_json_array(df: DataFrame, path: str, pretty: bool = True) -> None:
+    """One JSON array in one file, nulls and characters as they are; for results that one reader takes whole.
+    Rows stream through one task, none is held."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}).alias("value"))
+    rows = df.sparkSession.range(1).select(F.lit("").alias("value")).unionAll(rows).coalesce(1)  # a task even without rows
+
+    def run(batches):
+        before = "["
+        for b in batches:
+            for v in filter(None, b.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([before + v])], ["value"])
+                before = ",\n" if pretty else ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if before != "[" else "[]"])], ["value"])
+
+    rows.mapInArrow(run, "value string").write.mode("overwrite").option("lineSep", "\n" if pretty else "").text(path)
+
+
+def _sheet(df: DataFrame) -> list[list]:
     flat = flatten(df)
     if (n := flat.limit(WORKBOOK_ROWS + 1).count()) > WORKBOOK_ROWS:
-        raise ValueError(f"a workbook holds {WORKBOOK_ROWS} rows at most, this result has {n} or more")
-    return make_xlsx({sheet: [flat.columns, *map(list, flat.collect())]})
+        raise ValueError(f"a sheet holds {WORKBOOK_ROWS} rows at most, this result has {n} or more")
+    return [flat.columns, *map(list, flat.toLocalIterator(prefetchPartitions=True))]
+
+
+def workbook(df: DataFrame | Mapping[str, DataFrame], sheet: str = "data", append_to: bytes | None = None) -> bytes:
+    """Bounded results as sheets with a header row; lists and structs as JSON or joined text.  Several are given by
+    sheet names; append_to: a workbook whose other sheets are kept, as text."""
+    sheets: dict[str, list] = {}
+    for name, row, cells in parse_xlsx(append_to) if append_to else ():
+        held = sheets.setdefault(name, [])
+        held.extend([] for _ in range(row - len(held)))
+        held.append(cells)
+    for name, part in (df if isinstance(df, Mapping) else {sheet: df}).items():
+        sheets[name] = _sheet(part)
+    return make_xlsx(sheets)
+
+
+def workbook_with_summary(df: DataFrame, sheet: str = "data") -> bytes:
+    """A workbook with the rows and a sheet of numbers about them: rows, columns, and filled values by column."""
+    flat = flatten(df)
+    got = flat.agg(F.count("*").alias("n"), *[F.count(F.col(f"`{c}`")).alias(f"f{i}") for i, c in enumerate(flat.columns)]).first()
+    summary = [["metric", "value"], ["rows", got["n"]], ["columns", len(flat.columns)], *[[f"filled {c}", got[f"f{i}"]] for i, c in enumerate(flat.columns)]]
+    return make_xlsx({sheet: _sheet(df), "summary": summary})
+
+
+def write_workbook(df: DataFrame, path: str) -> None:
+    """A workbook as one file in any store that Spark writes."""
+    jvm = df.sparkSession.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(workbook(df)))
+    finally:
+        out.close()
 
 
-WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"json": write_ndjson, "ndjson": write_ndjson, "csv": write_csv, "parquet": write_parquet}
+WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"json": write_json_array, "ndjson": write_ndjson, "csv": write_csv, "parquet": write_parquet, "xlsx": write_workbook}
 
 
 def write_all(df: DataFrame, base: str, formats: Sequence[str]) -> dict[str, str]:

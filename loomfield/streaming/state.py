@@ -189,6 +189,35 @@ def seen_once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataF
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+# ---- pausing
+
+
+class PausableQuery:
+    """A streaming query that can be stopped and started again: its checkpoint holds what was done, so that it goes
+    on behind the last finished batch.  ``writer`` gives a DataStreamWriter that names its checkpointLocation."""
+
+    def __init__(self, writer: Callable[[], object]):
+        self._writer, self._query = writer, None
+
+    @property
+    def status(self) -> str:
+        if self._query is None:
+            return "stopped"
+        return "running" if self._query.isActive else "complete"
+
+    def start(self):
+        if self.status != "running":
+            self._query = self._writer().start()
+        return self._query
+
+    resume = start
+
+    def pause(self) -> None:
+        if self._query is not None:
+            self._query.stop()
+            self._query = None
+
+
 # ---- batches
 
 

@@ -1,5 +1,6 @@
 """Laws and small cases of functions, records, graphs, folds, readers and writers."""
 
+import json
 import random
 
 import pytest
@@ -71,10 +72,23 @@ def test_graph_reach_on_a_cycle(spark):
 
 
 def test_folds(spark):
-    df = spark.createDataFrame([("a", i, ok) for i, ok in enumerate([True, True, False])], "k string, t int, ok boolean")
-    got = stats.fold(df, ["k"], ["t"], F.col("ok"), F.lit(0.5), stats.confidence_step, "c").first().c
-    assert round(got, 9) == 0.5
     rnd = random.Random(3)
+    events = [("a", 1_700_000_000 + i * 5000, rnd.random() < 0.5, rnd.choice([200, 429, 500]), rnd.choice([None, 7.0])) for i in range(200)]
+    df = spark.createDataFrame(events, "k string, t long, ok boolean, s int, r double").withColumn("ts", F.timestamp_seconds("t"))
+    ok, plain = F.col("ok"), {
+        "confidence": (0.5, lambda x, e: min(1.0, x + (0.05 if e[2] else -0.1))), "improve": (0.5, lambda x, e: min(1.0, x + 0.1) if e[2] else max(0.1, x - 0.15)),
+        "profile": (0.5, lambda x, e: max(0.0, min(1.0, x + (0.1 if e[2] else -0.1)))), "pattern": (0.5, lambda x, e: min(0.95, x + 0.1) if e[2] else x),
+        "ema": (0.0, lambda x, e: x * 0.7 + e[3] * 0.3),
+        "delay": (3.0, lambda x, e: min(60.0, e[4] if e[4] else x * 2) if e[3] == 429 else min(60.0, x * 1.5) if e[3] == 500 else max(1.0, x * 0.95)),
+    }
+    steps = {"confidence": stats.confidence_step(ok), "improve": stats.improve_step(ok), "profile": stats.profile_step(ok), "pattern": stats.pattern_step(ok), "ema": stats.ema_step(F.col("s").cast("double")), "delay": stats.delay_step(F.col("s"), F.col("r"))}
+    for name, (start, step) in plain.items():
+        x = start
+        for e in events:
+            x = step(x, e)
+        for unit in ("hour", "day", "year"):
+            got = stats.fold_linear(df, ["k"], ["ts"], steps[name], start, "x", unit).first().x
+            assert abs(got - x) < 1e-9, (name, unit)
     rows = [("a", t * 7, rnd.random() < 0.4) for t in range(80)]
     b = Breaker()
     for _, t, ok in rows:
@@ -93,7 +107,7 @@ def test_round_trips(spark, tmp_path):
     writers.write_ndjson(df, str(tmp_path / "nd"))
     writers.write_ndjson(df, str(tmp_path / "nd"), append=True)
     assert readers.read_ndjson(spark, str(tmp_path / "nd"), "id int, s string").count() == 4
-    assert set(writers.write_all(df.select("id", "s"), str(tmp_path / "all"), ["json", "csv", "parquet"])) == {"json", "csv", "parquet"}
+    assert set(writers.write_all(df.select("id", "s"), str(tmp_path / "all"), ["json", "csv", "parquet", "xlsx"])) == {"json", "csv", "parquet", "xlsx"}
     assert documents.parse_xlsx(writers.workbook(df.select("id", "s").where("id = 1"))) == [("data", 0, ["id", "s"]), ("data", 1, ["1", 'x,"y"\nz'])]
     (tmp_path / "o" / "p").mkdir(parents=True)
     (tmp_path / "o" / "p" / "x.txt").write_text("# c\nhttp://1\n\nhttp://2\n")
@@ -118,3 +132,71 @@ def test_sitemaps_and_robots(spark):
 def test_docx():
     got = documents.parse_docx(documents.make_docx([("Heading2", "T"), (None, "p")], [[["a", "b"]]]))
     assert got == [(0, "heading", "T", 2), (1, "paragraph", "p", 0), (2, "table", "a\tb", 0)]
+
+
+def test_global_ranks(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.randint(0, 5)) for i in range(1000)]
+    got = stats.global_rank(spark.createDataFrame(rows, "i long, p int").repartition(7), [F.desc("p"), F.col("i")]).collect()
+    want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    assert {r.i: r["rank"] for r in got} == want
+    assert stats.global_rank(spark.createDataFrame([], "i long"), [F.col("i")]).collect() == []
+
+
+def test_both_limits_and_pools(spark):
+    rnd = random.Random(2)
+    rows = [(i, f"d{rnd.randint(0, 3)}", rnd.randint(0, 300)) for i in range(120)]
+    got = {r.i: r for r in stats.both_limits(spark.createDataFrame(rows, "i int, d string, s long"), "d", F.col("s"), (3, 20), (8, 30)).collect()}
+    for i, d, t in rows:
+        own, every = sum(e == d and t - 20 <= x <= t for _, e, x in rows), sum(t - 30 <= x <= t for _, _, x in rows)
+        assert (got[i].own_count, got[i].all_count, got[i].allowed) == (own, every, own <= 3 and every <= 8)
+    pool = spark.createDataFrame([("a", None), ("a", None), ("b", True), ("b", False), ("b", None)], "p string, ok boolean")
+    assert {r.p: (r.n, r.n_ok, r.n_failed, r.success_rate) for r in stats.pool_stats(pool, ["p"], F.col("ok")).collect()} == {"a": (2, 0, 0, 1.0), "b": (3, 1, 1, 0.5)}
+
+
+def test_crawl_goes_on_where_it_stopped(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6)], "src long, dst long")
+    start, path = spark.createDataFrame([(1,)], "node long"), str(tmp_path / "crawl")
+    seen, ended = graph.crawl_in_steps(edges, start, path, 10, 100, steps=2)
+    assert not ended and [r.node for r in seen.collect()] == [1, 2, 3]
+    seen, ended = graph.crawl_in_steps(edges, start, path, 10, 100)
+    assert ended and sorted(map(tuple, seen.collect())) == sorted(map(tuple, graph.reach(edges, start, 10).collect()))
+    assert [r.node for r in graph.crawl_in_steps(edges, start, path, 10, 2)[0].collect()] == [1, 2]
+
+
+def test_row_callbacks(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "i int, s string")
+    run = lambda r: None if r["s"] is None else [{"i": r["i"], "t": r["s"] * n} for n in range(1, r["i"] + 1)]
+    assert sorted(map(tuple, records.map_rows(df, run, "i int, t string, gone double").collect())) == [(1, "a", None), (2, "b", None), (2, "bb", None)]
+    assert [tuple(r) for r in records.map_rows(df.where("i = 1"), lambda r: {"t": r["s"]}, "t string").collect()] == [("a",)]
+
+
+def test_objects_at_any_depth(spark):
+    deep = '{"k":' * 12 + '[{"x": 1}, 2, {"y": [{"z": 3}]}]' + "}" * 12
+    from loomfield.operators.learning import list_objects
+
+    got = list_objects(spark.createDataFrame([(1, deep), (2, '{"a": {"b": 1}, "c": [{"d": 4}]}'), (3, "no json"), (4, None)], "i int, body string"), "body", ["i"])
+    assert sorted((r.i, r.item) for r in got.collect()) == [(1, '{"x":1}'), (1, '{"y":[{"z":3}]}'), (2, '{"d":4}')]
+
+
+def test_config_and_json(spark, tmp_path):
+    assert readers.load_config(spark)["requests"]["timeout"] == 30
+    (tmp_path / "c.yaml").write_text('{"requests": {"timeout": 5}, "own": [1, 2]}')
+    got = readers.load_config(spark, str(tmp_path / "c.yaml"))
+    assert got["requests"] == {"timeout": 5} and got["own"] == [1, 2] and got["output"]["formats"][0] == "json"
+    df = spark.createDataFrame([(1, None, "ü\n")], "a int, b string, c string")
+    writers.write_json_array(df, str(tmp_path / "arr"))
+    (part,) = (tmp_path / "arr").glob("part-*")
+    assert json.loads(part.read_text()) == [{"a": 1, "b": None, "c": "ü\n"}] and "ü" in part.read_text()
+    writers.write_json_array(df.limit(0), str(tmp_path / "none"))
+    assert "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")).strip() == "[]"
+    values = spark.createDataFrame([("x.json", '{"a": 1}'), ("x.json", "no"), ("x.txt", "{}")], "name string, value string")
+    assert sorted(str(r.value_json) for r in readers.parse_values(values, "value", "name").collect()) == ["None", "None", '{"a":1}']
+    sheets = documents.parse_xlsx(writers.workbook_with_summary(df))
+    assert ("summary", 1, ["rows", "1"]) in sheets and ("summary", 4, ["filled b", "0"]) in sheets
+
+
+def test_long_runs_of_letters(spark):
+    text = "a" * 300_000 + " x@y.org,p@q.de5r@s.net " + "b." * 100_000
+    got = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(scalar.EMAIL), F.lit(0)).alias("m")).first().m
+    assert got == ["x@y.org", "p@q.de", "5r@s.net"]

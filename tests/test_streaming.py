@@ -81,3 +81,16 @@ def test_snapshot_sink(spark, tmp_path):
     sink(two, 1)
     sink(one, 2)
     assert seen == [(0, [1, 2]), (1, [3]), (1, [3]), (2, [1])]
+
+
+def test_paused_queries_go_on(spark, tmp_path):
+    src = stream(spark, tmp_path, [(i,) for i in range(9)], "id long")
+    out = str(tmp_path / "out")
+    q = S.PausableQuery(lambda: src.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True))
+    assert q.status == "stopped"
+    q.start().awaitTermination(120)
+    assert q.status == "complete"
+    q.pause()
+    spark.createDataFrame([(100,)], "id long").write.mode("append").parquet(str(tmp_path / "src"))
+    q.resume().awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [*range(9), 100]
