@@ -38,7 +38,9 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11):
         self.total = len(sample)
-        self.trees = [self._grow(sample, leaf, np.random.default_rng([seed, t])) for t in range(trees)]
+        # in units of the largest component, so that squares neither overflow nor vanish
+        self.unit = float(np.abs(sample).max(initial=0.0)) or 1.0
+        self.trees = [self._grow(sample / self.unit, leaf, np.random.default_rng([seed, t])) for t in range(trees)]
 
     @staticmethod
     def _grow(x: np.ndarray, leaf: int, rng: np.random.Generator):
@@ -68,6 +70,7 @@ class Forest:
     def leaves(self, t: int, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of x in tree t."""
         normals, cuts, kids, _, root = self.trees[t]
+        x = x / self.unit
         out = np.empty(len(x), np.int64)
         work = [(root, np.arange(len(x)))]
         while work:
@@ -81,6 +84,7 @@ class Forest:
 
     def search(self, q: np.ndarray, fraction: float) -> list[tuple[int, int]]:
         """(tree, leaf) in the order of one queue shared by all trees."""
+        q = q / self.unit
         queue = [(0.0, t, self.trees[t][4]) for t in range(len(self.trees))]
         heapq.heapify(queue)
         found, seen, need = [], 0, fraction * self.total
@@ -110,23 +114,47 @@ def _fixed(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
+def distances(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x from v.  Where squares overflow or vanish, they are taken in units of
+    the largest difference."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        odd = ~np.isfinite(d) | (d < 1e-140)
+        if odd.any():
+            apart = x[odd] / 4 - v / 4
+            most = np.abs(apart).max(1)
+            unit = np.where(most > 0, most, 1.0)
+            d[odd] = np.sqrt(((apart / unit[:, None]) ** 2).sum(1)) * unit * 4
+    return d
+
+
 def nearest(table: DataFrame, every: int = 100, k: int = 10, fraction: float = FRACTION, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """query_id, rank (int, from 1), vec_id, score: for each row whose vec_id is divisible by ``every`` its k
     nearest other rows found, by Euclidean distance in double precision, ties to the smaller vec_id.
 
-    Rows which usable() leaves out are neither queries nor candidates; all vectors must be as long as each
-    other (others than the most common length take no part).  Repeated ids with equal vectors count once;
+    Rows which usable() leaves out are neither queries nor candidates.  Vectors of different lengths have no
+    distance: each length is searched on its own.  Repeated ids with equal vectors count once;
     a repeated id with different vectors is a candidate by its nearest one and a query by each.  An empty
     table gives an empty result.  ``sample`` bounds the rows that trees are fitted on.
     """
     spark = table.sparkSession
     ws = Workspace(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
     rows = ws.save(usable(table))
-    width = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if width is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == width["d"])
+    lengths = sorted(r.d for r in rows.select(F.size("v").alias("d")).distinct().collect())
+    out = None
+    for d in lengths:
+        one = _nearest(rows.where(F.size("v") == d) if len(lengths) > 1 else rows, ws, every, k, fraction, trees, sample, leaf)
+        out = one if out is None else out.unionAll(one)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int").select("query_id", "rank", "vec_id", "score")
+    # a query id with vectors of several lengths has one list
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, ws: Workspace, every: int, k: int, fraction: float, trees: int, sample: int, leaf: int) -> DataFrame:
+    """(query_id, vec_id, score) of some more than the k best of each query, among vectors of one length."""
+    spark = rows.sparkSession
     # the k + 1 smallest ids of each vector: the group of a very common one is cut down before it meets
     parted = rows.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     index = parted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.slice("ids", 1, k + 1)))), 1, k + 1).alias("ids"))
@@ -178,7 +206,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, fraction: float = F
                 rows_ = np.flatnonzero(slots[at])
                 if not len(rows_):
                     continue
-                d = np.sqrt(((x[rows_] - np.asarray(v)) ** 2).sum(1))
+                d = distances(x[rows_], np.asarray(v))
                 if len(d) > k + 1:
                     near = d <= np.partition(d, k)[k]
                     rows_, d = rows_[near], d[near]
@@ -187,6 +215,4 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, fraction: float = F
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     near = indexed.groupBy("tree", "grp", "part").cogroup(queries.groupBy("tree", "grp", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
-    near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -55,3 +55,19 @@ def test_few_rows(spark):
     assert run(spark, []) == {}
     assert run(spark, [(0, [1.0, 2.0])]) == {}
     assert run(spark, [(0, [1.0, 2.0]), (7, [1.0, 3.0])]) == {0: [(1.0, 7)]}
+
+
+def test_lengths_and_extreme_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4 if i % 3 else 7)]) for i in range(400)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, k=5, fraction=ann.TREES).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 400, 50):
+        v = dict(rows)[q]
+        want = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+        assert [i for _, i, _ in sorted(got[q])] == [i for _, i in want]
+    for scale in (1e200, 1e-200):
+        rows = [(i, [scale * (i + 1), 0.0]) for i in range(300)]
+        got = {r["rank"]: (r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=300, k=3).collect()}
+        assert {k: i for k, (i, _) in got.items()} == {1: 1, 2: 2, 3: 3} and all(abs(s / scale - k) < 1e-9 for k, (_, s) in got.items())
