@@ -17,7 +17,7 @@ FIXTURE = """<html><head><title>Shop</title><meta property="og:title" content="S
 
 
 #: The text pieces of HTML without its tags, as SQL: trimmed, none of them empty.
-_UNESCAPED = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_UNESCAPED = "replace(replace(replace(replace({}, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 _PIECES = "list_filter(list_transform(regexp_split_to_array({}, '<[^>]*>'), lambda x: " + _UNESCAPED.format("trim(x, ' ' || chr(9) || chr(10) || chr(13))") + "), lambda x: x <> '')"
 _PARAGRAPHS = "SELECT page_id, unnest(range(1, len(parts) + 1)) AS k, split_part(unnest(parts), '</p>', 1) AS s FROM (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:] AS parts FROM pages)"
 
@@ -96,7 +96,7 @@ def element_paths(spark, sf_dir):
     return rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id", "css").alias("n_css"), F.count_distinct("page_id", "xpath").alias("n_xpaths"))
 
 
-@query("""SELECT page_id, 0 AS removed, len(regexp_extract_all(html, '<a '))::INT AS n_links FROM pages UNION ALL SELECT -1, 1, 2""")
+@query("""SELECT page_id, 0 AS removed, len(regexp_extract_all(html, '<a '))::INT AS n_links FROM pages UNION ALL SELECT -1, 2, 2""")
 def pages_without_ads(spark, sf_dir):
     rows = X.flat_map(_pages(spark, sf_dir), lambda h, u: [X.without_ads(h)], "clean string, removed int")
     return rows.select("page_id", "removed", F.size(F.regexp_extract_all("clean", F.lit("<a "), F.lit(0))).alias("n_links"))
