@@ -172,6 +172,22 @@ def problem(html: Column, status: Column, headers: Column, error: Column) -> Col
     return F.transform(ruled, judged)[0]
 
 
+def problem_keywords(kind: Column, host: Column, evidence: Column, most: int = 20) -> Column:
+    """The problem's kind, its host's second-level name, and the first three words of each matched pattern;
+    different ones, in alphabetical order where there are more than ``most``."""
+    labels = F.split(host, r"\.")
+    name = F.when(F.size(labels) >= 2, F.element_at(labels, -2))
+    words = F.flatten(F.transform(evidence, lambda p: F.slice(F.regexp_extract_all(F.lower(p), F.lit("[a-z]+"), F.lit(0)), 1, 3)))
+    found = F.array_distinct(F.array_compact(F.concat(F.array(kind, name), words)))
+    return F.when(F.size(found) > most, F.slice(F.array_sort(found), 1, most)).otherwise(found)
+
+
+def problem_signatures(kind: Column, host: Column, path: Column) -> Column:
+    """The kind alone, with eight hex digits of the host, and with those of the path where there is one."""
+    short = lambda c: F.concat(kind, F.lit("_"), F.left(F.md5(c), F.lit(8)))
+    return F.array_compact(F.array(kind, short(host), F.when(path != "", short(path))))
+
+
 def first_rule(low: Column, rules: Sequence[tuple[str, Sequence[str]]], otherwise: str) -> Column:
     out = None
     for name, words in rules:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.functions.scalar import backoff
 from loomfield.session import ensure_checkpoint_dir
 
 
@@ -190,6 +191,17 @@ def skill_candidates(problems: DataFrame, skills: DataFrame, categories: Mapping
     return asked.drop("key").dropDuplicates(["problem_id", "skill"])
 
 
+def retry_outcomes(attempts: DataFrame, job: Sequence[str], order: Sequence[str], ok: str, most: int = 3) -> DataFrame:
+    """Each job's retries by its log: executions (up to the first success, ``most`` retries after the first one at
+    most), whether it succeeded within them, and the seconds waited between them by exponential backoff."""
+    rows = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(ok).alias("__ok"))))
+    tried = attempts.groupBy(*job).agg(rows.alias("__rows")).withColumn("__rows", F.slice("__rows", 1, most + 1))
+    hit = F.array_position(F.transform("__rows", lambda r: r["__ok"]), True)
+    n = F.when(hit > 0, hit).otherwise(F.size("__rows").cast("long"))
+    wait = F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), F.lit(0.0), lambda s, i: s + F.when(i > 0, backoff(i - 1)).otherwise(0.0))
+    return tried.select(*job, n.alias("executions"), (hit > 0).alias("succeeded"), wait.alias("waited"))
+
+
 def both_limits(df: DataFrame, by: str, seconds: Column, own: tuple[int, int], every: tuple[int, int]) -> DataFrame:
     """df with own_count and all_count, the requests of the key and of all keys in the seconds up to each request,
     and allowed, whether both keep within their limits; a limit is (requests, seconds).  Requests of all keys are

@@ -191,3 +191,14 @@ def workflow_for_url(spark, sf_dir):
 def preview_per_host(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", S.netloc(F.col("url")).alias("host"))
     return stats.last_n(p, ["host"], [F.col("page_id")], 5)
+
+
+@query(r"""WITH p AS (SELECT page_id, ['cloudflare', 'captcha', 'rate_limited'][(page_id % 3 + 1)::INT] AS kind, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, array_to_string(list_sort(list_distinct(list_filter([kind, CASE WHEN len(string_split(host, '.')) >= 2 THEN string_split(host, '.')[-2] END, 'checking', 'your', 'browser', 'cf', 'ray'], lambda x: x IS NOT NULL))), ',') AS keywords,
+kind || ',' || kind || '_' || left(md5(host), 8) || CASE WHEN path <> '' THEN ',' || kind || '_' || left(md5(path), 8) ELSE '' END AS signatures FROM p""")
+def problem_keys(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("cloudflare"), F.lit("captcha"), F.lit("rate_limited")), (F.pmod("page_id", F.lit(3)) + 1).cast("int"))
+    host, path = S.netloc(F.col("url")), F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    evidence = F.array(F.lit("checking your browser now"), F.lit("cf-.*ray"))
+    words = R.problem_keywords(kind, host, evidence)
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(words), ",").alias("keywords"), F.array_join(R.problem_signatures(kind, host, path), ",").alias("signatures"))

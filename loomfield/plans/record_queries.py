@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalar as S
+from loomfield.operators import graph
 from loomfield.operators import records as R
 from loomfield.plans.registry import query
 from loomfield.plans.views import table, values_sql
@@ -186,3 +187,20 @@ def skill_import(spark, sf_dir):
     exported = p.where("id % 3 = 0").withColumn("name", F.upper("name")).select(F.to_json(F.struct("id", "name")).alias("line"))
     given = exported.select(F.from_json("line", "id long, name string").alias("r")).select("r.*")
     return R.insert_or_ignore(p.where("id % 2 = 0"), given, ["id"])
+
+
+@query("""WITH m AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT page_id + 1000000, url || '/' FROM pages WHERE page_id % 2 = 0 AND url NOT LIKE '%?%' AND url NOT LIKE '%/' UNION ALL SELECT s_suppkey + 2000000, NULL FROM supplier)
+SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY CASE WHEN url IS NULL THEN id::VARCHAR ELSE rtrim(split_part(trim(url), '?', 1), '/') END ORDER BY id) AS r FROM m) WHERE r = 1""")
+def merged_records(spark, sf_dir):
+    """Lists of several workers with different fields, then one record per normalised url or content."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    again = pages.where("id % 2 = 0 and url not like '%?%' and url not like '%/'").select((F.col("id") + 1000000).alias("id"), F.concat("url", F.lit("/")).alias("url"))
+    others = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 2000000).alias("id"), F.col("s_suppkey").cast("string").alias("name"))
+    return R.unique_records(R.merge(pages, again, others), "url", [F.col("id")], leave=["id"]).select("id")
+
+
+@query(r"""SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages) WHERE regexp_matches(href, '^/[A-Z]') GROUP BY page_id""")
+def links_by_pattern(spark, sf_dir):
+    """Links whose target matches a regular expression."""
+    found = graph.page_links(table(spark, sf_dir, "pages")).where(F.col("href").rlike("^/[A-Z]"))
+    return found.groupBy("page_id").agg(F.count("*").alias("n"))

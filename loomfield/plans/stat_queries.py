@@ -326,3 +326,42 @@ def embedding_topk(spark, sf_dir):
     pairs = e.select("vec_id", "v", F.explode(rows).alias("a")).select("vec_id", "v", "a.query_id", "a.q").where("vec_id <> query_id")
     score = F.round(dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q"))), 9)
     return records.top_per_group(pairs.select("query_id", "vec_id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("vec_id")], 10).select("query_id", "vec_id", "score")
+
+
+@query(f"""WITH {ATTEMPTS}, g AS (SELECT domain, date_trunc('day', ts) AS day, list(success ORDER BY ts, attempt_id)[1:4] AS v FROM attempts GROUP BY ALL), n AS (SELECT *, CASE WHEN list_contains(v, true) THEN list_position(v, true) ELSE len(v) END AS k FROM g)
+SELECT domain, day, k::BIGINT AS executions, list_contains(v, true) AS succeeded, (CASE WHEN k > 1 THEN power(2, k - 1) - 1 ELSE 0 END)::DOUBLE AS waited FROM n""")
+def retry_outcomes(spark, sf_dir):
+    """A domain's attempts of one day as a job: retried until it succeeds, three times at most."""
+    a = attempts(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    return stats.retry_outcomes(a, ["domain", "day"], ["ts", "attempt_id"], "success")
+
+
+_APIS = "apis AS (SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'POST' ELSE 'GET' END AS method, '/api/' || (user_id % 40) AS url, (event_id % 7) / 10.0::DOUBLE AS confidence FROM events)"
+
+
+@query(f"WITH {_APIS}, f AS (SELECT * FROM apis QUALIFY row_number() OVER (PARTITION BY method, url ORDER BY seq) = 1) SELECT seq, method, url, row_number() OVER (ORDER BY confidence DESC, seq)::BIGINT AS rank FROM f")
+def ranked_apis(spark, sf_dir):
+    """The first of each method and url, by confidence; ties in the order they were found."""
+    e = table(spark, sf_dir, "events")
+    apis = e.select(
+        F.col("event_id").alias("seq"), F.when(F.pmod("event_id", F.lit(5)) == 0, "POST").otherwise("GET").alias("method"), F.concat(F.lit("/api/"), F.pmod("user_id", F.lit(40)).cast("string")).alias("url"),
+        (F.pmod("event_id", F.lit(7)) / 10.0).cast("double").alias("confidence"),
+    )
+    first = records.first_wins(apis, F.concat_ws(":", "method", "url"), [F.col("seq")])
+    return stats.global_rank(first, [F.desc("confidence"), F.col("seq")]).select("seq", "method", "url", "rank")
+
+
+@query(f"""WITH {ATTEMPTS} SELECT method AS worker, count(*) AS n_results, sum(items)::BIGINT AS n_items, sum(items) > 0 AS success, round(max(time_taken), 6) AS slowest FROM attempts GROUP BY method""")
+def worker_results(spark, sf_dir):
+    """Results of workers put together; a worker with any item has succeeded."""
+    return attempts(spark, sf_dir).groupBy(F.col("method").alias("worker")).agg(
+        F.count("*").alias("n_results"), F.sum("items").alias("n_items"), (F.sum("items") > 0).alias("success"), F.round(F.max("time_taken"), 6).alias("slowest")
+    )
+
+
+@query(f"""WITH {ATTEMPTS}, a AS (SELECT method AS agent, count(*) AS tasks, count(*) FILTER (WHERE success) AS completed, round(avg(time_taken), 6) AS avg_time FROM attempts GROUP BY method) SELECT agent, tasks, completed, avg_time, round(completed / tasks, 9) AS success_rate FROM a
+UNION ALL SELECT 'all', sum(tasks)::BIGINT, sum(completed)::BIGINT, (SELECT round(avg(time_taken), 6) FROM attempts), round(sum(completed) / sum(tasks), 9) FROM a""")
+def agent_stats(spark, sf_dir):
+    """Each agent and the pool of all, in one pass."""
+    got = attempts(spark, sf_dir).rollup("method").agg(F.count("*").alias("tasks"), F.count_if("success").alias("completed"), F.round(F.avg("time_taken"), 6).alias("avg_time"))
+    return got.select(F.coalesce("method", F.lit("all")).alias("agent"), "tasks", "completed", "avg_time", F.round(F.col("completed") / F.col("tasks"), 9).alias("success_rate"))
