@@ -146,9 +146,10 @@ def api_endpoints(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES (1::BIGINT, '/api/', 'https://a.com/api/items'), (1, '/v/', 'https://a.com/v2/list'), (1, 'absolute', 'https://b.com/api/'), (1, 'baseURL', 'https://a.com/root'), (1, 'endpoint', 'https://a.com/e')) t(id, rule, endpoint)")
 def script_endpoints(spark, sf_dir):
-    """The patterns for script files: three hits a pattern."""
+    """The patterns for script files, over a fixture file and the scripts within all pages: three hits a pattern."""
     script = """a("/api/items"); b('/v2/list'); c="https://b.com/api/"; baseURL = "/root"; endpoint: '/e'"""
     files = spark.createDataFrame([(1, "https://a.com/app.js", script)], "id long, url string, body string")
+    files = files.unionByName(table(spark, sf_dir, "pages").select((F.col("page_id") + 1000).alias("id"), "url", F.col("html").alias("body")))
     hits = F.array(*[F.struct(F.lit(n).alias("rule"), F.slice(F.regexp_extract_all("body", F.lit(f"(?i){p}"), F.lit(g)), 1, 3).alias("found")) for n, p, g in R.SCRIPT_API_PATTERNS])
     rows = files.select("id", "url", F.explode(hits).alias("h")).select("id", "url", "h.rule", F.explode("h.found").alias("hit"))
     return rows.select("id", "rule", S.absolute_url(F.col("url"), F.col("hit")).alias("endpoint"))

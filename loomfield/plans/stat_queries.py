@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalar as S
-from loomfield.operators import records, stats
+from loomfield.operators import records, stats, vectors
 from loomfield.plans.registry import query
 from loomfield.plans.views import ATTEMPTS, QUEUE, SKILLS, attempts, queue, skills, table
 
@@ -315,17 +315,12 @@ def star_rollup(spark, sf_dir):
     return j.rollup(F.col("n_name").alias("nation"), "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(price.cast("decimal(28,4)")), 2).cast("double").alias("revenue"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM q, embeddings WHERE vec_id <> query_id)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 9) AS score FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10""")
 def embedding_topk(spark, sf_dir):
-    """Cosine retrieval of five fixed queries: they are literals in one scan, and each task keeps its own ten best."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = e.where("vec_id < 5").collect()
-    rows = F.array(*[F.struct(F.lit(r.vec_id).alias("query_id"), F.array(*[F.lit(x) for x in r.v]).alias("q")) for r in sorted(asked)])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = e.select("vec_id", "v", F.explode(rows).alias("a")).select("vec_id", "v", "a.query_id", "a.q").where("vec_id <> query_id")
-    score = F.round(dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q"))), 9)
-    return records.top_per_group(pairs.select("query_id", "vec_id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("vec_id")], 10).select("query_id", "vec_id", "score")
+    """Cosine retrieval: the rows whose id is divisible by 50 against all rows."""
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.cosine_topk(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding")
 
 
 @query(f"""WITH {ATTEMPTS}, g AS (SELECT domain, date_trunc('day', ts) AS day, list(success ORDER BY ts, attempt_id)[1:4] AS v FROM attempts GROUP BY ALL), n AS (SELECT *, CASE WHEN list_contains(v, true) THEN list_position(v, true) ELSE len(v) END AS k FROM g)

@@ -200,3 +200,22 @@ def test_long_runs_of_letters(spark):
     text = "a" * 300_000 + " x@y.org,p@q.de5r@s.net " + "b." * 100_000
     got = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(scalar.EMAIL), F.lit(0)).alias("m")).first().m
     assert got == ["x@y.org", "p@q.de", "5r@s.net"]
+
+
+def test_exact_retrieval_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from loomfield.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(120)] + [(500, None), (501, [0.0] * 5), (502, [1.0, 0.0, 0.0, 0.0, 0.0]), (503, [2.0, 0.0, 0.0, 0.0, 0.0]), (504, [3.0, 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "i long, v array<double>").repartition(5)
+    got = {}
+    for r in vectors.cosine_topk(df, df.where("i % 20 = 0 or i > 499"), "i", "v", k=4).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and any(v)}
+    for q in [*range(0, 120, 20), 500, 502, 503, 504]:
+        want = sorted((-round(float(x[q] @ w), 9), i) for i, w in x.items() if i != q)[:4] if q in x else []
+        assert [i for _, i in sorted(got.get(q, []))] == [i for _, i in want]
+    assert vectors.cosine_topk(df, df.limit(0), "i", "v").collect() == []
