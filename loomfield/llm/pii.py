@@ -120,7 +120,7 @@ def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws(_SEP, F.lit(key), kind, canon, attempt.cast("string")), 512)
 
 
-def _draw(stream: Column, i: Column, n: int) -> Column:
+def _draw(stream: Column, i: Column, n: int | Column) -> Column:
     """A number below n from two hex digits at place i, which wraps around."""
     at = F.pmod(i * 2, F.lit(126)) + 1
     return F.pmod(F.conv(F.substring(stream, at, F.lit(3)), 16, 10).cast("int") + F.floor(i / 63).cast("int"), F.lit(n)).cast("int")
@@ -176,19 +176,34 @@ def _word(word: Column, stream: Column, attempt: Column, gender: Column | None =
     """A made-up word of the word's length, case and script, with its marks between letters; consonants and
     vowels take turns.  gender sets the last letter."""
     length = F.length(word)
-    chars = F.transform(F.sequence(F.lit(1), length + F.greatest(attempt - (_LONGER - 1), F.lit(0))), lambda i: F.struct(F.substring(word, F.least(i, length), F.lit(1)).alias("c"), i.alias("i")))
+    total = length + F.greatest(attempt - (_LONGER - 1), F.lit(0))
+    chars = F.transform(F.sequence(F.lit(1), total), lambda i: F.struct(F.substring(word, F.least(i, length), F.lit(1)).alias("c"), i.alias("i")))
+    nth = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k)
+    held = list(SCRIPTS.values())
+
+    def script(c: Column) -> Column:
+        out = None
+        for k, (pattern, *_) in enumerate(held, 1):
+            out = F.when(c.rlike(f"^{pattern}$"), k) if out is None else out.when(c.rlike(f"^{pattern}$"), k)
+        return out
+
+    def letters(x: Column) -> Column:
+        """What the place's letter is drawn from; null in places of marks."""
+        k = x["k"]
+        out = F.when(F.pmod(x["i"], F.lit(2)) == 1, nth([h[1] for h in held], k)).otherwise(nth([h[2] for h in held], k))
+        if gender is not None:
+            last = F.when(gender == "m", nth([h[3]["m"] for h in held], k)).when(gender == "f", nth([h[3]["f"] for h in held], k)).otherwise(nth([h[3]["n"] for h in held], k))
+            out = F.when(x["i"] == total, last).otherwise(out)
+        return F.when(k.isNotNull(), out)
 
     def made(x: Column) -> Column:
-        c, i, out = x["c"], x["i"], None
-        for pattern, consonants, vowels, last in SCRIPTS.values():
-            new = F.when(F.pmod(i, F.lit(2)) == 1, _pick(consonants, _draw(stream, i, len(consonants)))).otherwise(_pick(vowels, _draw(stream, i, len(vowels))))
-            if gender is not None:
-                ends = F.when(gender == "m", last["m"]).when(gender == "f", last["f"]).otherwise(last["n"])
-                new = F.when(i == F.size(chars), ends).otherwise(new)
-            cased = F.when((F.upper(c) == c) & (F.lower(c) != c) & (i <= length), F.upper(new)).otherwise(new)
-            out = F.when(c.rlike(f"^{pattern}$"), cased) if out is None else out.when(c.rlike(f"^{pattern}$"), cased)
-        return out.otherwise(c)
+        c, i, of = x["c"], x["i"], x["of"]
+        new = F.substring(of, _draw(stream, i, F.length(of)) + 1, F.lit(1))
+        capital = (F.upper(c) == c) & (F.lower(c) != c) & (i <= length)
+        return F.when(of.isNull(), c).when(capital, F.upper(new)).otherwise(new)
 
+    chars = F.transform(chars, lambda x: F.struct(x["c"].alias("c"), x["i"].alias("i"), script(x["c"]).alias("k")))
+    chars = F.transform(chars, lambda x: F.struct(x["c"].alias("c"), x["i"].alias("i"), letters(x).alias("of")))
     return F.array_join(F.transform(chars, made), "")
 
 
