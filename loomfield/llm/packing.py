@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from loomfield.llm.shared import only, small_batches
 
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-_KNOWN = 120_000
+#: Chunks and words that a worker remembers.
+_CHUNKS, _WORDS = 200_000, 200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -33,7 +34,7 @@ class WordEncoder:
 
     The vocabulary's rules never join characters across white space, so a text's ids are those of its
     space-separated chunks.  Chunks, and plain words without case and final punctuation, are encoded
-    once and remembered, up to _KNOWN of either; chunks of other forms go through the whole tokenizer.
+    once and remembered, up to _CHUNKS and _WORDS; chunks of other forms go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,7 +51,7 @@ class WordEncoder:
         if got is None:
             spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
             got = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            if len(self.words) < _KNOWN:
+            if len(self.words) < _WORDS:
                 self.words[word] = got
         return got
 
@@ -60,7 +61,7 @@ class WordEncoder:
             got = self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
         else:
             got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) < _KNOWN and len(chunk) <= 64:
+        if len(self.chunks) < _CHUNKS and len(chunk) <= 64:
             self.chunks[chunk] = got
         return got
 
