@@ -121,6 +121,12 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "start", "length", "tokens", "doc_tokens", "bucket"])
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """pack()'s pieces as Parquet by bucket, so that a training job draws batches of equal lengths from one folder.
+    Each task writes a file for each of the few lengths; nothing is shuffled, so no bucket meets in a task."""
+    pieces.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     """The contract's columns from pack()'s result."""
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

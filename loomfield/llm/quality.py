@@ -130,6 +130,8 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 def keep_good(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """The rows of docs that judge() keeps, with all their columns.
 
+    Null and empty texts have no words and go; rows with a null source are judged alone; null doc_ids and
+    repeated rows are rows like others.  An empty table gives an empty result.
     Documents are measured twice, for their hosts and for themselves: texts are neither written between
     nor shuffled by host."""
     names = {f: fresh(docs, f"quality_{f}") for f in FEATURES}

@@ -54,3 +54,13 @@ def test_lengths():
     assert packing.piece_lengths(4096 + 7, 2048) == [2048, 2048, 4, 2, 1]
     with pytest.raises(ValueError):
         packing.pack(None, PATH, longest=1000)
+
+
+def test_buckets_hold_equal_lengths(spark, tmp_path):
+    rows = [(i, "word " * n) for i, n in enumerate([0, 1, 5, 17, 300, 2047, 2048, 5000])] + [(None, None)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    got = {(r.bucket, r.length) for r in back.select("bucket", "length").distinct().collect()}
+    assert all(length == 1 << bucket for bucket, length in got) and len(got) > 5
+    assert back.count() == pieces.count() and sum(r.length for r in back.select("length").collect()) == sum(r.length for r in pieces.select("length").collect())
