@@ -2,11 +2,11 @@
 
 A 64-bit fingerprint is cut into 32 segments of two bits; a fingerprint becomes the vector of its
 segments' bit counts.  One differing bit moves that vector by one under the Manhattan distance, so that
-distance is a lower bound of the Hamming distance.  The vector's 32 coordinates form eight groups (the
-bytes of the packed vector); at most k differing bits leave 8 - k groups alone, hence two fingerprints
-within k bits share a cell of at least one of the C(8, k) sub-grids that keep 8 - k groups.  The range
-join looks into equal cells only, filters by the Manhattan distance and verifies by the exact Hamming
-distance.
+distance is a lower bound of the Hamming distance.  The vector's 32 coordinates form g groups; at most k
+differing bits leave g - k groups alone, hence two fingerprints within k bits share a cell of at least one
+of the C(g, k) sub-grids that keep g - k groups.  g grows with the number of fingerprints, so that cells
+stay small.  The range join looks into equal cells only, filters by the Manhattan distance and verifies by
+the exact Hamming distance.
 
 Large groups of near copies fill cells with thousands of different fingerprints.  Their pairs are never
 made: neighbours in a cell's sorted order are linked first, components are contracted, and only cells
@@ -17,6 +17,7 @@ there, so the components are those of the whole graph.
 from __future__ import annotations
 
 from itertools import combinations, islice, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from loomfield.llm.shared import Workspace, components, fresh, only
 
 SEED = 42
+SEGMENTS = 32
 _BLOCK = 1 << 15
 
 
@@ -74,14 +76,28 @@ def _manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(low) + 2 * F.bit_count(F.shiftrightunsigned(x, 1).bitwiseAND(odd).bitwiseAND(F.bitwise_not(low)))
 
 
-def _masks(bits: int) -> list[int]:
-    keep = [sum(0xFF << (8 * g) for g in c) for c in combinations(range(8), 8 - bits)]
+def groups_for(n: int, bits: int) -> int:
+    """The number of groups of segments at which n fingerprints cost least: a row per sub-grid, and the pairs that
+    meet in a cell by chance (a segment's count takes its three values with 1, 2 and 1 quarters, so two counts
+    are equal with probability 3/8).  More groups make more and finer sub-grids; the links found are the same."""
+
+    def cost(g: int) -> float:
+        return comb(g, bits) * (n + 0.25 * n * n * 0.375 ** (SEGMENTS * (g - bits) / g))
+
+    return min(range(bits + 1, min(bits + 13, SEGMENTS)), key=cost)
+
+
+def _masks(bits: int, groups: int) -> list[int]:
+    """The masks that keep groups - bits of the groups, which share the segments as evenly as can be."""
+    edges = [SEGMENTS * g // groups for g in range(groups + 1)]
+    whole = [sum(3 << (2 * s) for s in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
+    keep = [sum(c) for c in combinations(whole, groups - bits)]
     return [m - (1 << 64) if m >> 63 else m for m in keep]
 
 
-def classes(prints: DataFrame, ws: Workspace, bits: int = 4) -> DataFrame:
+def classes(prints: DataFrame, ws: Workspace, bits: int = 4, groups: int | None = None) -> DataFrame:
     """(fp, component_id) of every different fingerprint; component_id is the smallest doc_id reachable
-    over links of at most ``bits`` (0 to 7) differing bits.
+    over links of at most ``bits`` (0 to 7) differing bits; ``groups``, else groups_for(), changes the cost only.
 
     Nodes are the fingerprints themselves, so that one all of whose rows lack a doc_id links others too; a
     component without any doc_id has a null component_id."""
@@ -89,7 +105,7 @@ def classes(prints: DataFrame, ws: Workspace, bits: int = 4) -> DataFrame:
         raise ValueError("bits must be between 0 and 7")
     reps = ws.save(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     seg = _segment_counts(F.col("fp"))
-    cells = reps.select("fp", F.posexplode(F.array(*[seg.bitwiseAND(F.lit(m)) for m in _masks(bits)])).alias("grid", "cell"))
+    cells = reps.select("fp", F.posexplode(F.array(*[seg.bitwiseAND(F.lit(m)) for m in _masks(bits, groups or groups_for(reps.count(), bits))])).alias("grid", "cell"))
     w = Window.partitionBy("grid", "cell").orderBy("fp")
     crowded = ws.save(cells.select("grid", "cell", "fp", F.lag("fp").over(w).alias("fp0"), F.lead("fp").over(w).alias("fp1")).where("fp0 is not null or fp1 is not null").drop("fp1"))
     near = crowded.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= bits)

@@ -64,7 +64,8 @@ def test_dense_groups_by_chains_of_links(spark):
             prints.append((d := d + 1, x - (1 << 64) if x >> 63 else x))
     rnd.shuffle(prints)
     ws = simhash.Workspace(spark)
-    got = {r.fp: r.component_id for r in simhash.classes(spark.createDataFrame(prints, "doc_id long, fp long"), ws).collect()}
+    df = spark.createDataFrame(prints, "doc_id long, fp long")
+    found = [{r.fp: r.component_id for r in simhash.classes(df, ws, groups=g).collect()} for g in (None, 5, 9)]
     up = {f: f for _, f in prints}
 
     def root(i):
@@ -80,7 +81,15 @@ def test_dense_groups_by_chains_of_links(spark):
     low = {}
     for d, f in prints:
         low[root(f)] = min(low.get(root(f), d), d)
-    assert got == {f: low[root(f)] for f in fs}
+    assert all(got == {f: low[root(f)] for f in fs} for got in found)
+
+
+def test_groups_grow_with_the_table():
+    got = [simhash.groups_for(10**k, 4) for k in range(1, 13)]
+    assert got == sorted(got) and got[0] < got[-1]
+    for g in (5, 7, 12):
+        masks = simhash._masks(4, g)
+        assert len(masks) == len(set(masks)) and all(-(1 << 63) <= m < 1 << 63 for m in masks)
 
 
 def test_null_ids_extra_columns_and_empty_table(spark):
