@@ -60,12 +60,12 @@ def url_filters(spark, sf_dir):
     return flags.groupBy(*flags.columns).agg(F.count("*").alias("n"))
 
 
-_EDGES = """edges AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem)"""
+_EDGES = """edges AS (SELECT DISTINCT l_partkey AS src, -1 - l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT -1 - l_suppkey, l_partkey FROM lineitem)"""
 
 
 def _edges(spark, sf_dir):
     """Parts and their suppliers linked both ways; a supplier's node is its number below zero."""
-    one = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).distinct()
+    one = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (-1 - F.col("l_suppkey")).alias("dst")).distinct()
     return one.unionAll(one.select("dst", "src"))
 
 
