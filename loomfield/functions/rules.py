@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -249,6 +250,20 @@ def is_ad_url(url: Column, trackers: bool = False) -> Column:
     return has_any(F.lower(blank(url)), domains) | F.lower(blank(url)).rlike("|".join(AD_URL_PATTERNS))
 
 
+def is_blocked_element(class_: Column, id_: Column, src: Column, selectors: Sequence[str] = AD_SELECTORS) -> Column:
+    """Whether an element's class or id holds what a simple selector names (a class or attribute part anywhere, an id
+    as a whole), or its source is an ad's or tracker's."""
+    class_, id_, out = blank(class_), blank(id_), is_ad_url(src, trackers=True) & (blank(src) != "")
+    for s in selectors:
+        if m := re.fullmatch(r"\.([\w-]+)|\[class\*=['\"]([^'\"]+)['\"]\]", s):
+            out = out | class_.contains(m[1] or m[2])
+        elif m := re.fullmatch(r"#([\w-]+)", s):
+            out = out | (id_ == m[1])
+        elif m := re.fullmatch(r"\[id\*=['\"]([^'\"]+)['\"]\]", s):
+            out = out | id_.contains(m[1])
+    return out
+
+
 def next_method(challenges: dict[str, Column], current: Column) -> Column:
     """The first strategy other than the current one of the first challenge that has such a strategy."""
     tries = []

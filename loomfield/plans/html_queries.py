@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomfield.functions import rules
 from loomfield.operators import extract as X
 from loomfield.plans.registry import query
 from loomfield.plans.views import table
@@ -142,3 +143,10 @@ def xlsx_rows(spark, sf_dir):
     data = documents.make_xlsx({"first": [["name", "qty"], ["bolt", 3]], "second": [["x"]]})
     files = spark.createDataFrame([("a.xlsx", bytearray(data))], "path string, content binary")
     return documents.xlsx_rows(files).select("sheet", "row", F.array_join("cells", ",").alias("cells"))
+
+
+@query("SELECT page_id, tag, count(*) AS n FROM (VALUES (-1::BIGINT, 'div'), (-1, 'script')) t(page_id, tag) GROUP BY ALL")
+def blocked_elements(spark, sf_dir):
+    """Elements that an ad blocker's simple rules hit, as one expression over all elements of all pages."""
+    rows = X.flat_map(_pages(spark, sf_dir), X.elements, "tag string, class string, id string, src string")
+    return rows.where(rules.is_blocked_element(F.col("class"), F.col("id"), F.col("src"))).groupBy("page_id", "tag").agg(F.count("*").alias("n"))

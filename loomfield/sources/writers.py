@@ -89,6 +89,22 @@ def write_workbook(df: DataFrame, path: str) -> None:
         out.close()
 
 
+def write_everywhere(df: DataFrame, paths: Sequence[str], write: Callable[[DataFrame, str], None] = write_parquet) -> dict[str, str | None]:
+    """The same rows to several stores; each path with None, or with the error of a store that failed, which doesn't
+    keep the others from their copies.  The rows are computed once."""
+    held, out = df.persist(), {}
+    try:
+        for p in paths:
+            try:
+                write(held, p)
+                out[p] = None
+            except Exception as e:
+                out[p] = f"{type(e).__name__}: {e}".splitlines()[0]
+        return out
+    finally:
+        held.unpersist()
+
+
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"json": write_json_array, "ndjson": write_ndjson, "csv": write_csv, "parquet": write_parquet, "xlsx": write_workbook}
 
 

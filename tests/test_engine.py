@@ -219,3 +219,15 @@ def test_exact_retrieval_in_blocks(spark, monkeypatch):
         want = sorted((-round(float(x[q] @ w), 9), i) for i, w in x.items() if i != q)[:4] if q in x else []
         assert [i for _, i in sorted(got.get(q, []))] == [i for _, i in want]
     assert vectors.cosine_topk(df, df.limit(0), "i", "v").collect() == []
+
+
+def test_several_stores(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "i int, s string")
+    got = writers.write_everywhere(df, [str(tmp_path / "a"), "nosuch://x/y", str(tmp_path / "b")])
+    assert list(got.values())[::2] == [None, None] and got["nosuch://x/y"] and spark.read.parquet(str(tmp_path / "b")).count() == 1
+
+
+def test_blocked_elements(spark):
+    rows = [("x advert-y", "", ""), ("", "my-ad-box", ""), ("promotion", "", ""), ("plain", "p", "https://a.com/i.png"), ("", "", "https://x.doubleclick.net/a"), (None, None, None)]
+    df = spark.createDataFrame(rows, "c string, i string, s string")
+    assert [r.b for r in df.select(rules.is_blocked_element(F.col("c"), F.col("i"), F.col("s")).alias("b")).collect()] == [True, True, True, False, True, False]
