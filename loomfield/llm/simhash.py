@@ -142,16 +142,25 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, similarity: tuple[int, int] | None = None) -> DataFrame:
     """docs without all but the smallest doc_id of each component; columns and texts stay as they are.
 
-    A null doc_id names no document: such rows stay.  Of rows which repeat a doc_id one stays.
+    Links are fingerprints within ``bits``, or, if ``similarity`` is given as a fraction (p, q), all pairs of
+    documents whose sets of shingles reach that Jaccard similarity, which few bits can't tell (copies.py).
+    Null, empty and wordless texts are copies of each other.  A null doc_id names no document: such rows stay.
+    Of rows which repeat a doc_id one stays.  An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession)
-    prints = ws.save(fingerprints(docs, width))
-    keep = prints.where("doc_id is not null").join(ws.save(classes(prints, ws, bits)), "fp").where("doc_id = component_id")
+    if similarity:
+        from loomfield.llm import copies
+
+        named = ws.save(copies.members(docs, ws, width, similarity))
+    else:
+        prints = ws.save(fingerprints(docs, width))
+        named = ws.save(prints.join(ws.save(classes(prints, ws, bits)), "fp").select("doc_id", "component_id"))
+    named = named.where("doc_id is not null")
     key = fresh(docs, "kept_id")
-    kept = docs.join(keep.select(F.col("doc_id").alias(key)).distinct(), docs["doc_id"] == F.col(key), "left_semi")
-    if not prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    kept = docs.join(named.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), docs["doc_id"] == F.col(key), "left_semi")
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where(docs["doc_id"].isNull()))

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from loomfield.llm import copies
+from loomfield.llm import copies, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -59,7 +59,7 @@ def test_planted_pairs_against_all_pairs(spark):
     rows += [(5000, ""), (5001, None), (5002, " \n"), (5003, "One two"), (5004, "one TWO"), (5005, "one three")]
     want = brute(rows)
     df = spark.createDataFrame(rows, SCHEMA)
-    assert sorted(r.doc_id for r in copies.drop_near_copies(df).collect()) == want
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df, similarity=(4, 5)).collect()) == want
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
 
 
@@ -67,10 +67,10 @@ def test_ids_and_columns(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text, 1), (None, text, 2), (7, text, 3), (3, text + " more", 4), (3, "another text of its own here", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, kept_id long")
-    got = copies.drop_near_copies(df)
+    got = simhash.drop_near_duplicates(df, similarity=(4, 5))
     assert got.columns == df.columns
     assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 0, 3]
-    assert copies.drop_near_copies(df.limit(0)).collect() == []
+    assert simhash.drop_near_duplicates(df.limit(0), similarity=(4, 5)).collect() == []
 
 
 def test_shared_bands_by_similarity():
