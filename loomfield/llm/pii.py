@@ -36,7 +36,7 @@ _WORD = rf"(?:\p{{Lu}}|[\p{{IsHebrew}}\p{{IsArabic}}&&\p{{L}}]){_TAIL}"
 #: Types by priority where several begin at one place; each has one group in the joint pattern.  Repeated
 #: groups are bounded, as a matcher goes one level deeper for each round of one: a host has 127 labels at most.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+(?<!\.)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
     "ssn": r"(?<![\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{N}-])",
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
@@ -44,9 +44,20 @@ PATTERNS = {
     "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?|[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{6,12})(?![\p{L}\p{N}_]|-[0-9])",
     "name": _START + rf"(?:{_TITLE})\.? {_WORD}(?: {_WORD}){{0,2}}",
 }
-PATTERN = "(?:" + "|".join(f"({p})" for p in PATTERNS.values()) + ")"
-#: Texts without any of these can't hold an entity.
-_HINT = r"@|[0-9]|" + rf"(?:{_TITLE})\.? [\p{{Lu}}\p{{IsHebrew}}\p{{IsArabic}}]"
+_NUMBERS = ("ip", "ssn", "iban", "card", "phone")
+#: Where a title stands before a name.
+_TITLED = _START + rf"(?:{_TITLE})\.? [\p{{Lu}}\p{{IsHebrew}}\p{{IsArabic}}]"
+
+
+def joint_pattern(mail: bool = True, numbers: bool = True, names: bool = True) -> str:
+    """One pattern for several types; a look at a number's first characters spares most places the rest."""
+    parts = [PATTERNS["email"]] if mail else []
+    if numbers:
+        parts.append("(?=[0-9+(]|[A-Z]{2}[0-9])(?:" + "|".join(f"(?:{PATTERNS[k]})" for k in _NUMBERS) + ")")
+    if names:
+        parts.append(PATTERNS["name"])
+    return "(?:" + "|".join(f"(?:{p})" for p in parts) + ")"
+
 
 #: Letters that names are made of: consonants and vowels by script, and the last letters of given names by gender.
 SCRIPTS = {
@@ -62,6 +73,11 @@ _LONGER = 3
 _SEP = "\x1f"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _digits_of(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -138,7 +154,8 @@ def _drawn(stream: Column, n: Column) -> Column:
 def _laid(value: Column, digits: Column, skip: Column) -> Column:
     """value with digits in the places of its own, but for those among its first ``skip`` characters."""
     number = lambda i: F.length(_digits_of(F.substring(value, F.lit(1), i + 1)))
-    return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9]$") & (i >= skip), F.substring(digits, number(i), F.lit(1))).otherwise(c)), "")
+    laid = lambda d: F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.rlike("^[0-9]$") & (i >= skip), F.substring(d, number(i), F.lit(1))).otherwise(c)), "")
+    return _let(digits, laid)
 
 
 def _digits(value: Column, stream: Column, skip: Column) -> Column:
@@ -146,15 +163,17 @@ def _digits(value: Column, stream: Column, skip: Column) -> Column:
 
 
 def _card(value: Column, stream: Column) -> Column:
-    body = _drawn(stream, F.length(_digits_of(value)) - 1)
-    check = F.pmod(10 - luhn_rest(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return _laid(value, F.concat(body, check), F.lit(0))
+    check = lambda body: F.pmod(10 - luhn_rest(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+    return _let(_drawn(stream, F.length(_digits_of(value)) - 1), lambda body: _laid(value, F.concat(body, check(body)), F.lit(0)))
 
 
 def _iban(value: Column, stream: Column) -> Column:
-    body = _letters_and_digits(value, stream, F.lit(4))
-    check = F.lpad((98 - iban_rest(F.concat(F.substring(body, 1, 2), F.lit("00"), F.substring(body, F.lit(5), F.length(body))))).cast("string"), 2, "0")
-    return F.concat(F.substring(body, 1, 2), check, F.substring(body, F.lit(5), F.length(body)))
+    def checked(body: Column) -> Column:
+        rest = F.substring(body, F.lit(5), F.length(body))
+        check = F.lpad((98 - iban_rest(F.concat(F.substring(body, 1, 2), F.lit("00"), rest))).cast("string"), 2, "0")
+        return F.concat(F.substring(body, 1, 2), check, rest)
+
+    return _let(_letters_and_digits(value, stream, F.lit(4)), checked)
 
 
 def _letters_and_digits(value: Column, stream: Column, skip: Column) -> Column:
@@ -212,31 +231,55 @@ def _name(key: str, name: Column, gender: Column, attempt_of) -> Column:
     words = words_of(name)
 
     def one(w: Column, i: Column) -> Column:
-        attempt = attempt_of(F.lit("word"), F.lower(w))
-        stream = _stream(key, F.lit("word"), F.lower(w), attempt)
-        return F.when((i == 0) & (F.size(words) > 1), _word(w, stream, attempt, gender)).otherwise(_word(w, stream, attempt))
+        drawn = _let(attempt_of(F.lit("word"), F.lower(w)), lambda n: F.struct(n.alias("n"), _stream(key, F.lit("word"), F.lower(w), n).alias("s")))
+        return _let(drawn, lambda d: F.when((i == 0) & (F.size(words) > 1), _word(w, d["s"], d["n"], gender)).otherwise(_word(w, d["s"], d["n"])))
 
     return F.array_join(F.transform(words, one), " ")
 
 
 def surrogate(key: str, kind: Column, mention: Column, canon: Column, attempt: Column) -> Column:
     """The replacement of a mention: of its type and format, the same for all mentions of an entity."""
-    s = _stream(key, kind, canon, attempt)
     local = F.substring_index(mention, "@", 1)
     # mail goes to reserved example domains only
-    mail = F.concat(_letters_and_digits(local, _stream(key, kind, F.lower(local), attempt), F.lit(0)), F.lit("@m"), F.substring(F.sha2(F.concat_ws(_SEP, F.lit(key), F.lower(mention), attempt.cast("string")), 256), 1, 10), F.lit(".example.org"))
-    country = F.length(F.regexp_extract(mention, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0))
-    made = (
-        F.when(kind == "email", mail).when(kind == "ip", _octets(mention, s)).when(kind == "word", _word(mention, s, attempt)).when(kind == "card", _card(mention, s))
-        .when(kind == "iban", _iban(mention, s)).when(kind == "phone", _digits(mention, s, country)).otherwise(_digits(mention, s, F.lit(0)))
+    mail = F.concat(
+        _let(_stream(key, kind, F.lower(local), attempt), lambda s: _letters_and_digits(local, s, F.lit(0))), F.lit("@m"),
+        F.substring(F.sha2(F.concat_ws(_SEP, F.lit(key), F.lower(mention), attempt.cast("string")), 256), 1, 10), F.lit(".example.org"),
     )
-    # where a format has no more free values, the type and 80 bits
-    return F.when(attempt < ROUNDS, made).otherwise(F.concat(kind, F.lit("-"), F.substring(s, 1, 20)))
+    country = F.length(F.regexp_extract(mention, r"^(\+[0-9]{1,3}(?=[ .(-]))?", 0))
+
+    def made(s: Column) -> Column:
+        new = (
+            F.when(kind == "email", mail).when(kind == "ip", _octets(mention, s)).when(kind == "word", _word(mention, s, attempt)).when(kind == "card", _card(mention, s))
+            .when(kind == "iban", _iban(mention, s)).when(kind == "phone", _digits(mention, s, country)).otherwise(_digits(mention, s, F.lit(0)))
+        )
+        # where a format has no more free values, the type and 80 bits
+        return F.when(attempt < ROUNDS, new).otherwise(F.concat(kind, F.lit("-"), F.substring(s, 1, 20)))
+
+    return _let(_stream(key, kind, canon, attempt), made)
+
+
+def _by_pattern(text: Column, with_pattern, otherwise: Column) -> Column:
+    """with_pattern(joint pattern) for the types that text can hold; a text without an @, a digit or a titled
+    capital is never searched for what needs one."""
+    has = (text.contains("@"), text.rlike("[0-9]"), text.rlike(_TITLED))
+
+    def chosen(f: Column) -> Column:
+        out = None
+        for kinds in ((m, n, t) for m in (False, True) for n in (False, True) for t in (False, True) if m or n or t):
+            if kinds[0] and not kinds[1]:
+                continue  # rare, and covered by the pattern with numbers
+            hit = (f["m"] == (kinds[0])) & (f["t"] == kinds[2]) & ((f["n"] == kinds[1]) | F.lit(kinds[0]))
+            part = with_pattern(joint_pattern(*kinds))
+            out = F.when(hit, part) if out is None else out.when(hit, part)
+        return out.otherwise(otherwise)
+
+    return _let(F.struct(has[0].alias("m"), has[1].alias("n"), has[2].alias("t")), chosen)
 
 
 def mentions(text: Column) -> Column:
     """All entities of a text from left to right; none where the text has no hint of one."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return F.when(text.isNotNull(), _by_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)), none)).otherwise(none)
 
 
 #: Attempts after which a surrogate gives up the mention's format.
@@ -281,31 +324,38 @@ def attempts(docs: DataFrame, key: str, ws: Workspace) -> DataFrame | None:
     return bumped
 
 
-def rewritten(text: Column, key: str, attempt_of) -> tuple[Column, Column]:
-    """text with its entities replaced, and the array of their types."""
-    found = F.transform(mentions(text), lambda m: F.struct(m.alias("m"), entity_type(m).alias("kind")))
-    named = F.filter(found, lambda x: (x["kind"] == "name") & (F.size(words_of(x["m"])) > 1))
-    full = F.array_distinct(F.transform(named, lambda x: F.struct(F.array_join(words_of(x["m"]), " ").alias("name"), _gender(x["m"]).alias("gender"))))
-    known = F.filter(full, lambda x: x["gender"] != "n")
+def rewritten(text: Column, key: str, attempt_of) -> Column:
+    """struct(text, kinds): the text with its entities replaced, and the array of their types."""
+
+    def full_names(found: Column) -> Column:
+        named = F.filter(found, lambda x: (x["kind"] == "name") & (F.size(words_of(x["m"])) > 1))
+        full = F.transform(named, lambda x: F.struct(F.array_join(words_of(x["m"]), " ").alias("name"), _gender(x["m"]).alias("gender")))
+        return _let(F.array_distinct(full), lambda f: F.struct(F.array_distinct(F.transform(f, lambda x: x["name"])).alias("names"), F.filter(f, lambda x: x["gender"] != "n").alias("known")))
+
+    def replaced_all(found: Column, full: Column) -> Column:
+        def gender_of(name: Column, own: Column) -> Column:
+            other = F.filter(full["known"], lambda x: x["name"] == name)
+            return F.when(own != "n", own).otherwise(F.coalesce(F.get(other, F.lit(0))["gender"], F.lit("n")))
+
+        def replaced(x: Column) -> Column:
+            m, kind = x["m"], x["kind"]
+            canon = canonical(kind, m)
+            name = F.concat(F.substring_index(m, " ", 1), F.lit(" "), _name(key, m, gender_of(F.array_join(words_of(m), " "), _gender(m)), attempt_of))
+            return F.when(kind.isNull(), m).when(kind == "name", name).otherwise(surrogate(key, kind, m, canon, attempt_of(kind, canon)))
 
-    def gender_of(name: Column, own: Column) -> Column:
-        other = F.filter(known, lambda x: x["name"] == name)
-        return F.when(own != "n", own).otherwise(F.coalesce(F.get(other, F.lit(0))["gender"], F.lit("n")))
+        # the names that stand without a title, in what lies between the mentions
+        bare = F.transform(full["names"], lambda n: F.struct(n.alias("old"), _name(key, F.concat(F.lit("- "), n), gender_of(n, F.lit("n")), attempt_of).alias("new")))
+        without = lambda p, b: F.aggregate(b, p, lambda t, n: F.regexp_replace(t, F.concat(F.lit(_START), n["old"], F.lit(_END)), n["new"]))
+        parts = _by_pattern(text, lambda p: F.split(text, p, -1), F.array(text))
+        parts = F.when(F.size(full["names"]) > 0, _let(bare, lambda b: F.transform(parts, lambda p: without(p, b)))).otherwise(parts)
+        return F.array_join(F.zip_with(parts, F.transform(found, replaced), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
 
-    def replaced(x: Column) -> Column:
-        m, kind = x["m"], x["kind"]
-        canon = canonical(kind, m)
-        name = F.concat(F.substring_index(m, " ", 1), F.lit(" "), _name(key, m, gender_of(F.array_join(words_of(m), " "), _gender(m)), attempt_of))
-        return F.when(kind.isNull(), m).when(kind == "name", name).otherwise(surrogate(key, kind, m, canon, attempt_of(kind, canon)))
+    def whole(found: Column) -> Column:
+        kinds = F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull())
+        new = F.when(F.size(found) > 0, _let(full_names(found), lambda full: replaced_all(found, full))).otherwise(text)
+        return F.struct(new.alias("text"), kinds.alias("kinds"))
 
-    # the names that stand without a title, in what lies between the mentions
-    names = F.array_distinct(F.transform(full, lambda x: x["name"]))
-    bare = F.transform(names, lambda n: F.struct(n.alias("old"), _name(key, F.concat(F.lit("- "), n), gender_of(n, F.lit("n")), attempt_of).alias("new")))
-    without = lambda p: F.aggregate(bare, p, lambda t, n: F.regexp_replace(t, F.concat(F.lit(_START), n["old"], F.lit(_END)), n["new"]))
-    parts = F.split(text, PATTERN, -1)
-    new = F.zip_with(parts, F.transform(found, replaced), lambda p, s: F.concat(F.when(F.size(names) > 0, without(p)).otherwise(p), F.coalesce(s, F.lit(""))))
-    kinds = F.filter(F.transform(found, lambda x: x["kind"]), lambda k: k.isNotNull())
-    return F.when(F.size(found) > 0, F.array_join(new, "")).otherwise(text), kinds
+    return _let(F.transform(mentions(text), lambda m: F.struct(m.alias("m"), entity_type(m).alias("kind"))), whole)
 
 
 def replace_pii(docs: DataFrame, key: str) -> DataFrame:
@@ -332,8 +382,8 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
         h = fresh(docs, "pii_text")
         rows = docs.withColumn(h, F.xxhash64("text")).join(maps.withColumnRenamed("h", h), h, "left").drop(h)
         attempt_of = lambda kind, canon: F.coalesce(F.try_element_at(F.col(place), F.concat_ws(_SEP, kind, canon)), F.lit(0))
-    new, kinds = rewritten(F.col("text"), key, attempt_of)
-    held = fresh(docs, "pii_kinds")
-    out = rows.select(*rest, new.alias("text"), F.coalesce(kinds, F.array().cast("array<string>")).alias(held))
-    count = lambda k: F.size(F.filter(held, lambda x: x == k)).cast("long")
-    return out.select(*docs.columns, *[count(k).alias(f"n_{k}") for k in PATTERNS])
+    held = fresh(docs, "pii_text")
+    out = rows.select(*rest, rewritten(F.col("text"), key, attempt_of).alias(held))
+    count = lambda k: F.size(F.filter(F.col(held)["kinds"], lambda x: x == k)).cast("long")
+    text = F.col(held)["text"].alias("text")
+    return out.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], *[count(k).alias(f"n_{k}") for k in PATTERNS])
