@@ -155,4 +155,40 @@ UNION ALL SELECT r.conv_id, r.turn, 0, 'tool', r.call_id, l.level, NULL, '', CAS
 FROM results r LEFT JOIN levels l ON l.conv_id = r.conv_id AND l.turn = r.called
 """
 
-SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op7_tool_call_linking": OP7_SQL}
+
+
+def _op4_sql(levels: int = 6) -> str:
+    """The tree unrolled for paths of ``levels`` segments, which none of the given pages exceeds."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    stem, ext = (rf"regexp_extract(s, '(?s)^(.*?)(\.[A-Za-z0-9]{{1,5}})?$', {g})" for g in (1, 2))
+    forms = " ".join(f"WHEN regexp_matches(lower({stem}), '{p}')" + (f" AND length({stem}) >= 6" if name == "{hex}" else "") + f" THEN '{name}' || {ext}" for p, name in urls._FORMS)
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
+    rules = sorted(urls.RULES, key=lambda r: -len(r[0]))
+    case = lambda at: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[at]}'" for r in rules) + " END"
+    parts = [
+        "addresses AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"parsed AS (SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{upper}', '{upper.lower()}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM addresses)",
+        f"ruled AS (SELECT *, {case(0)} AS rule, {case(1)} AS said, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE {forms} ELSE s END) AS t0 FROM parsed)",
+        "known AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY doc_id)",
+        f"tree{levels} AS (SELECT host, t0, t0 AS t, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM ruled LEFT JOIN known USING (page_id) GROUP BY host, t0)",
+    ]
+    for k in range(levels - 1, -1, -1):
+        parts += [
+            f"kids{k} AS (SELECT host, t[:{k}] AS prefix, t[{k + 1}] AS seg, list_sort(list(DISTINCT t[{k + 2}:])) AS below, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM tree{k + 1} WHERE len(t) > {k} GROUP BY ALL)",
+            f"wide{k} AS (SELECT *, count(*) OVER (PARTITION BY host, prefix) AS branches, sum(n) OVER (PARTITION BY host, prefix) AS all_n, "
+            f"bad * sum(labelled) OVER (PARTITION BY host, prefix, below) > sum(bad) OVER (PARTITION BY host, prefix, below) * labelled AS worse FROM kids{k})",
+            f"alike{k} AS (SELECT *, count(*) OVER w AS alike, coalesce(sum(bad) OVER w / nullif(sum(labelled) OVER w, 0), 0.0)::DOUBLE AS p FROM wide{k} WINDOW w AS (PARTITION BY host, prefix, below, worse))",
+            f"named{k} AS (SELECT host, prefix, seg, CASE WHEN branches > 32 AND n < 0.05::DOUBLE * all_n THEN '*' WHEN alike > 1 AND NOT abs(bad - labelled * p) > 1.96::DOUBLE * sqrt(labelled * p * (1 - p)) + 0.5 AND NOT starts_with(seg, '{{') THEN '~' ELSE seg END AS became FROM alike{k})",
+            f"tree{k} AS (SELECT x.host, x.t0, CASE WHEN became IS NULL THEN x.t ELSE x.t[:{k}] || [became] || x.t[{k + 2}:] END AS t, x.n, x.labelled, x.bad FROM tree{k + 1} x LEFT JOIN named{k} m ON len(x.t) > {k} AND m.host = x.host AND m.prefix = x.t[:{k}] AND m.seg = x.t[{k + 1}])",
+        ]
+    parts += [
+        "overall AS (SELECT coalesce(sum(bad) / nullif(sum(labelled), 0), 0.0)::DOUBLE AS share FROM tree0)",
+        "judged AS (SELECT host, t, (sum(bad) + 4.0::DOUBLE * any_value(share)) / (sum(labelled) + 4.0::DOUBLE) >= 0.7::DOUBLE AS rejected FROM tree0, overall GROUP BY host, t)",
+    ]
+    return "WITH " + ",\n".join(parts) + (
+        "\nSELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(x.t, '/') AS template"
+        " FROM ruled r JOIN tree0 x ON x.host = r.host AND x.t0 = r.t0 JOIN judged j ON j.host = x.host AND j.t = x.t"
+    )
+
+
+SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op4_url_templates": _op4_sql(), "op7_tool_call_linking": OP7_SQL}

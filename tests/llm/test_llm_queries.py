@@ -71,6 +71,16 @@ def test_op4(spark):
     assert {r.rule for r in got} & {x for x, _ in urls.RULES}
 
 
+def test_op4_by_its_sql(spark):
+    got = QUERIES["op4_url_templates"](spark, SF)
+    order = sorted(got.columns)
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(f"SELECT {', '.join(order)} FROM ({SQL['op4_url_templates']})").fetchall()
+    assert sorted(map(repr, (tuple(r[c] for c in order) for r in got.collect()))) == sorted(map(repr, want))
+
+
 def test_op5(spark):
     docs = documents()
     assert sorted((r.doc_id, r.text) for r in rows(spark, "op5_line_dedup")) == sorted(brute_lines(docs))
