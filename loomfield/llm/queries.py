@@ -133,6 +133,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM flagged LEFT JOIN hosts USING (source) CROSS JOIN prior
 """
 
+OP5_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS body FROM documents),
+lines AS (SELECT doc_id, unnest(body) AS line, unnest(range(len(body))) AS place FROM split),
+words AS (SELECT doc_id, line, doc_id * 1000000 + place AS spot, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS s FROM lines),
+sets AS (SELECT s, len(s) AS n, min(spot) AS spot FROM words WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT spot, n, unnest(s) AS w FROM sets),
+rarity AS (SELECT w, count(*) AS df FROM tokens GROUP BY w),
+prefixes AS (SELECT spot, n, w FROM tokens JOIN rarity USING (w) QUALIFY row_number() OVER (PARTITION BY spot ORDER BY df, w) <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT x.spot AS a, y.spot AS b FROM prefixes x JOIN prefixes y ON x.w = y.w AND x.spot < y.spot AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n),
+lost AS (SELECT DISTINCT b AS spot FROM pairs JOIN sets x ON x.spot = a JOIN sets y ON y.spot = b WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n)),
+judged AS (SELECT doc_id, line, words.spot, words.spot <> sets.spot OR lost.spot IS NOT NULL AS gone FROM words LEFT JOIN sets USING (s) LEFT JOIN lost ON lost.spot = words.spot)
+SELECT doc_id, CASE WHEN documents.text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents LEFT JOIN (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY spot) FILTER (WHERE NOT coalesce(gone, false)) AS kept, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed FROM judged GROUP BY doc_id) USING (doc_id)
+"""
+
 OP7_SQL = """
 WITH RECURSIVE talk AS (
   SELECT conv_id, turn, role, text, length(text) AS n, 'c' || turn AS call_id, 'c' || (turn - 1) AS answers, '${c' || (turn - 2) || '} ' || text AS cited, (turn + length(text)) % 4 AS kind FROM conversations
@@ -191,4 +206,4 @@ def _op4_sql(levels: int = 6) -> str:
     )
 
 
-SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op4_url_templates": _op4_sql(), "op7_tool_call_linking": OP7_SQL}
+SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op4_url_templates": _op4_sql(), "op5_line_dedup": OP5_SQL, "op7_tool_call_linking": OP7_SQL}
