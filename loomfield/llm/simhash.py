@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.llm.shared import Workspace, components, fresh, only
+from loomfield.llm.shared import Workspace, components, fresh, only, small_or_shuffled
 
 SEED = 42
 SEGMENTS = 32
@@ -158,9 +158,12 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, similar
     else:
         prints = ws.save(fingerprints(docs, width))
         named = ws.save(prints.join(ws.save(classes(prints, ws, bits)), "fp").select("doc_id", "component_id"))
-    named = named.where("doc_id is not null")
-    key = fresh(docs, "kept_id")
-    kept = docs.join(named.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct(), docs["doc_id"] == F.col(key), "left_semi")
-    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+    # those that go are few beside those that stay, so texts needn't be shuffled to be told apart
+    told = named.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    told = ws.save(told.where("not stays or n > 1"))
+    key = fresh(docs, "gone_id")
+    gone = small_or_shuffled(ws.save(told.where("not stays").select(F.col("doc_id").alias(key))))
+    kept = docs.where(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == F.col(key), "left_anti")
+    if not told.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionAll(docs.where(docs["doc_id"].isNull()))
