@@ -70,12 +70,15 @@ scored AS (SELECT problem_id, id, round(least(1.0, CASE WHEN p.problem_type = s.
   + list_sum(list_transform(keywords, lambda w: CASE WHEN contains(error_keywords, w) THEN 0.05 ELSE 0 END + CASE WHEN contains(tags, w) THEN 0.03 ELSE 0 END))), 9) AS score FROM pairs JOIN problems p USING (problem_id) JOIN skills s USING (id))
 SELECT problem_id, id, score FROM scored QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY score DESC, id) = 1""")
 def skill_match_top1(spark, sf_dir):
-    """Candidates by type, keyword, host and category, scored; the best per problem by a partially aggregated maximum."""
-    pairs = stats.skill_candidates(_problems(spark, sf_dir), skills(spark, sf_dir), _CATEGORIES)
+    """Candidates by type, keyword, host and category, scored once for problems that are alike; the best by a partially
+    aggregated maximum."""
+    problems, same = _problems(spark, sf_dir), ["problem_type", "keywords", "host"]
+    kinds = problems.groupBy(*same).agg(F.min("problem_id").alias("problem_id"))
+    pairs = stats.skill_candidates(kinds, skills(spark, sf_dir), _CATEGORIES)
     parts = {c: F.col(f"skill.{c}") for c in ("problem_type", "error_keywords", "tags", "site_pattern", "confidence", "success_rate")}
     score = F.round(stats.match_score(F.col("problem_type"), F.col("keywords"), F.col("host"), parts), 9)
-    best = pairs.select("problem_id", "skill.id", score.alias("score")).groupBy("problem_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("b"))
-    return best.select("problem_id", "b.id", (-F.col("b.s")).alias("score"))
+    best = pairs.select(*same, "skill.id", score.alias("score")).groupBy(*same).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("b"))
+    return problems.join(best, same).select("problem_id", "b.id", (-F.col("b.s")).alias("score"))
 
 
 @query(f"""WITH {SKILLS}, m AS (SELECT category, round(max(confidence), 9) AS confidence, round(avg(success_rate), 9) AS success_rate, list_sort(list_distinct(flatten(list(string_split(error_keywords, ',')))))[1:20] AS k,
