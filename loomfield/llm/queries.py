@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import ann, audit, chat, lines, mixing, packing, pii, quality, secrets, simhash, urls
+from loomfield.llm import ann, audit, chat, lines, mixing, packing, pii, quality, secrets, simhash, trie, urls
 
 TOKENIZER = "word_bpe_49k.json"
 #: A real run passes a secret of its own.
@@ -92,6 +92,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_host_quality": op2_host_quality,
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_raked_mixing": op9_raked_mixing,
     "op10_secret_scan": op10_secret_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 OP2_SQL = r"""
@@ -235,5 +240,31 @@ WITH words AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
 """
 
+OP13_SQL = """
+WITH whole AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), turns AS (
+  SELECT conv_id, turn, sha256(strlen(role) || ':' || role || text) AS digest, strlen(text) AS n FROM whole
+), own AS (
+  SELECT conv_id, list(digest ORDER BY turn NULLS FIRST, digest) AS d, list(n ORDER BY turn NULLS FIRST, digest) AS n FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, x: list_reduce([xor(crc, x), 1, 2, 3, 4, 5, 6, 7, 8], lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 9 AS h FROM own
+), rebuilt AS (
+  SELECT c.conv_id, list_slice(coalesce(b.d, []), 1, h) || c.d[h + 1 :] AS d, list_slice(coalesce(b.n, []), 1, h) || c.n[h + 1 :] AS n FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+), members AS (
+  SELECT conv_id, array_to_string(list_slice(d, 1, depth), ',') AS key, d[depth] AS digest, coalesce(n[depth], 0) AS n, depth, depth = len(d) AS ends FROM (SELECT *, unnest(range(len(d) + 1)) AS depth FROM rebuilt)
+), nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(digest) AS digest, (count(*) - 1) * max(n) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY key, depth
+), up AS (
+  SELECT *, CASE WHEN depth > 0 THEN left(key, greatest(65 * depth - 66, 0)) END AS parent FROM nodes
+), kids AS (SELECT parent AS key, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY parent), counted AS (
+  SELECT up.*, coalesce(n_children, 0) AS n_children FROM up LEFT JOIN kids USING (key)
+), sums AS (
+  SELECT top AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT left(key, greatest(65 * unnest(range(depth + 1)) - 1, 0)) AS top, n_children, saved FROM counted) GROUP BY top
+)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, x.ends_sha256, x.digest FROM counted x JOIN sums USING (key) LEFT JOIN nodes p ON p.key = x.parent
+"""
+
 
-SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op4_url_templates": _op4_sql(), "op5_line_dedup": OP5_SQL, "op7_tool_call_linking": OP7_SQL, "op11_filter_audit": OP11_SQL}
+SQL: dict[str, str] = {"op2_host_quality": OP2_SQL, "op4_url_templates": _op4_sql(), "op5_line_dedup": OP5_SQL, "op7_tool_call_linking": OP7_SQL, "op11_filter_audit": OP11_SQL, "op13_prefix_trie": OP13_SQL}

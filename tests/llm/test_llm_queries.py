@@ -32,7 +32,7 @@ def rows(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 12))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == [*range(1, 12), 13]
 
 
 def test_op1(spark):
@@ -181,3 +181,8 @@ def by_sql(spark, name, *tables, sf=SF):
 
 def test_op11(spark):
     assert len(by_sql(spark, "op11_filter_audit", "documents", "labels")) % 600 == 0
+
+
+def test_op13(spark):
+    got = by_sql(spark, "op13_prefix_trie", "conversations")
+    assert len(by_sql(spark, "op13_prefix_trie", "conversations", sf=SF.replace("0.001", "0.01"))) > len(got) / 2
