@@ -77,8 +77,8 @@ def candidates(measured: DataFrame, ws: Workspace) -> DataFrame:
     rows, done, k = measured.where("doc_id IS NOT NULL").select("doc_id", "n_chars", "blocks"), [], 0
     while True:
         named = rows.withColumn("class", _class(F.slice("blocks", 1, k)))
-        shared = named.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-        kept = ws.save(named.join(shared, "class").select("doc_id", "n_chars", "blocks", "class", "low"))
+        shared = ws.save(named.groupBy("class").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high"))
+        kept = ws.save(named.join(small_or_shuffled(shared), "class").select("doc_id", "n_chars", "blocks", "class", "low"))
         done.append(kept.where(F.size("blocks") <= k).select("doc_id", "n_chars", "class", "low"))
         rows = kept.where(F.size("blocks") > k).select("doc_id", "n_chars", "blocks")
         k += 1
