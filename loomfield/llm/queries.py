@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.llm import ann, audit, chat, lines, mixing, packing, pii, quality, secrets, simhash, trie, urls
+from loomfield.llm import ann, audit, chat, lines, mixing, packing, pii, quality, secrets, simhash, toxicity, trie, urls
 
 TOKENIZER = "word_bpe_49k.json"
 #: A real run passes a secret of its own.
@@ -92,6 +92,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(_table(spark, sf_dir, "conversations"))
 
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_raked_mixing": op9_raked_mixing,
     "op10_secret_scan": op10_secret_scan,
     "op11_filter_audit": op11_filter_audit,
+    "op12_ftrl_toxicity": op12_ftrl_toxicity,
     "op13_prefix_trie": op13_prefix_trie,
 }
 

@@ -32,7 +32,7 @@ def rows(spark, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == [*range(1, 12), 13]
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark):
@@ -186,3 +186,15 @@ def test_op11(spark):
 def test_op13(spark):
     got = by_sql(spark, "op13_prefix_trie", "conversations")
     assert len(by_sql(spark, "op13_prefix_trie", "conversations", sf=SF.replace("0.001", "0.01"))) > len(got) / 2
+
+
+def test_op12(spark):
+    """Held-out rows of sf0.1: most toxic ones are found, and hardly any clean one is called toxic."""
+    sf = SF.replace("0.001", "0.1")
+    got = QUERIES["op12_ftrl_toxicity"](spark, sf).toPandas()
+    truth = got.merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
+    assert len(got) == len(pd.read_parquet(f"{sf}/documents.parquet", columns=["doc_id"]))
+    assert (got.held_out == [zlib.crc32(str(d).encode()) % 5 == 0 for d in got.doc_id]).all() and got.score.between(0, 1).all()
+    assert (got.predicted == (got.score >= 0.5)).all()
+    out = truth[truth.held_out]
+    assert out[out.toxic == 1].predicted.mean() >= 0.75 and out[out.toxic == 0].predicted.mean() <= 0.01
