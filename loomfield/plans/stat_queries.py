@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalar as S
-from loomfield.operators import records, stats, vectors
+from loomfield.operators import breaker, records, stats, vectors
 from loomfield.plans.registry import query
 from loomfield.plans.views import ATTEMPTS, QUEUE, SKILLS, attempts, queue, skills, table
 
@@ -269,22 +269,35 @@ def consecutive_failures(spark, sf_dir):
     return stats.runs_of_failures(attempts(spark, sf_dir), "domain", "ts", "success")
 
 
-_BREAKER = f"""WITH RECURSIVE {ATTEMPTS}, a AS (SELECT domain, (epoch_us(ts) // 1000000) AS t, success AS ok, row_number() OVER (PARTITION BY domain ORDER BY ts, attempt_id) AS k FROM attempts),
-b(domain, k, state, failures, opened) AS (SELECT DISTINCT domain, 0::BIGINT, 'closed', 0, 0::BIGINT FROM a UNION ALL
-SELECT domain, k, CASE WHEN refused THEN 'open' WHEN ok THEN 'closed' WHEN opens THEN 'open' ELSE state END, failures, CASE WHEN opens THEN t ELSE opened END FROM (
+_BREAKER = f"""WITH RECURSIVE {ATTEMPTS}, a AS (SELECT domain, attempt_id, (epoch_us(ts) // 1000000) AS t, success AS ok, row_number() OVER (PARTITION BY domain ORDER BY epoch_us(ts) // 1000000, attempt_id) AS k FROM attempts),
+b(domain, k, attempt_id, t, state, failures, opened, half, refused) AS (SELECT DISTINCT domain, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 'closed', 0, 0::BIGINT, NULL::BIGINT, false FROM a UNION ALL
+SELECT domain, k, attempt_id, t, CASE WHEN refused THEN 'open' WHEN ok THEN 'closed' WHEN opens THEN 'open' ELSE state END, failures, CASE WHEN opens THEN t ELSE opened END, CASE WHEN state = 'half_open' THEN opened + 3600 END, refused FROM (
   SELECT *, NOT refused AND NOT ok AND (failures >= 2 OR state = 'half_open') AS opens FROM (
-    SELECT domain, k, t, ok, opened, state, state = 'open' AS refused, CASE WHEN state = 'open' THEN failures WHEN ok THEN 0 ELSE failures + 1 END AS failures FROM (
-      SELECT a.domain, a.k, a.t, a.ok, b.opened, b.failures, CASE WHEN b.state = 'open' AND a.t - b.opened >= 3600 THEN 'half_open' ELSE b.state END AS state FROM b JOIN a ON a.domain = b.domain AND a.k = b.k + 1))))
-SELECT domain, state, failures FROM b QUALIFY row_number() OVER (PARTITION BY domain ORDER BY k DESC) = 1"""
+    SELECT domain, k, attempt_id, t, ok, opened, state, state = 'open' AS refused, CASE WHEN state = 'open' THEN failures WHEN ok THEN 0 ELSE failures + 1 END AS failures FROM (
+      SELECT a.domain, a.k, a.attempt_id, a.t, a.ok, b.opened, b.failures, CASE WHEN b.state = 'open' AND a.t - b.opened >= 3600 THEN 'half_open' ELSE b.state END AS state FROM b JOIN a ON a.domain = b.domain AND a.k = b.k + 1)))),
+last AS (SELECT domain, state, failures, opened FROM b QUALIFY row_number() OVER (PARTITION BY domain ORDER BY k DESC) = 1)"""
 
 
-@query(_BREAKER)
+def _breakers(spark, sf_dir):
+    calls = attempts(spark, sf_dir).select(F.col("domain").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("attempt_id").alias("id"), F.col("success").alias("ok"))
+    return breaker.Breakers(calls, threshold=2, reset_s=3600)
+
+
+@query(f"{_BREAKER} SELECT domain, state, failures FROM last")
 def circuit_breaker_fold(spark, sf_dir):
     """The breaker's last state per domain."""
-    value = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("success").alias("ok"))
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).cast("long").alias("opened"))
-    got = stats.fold(attempts(spark, sf_dir), ["domain"], ["ts", "attempt_id"], value, start, lambda a, v: stats.breaker_step(a, v, threshold=2, reset_s=3600), "b")
-    return got.select("domain", "b.state", "b.failures")
+    return _breakers(spark, sf_dir).final().select(F.col("key").alias("domain"), "state", F.col("failures").cast("int").alias("failures"))
+
+
+@query(f"""{_BREAKER}, now AS (SELECT max(epoch_us(ts) // 1000000) AS t FROM attempts)
+SELECT domain, t::DOUBLE AS t, attempt_id, state, failures::BIGINT AS failures, NOT refused AS passed FROM b WHERE k > 0
+UNION ALL SELECT b.domain, half::DOUBLE, NULL, 'half_open', (SELECT failures FROM b p WHERE p.domain = b.domain AND p.k = b.k - 1)::BIGINT, NULL FROM b WHERE half IS NOT NULL
+UNION ALL SELECT domain, (opened + 3600)::DOUBLE, NULL, 'half_open', failures::BIGINT, NULL FROM last, now WHERE state = 'open' AND opened + 3600 <= now.t""")
+def circuit_breaker_history(spark, sf_dir):
+    """Every call with the breaker's state after it and whether it was let through, and every change by the clock, up
+    to the time of the table's last call."""
+    now = attempts(spark, sf_dir).agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()[0] or 0
+    return _breakers(spark, sf_dir).history(float(now)).select(F.col("key").alias("domain"), "t", F.col("id").alias("attempt_id"), "state", "failures", "passed")
 
 
 @query("""SELECT user_id, round(sum(value) FILTER (WHERE event_type = 'view'), 6) AS views, round(sum(value) FILTER (WHERE event_type = 'click'), 6) AS clicks FROM events GROUP BY user_id""")

@@ -131,6 +131,59 @@ class BreakerProcessor(_Keyed):
         yield pd.DataFrame(out, columns=["key", "id", "state", "failures", "passed"])
 
 
+class ClockedBreakerProcessor(StatefulProcessor):
+    """A breaker whose change from open to half_open comes by an event-time timer, whether or not a call does.  A
+    closed breaker without failures has no state, so only keys in trouble are held."""
+
+    def __init__(self, threshold: int = 5, reset_s: float = 60):
+        self.threshold, self.reset_s = threshold, reset_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", BreakerProcessor.schema)
+
+    def close(self) -> None:
+        pass
+
+    def _due(self, b: Breaker) -> int:
+        return round((b.opened + self.reset_s) * 1000)
+
+    def _keep(self, before: Breaker, after: Breaker) -> None:
+        if before.state == "open" and (after.state != "open" or after.opened != before.opened):
+            self.handle.deleteTimer(self._due(before))
+        if after.state == "open" and (before.state != "open" or after.opened != before.opened):
+            self.handle.registerTimer(self._due(after))
+        if after.state == "closed" and not after.failures:
+            self.held.clear()
+        else:
+            self.held.update((after.state, after.failures, after.opened))
+
+    @staticmethod
+    def _table(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["key", "t", "id", "state", "failures", "passed"])
+        return out.astype({"id": "Int64", "passed": "boolean"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        start = b = Breaker(*self.held.get()) if self.held.exists() else Breaker()
+        out = []
+        events = pd.concat(list(rows))
+        events["t"] = (events.ts - pd.Timestamp(0)) / pd.Timedelta(seconds=1)
+        for e in events.sort_values(["t", "id"]).itertuples():
+            if b.state == "open" and e.t >= b.opened + self.reset_s:
+                out.append((key[0], b.opened + self.reset_s, None, "half_open", b.failures, None))
+            b, passed = next_breaker(b, float(e.t), bool(e.ok), self.threshold, self.reset_s)
+            out.append((key[0], float(e.t), int(e.id), b.state, b.failures, passed))
+        self._keep(start, b)
+        yield self._table(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        b = Breaker(*self.held.get()) if self.held.exists() else Breaker()
+        if b.state != "open" or self._due(b) != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.held.update(("half_open", b.failures, b.opened))
+        yield self._table([(key[0], b.opened + self.reset_s, None, "half_open", b.failures, None)])
+
+
 class QueueProcessor(_Keyed):
     schema = "state string, executions int"
 
@@ -155,6 +208,17 @@ def circuit_breakers(events: DataFrame, threshold: int = 5, reset_s: float = 60)
     return events.groupBy("key").transformWithStateInPandas(BreakerProcessor(threshold, reset_s), "key string, id long, state string, failures int, passed boolean", "Append", "None")
 
 
+def circuit_breakers_by_clock(events: DataFrame, threshold: int = 5, reset_s: float = 60, late: str = "1 minute") -> DataFrame:
+    """events: key, id, ts, ok; rows where one is null are left out, as are those later than ``late``.
+
+    (key, t, id, state, failures, passed) after each call, and with null id and passed each change from open to
+    half_open at the time it happens, as soon as the watermark is past it.  The rows are those of
+    operators.breaker's history() up to the watermark, where calls come in order of their times."""
+    rows = timed(events).select("key", "id", "ts", "ok").dropna().withWatermark("ts", late)
+    schema = f"key {dict(events.dtypes)['key']}, t double, id long, state string, failures int, passed boolean"
+    return rows.groupBy("key").transformWithStateInPandas(ClockedBreakerProcessor(threshold, reset_s), schema, "Append", "EventTime")
+
+
 def retry_queue(events: DataFrame, max_executions: int = 3) -> DataFrame:
     """events: key, id, t, event.  Each key's state after a batch, in update mode."""
     return events.groupBy("key").transformWithStateInPandas(QueueProcessor(max_executions), "key string, state string, executions int", "Update", "None")

@@ -94,3 +94,21 @@ def test_paused_queries_go_on(spark, tmp_path):
     spark.createDataFrame([(100,)], "id long").write.mode("append").parquet(str(tmp_path / "src"))
     q.resume().awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [*range(9), 100]
+
+
+def test_breakers_by_clock_equal_the_history_of_events(spark, tmp_path):
+    """The stream of the events table gives the batch operator's rows, changes without a call among them."""
+    from loomfield.operators.breaker import Breakers
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+    held = rows.orderBy("ts", "id").collect()
+    end = held[-1].ts.timestamp()
+    schema = "key long, id long, ts timestamp, ok boolean"
+    df = stream(spark, tmp_path, [tuple(r) for r in held] + [(-1, 10**9, held[-1].ts.replace(year=2030), True), (-1, None, held[-1].ts, True)], schema, 4)
+    got = run(S.circuit_breakers_by_clock(df, 2, 3600.0), tmp_path, "clocked")
+    calls = rows.select("key", F.unix_micros("ts").alias("us"), "id", "ok").select("key", (F.col("us") / 1e6).alias("t"), "id", "ok")
+    want = Breakers(calls, 2, 3600.0).history(end + 10 * 3600).collect()
+    plain = lambda rows: sorted(((r.key, round(r.t, 3), r.id, r.state, r.failures, r.passed) for r in rows if r.key != -1), key=repr)
+    assert plain(got) == plain(want)
+    assert sum(r.state == "half_open" for r in got) > len({r.key for r in got}) / 2
