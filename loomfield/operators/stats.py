@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.scalar import backoff
+from loomfield.operators import substring
 from loomfield.session import ensure_checkpoint_dir
 
 
@@ -182,8 +183,8 @@ def skill_candidates(problems: DataFrame, skills: DataFrame, categories: Mapping
     by_category = lists(own.where("confidence >= 0.5").withColumn("key", F.concat(F.lit("c:"), "category")), sure, most)
     first = F.array_distinct(F.slice("keywords", 1, 5))
     words = problems.select(F.explode(first).alias("word")).distinct()
-    held = F.coalesce(F.col("error_keywords").contains(F.col("word")), F.lit(False)) | F.coalesce(F.col("tags").contains(F.col("word")), F.lit(False))
-    by_word = lists(own.join(words, held).withColumn("key", F.concat(F.lit("w:"), "word")), [F.desc("confidence"), F.col("id")], per_word)
+    held = substring.matches(own, "id", ["error_keywords", "tags"], words).select("id", F.col("needle").alias("word"))
+    by_word = lists(own.join(held, "id").withColumn("key", F.concat(F.lit("w:"), "word")), [F.desc("confidence"), F.col("id")], per_word)
     category = F.element_at(F.create_map(*[F.lit(x) for kv in categories.items() for x in kv]), F.col("problem_type"))
     keys = F.array_compact(F.concat(F.array(F.concat(F.lit("t:"), "problem_type"), F.concat(F.lit("h:"), "host"), F.concat(F.lit("c:"), category)), F.transform(first, lambda w: F.concat(F.lit("w:"), w))))
     every = by_type.unionAll(by_host).unionAll(by_category).unionAll(by_word)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalar as S
-from loomfield.operators import graph
+from loomfield.operators import graph, substring
 from loomfield.operators import records as R
 from loomfield.plans.registry import query
 from loomfield.plans.views import table, values_sql
@@ -106,6 +106,15 @@ def domain_contains_rules(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(rules).alias("site"))
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), d AS (SELECT DISTINCT unnest([host, regexp_replace(host, '^[^.]*\.', ''), split_part(host, '.', 2)]) AS domain FROM p)
+SELECT page_id, domain FROM p JOIN d ON domain <> '' AND contains(host, domain)""")
+def domain_contains_table(spark, sf_dir):
+    """A table of domains, thousands of them, each with the pages whose host holds it."""
+    p = table(spark, sf_dir, "pages").select("page_id", S.netloc(F.col("url")).alias("host"))
+    domains = p.select(F.explode(F.array("host", F.regexp_replace("host", r"^[^.]*\.", ""), F.split_part("host", F.lit("."), F.lit(2)))).alias("domain")).distinct()
+    return substring.matches(p, "page_id", ["host"], domains).select("page_id", F.col("needle").alias("domain"))
+
+
 @query("""WITH c AS (SELECT event_id, list_filter(['cloudflare', 'captcha', 'antibot'], lambda x: (event_id + length(x)) % 3 = 0) AS found FROM events) SELECT t AS technique, count(*) AS n FROM c, unnest(found) u(f), (VALUES ('stealth', 'cloudflare'), ('stealth', 'antibot'), ('solver', 'captcha')) x(t, k) WHERE f = k GROUP BY t""")
 def technique_overlap(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in ("cloudflare", "captcha", "antibot")])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalar as S
-from loomfield.operators import breaker, records, stats, vectors
+from loomfield.operators import breaker, records, stats, substring, vectors
 from loomfield.plans.registry import query
 from loomfield.plans.views import ATTEMPTS, QUEUE, SKILLS, attempts, queue, skills, table
 
@@ -36,6 +36,30 @@ def skill_search(spark, sf_dir):
     return skills(spark, sf_dir).where("error_keywords ilike '%bolt%' or tags ilike '%RED%' or name ilike '%steel%' or category ilike '%econ%'").select("id")
 
 
+_KEYWORDS = "keywords AS (SELECT DISTINCT upper(unnest(string_split(p_name, ' '))) AS keyword FROM part UNION SELECT DISTINCT 'Brand#' || p_size FROM part)"
+
+
+def _keywords(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.explode(F.split(F.upper("p_name"), " ")).alias("keyword")).unionAll(p.select(F.concat(F.lit("Brand#"), F.col("p_size").cast("string")))).distinct()
+
+
+@query(f"WITH {SKILLS}, {_KEYWORDS} SELECT id, keyword FROM skills JOIN keywords ON contains(lower(error_keywords), lower(keyword)) OR contains(lower(tags), lower(keyword))")
+def skill_keyword_search(spark, sf_dir):
+    """Each keyword of a table with the skills whose error keywords or tags hold it, in any case."""
+    return substring.matches(skills(spark, sf_dir), "id", ["error_keywords", "tags"], _keywords(spark, sf_dir), ignore_case=True).select("id", F.col("needle").alias("keyword"))
+
+
+@query(f"""WITH {SKILLS}, terms AS (SELECT DISTINCT left(word, n) AS term FROM (SELECT unnest(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS word FROM part), (SELECT unnest([2, 4, 9]) AS n))
+SELECT term, count(*) AS n, min(id) AS first_id FROM skills JOIN terms ON contains(lower(error_keywords), lower(term)) OR contains(lower(tags), lower(term)) OR contains(lower(name), lower(term)) OR contains(lower(category), lower(term)) GROUP BY term""")
+def technique_search(spark, sf_dir):
+    """Search terms of a table over four columns, in any case; short ones are grams of their own."""
+    words = F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")
+    terms = table(spark, sf_dir, "part").select(F.explode(words).alias("word")).distinct().select(F.explode(F.array(*[F.left("word", F.lit(n)) for n in (2, 4, 9)])).alias("term")).distinct()
+    found = substring.matches(skills(spark, sf_dir), "id", ["error_keywords", "tags", "name", "category"], terms, ignore_case=True)
+    return found.groupBy(F.col("needle").alias("term")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 @query(f"WITH {SKILLS} SELECT id, CASE WHEN confidence >= 0.8 THEN true WHEN use_count >= 3 THEN true WHEN success_rate < 0.3 THEN false ELSE true END AS apply FROM skills")
 def skill_should_apply(spark, sf_dir):
     return skills(spark, sf_dir).select("id", stats.should_apply(F.col("confidence"), F.col("success_rate"), F.col("use_count")).alias("apply"))
