@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import rules as R
 from loomfield.functions import scalar as S
-from loomfield.operators import graph, stats
+from loomfield.operators import discovery, graph, stats
 from loomfield.plans.registry import query
 from loomfield.plans.views import RULE_PAGES, rule_pages, table
 
@@ -203,3 +203,76 @@ def problem_keys(spark, sf_dir):
     evidence = F.array(F.lit("checking your browser now"), F.lit("cf-.*ray"))
     words = R.problem_keywords(kind, host, evidence)
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(words), ",").alias("keywords"), F.array_join(R.problem_signatures(kind, host, path), ",").alias("signatures"))
+
+
+_SITEMAPS = """pairs AS (SELECT '/index-' || (page_id // 50) AS parent, '/leaf-' || (page_id // 10) AS child FROM pages UNION SELECT '/index-' || (page_id // 50), '/index-' || (page_id // 50 + CASE WHEN page_id // 50 % 2 = 0 THEN 1 ELSE -1 END) FROM pages),
+there AS (SELECT DISTINCT parent AS sitemap FROM pairs UNION SELECT DISTINCT '/leaf-' || (page_id // 10) FROM pages)"""
+
+
+def _stored_sitemaps(spark, sf_dir):
+    """A sitemap for every ten pages, an index for every five of them; indexes list each other by twos, in a circle, the
+    last one perhaps one that isn't stored."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    leaf, index = F.floor(F.col("page_id") / 10), F.floor(F.col("page_id") / 50)
+    loc = lambda url: F.concat(F.lit("<loc>"), F.replace(url, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
+    address = lambda kind, n: F.concat(F.lit(f"https://maps.example.com/{kind}-"), n.cast("string"))
+    leaves = p.groupBy(leaf.alias("n")).agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<url>"), loc(F.col("url")), F.lit("</url>")))).alias("body"))
+    leaves = leaves.select(address("leaf", F.col("n")).alias("url"), F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("xml"))
+    other = F.col("n") + F.when(F.col("n") % 2 == 0, 1).otherwise(-1)
+    children = p.select(index.alias("n"), F.concat(F.lit("/leaf-"), leaf.cast("string")).alias("child")).distinct().groupBy("n").agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<sitemap>"), loc(F.col("child")), F.lit("</sitemap>")))).alias("body"))
+    back = F.concat(F.lit("<sitemap>"), loc(address("index", other)), F.lit("</sitemap>"))
+    return leaves.unionAll(children.select(address("index", F.col("n")), F.concat(F.lit("<sitemapindex>"), "body", back, F.lit("</sitemapindex>"))))
+
+
+@query(f"""WITH RECURSIVE {_SITEMAPS}, walk(sitemap, depth) AS (SELECT sitemap, 0 FROM there WHERE sitemap LIKE '/index-%' AND split_part(sitemap, '-', 2)::INT % 2 = 0 UNION SELECT child, depth + 1 FROM walk JOIN pairs ON parent = sitemap WHERE depth < 5),
+best AS (SELECT sitemap, min(depth) AS depth FROM walk GROUP BY sitemap)
+SELECT DISTINCT 'https://maps.example.com' || sitemap AS sitemap, depth, url FROM best JOIN pages ON sitemap = '/leaf-' || (page_id // 10)""")
+def sitemap_index_urls(spark, sf_dir):
+    """The pages that every second index leads to, through indexes that list each other."""
+    stored = _stored_sitemaps(spark, sf_dir)
+    even = stored.where("url LIKE '%/index-%' AND cast(split_part(url, '-', 2) AS int) % 2 = 0")
+    return discovery.resolve_sitemaps(stored, even.select("url")).select("sitemap", "depth", "url")
+
+
+_AS_PAGE = "regexp_extract({0}, '^([a-z]+://[^/?#]*)', 1) || CASE WHEN rtrim(regexp_extract({0}, '://[^/?#]*([^?#]*)', 1), '/') = '' THEN '/' ELSE rtrim(regexp_extract({0}, '://[^/?#]*([^?#]*)', 1), '/') END"
+_SITE_PAGES = rf"""p AS (SELECT page_id, url, regexp_extract(url, '://[^/?#]*\.([^./?#]+\.[^./?#]+)([/?#]|$)', 1) AS site, {_AS_PAGE.format('url')} AS page,
+  [regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h FOR h IN regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)] AS own FROM pages),
+linked AS (SELECT p.page_id, p.site, p.page, p.url, list_transform(p.own || [x FOR x IN [a.url, b.url, c.url] IF x IS NOT NULL], lambda x: {_AS_PAGE.format('x')}) AS outs
+  FROM p LEFT JOIN p a ON a.page_id = 2 * p.page_id + 1 LEFT JOIN p b ON b.page_id = 2 * p.page_id + 2 LEFT JOIN p c ON c.page_id = p.page_id + 1),
+stored AS (SELECT page, arg_min(outs, url) AS outs FROM linked GROUP BY page),
+links AS (SELECT page, unnest(outs) AS link, unnest(range(len(outs))) AS pos FROM stored),
+starts AS (SELECT site, arg_min(page, page_id) AS start FROM p GROUP BY site),
+seeds AS (SELECT DISTINCT site, page AS url FROM (SELECT * FROM p WHERE page_id % 7 = 3 QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id, page) <= 5))"""
+
+
+def _site_pages(spark, sf_dir):
+    """Pages with links to three other pages by number, and sites by the last two labels of their hosts."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html", S.base_domain(S.netloc(F.col("url"))).alias("site"))
+    linked = p
+    for i, n in enumerate((2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2, F.col("page_id") + 1)):
+        other = p.select(F.col("page_id").alias("__n"), F.concat(F.lit('<a href="'), "url", F.lit('">x</a>')).alias(f"a{i}"))
+        linked = linked.join(other, n == F.col("__n"), "left").drop("__n")
+    return linked.select("page_id", "url", "site", F.concat_ws("", "html", "a0", "a1", "a2").alias("html"))
+
+
+def site_map_parts(spark, sf_dir):
+    pages = _site_pages(spark, sf_dir)
+    starts = pages.groupBy("site").agg(F.min_by("url", "page_id").alias("url"))
+    return pages.select("url", "html"), starts, pages.where("page_id % 7 = 3").select("site", "url", F.col("page_id").alias("place"))
+
+
+@query(rf"""WITH RECURSIVE {_SITE_PAGES}, q(site, start, found, queue, depths, done, round) AS (
+  SELECT site, start, coalesce((SELECT list(url) FROM seeds WHERE seeds.site = starts.site), []) AS found, [start], [0], 0, 0 FROM starts
+  UNION ALL SELECT q.site, q.start, found || coalesce(urls, []), queue || coalesce(goes, []), depths || coalesce(deep, []), least(q.done + 10, len(queue)), round + 1
+  FROM q LEFT JOIN (
+    SELECT site, round AS r, list(link ORDER BY rank, pos) AS urls, list(link ORDER BY rank, pos) FILTER (depth < 3 AND link <> start) AS goes, list(depth + 1 ORDER BY rank, pos) FILTER (depth < 3 AND link <> start) AS deep FROM (
+      SELECT x.site, x.round, x.start, l.link, min(x.rank) AS rank, arg_min(l.pos, (x.rank, l.pos)) AS pos, arg_min(x.depth, (x.rank, l.pos)) AS depth
+      FROM (SELECT site, round, start, found, unnest(queue[done + 1 : done + 10]) AS page, unnest(range(done, least(done + 10, len(queue)))) AS rank, unnest(depths[done + 1 : done + 10]) AS depth FROM q WHERE len(found) < 60) x
+      JOIN links l ON l.page = x.page WHERE regexp_extract(l.link, '://[^/?#]*\.([^./?#]+\.[^./?#]+)([/?#]|$)', 1) = x.site AND NOT list_contains(x.found, l.link) GROUP BY x.site, x.round, x.start, l.link) GROUP BY site, round) n ON n.site = q.site AND n.r = q.round
+  WHERE len(found) < 60 AND len(queue) > q.done)
+SELECT site, unnest(found) AS url FROM q QUALIFY row_number() OVER (PARTITION BY site ORDER BY round DESC) = 1""")
+def site_maps(spark, sf_dir):
+    """A map of every site: at most five sitemap urls that aren't expanded, links on the site's hosts, no further pages
+    once 60 urls are found."""
+    pages, starts, seeds = site_map_parts(spark, sf_dir)
+    return discovery.site_maps(pages, starts, seeds, max_urls=60, max_seeds=5, subdomains=True).select("site", "url")
