@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import rules
 from loomfield.operators import extract as X
+from loomfield.operators import relocation
 from loomfield.plans.registry import query
 from loomfield.plans.views import table
 from loomfield.sources import documents, readers
@@ -119,6 +120,34 @@ def relocated_headings(spark, sf_dir):
     return X.flat_map(_pages(spark, sf_dir), run, "strategy string")
 
 
+_OLD = "'<article><h1>', '<article class=\"story lead\"><h1>'"
+#: What changes in every fifth page: nothing, the tag, also the place, also the class above, also the text.
+_CHANGES = (
+    (),
+    (("<h1>", "<h2>"), ("</h1>", "</h2>")),
+    (("<h1>", "<i>new</i><h2>"), ("</h1>", "</h2>")),
+    (("<h1>", "<i>new</i><h2>"), ("</h1>", "</h2>"), ("story lead", "tale")),
+    (("<h1>", "<i>new</i><h2>changed "), ("</h1>", "</h2>"), ("story lead", "tale")),
+)
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'selector' WHEN 1 THEN 'position' WHEN 2 THEN 'parent' WHEN 3 THEN 'text'
+  ELSE CASE WHEN trim(lower(regexp_extract(html, '<title>([^<]*)</title>', 1))) = trim(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1))) THEN 'text' END END AS strategy FROM pages WHERE contains(html, '<h1>')""")
+def relocated_elements(spark, sf_dir):
+    """Headings tracked in an old version of the pages and found again in a new one, where each fifth of the pages has
+    changed further; a changed heading may still be the page's title."""
+    pages = table(spark, sf_dir, "pages")
+    old = pages.withColumn("html", F.expr(f"replace(html, {_OLD})"))
+    html, new = F.col("html"), None
+    for i, changes in enumerate(_CHANGES):
+        changed = html
+        for before, after in changes:
+            changed = F.replace(changed, F.lit(before), F.lit(after))
+        new = F.when(F.pmod("page_id", F.lit(5)) == i, changed) if new is None else new.when(F.pmod("page_id", F.lit(5)) == i, changed)
+    found = relocation.relocate_elements(relocation.track_elements(old, "article.story h1"), old.withColumn("html", new))
+    return found.select("page_id", "strategy")
+
+
 @query("SELECT -1::BIGINT AS page_id, 'Lamp' AS title, '$1,299.00' AS price UNION ALL SELECT -1, 'Desk', NULL")
 def zipped_selectors(spark, sf_dir):
     return X.flat_map(_pages(spark, sf_dir), lambda h, u: X.zip_selectors(h, {"title": "h2", "price": ".price"}), "title string, price string")

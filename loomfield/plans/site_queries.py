@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomfield.operators import extract as X
-from loomfield.operators import sites
+from loomfield.operators import sites, wrappers
 from loomfield.plans.registry import query
 from loomfield.plans.views import table
 
@@ -95,3 +95,9 @@ def guessed_selectors(spark, sf_dir):
         return [(got.get("title"), got.get("description"), got.get("url"))]
 
     return X.flat_map(table(spark, sf_dir, "pages").select("page_id", "url", "html"), run, "title string, description string, url string")
+
+
+@query()
+def host_selectors(spark, sf_dir):
+    """Containers and fields of every host's pages by the tree of their paths; tests compare with a plain version."""
+    return wrappers.host_selectors(table(spark, sf_dir, "pages"))
