@@ -152,14 +152,6 @@ def export_columns(df: DataFrame, null_text: str = "") -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(null_text)).alias(c) for c in sorted(df.columns)])
 
 
-def envelope(df: DataFrame, source: str, url: str, scrape_time: str, order: Sequence[str]) -> DataFrame:
-    """One document {metadata, data} for a result of bounded size; larger ones are written as NDJSON."""
-    row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], F.to_json(F.struct(*df.columns)).alias("json"))
-    got = df.agg(F.count("*").alias("record_count"), F.transform(F.array_sort(F.collect_list(row)), lambda r: r["json"]).alias("rows"))
-    meta = F.to_json(F.struct(F.lit(source).alias("source"), F.lit(scrape_time).alias("scrape_time"), F.lit(url).alias("url"), F.col("record_count"), F.lit("1.0").alias("format_version")))
-    return got.select("record_count", F.concat(F.lit('{"metadata":'), meta, F.lit(',"data":['), F.array_join("rows", ","), F.lit("]}")).alias("document"))
-
-
 def validated_envelope(df: DataFrame, schema: Mapping[str, FieldRule], order: Sequence[str]) -> DataFrame:
     """One document {count, schema, data} of the rows that fit a schema, for a result of bounded size."""
     fits = validate(df, schema).select(*schema)

@@ -35,8 +35,17 @@ def ndjson_round_trip(spark, sf_dir):
     return readers.read_ndjson(spark, path, "conv_id bigint, turn int, role string, text string", strict=True)
 
 
-@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders")
 def json_array_round_trip(spark, sf_dir):
+    """An array of all orders: written in parts by all tasks, read as parts."""
+    path = _place(spark)
+    writers.write_document(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("o_totalprice")), path)
+    return readers.read_document(spark, path, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")[0]
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def json_array_file(spark, sf_dir):
+    """The same as one file, for readers that know nothing of parts."""
     path = _place(spark)
     writers.write_json_array(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
     return readers.read_json(spark, path, "n_nationkey bigint, n_name string, n_regionkey bigint")

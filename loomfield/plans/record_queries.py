@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalar as S
@@ -9,6 +11,8 @@ from loomfield.operators import graph, substring
 from loomfield.operators import records as R
 from loomfield.plans.registry import query
 from loomfield.plans.views import table, values_sql
+from loomfield.session import ensure_checkpoint_dir
+from loomfield.sources import readers, writers
 
 RAW = ((1, "a", "12", None, "5"), (2, None, "7", "x", ""), (3, "c", "no", "y", "1.5"), (4, "d", " 8 ", "", None), (5, "", "9", "z", "true"))
 _RAW = f"raw AS (SELECT id::BIGINT AS id, name, qty, note, price FROM ({values_sql(RAW)}) t(id, name, qty, note, price))"
@@ -149,10 +153,15 @@ def export_columns(spark, sf_dir):
     return R.export_columns(n, "None")
 
 
-@query("""SELECT count(*) AS record_count, '{"metadata":{"source":"regions","scrape_time":"2024-01-01T00:00:00","url":"http://a.com","record_count":' || count(*) || ',"format_version":"1.0"},"data":[' || string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', ',' ORDER BY r_regionkey) || ']}' AS document FROM region""")
+@query("""SELECT c_custkey, c_name, count(*) OVER () AS record_count, 'customers' AS source FROM customer""")
 def metadata_envelope(spark, sf_dir):
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return R.envelope(r, "regions", "http://a.com", "2024-01-01T00:00:00", ["r_regionkey"])
+    """A document {metadata, data} of all customers in ordered parts, read back: each row with what the metadata says."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/envelope-{uuid.uuid4().hex}"
+    writers.write_envelope(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path, "customers", "http://a.com", "2024-01-01T00:00:00", ["c_custkey"])
+    rows, frame = readers.read_document(spark, path, "c_custkey bigint, c_name string")
+    meta = F.from_json(F.lit(frame), "metadata struct<source: string, record_count: bigint>")["metadata"]
+    return rows.select("c_custkey", "c_name", meta["record_count"].alias("record_count"), meta["source"].alias("source"))
 
 
 @query("""SELECT conv_id, md5(string_agg('**' || role || '**: ' || text, chr(10) || chr(10) ORDER BY turn)) AS document FROM conversations GROUP BY conv_id""")

@@ -24,6 +24,14 @@ def read_ndjson(spark: SparkSession, path: str, schema: str | None = None, stric
     return (r.schema(schema) if schema else r).json(path)
 
 
+def read_document(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, str]:
+    """The rows of a document that writers.write_document() wrote in parts, and the document without its rows.  Parts
+    are read side by side, an object a line."""
+    frame = json.loads(spark.read.option("wholetext", True).text(f"{path}/document.json").first().value)
+    lines = spark.read.option("pathGlobFilter", "part-*").text(path).where(~F.col("value").isin(frame["head"], frame["tail"], frame["head"] + frame["tail"]))
+    return lines.select(F.from_json(F.ltrim("value", F.lit(",")), schema).alias("row")).select("row.*"), frame["head"] + frame["tail"]
+
+
 def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None) -> DataFrame:
     """All strings under a header; the named columns are cast, values that don't cast become null.  Booleans are
     true, 1 and yes."""

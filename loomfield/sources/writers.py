@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.operators.records import export_columns, flatten
+from loomfield.session import ensure_checkpoint_dir
 from loomfield.sources.documents import make_xlsx, parse_xlsx
 
 #: Rows a workbook may hold; results beyond are an error, not cut.
@@ -33,21 +36,92 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_json_array(df: DataFrame, path: str, pretty: bool = True) -> None:
-    """One JSON array in one file, nulls and characters as they are; for results that one reader takes whole.
-    Rows stream through one task, none is held."""
-    rows = df.select(F.to_json(F.struct(*df.columns), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}).alias("value"))
-    rows = df.sparkSession.range(1).select(F.lit("").alias("value")).unionAll(rows).coalesce(1)  # a task even without rows
+def _files(spark: SparkSession, path: str):
+    """(file system, path) in any store that Spark writes."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, p = _files(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_document(df: DataFrame, path: str, head: str | Callable[[int], str] = "[", tail: str = "]", order: Sequence[str] = (), pretty: bool = False) -> int:
+    """One JSON document in parts: head, the rows as objects with commas between, tail; returns the number of rows.
+
+    Every task writes a part of its own rows.  The rows of each partition are counted first, so that the first part
+    with rows begins with the head (which may tell the number of rows) and the last one ends with the tail; parts
+    in the order of their names are the document, for join_parts() or read_document().  ``order`` sorts rows over all parts.
+    Nulls are kept, characters stand as they are."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = df.orderBy(*order) if order else df
+    rows = rows.select(F.to_json(F.struct(*df.columns), {"pretty": str(pretty).lower(), "ignoreNullFields": "false"}).alias("value")).checkpoint()
+    counts = {r.part: r.n for r in rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()}  # a row a partition
+    total = sum(counts.values())
+    top = head(total) if callable(head) else head
+    first, last = (min(counts), max(counts)) if counts else (0, 0)
 
     def run(batches):
-        before = "["
+        part = TaskContext.get().partitionId()
+        lead = [top] if part == first else []
+        comma = "" if part == first else ","
         for b in batches:
-            for v in filter(None, b.column(0).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array([before + v])], ["value"])
-                before = ",\n" if pretty else ","
-        yield pa.RecordBatch.from_arrays([pa.array(["]" if before != "[" else "[]"])], ["value"])
+            lines = lead
+            for v in b.column(0).to_pylist():
+                lines.append(comma + v)
+                comma = ","
+            lead = []
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines)], ["value"])
+        if part == last:
+            yield pa.RecordBatch.from_arrays([pa.array([tail])], ["value"])
+
+    if counts:
+        rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+    else:
+        spark.createDataFrame([(top + tail,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    _put(spark, f"{path}/document.json", json.dumps({"head": top, "tail": tail, "rows": total}).encode())
+    return total
+
+
+def join_parts(spark: SparkSession, path: str, target: str) -> None:
+    """The parts of a folder as one file, in the order of their names.  The file systems' bytes are copied by the
+    driver; no row is looked at."""
+    fs, p = _files(spark, path)
+    to, q = _files(spark, target)
+    jvm = spark.sparkContext._jvm
+    out = to.create(q, True)
+    try:
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")):
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(p, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+
+
+def write_json_array(df: DataFrame, path: str, pretty: bool = True) -> None:
+    """One JSON array in one file of a folder, which any reader of JSON takes: written in parts by all tasks, whose
+    bytes are then joined."""
+    spark = df.sparkSession
+    write_document(df, f"{path}/_parts", pretty=pretty)
+    join_parts(spark, f"{path}/_parts", f"{path}/part-00000.json")
+    fs, p = _files(spark, f"{path}/_parts")
+    fs.delete(p, True)
+
 
-    rows.mapInArrow(run, "value string").write.mode("overwrite").option("lineSep", "\n" if pretty else "").text(path)
+def write_envelope(df: DataFrame, path: str, source: str, url: str, scrape_time: str, order: Sequence[str] = ()) -> int:
+    """A document {metadata, data} of any number of rows, in parts; the metadata has the number of rows."""
+    meta = lambda n: {"source": source, "scrape_time": scrape_time, "url": url, "record_count": n, "format_version": "1.0"}
+    return write_document(df, path, lambda n: json.dumps({"metadata": meta(n)}, ensure_ascii=False, separators=(",", ":"))[:-1] + ',"data":[', "]}", order)
 
 
 def _sheet(df: DataFrame) -> list[list]:
@@ -80,13 +154,7 @@ def workbook_with_summary(df: DataFrame, sheet: str = "data") -> bytes:
 
 def write_workbook(df: DataFrame, path: str) -> None:
     """A workbook as one file in any store that Spark writes."""
-    jvm = df.sparkSession.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).create(p, True)
-    try:
-        out.write(bytearray(workbook(df)))
-    finally:
-        out.close()
+    _put(df.sparkSession, path, workbook(df))
 
 
 def write_everywhere(df: DataFrame, paths: Sequence[str], write: Callable[[DataFrame, str], None] = write_parquet) -> dict[str, str | None]:
