@@ -116,11 +116,16 @@ def generalise(counts: DataFrame, ws: Workspace, max_children: int = 32, rare: f
     return tree
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_bad: float = 0.7, weight: float = 4.0) -> DataFrame:
+def judge(
+    pages: DataFrame, labels: DataFrame | None = None, rules: Sequence[tuple[str, str]] = RULES, min_bad: float = 0.7, weight: float = 4.0, prior: float | None = None
+) -> DataFrame:
     """page_id, host, path, rule, verdict, template for every row of pages.
 
     labels: (page_id, bad 0/1); a page labelled more than once is bad if any label says so, nulls don't
-    count.  A template's share of bad pages is smoothed by ``weight`` pages of the overall share.  Urls
+    count.  Without labels the rules give them: a page that one fits is bad if it's blocked, and good if it's
+    allowed, so that the templates of a host's other pages are judged by those that they are merged with.  A
+    template's share of bad pages is smoothed by ``weight`` pages of the share ``prior``: the overall one where
+    None, with given labels, and an even one with those of rules, which are no sample of the pages.  Urls
     that are null or have no :// have an empty host and path and form templates of that host; repeated
     rows count each time; a null page_id has no label.  Empty tables give empty results or no labels.
     """
@@ -130,14 +135,19 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("said", verdict).withColumn("t0", template(F.col("path")))
     parsed = ws.save(parsed)
-    known = labels.select(labels["page_id"].cast("long").alias("page_id"), labels["bad"].cast("int").alias("bad")).where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+    if labels is None:
+        marked = parsed.where("said IS NOT NULL").withColumn("bad", (F.col("said") == "block").cast("int"))
+    else:
+        known = labels.select(labels["page_id"].cast("long").alias("page_id"), labels["bad"].cast("int").alias("bad")).where("bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
+        marked = parsed.join(known, "page_id")
     # one row per host and template before anything else is dealt by host
-    marked = parsed.join(known, "page_id").groupBy("host", "t0").agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
+    marked = marked.groupBy("host", "t0").agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
     seen = parsed.groupBy("host", "t0").agg(F.count("*").alias("n"))
     counts = seen.join(marked, ["host", "t0"], "left").select("host", "t0", "n", F.coalesce("labelled", F.lit(0)).alias("labelled"), F.coalesce("bad", F.lit(0)).alias("bad"))
     tree = generalise(counts, ws)
     total = tree.agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).first()
     share = total["bad"] / total["labelled"] if total["labelled"] else 0.0
+    share = prior if prior is not None else 0.5 if labels is None else share
     nodes = tree.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     nodes = nodes.select("host", "t", ((F.col("bad") + weight * share) / (F.col("labelled") + weight) >= min_bad).alias("rejected"))
     verdicts = tree.select("host", "t0", "t").join(small_or_shuffled(ws.save(nodes)), ["host", "t"]).select("host", "t0", F.concat(F.lit("/"), F.array_join("t", "/")).alias("template"), "rejected")

@@ -69,13 +69,14 @@ def test_op4(spark):
         host, path, rule, said = brute_url(pages[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and r.verdict == (said or r.verdict)
     assert {r.rule for r in got} & {x for x, _ in urls.RULES}
+    assert any(r.rule is None and r.verdict == "block" for r in rows(spark, "op4_url_templates")) or len(got) < 100
 
 
 def test_op4_by_its_sql(spark):
     got = QUERIES["op4_url_templates"](spark, SF)
     order = sorted(got.columns)
     con = duckdb.connect()
-    for t in ("pages", "labels"):
+    for t in ("pages",):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(f"SELECT {', '.join(order)} FROM ({SQL['op4_url_templates']})").fetchall()
     assert sorted(map(repr, (tuple(r[c] for c in order) for r in got.collect()))) == sorted(map(repr, want))

@@ -136,3 +136,12 @@ def test_templates_and_verdicts_against_a_plain_version(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(none, spark.createDataFrame([], "page_id long, bad int")).collect() == []
+
+
+def test_rules_label_the_templates_of_other_pages(spark):
+    """Pages in a blocked folder give their templates bad labels, which count for alike branches that no rule fits."""
+    pages = [(i, f"http://a.example.com/de/{i}") for i in range(6)] + [(10 + i, f"http://a.example.com/en/{i}") for i in range(3)] + [(20, "http://a.example.com/about.html"), (21, "http://b.example.com/en/7")]
+    pages += [(30 + i, f"http://c.org/fr/{i}") for i in range(6)] + [(40, "http://c.org/en/1"), (41, "http://free.xyz/en/1")]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    assert [got[i].verdict for i in (0, 10, 11, 12)] == ["block"] * 4 and got[10].rule is None and got[10].template == "/~/{n}"
+    assert [got[i].verdict for i in (20, 21, 30, 40, 41)] == ["allow"] * 5
