@@ -16,9 +16,12 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -59,18 +62,46 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _replaced(text: str, pattern: re.Pattern, decode: Callable[[str], str]) -> tuple[str, Callable[[int, int], tuple[int, int]]]:
-    """text with pattern's matches decoded, and the mapping of its spans to spans of text."""
-    out, starts, ends, at = [], [], [], 0
+    """text with pattern's matches decoded, and the mapping of its spans to spans of text.  The mapping keeps the edges
+    of matches alone, four numbers each."""
+    out, size, at = io.StringIO(), 0, 0
+    begins, stops, froms, tos = (array("q") for _ in range(4))  # a decoded match, and what it was in text
     for m in pattern.finditer(text):
         new = decode(m.group())
-        out += [text[at : m.start()], new]
-        starts += [*range(at, m.start()), *[m.start()] * len(new)]
-        ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(new)]
-        at = m.end()
-    out.append(text[at:])
-    starts += range(at, len(text))
-    ends += range(at + 1, len(text) + 1)
-    return "".join(out), lambda s, e: (starts[s], ends[e - 1])
+        out.write(text[at : m.start()])
+        out.write(new)
+        size += m.start() - at
+        begins.append(size), stops.append(size + len(new)), froms.append(m.start()), tos.append(m.end())
+        size, at = size + len(new), m.end()
+    out.write(text[at:])
+
+    def place(i: int, last: bool) -> int:
+        k = bisect_right(stops, i)  # matches before it have ended
+        if k < len(begins) and begins[k] <= i:
+            return tos[k] - 1 if last else froms[k]
+        return i if not k else tos[k - 1] + i - stops[k - 1]
+
+    return out.getvalue(), lambda s, e: (place(s, False), place(e - 1, True) + 1)
+
+
+class _Places:
+    """Where each character of joined lines stands in the text: a line's characters follow each other, so that a
+    line is one range."""
+
+    def __init__(self, lines: list[range], size: int):
+        self.lines, self.size, self.before = lines, size, array("q")
+        total = 0
+        for x in lines:
+            self.before.append(total)
+            total += len(x)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int) -> int:
+        i = i + self.size if i < 0 else i
+        k = bisect_right(self.before, i) - 1
+        return self.lines[k][i - self.before[k]]
 
 
 def _percent(run: str) -> str:
@@ -154,10 +185,10 @@ def _inflated(read: Iterator[bytes]) -> Iterator[bytes]:
             raw += next(read, b"")
 
 
-def _contents(raw: bytes) -> tuple[Iterator[bytes], bool]:
+def _contents(read: Iterator[bytes]) -> tuple[Iterator[bytes], bool]:
     """What a decoded value holds under all its compressed layers, as a stream, and whether it was compressed.
     A stream that unpacks to its own beginning again is left as it is."""
-    read, packed, seen = iter([raw]), False, set()
+    packed, seen = False, set()
     while True:
         head = next(read, b"")
         if not _compressed(head) or (key := hashlib.blake2b(head).digest()) in seen:
@@ -167,20 +198,114 @@ def _contents(raw: bytes) -> tuple[Iterator[bytes], bool]:
         read, packed = inner, True
 
 
-def _pieces(read: Iterator[bytes]) -> Iterator[bytes]:
-    """The stream in pieces of PIECE bytes, each after the first with the last OVERLAP bytes before it; an even
-    number of bytes lies between the beginnings of two pieces."""
-    held, size, fresh_ = [], 0, 0
+#: What may belong to a value that isn't at its end, from the end of the data on: base64, also over line breaks.
+_OPEN = re.compile(rb"[A-Za-z0-9+/_-]*+(?:[ \t]*+\n\r?+[ \t]*+[A-Za-z0-9+/_-]++)*+")
+_SPACES = tuple(bytes([c]) for c in b" \t\n\v\f\r")
+_KEPT = re.compile(rb"[^A-Za-z0-9+/]+")
+
+
+class _Run:
+    """A base64 run too long to be held, on the way through a stream: it's decoded as it is read, and what it holds is a
+    stream again.  ``layers`` must be read to the end before the outer stream goes on."""
+
+    def __init__(self, read: Iterator[bytes]):
+        self.read = read
+
+    def layers(self):
+        """Like _layers(): of the run itself the text (without a name), and what it decodes to."""
+        texts: list[str] = []
+
+        def decoded():
+            held, before, first = b"", b"", True
+            for block in self.read:
+                texts.append((before + block).decode("latin-1"))
+                before = block[-OVERLAP:]
+                if first:
+                    first, block = False, block[_beginning(block) :]
+                held += _KEPT.sub(b"", block.replace(b"-", b"+").replace(b"_", b"/"))
+                cut = len(held) - len(held) % 4
+                if cut:
+                    yield base64.b64decode(held[:cut])
+                held = held[cut:]
+            if len(held) > 1:
+                yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+        read, packed = _contents(decoded())
+        for view in _read_views(read):
+            while texts:
+                yield None, texts.pop(), lambda s, e: (0, 1)
+            yield "packed" if packed else "base64", view, lambda s, e: (0, 1)
+        while texts:
+            yield None, texts.pop(), lambda s, e: (0, 1)
+
+
+def _beginning(block: bytes) -> int:
+    """Where a run's value begins: at its first line, or at the second one if the first is another word, without which
+    the rest makes more sense."""
+    second = block.find(b"\n") + 1
+    if not second or len(block[: second - 1].strip()) == len(block[second:].partition(b"\n")[0].strip()):
+        return 0
+
+    def sense(at: int) -> int:
+        some = _KEPT.sub(b"", block[at : at + 8192].replace(b"-", b"+").replace(b"_", b"/"))
+        head = base64.b64decode(some[: len(some) - len(some) % 4])
+        try:
+            head[: len(head) - 3].decode("utf-8")
+            return 1
+        except UnicodeDecodeError as e:
+            return 2 * _compressed(head) or int(e.start > len(head) - 8)
+
+    return second if sense(second) > sense(0) else 0
+
+
+def _pieces(read: Iterator[bytes]) -> Iterator[bytes | _Run]:
+    """The stream in pieces of about PIECE bytes, each after the first with the last OVERLAP bytes before it.
+
+    A piece ends where no value is open: before the white space in front of the base64, over one or more lines, or the
+    other characters, that the data read so far ends with.  Data without white space is cut between base64 runs, and
+    a run that fills a piece is passed on as it comes."""
+    held, before = b"", b""
     for block in read:
-        held.append(block)
-        size, fresh_ = size + len(block), fresh_ + len(block)
-        if size >= PIECE:
-            whole = b"".join(held)
-            yield whole
-            rest = whole[len(whole) - OVERLAP - len(whole) % 2 :]
-            held, size, fresh_ = [rest], len(rest), 0
-    if fresh_:
-        yield b"".join(held)
+        held += block
+        while len(held) >= PIECE:
+            start = len(held) - _OPEN.match(held[::-1]).end()
+            start = max((held.rfind(c, 0, start) for c in _SPACES), default=-1) + 1 or start
+            if start:
+                yield before + held[:start]
+                before, held = (before + held[:start])[-OVERLAP:], held[start:]
+                continue
+            rest: list[bytes] = []
+            yield _Run(_run(held, read, rest))
+            before, held = b"", b"".join(rest)
+    if held:
+        yield before + held
+
+
+#: What ends a run: another character, white space within a line, an empty line.
+_END = re.compile(rb"[^A-Za-z0-9+/_\s-]|(?<=[^\s])[ \t]++(?=[^\s])|\n[ \t\r]*+\n")
+
+
+def _run(held: bytes, read: Iterator[bytes], rest: list[bytes]) -> Iterator[bytes]:
+    """The blocks of an open base64 run that begins with held; what follows it is put into rest."""
+    told = 0  # of held has been given out: the character before white space whose meaning the next block tells
+    while True:
+        m = _END.search(held)
+        sure = m.start() if m else len(held.rstrip())
+        if sure > told:
+            yield held[told:sure]
+        if m:
+            rest.append(held[m.start() :])
+            return
+        more = next(read, b"")
+        if not more:
+            return
+        told = min(1, sure)
+        held = held[sure - told :] + more
+
+
+def _read_views(read: Iterator[bytes]) -> Iterator[str | _Run]:
+    for piece in _pieces(read):
+        yield from [piece] if isinstance(piece, _Run) else _views(piece)
 
 
 def _views(raw: bytes) -> list[str]:
@@ -205,10 +330,10 @@ def _unpacked(segment: str) -> tuple[Iterator[str], bool] | None:
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return None
-    read, packed = _contents(raw)
+    read, packed = _contents(iter([raw]))
     if not packed:
         return iter(_views(raw)), False
-    return (view for piece in _pieces(read) for view in _views(piece)), True
+    return _read_views(read), True
 
 
 def _layers(text: str):
@@ -224,7 +349,7 @@ def _layers(text: str):
             views, packed = got
             whole = at[0], at[-1] + 1
             for i, inner in enumerate(views):
-                if packed or i or not inner.isascii():
+                if packed or i or not inner.isascii():  # runs are parts of compressed values alone
                     yield "packed" if packed else "base64", inner, lambda s, e, w=whole: w
                 else:
                     yield "base64", inner, lambda s, e, at=at: (at[s * 4 // 3], at[min(len(at), -(-e * 4 // 3)) - 1] + 1)
@@ -253,7 +378,7 @@ def _segments(text: str):
             segment = "".join(text[x.start : x.stop] for x in lines[lo:hi])
             whole = len(segment.rstrip("="))
             cut = len(segment) if whole % 4 != 1 else whole - 1  # a rest of one character decodes to nothing
-            yield [c for x in lines[lo:hi] for c in x][:cut], segment[:cut]
+            yield _Places(lines[lo:hi], cut), segment[:cut]
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -274,6 +399,12 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             work.pop()
             continue
         name, inner, to = found
+        if name is None:  # more of the layer itself
+            added |= {(f"{'/'.join(path)}/{kind}", *outer(*to(s, e))) for kind, s, e in base_spans(inner)}
+            continue
+        if isinstance(inner, _Run):
+            work.append((inner.layers(), (*path, name), lambda s, e, to=to, outer=outer: outer(*to(s, e))))
+            continue
         digest = hashlib.blake2b(inner.encode("utf-8", "replace")).digest()
         if not inner or digest == root or (key := (digest, outer(*to(0, len(inner))))) in seen:
             continue

@@ -130,6 +130,63 @@ def test_a_value_that_unpacks_to_much_takes_little_memory():
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000
 
 
+def test_values_over_the_edge_of_a_piece(monkeypatch):
+    """Values longer than the overlap, at all alignments, plain and compressed, on one line and wrapped, under one
+    layer and two."""
+    monkeypatch.setattr(secrets, "PIECE", 8192)
+    monkeypatch.setattr(secrets, "OVERLAP", 128)
+    rnd = random.Random(9)
+    secret = b"password = hunter2hunter2"
+    words = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(1, 9))) for _ in range(n)).encode()
+    for size in (400, 3000, 12_000):  # the last are longer than a piece
+        for shift in range(4):
+            inner = words(size // 6) + b" " + secret + b" tail"
+            lead = words(1200) + b" x" * 2 + b"y" * shift + b" "
+            for value, path in ((inner, "base64"), (gzip.compress(inner + rnd.randbytes(size)), "packed")):
+                z = base64.b64encode(value)
+                lines = b"\n".join(z[i : i + 76] for i in range(0, len(z), 76))
+                for form in (z, b"\n" + lines + b"\n"):
+                    body = lead + form + b" " + words(900)
+                    assert f"packed/{path}/assign" in kinds(gzip.compress(body)), (size, shift, path, form is z)
+                    deep = lead + base64.b64encode(gzip.compress(body)) + b" " + words(300)
+                    assert f"packed/packed/{path}/assign" in kinds(bz2.compress(deep)), (size, shift, path)
+
+
+def test_runs_are_read_to_their_ends():
+    for text, want in ((b"QUJD\nREVG next", b"QUJDREVG"), (b"QUJD\n\nREVG", b"QUJD"), (b"QUJD REVG", b"QUJD"), (b"QUJD  \n  REVG=", b"QUJDREVG"), (b"QUJD\r\nREVG\r\n", b"QUJDREVG"), (b"QUJD", b"QUJD")):
+        for n in range(1, 8):
+            rest = []
+            blocks = [text[i : i + n] for i in range(0, len(text), n)]
+            got = b"".join(secrets._run(blocks[0], iter(blocks[1:]), rest))
+            assert b"".join(got.split()) == want, (text, n)
+
+
+def test_mapping_by_edges():
+    rnd = random.Random(3)
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "b", "%41", "%c3%a9", "%ff", "𝒳"]) for _ in range(rnd.randint(1, 12)))
+        inner, to = secrets._replaced(text, secrets._PERCENT, secrets._percent)
+        starts, ends, at = [], [], 0
+        for m in secrets._PERCENT.finditer(text):
+            new = secrets._percent(m[0])
+            starts += [*range(at, m.start()), *[m.start()] * len(new)]
+            ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(new)]
+            at = m.end()
+        starts += range(at, len(text))
+        ends += range(at + 1, len(text) + 1)
+        assert len(inner) == len(starts)
+        for s in range(len(inner)):
+            for e in range(s + 1, len(inner) + 1):
+                assert to(s, e) == (starts[s], ends[e - 1])
+
+
+def test_a_long_token_takes_little_memory():
+    text = "x" * (1 << 25) + "%41" + "y" * (1 << 25) + "%70assword=hunter2hunter2"
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert ("url/assign", len(text) - 25, len(text)) in secrets.find_spans(text)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
 def nested(rnd, text, depth):
     """text under random layers; the names of the layers, outermost first."""
     names = []
