@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomfield.functions import rules as R
 from loomfield.functions import scalar as S
-from loomfield.operators import discovery, graph, stats
-from loomfield.plans.registry import query
+from loomfield.operators import discovery, graph, patterns, stats
+from loomfield.plans.registry import SQL, query
 from loomfield.plans.views import RULE_PAGES, rule_pages, table
+from loomfield.session import ensure_checkpoint_dir
 
 _LINKS = r"""links AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages),
 absolute AS (SELECT page_id, url, href, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href ELSE href END AS target FROM links)"""
@@ -276,3 +279,47 @@ def site_maps(spark, sf_dir):
     once 60 urls are found."""
     pages, starts, seeds = site_map_parts(spark, sf_dir)
     return discovery.site_maps(pages, starts, seeds, max_urls=60, max_seeds=5, subdomains=True).select("site", "url")
+
+
+def _rule_table(spark):
+    """The engine's rules, written as a table and read from it."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rules-{uuid.uuid4().hex}"
+    spark.createDataFrame(patterns.default_rules(), patterns.SCHEMA).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(SQL["problem_classify"])
+def problem_classify_by_table(spark, sf_dir):
+    """The rules of a table, in one pass over each page."""
+    hits = patterns.rule_hits(spark, _rule_table(spark), ["problem"])
+    html, error, status = F.coalesce("html", F.lit("")), F.coalesce("error", F.lit("")), F.col("status")
+    text = F.concat_ws(" ", F.lower(html), F.coalesce(status, F.lit(200)).cast("string"), F.lower(F.coalesce("headers", F.lit(""))), F.lower(error))
+    rows = rule_pages(spark, sf_dir).withColumn("hits", hits(text))
+    other = F.when(status >= 400, "http_error").when(error != "", "request_error").when((F.length(html) < 500) & F.lower(html).contains("<html"), "minimal_content")
+    rows = rows.withColumn("problem_type", F.coalesce(patterns.first_hit(F.col("hits"), "problem"), other))
+    named = lambda pairs: F.element_at(F.create_map(*[F.lit(x) for kv in pairs for x in kv]), F.col("problem_type"))
+    kind = F.col("problem_type")
+    level = F.when(kind == "http_error", F.when(status < 500, "high").otherwise("medium")).when(kind.isNotNull(), named([(n, s) for n, s, _ in R.PROBLEM_PATTERNS] + [("request_error", "medium"), ("minimal_content", "low")]))
+    said = F.when(kind == "http_error", F.concat(F.lit("HTTP "), status.cast("string"), F.lit(" error"))).when(kind == "request_error", F.left("error", F.lit(200))).when(kind.isNotNull(), named(list(R.DESCRIPTIONS.items())))
+    return rows.select("id", "problem_type", level.alias("severity"), said.alias("description"))
+
+
+@query(SQL["page_flags"])
+def page_flags_by_table(spark, sf_dir):
+    hits = patterns.rule_hits(spark, _rule_table(spark), ["quick", "captcha", "blocked", "challenged", "js"])
+    html = F.coalesce("html", F.lit(""))
+    rows, h = rule_pages(spark, sf_dir).select("id", (html == "").alias("empty"), hits(F.lower(html)).alias("hits")), F.col("hits")
+    return rows.select(
+        "id", F.coalesce(patterns.first_hit(h, "quick"), F.lit("unknown")).alias("quick"), F.coalesce(patterns.first_hit(h, "captcha"), F.lit("none")).alias("captcha"), patterns.any_hit(h, "blocked").alias("blocked"),
+        (F.col("empty") | patterns.any_hit(h, "challenged")).alias("challenged"), patterns.any_hit(h, "js").alias("js"),
+    )
+
+
+@query(SQL["url_filters"])
+def url_filters_by_table(spark, sf_dir):
+    hits = patterns.rule_hits(spark, _rule_table(spark), ["excluded", "blocked_link", "ad", "tracker", "browser"])
+    urls = table(spark, sf_dir, "pages").select("url").unionByName(spark.createDataFrame([(x,) for x in _EXTRA], "url string"))
+    rows, h = urls.groupBy("url").agg(F.count("*").alias("n")).select("url", "n", hits(F.lower("url")).alias("hits")), F.col("hits")
+    flag = lambda name, *sets: patterns.any_hit(h, *sets).alias(name)
+    return rows.select("url", flag("excluded", "excluded"), flag("blocked", "blocked_link"), flag("ad", "ad"), flag("tracker", "ad", "tracker"), flag("browser", "browser"), "n")
