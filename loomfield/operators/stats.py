@@ -32,6 +32,17 @@ def last_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def first_distinct(df: DataFrame, by: Sequence[str], values: Column, k: int | None, name: str) -> DataFrame:
+    """(*by, name): the different elements of the arrays ``values`` in order, the first ``k`` of each group.
+
+    Elements become distinct rows before they meet; with ``k`` each task keeps k of a group at most, both before and
+    after the shuffle (Spark's group limit under a row number), so that no state grows with a group."""
+    rows = df.select(*by, F.explode(values).alias("__v")).distinct()
+    if k is not None:
+        rows = last_n(rows, by, [F.col("__v")], k).drop("rank")
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list("__v")).alias(name))
+
+
 def global_rank(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """df with rank, each row's place in the order of the whole table, from 1.  Rows are dealt by ranges of the
     order and counted by range, so that no task holds them all; ``order`` must tell rows apart."""

@@ -111,10 +111,10 @@ top AS (SELECT category, min(problem_type) AS problem_type FROM c WHERE n = (SEL
 SELECT category, confidence, success_rate, array_to_string(k, ',') AS keywords, array_to_string(t, ',') AS tags, problem_type, first_names FROM m JOIN top USING (category) JOIN f USING (category)""")
 def merge_skills(spark, sf_dir):
     s = skills(spark, sf_dir)
-    words = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split(c, ",")))))
-    merged = s.groupBy("category").agg(
-        F.round(F.max("confidence"), 9).alias("confidence"), F.round(F.avg("success_rate"), 9).alias("success_rate"), F.array_join(F.slice(words("error_keywords"), 1, 20), ",").alias("keywords"), F.array_join(words("tags"), ",").alias("tags")
-    )
+    merged = s.groupBy("category").agg(F.round(F.max("confidence"), 9).alias("confidence"), F.round(F.avg("success_rate"), 9).alias("success_rate"))
+    keywords = stats.first_distinct(s, ["category"], F.split("error_keywords", ","), 20, "keywords")
+    tags = stats.first_distinct(s, ["category"], F.split("tags", ","), None, "tags")
+    merged = merged.join(keywords, "category").join(tags, "category").select("category", "confidence", "success_rate", F.array_join("keywords", ",").alias("keywords"), F.array_join("tags", ",").alias("tags"))
     counts = s.groupBy("category", "problem_type").agg(F.count("*").alias("n"))
     top = counts.groupBy("category").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("problem_type"))).alias("t")).select("category", "t.problem_type")
     first = records.top_per_group(s, ["category"], [F.col("id")], 3).groupBy("category").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("f"))

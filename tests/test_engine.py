@@ -231,3 +231,14 @@ def test_blocked_elements(spark):
     rows = [("x advert-y", "", ""), ("", "my-ad-box", ""), ("promotion", "", ""), ("plain", "p", "https://a.com/i.png"), ("", "", "https://x.doubleclick.net/a"), (None, None, None)]
     df = spark.createDataFrame(rows, "c string, i string, s string")
     assert [r.b for r in df.select(rules.is_blocked_element(F.col("c"), F.col("i"), F.col("s")).alias("b")).collect()] == [True, True, True, False, True, False]
+
+
+def test_first_distinct_keeps_k_a_task(spark):
+    df = spark.range(0, 5000, 1, 6).select((F.col("id") % 3).alias("g"), F.array((F.col("id") % 700).cast("string"), F.lit("x"), F.lit(None).cast("string")).alias("v"))
+    got = stats.first_distinct(df, ["g"], F.col("v"), 20, "top")
+    for r in got.collect():
+        want = sorted({str(i % 700) for i in range(5000) if i % 3 == r.g} | {"x"})
+        assert [x for x in r.top if x is not None] == want[: len([x for x in r.top if x is not None])] and len(want[:20]) - 1 <= len(r.top) <= 20
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+    every = {r.g: r.a for r in stats.first_distinct(df, ["g"], F.col("v"), None, "a").collect()}
+    assert len(every) == 3 and all(len(a) == 701 for a in every.values())
