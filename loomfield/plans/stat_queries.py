@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalar as S
-from loomfield.operators import breaker, records, stats, substring, vectors
+from loomfield.operators import breaker, records, stats, substring, vector_index, vectors
 from loomfield.plans.registry import query
 from loomfield.plans.views import ATTEMPTS, QUEUE, SKILLS, attempts, queue, skills, table
+from loomfield.session import ensure_checkpoint_dir
 
 
 @query(f"WITH {SKILLS} SELECT category, count(*) AS n FROM skills GROUP BY category")
@@ -400,3 +403,12 @@ def agent_stats(spark, sf_dir):
     """Each agent and the pool of all, in one pass."""
     got = attempts(spark, sf_dir).rollup("method").agg(F.count("*").alias("tasks"), F.count_if("success").alias("completed"), F.round(F.avg("time_taken"), 6).alias("avg_time"))
     return got.select(F.coalesce("method", F.lit("all")).alias("agent"), "tasks", "completed", "avg_time", F.round(F.col("completed") / F.col("tasks"), 9).alias("success_rate"))
+
+
+@query()
+def embedding_index_topk(spark, sf_dir):
+    """The same retrieval through an inverted-file index of all rows; tests measure its recall against the exact one."""
+    e = table(spark, sf_dir, "embeddings")
+    ensure_checkpoint_dir(spark)
+    index = vector_index.build_index(e, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/vectors-{uuid.uuid4().hex}", "vec_id", "embedding")
+    return vector_index.search_index(index, e.where("vec_id % 50 = 0"), "vec_id", "embedding")
