@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -198,6 +198,32 @@ class QueueProcessor(_Keyed):
         yield pd.DataFrame({"key": [key[0]], "state": [state], "executions": [n]})
 
 
+class ResultQueueProcessor(QueueProcessor):
+    """A queue item with the result of its last finished or failed execution, kept for a time after it was written."""
+
+    def __init__(self, max_executions: int = 3, keep_ms: int | None = None):
+        super().__init__(max_executions)
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.result = handle.getValueState("result", "event string, result string, t double", self.keep_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        state, n = self.held.get() if self.held.exists() else ("pending", 0)
+        last = None
+        for e in self._events(rows).itertuples():
+            before = state
+            state, n = next_queue_item(state, n, e.event, self.most)
+            if before == "active" and e.event in ("complete", "fail"):
+                last = (e.event, None if pd.isna(e.result) else e.result, float(e.t))
+        self.held.update((state, n))
+        if last:
+            self.result.update(last)
+        kept = self.result.get() if self.result.exists() else (None, None, None)
+        yield pd.DataFrame({"key": [key[0]], "state": [state], "executions": [n], "result": [kept[1]]})
+
+
 def adaptive_delays(events: DataFrame, rules: DelayRules = GLOBAL_DELAY) -> DataFrame:
     """events: key, id, t, status, retry_after.  (key, id, delay) after each event."""
     return events.groupBy("key").transformWithStateInPandas(DelayProcessor(rules), "key string, id long, delay double", "Append", "None")
@@ -224,6 +250,26 @@ def retry_queue(events: DataFrame, max_executions: int = 3) -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(QueueProcessor(max_executions), "key string, state string, executions int", "Update", "None")
 
 
+def retry_queue_results(events: DataFrame, max_executions: int = 3, keep_ms: int | None = None) -> DataFrame:
+    """events: key, id, t, event, result.  (key, state, executions, result) after a batch, in update mode: the result
+    of the item's last execution, which is forgotten ``keep_ms`` after it came, if that is given."""
+    schema = f"key {dict(events.dtypes)['key']}, state string, executions int, result string"
+    return events.groupBy("key").transformWithStateInPandas(ResultQueueProcessor(max_executions, keep_ms), schema, "Update", "None" if keep_ms is None else "ProcessingTime")
+
+
+# ---- reading state back
+
+
+def read_state(spark: SparkSession, checkpoint: str, variable: str = "held", batch: int | None = None) -> DataFrame:
+    """(key, fields of the variable) of every key that a stopped or running stream of this module holds, as it was
+    after ``batch``, the last finished one if None.  Spark reads the state store's files where they are."""
+    r = spark.read.format("statestore").option("stateVarName", variable)
+    rows = (r if batch is None else r.option("batchId", batch)).load(checkpoint)
+    value = rows.schema["value"].dataType
+    fields = value.names if "value" not in value.names else [f"value.{n}" for n in value["value"].dataType.names]
+    return rows.select(F.col(f"key.{rows.schema['key'].dataType.names[0]}").alias("key"), *[F.col(f"value.{n}").alias(n.rpartition(".")[2]) for n in fields])
+
+
 # ---- event time
 
 

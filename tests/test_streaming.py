@@ -112,3 +112,46 @@ def test_breakers_by_clock_equal_the_history_of_events(spark, tmp_path):
     plain = lambda rows: sorted(((r.key, round(r.t, 3), r.id, r.state, r.failures, r.passed) for r in rows if r.key != -1), key=repr)
     assert plain(got) == plain(want)
     assert sum(r.state == "half_open" for r in got) > len({r.key for r in got}) / 2
+
+
+def test_state_of_a_stopped_stream_is_a_table(spark, tmp_path):
+    """Every key's state after each batch equals the fold of what came by then; results are kept beside it."""
+    rnd = random.Random(8)
+    rows = [(f"k{rnd.randint(0, 6)}", i, float(i), rnd.choice(["fetch", "complete", "fail"]), rnd.choice([None, "ok", "bad"])) for i in range(90)]
+    src = stream(spark, tmp_path, rows, "key string, id long, t double, event string, result string")
+    run(S.retry_queue_results(src), tmp_path, "results", "update")
+    place = str(tmp_path / "cp-results")
+
+    def fold(part):
+        held, results = {}, {}
+        for k, _, t, e, r in part:
+            before = held.get(k, ("pending", 0))
+            held[k] = S.next_queue_item(*before, e, 3)
+            if before[0] == "active" and e in ("complete", "fail"):
+                results[k] = (e, r, t)
+        return held, results
+
+    for batch, n in ((1, 60), (None, 90)):
+        held, results = fold(rows[:n])
+        assert {r.key: (r.state, r.executions) for r in S.read_state(spark, place, batch=batch).collect()} == held
+        assert {r.key: (r.event, r.result, r.t) for r in S.read_state(spark, place, "result", batch).collect()} == results
+
+
+def test_breaker_state_read_back_equals_the_batch_fold(spark, tmp_path):
+    from loomfield.operators.breaker import Breakers
+
+    rnd = random.Random(4)
+    rows = [(f"k{rnd.randint(0, 4)}", i, float(i * 5), rnd.random() < 0.5) for i in range(80)]
+    schema = "key string, id long, t double, ok boolean"
+    run(S.circuit_breakers(stream(spark, tmp_path, rows, schema), 2, 30), tmp_path, "readback")
+    got = {r.key: (r.state, r.failures) for r in S.read_state(spark, str(tmp_path / "cp-readback")).collect()}
+    assert got == {r.key: (r.state, r.failures) for r in Breakers(spark.createDataFrame(rows, schema), 2, 30).final().collect()}
+
+
+def test_results_are_forgotten_after_their_time(spark, tmp_path):
+    rows = [("a", 1, 1.0, "fetch", None), ("a", 2, 2.0, "complete", "done")]
+    src = stream(spark, tmp_path, rows, "key string, id long, t double, event string, result string", 1)
+    got = run(S.retry_queue_results(src, keep_ms=3_600_000), tmp_path, "kept", "update")
+    assert [r.result for r in got] == ["done"]
+    kept = S.read_state(spark, str(tmp_path / "cp-kept"), "result").collect()
+    assert [(r.key, r.result) for r in kept] == [("a", "done")]
