@@ -152,15 +152,6 @@ def export_columns(df: DataFrame, null_text: str = "") -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(null_text)).alias(c) for c in sorted(df.columns)])
 
 
-def validated_envelope(df: DataFrame, schema: Mapping[str, FieldRule], order: Sequence[str]) -> DataFrame:
-    """One document {count, schema, data} of the rows that fit a schema, for a result of bounded size."""
-    fits = validate(df, schema).select(*schema)
-    row = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], F.to_json(F.struct(*fits.columns)).alias("json"))
-    got = fits.agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(row)), lambda r: r["json"]).alias("rows"))
-    types = F.to_json(F.create_map(*[F.lit(x) for n, r in schema.items() for x in (n, r.type)]))
-    return got.select(F.col("n").alias("count"), F.concat(F.lit('{"count":'), F.col("n").cast("string"), F.lit(',"schema":'), types, F.lit(',"data":['), F.array_join("rows", ","), F.lit("]}")).alias("document"))
-
-
 def unwrap_response(df: DataFrame, body: str, keep: Sequence[str]) -> DataFrame:
     """REST bodies to items: a list's items, else those of the first of data, results, items, products that
     is a list, else the object itself."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import rules
 from loomfield.operators import extract as X
-from loomfield.operators import relocation
+from loomfield.operators import records, relocation
 from loomfield.plans.registry import query
 from loomfield.plans.views import table
 from loomfield.sources import documents, readers
@@ -153,25 +153,53 @@ def zipped_selectors(spark, sf_dir):
     return X.flat_map(_pages(spark, sf_dir), lambda h, u: X.zip_selectors(h, {"title": "h2", "price": ".price"}), "title string, price string")
 
 
-@query("SELECT * FROM (VALUES ('https://a.com/1', '2024-01-05', 0.8, 'daily'), ('https://a.com/2', NULL, 0.0, NULL)) t(url, lastmod, priority, changefreq)")
+@query("SELECT page_id, url, '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS lastmod, (page_id % 10) / 10.0::DOUBLE AS priority, CASE WHEN page_id % 3 > 0 THEN 'daily' END AS changefreq FROM pages")
 def sitemap_entries(spark, sf_dir):
-    xml = "<urlset><url><loc>https://a.com/1</loc><lastmod>2024-01-05T10:00:00Z</lastmod><priority>0.8</priority><changefreq>daily</changefreq></url><url><loc>https://a.com/2</loc></url></urlset>"
-    rows = readers.sitemap_rows(spark.createDataFrame([(xml,)], "xml string"), "xml")
-    return rows.select("url", F.date_format("lastmod_date", "yyyy-MM-dd").alias("lastmod"), "priority", "changefreq")
+    """A sitemap of each page, fields left out of every third one."""
+    xml = """concat('<urlset><url><loc> ', replace(url, '&', '&amp;'), '\n</loc><lastmod>2024-01-', lpad(page_id % 28 + 1, 2, '0'), 'T10:00:00Z</lastmod><priority>0.', page_id % 10, '</priority>', if(page_id % 3 > 0, '<changefreq>daily</changefreq>', ''), '</url></urlset>')"""
+    rows = readers.sitemap_rows(table(spark, sf_dir, "pages").select("page_id", F.expr(xml).alias("xml")), "xml", ("page_id",))
+    return rows.select("page_id", "url", F.date_format("lastmod_date", "yyyy-MM-dd").alias("lastmod"), "priority", "changefreq")
 
 
-@query("SELECT 'heading' AS kind, 1::BIGINT AS n UNION ALL SELECT 'paragraph', 2 UNION ALL SELECT 'table', 1")
+def _suppliers_files(spark, sf_dir, make, name: str):
+    """A file for each supplier; make(row) gives its bytes."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.round("s_acctbal", 2).cast("decimal(12,2)").cast("string").alias("balance"), F.col("s_nationkey").cast("string").alias("nation"))
+    return records.map_rows(rows, lambda r: {"path": name.format(r["s_suppkey"]), "content": make(r)}, "path string, content binary")
+
+
+@query("SELECT s_suppkey::VARCHAR || '.docx' AS path, unnest(['heading', 'paragraph', 'paragraph', 'table']) AS kind, unnest([s_name, 'balance ' || round(s_acctbal, 2)::DECIMAL(12, 2), 'nation ' || s_nationkey, NULL]) AS text FROM supplier")
 def docx_elements(spark, sf_dir):
-    data = documents.make_docx([("Heading1", "Title"), (None, "one"), (None, "two")], [[["a", "b"], ["c", "d"]]])
-    files = spark.createDataFrame([("a.docx", bytearray(data))], "path string, content binary")
-    return documents.docx_rows(files).groupBy("kind").agg(F.count("*").alias("n"))
+    """The elements of a DOCX file for each supplier; of tables the kind alone."""
+    make = lambda r: documents.make_docx([("Heading1", r["s_name"]), (None, f"balance {r['balance']}"), (None, f"nation {r['nation']}")], [[["a", "b"], ["c", r["s_name"]]]])
+    rows = documents.docx_rows(_suppliers_files(spark, sf_dir, make, "{}.docx"))
+    return rows.select("path", "kind", F.when(F.col("kind") != "table", F.col("text")).alias("text"))
 
 
-@query("SELECT 'first' AS sheet, 0 AS row, 'name,qty' AS cells UNION ALL SELECT 'first', 1, 'bolt,3' UNION ALL SELECT 'second', 0, 'x'")
+@query("SELECT s_suppkey::VARCHAR || '.xlsx' AS path, unnest(['first', 'first', 'second']) AS sheet, unnest([0, 1, 0])::INT AS row, unnest(['name,balance', s_name || ',' || round(s_acctbal, 2)::DECIMAL(12, 2), 'nation ' || s_nationkey]) AS cells FROM supplier")
 def xlsx_rows(spark, sf_dir):
-    data = documents.make_xlsx({"first": [["name", "qty"], ["bolt", 3]], "second": [["x"]]})
-    files = spark.createDataFrame([("a.xlsx", bytearray(data))], "path string, content binary")
-    return documents.xlsx_rows(files).select("sheet", "row", F.array_join("cells", ",").alias("cells"))
+    make = lambda r: documents.make_xlsx({"first": [["name", "balance"], [r["s_name"], r["balance"]]], "second": [[f"nation {r['nation']}"]]})
+    rows = documents.xlsx_rows(_suppliers_files(spark, sf_dir, make, "{}.xlsx"))
+    return rows.select("path", "sheet", "row", F.array_join("cells", ",").alias("cells"))
+
+
+@query("SELECT s_suppkey::VARCHAR || '.docx' AS path, unnest(['title', 'creator']) AS name, unnest([s_name, 'nation ' || s_nationkey]) AS value FROM supplier")
+def document_properties(spark, sf_dir):
+    make = lambda r: documents.make_docx([(None, "x")], properties={"title": r["s_name"], "creator": f"nation {r['nation']}", "odd": "y"})
+    return documents.docx_properties(_suppliers_files(spark, sf_dir, make, "{}.docx"))
+
+
+@query("""SELECT 'f/' || s_suppkey || ['.docx', '.XLSX', '.odt', '', '.docx'][(s_suppkey % 5 + 1)::INT] AS path, ['docx', 'xlsx', 'odt', '', 'docx'][(s_suppkey % 5 + 1)::INT] AS kind, CASE WHEN s_suppkey % 5 < 2 THEN s_name END AS text, [NULL, NULL, 'unsupported format', 'unsupported format', 'BadZipFile'][(s_suppkey % 5 + 1)::INT] AS error FROM supplier""")
+def document_kinds(spark, sf_dir):
+    """Files of each supplier routed by extension; what can't be read is a row with an error."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+
+    def make(r):
+        kind = r["s_suppkey"] % 5
+        data = documents.make_docx([(None, r["s_name"])]) if kind == 0 else documents.make_xlsx({"s": [[r["s_name"]]]}) if kind == 1 else b"broken"
+        return {"path": f"f/{r['s_suppkey']}" + (".docx", ".XLSX", ".odt", "", ".docx")[kind], "content": data}
+
+    got = documents.document_texts(records.map_rows(rows, make, "path string, content binary"))
+    return got.withColumn("error", F.substring_index("error", ":", 1))
 
 
 @query("SELECT page_id, tag, count(*) AS n FROM (VALUES (-1::BIGINT, 'div'), (-1, 'script')) t(page_id, tag) GROUP BY ALL")

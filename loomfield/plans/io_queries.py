@@ -100,19 +100,6 @@ def sqlite_tables(spark, sf_dir):
     return documents.sqlite_rows(files, "SELECT key, name FROM nation", "key bigint, name string")
 
 
-@query("SELECT * FROM (VALUES ('a.docx', 'docx', 'Title', NULL), ('b.XLSX', 'xlsx', 'x', NULL), ('c.odt', 'odt', NULL, 'unsupported format'), ('noext', '', NULL, 'unsupported format')) t(path, kind, text, error)")
-def document_kinds(spark, sf_dir):
-    """Files routed by extension; what can't be read is a row with an error."""
-    files = [("a.docx", documents.make_docx([(None, "Title")])), ("b.XLSX", documents.make_xlsx({"s": [["x"]]})), ("c.odt", b"1"), ("noext", b"2")]
-    return documents.document_texts(spark.createDataFrame([(p, bytearray(d)) for p, d in files], "path string, content binary"))
-
-
-@query("SELECT 'a.docx' AS path, 'title' AS name, 'Lamps' AS value UNION ALL SELECT 'a.docx', 'creator', 'Ann'")
-def document_properties(spark, sf_dir):
-    data = documents.make_docx([(None, "x")], properties={"title": "Lamps", "creator": "Ann", "odd": "y"})
-    return documents.docx_properties(spark.createDataFrame([("a.docx", bytearray(data))], "path string, content binary"))
-
-
 def _sitemaps(spark, sf_dir):
     """A sitemap of one entry for each page."""
     xml = """concat('<urlset><url><loc> ', replace(url, '&', '&amp;'), ' </loc><priority>0.', page_id % 10, '</priority><changefreq>', if(page_id % 2 = 0, 'daily', 'weekly'), '</changefreq><lastmod>2024-01-', lpad(page_id % 28 + 1, 2, '0'), '</lastmod></url></urlset>')"""

@@ -12,9 +12,14 @@ from loomfield.plans.views import SKILLS, skills, table
 ANSWERS = ((1, '```json\n{"a": 1}\n```'), (2, '{"b": 2}'), (3, 'Sure: {"c": {"d": 3}} ok'), (4, "none"))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, '{"a":1}', '{"a":1}'), (2, '{"b":2}', '{"b":2}'), (3, '{"c":{"d":3}}', '{"d":3}'), (4, '{"error":"no JSON found","raw":"none"}', NULL)) t(id, json, flat)""")
+@query("""SELECT * FROM (VALUES (1::BIGINT, '{"a":1}', '{"a":1}'), (2, '{"b":2}', '{"b":2}'), (3, '{"c":{"d":3}}', '{"d":3}'), (4, '{"error":"no JSON found","raw":"none"}', NULL)) t(id, json, flat)
+UNION ALL SELECT event_id + 10, CASE event_id % 4 WHEN 2 THEN '{"c":' || replace(props, ' ', '') || '}' WHEN 3 THEN '{"error":"no JSON found","raw":"none ' || event_type || '"}' ELSE replace(props, ' ', '') END, CASE WHEN event_id % 4 < 3 THEN replace(props, ' ', '') END FROM events""")
 def answer_json(spark, sf_dir):
-    t = spark.createDataFrame(list(ANSWERS), "id long, answer string")
+    """Answers around the properties of events: fenced, bare, within words, none."""
+    props = F.col("props")
+    said = F.array(F.concat(F.lit("```json\n"), props, F.lit("\n```")), props, F.concat(F.lit('Sure: {"c": '), props, F.lit("} ok")), F.concat(F.lit("none "), "event_type"))
+    events = table(spark, sf_dir, "events").select((F.col("event_id") + 10).alias("id"), F.element_at(said, (F.pmod("event_id", F.lit(4)) + 1).cast("int")).alias("answer"))
+    t = spark.createDataFrame(list(ANSWERS), "id long, answer string").unionByName(events)
     return t.select("id", L.repaired_json(F.col("answer")).alias("json"), L.flat_object(F.col("answer")).alias("flat"))
 
 
@@ -24,10 +29,16 @@ def prompted_extraction(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(got["titles"]).alias("n_titles"), F.size(got["links"]).alias("n_links"), F.size(got["prices"]).alias("n_prices"))
 
 
-@query("""SELECT * FROM (VALUES (1::BIGINT, '{"n":1}'), (1, '{"n":2}'), (2, '{"x":[{"y":1}]}')) t(id, item)""")
+@query("""SELECT * FROM (VALUES (1::BIGINT, '{"n":1}'), (1, '{"n":2}'), (2, '{"x":[{"y":1}]}')) t(id, item)
+UNION ALL SELECT event_id + 10, CASE WHEN event_id % 4 = 0 THEN unnest([replace(props, ' ', ''), '{"n":2}']) ELSE '{"x":[' || replace(props, ' ', '') || ']}' END FROM events WHERE event_id % 4 = 0
+UNION ALL SELECT event_id + 10, '{"x":[' || replace(props, ' ', '') || ']}' FROM events WHERE event_id % 4 = 1""")
 def graphql_items(spark, sf_dir):
+    """Responses around the properties of events: a list below objects, a list of objects, no JSON, no list."""
     rows = [(1, '{"data": {"user": {"items": [{"n": 1}, {"n": 2}, 3]}}}'), (2, '[{"x": [{"y": 1}]}]'), (3, "broken"), (4, '{"a": 1}')]
-    return L.list_objects(spark.createDataFrame(rows, "id long, body string"), "body", ["id"])
+    props = F.col("props")
+    said = F.array(F.concat(F.lit('{"data": {"user": {"items": ['), props, F.lit(', {"n": 2}, 3]}}}')), F.concat(F.lit('[{"x": ['), props, F.lit("]}]")), F.concat(F.lit("broken "), props), props)
+    events = table(spark, sf_dir, "events").select((F.col("event_id") + 10).alias("id"), F.element_at(said, (F.pmod("event_id", F.lit(4)) + 1).cast("int")).alias("body"))
+    return L.list_objects(spark.createDataFrame(rows, "id long, body string").unionByName(events), "body", ["id"])
 
 
 @query("""WITH a AS (SELECT event_id // 10 AS demo_id, event_id AS seq, event_type AS action, ['div > h1:nth-child(2)', 'span[class*=''price'']', 'ul:nth-of-type(3) img', 'b', 'i > a'][(event_id % 5 + 1)::INT] AS s FROM events),

@@ -29,10 +29,24 @@ def validate_required_cast(spark, sf_dir):
     return R.validate(_raw(spark).select("id", "name", "qty").unionByName(events), rules)
 
 
-@query(f"WITH {_RAW} SELECT id, coalesce(name, 'unnamed') AS name, coalesce(try_cast(trim(qty) AS BIGINT), 0) AS qty, coalesce(try_cast(price AS DOUBLE), 0.5) AS price, 'new' AS state FROM raw")
+_LOOSE = """loose AS (SELECT id, name, qty, price FROM raw UNION ALL SELECT p_partkey + 10, CASE WHEN p_partkey % 5 > 0 THEN p_name END, [p_size::VARCHAR, 'no', ' ' || p_size || ' ', NULL][(p_partkey % 4 + 1)::INT], [p_retailprice::VARCHAR, '', 'true'][(p_partkey % 3 + 1)::INT] FROM part)"""
+
+
+def _loose(spark, sf_dir):
+    """Rows whose values are texts of more or less the wanted types: a few given ones and one for each part."""
+    nth = lambda n, *values: F.element_at(F.array(*values), (F.pmod("p_partkey", F.lit(n)) + 1).cast("int"))
+    size, none = F.col("p_size").cast("string"), F.lit(None).cast("string")
+    parts = table(spark, sf_dir, "part").select(
+        (F.col("p_partkey") + 10).alias("id"), F.when(F.pmod("p_partkey", F.lit(5)) > 0, F.col("p_name")).alias("name"), nth(4, size, F.lit("no"), F.concat(F.lit(" "), size, F.lit(" ")), none).alias("qty"),
+        nth(3, F.col("p_retailprice").cast("string"), F.lit(""), F.lit("true")).alias("price"),
+    )
+    return _raw(spark).select("id", "name", "qty", "price").unionByName(parts)
+
+
+@query(f"WITH {_RAW}, {_LOOSE} SELECT id, coalesce(name, 'unnamed') AS name, coalesce(try_cast(trim(qty) AS BIGINT), 0) AS qty, coalesce(try_cast(price AS DOUBLE), 0.5) AS price, 'new' AS state FROM loose")
 def default_coerce(spark, sf_dir):
     rules = {"name": R.FieldRule("string", default="unnamed"), "qty": R.FieldRule("bigint", default=0), "price": R.FieldRule("double", default=0.5), "state": R.FieldRule("string", default="new")}
-    return R.coerce(_raw(spark).select("id", "name", "qty", "price"), rules)
+    return R.coerce(_loose(spark, sf_dir), rules)
 
 
 @query("SELECT p_partkey, nullif(p_name, '') AS p_name, nullif(p_size % 5, 0)::INT AS size, nullif(p_retailprice, 0) AS price FROM part")
@@ -192,10 +206,15 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(v).alias("k"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {_RAW} SELECT 2::BIGINT AS count, '{{"count":2,"schema":{{"id":"bigint","qty":"bigint"}},"data":[{{"id":1,"qty":12}},{{"id":4,"qty":8}}]}}' AS document""")
+@query(f"""WITH {_RAW}, {_LOOSE} SELECT id, name, try_cast(trim(qty) AS BIGINT) AS qty, count(*) OVER () AS count FROM loose WHERE name IS NOT NULL AND try_cast(trim(qty) AS BIGINT) IS NOT NULL""")
 def validated_envelope(spark, sf_dir):
-    rules = {"id": R.FieldRule("bigint", required=True), "qty": R.FieldRule("bigint", required=True)}
-    return R.validated_envelope(_raw(spark).where("id in (1, 3, 4)"), rules, ["id"])
+    """A document {count, schema, data} of the rows that fit a schema, in parts, read back."""
+    rules = {"id": R.FieldRule("bigint", required=True), "name": R.FieldRule("string", required=True), "qty": R.FieldRule("bigint", required=True)}
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/validated-{uuid.uuid4().hex}"
+    writers.write_validated(_loose(spark, sf_dir), path, rules, ["id"])
+    rows, frame = readers.read_document(spark, path, "id bigint, name string, qty bigint")
+    return rows.withColumn("count", F.get_json_object(F.lit(frame), "$.count").cast("bigint"))
 
 
 @query("""SELECT id, name FROM (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 2 = 0) UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0""")

@@ -22,11 +22,16 @@ def clean_text_docs(spark, sf_dir):
     return docs.select("doc_id", F.md5(clean).alias("cleaned"), F.length(clean).alias("n"))
 
 
-@query(f"""SELECT id::BIGINT AS id, regexp_replace(v, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS bare,
-trim(regexp_replace(regexp_replace(v, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '\\s+', ' ', 'g')) AS tidy FROM ({values_sql(TEXTS)}) x(id, v)""")
+_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+
+
+@query(f"""WITH t AS (SELECT id::BIGINT AS id, v FROM ({values_sql(TEXTS)}) x(id, v) UNION ALL SELECT doc_id + 100, chr((doc_id % 31 + 1)::INT) || left(text, 1) || chr(7) || substring(text, 2) || chr(31) FROM documents),
+b AS (SELECT id, regexp_replace(v, '{_CONTROL}', '', 'g') AS bare FROM t) SELECT id, md5(bare) AS bare, md5(trim(regexp_replace(bare, '\\s+', ' ', 'g'))) AS tidy FROM b""")
 def control_char_clean(spark, sf_dir):
-    t = spark.createDataFrame(list(TEXTS), "id long, v string")
-    return t.select("id", S.strip_control(F.col("v"), collapse_ws=False).alias("bare"), S.strip_control(F.col("v")).alias("tidy"))
+    """Texts of documents with control characters before, within and behind them."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).alias("id"), F.concat(F.char(F.pmod("doc_id", F.lit(31)) + 1), F.left("text", F.lit(1)), F.char(F.lit(7)), F.substring("text", 2, 1 << 30), F.char(F.lit(31))).alias("v"))
+    t = spark.createDataFrame(list(TEXTS), "id long, v string").unionByName(docs)
+    return t.select("id", F.md5(S.strip_control(F.col("v"), collapse_ws=False)).alias("bare"), F.md5(S.strip_control(F.col("v"))).alias("tidy"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '$' WHEN 1 THEN '€' WHEN 2 THEN '£' WHEN 3 THEN '¥' ELSE 'A$' END || CASE WHEN p_partkey % 3 = 0 THEN '1,' ELSE '' END || (floor(p_retailprice)::INT) || '.50' AS raw FROM part)
@@ -45,22 +50,31 @@ def price_parse(spark, sf_dir):
 SCORES = ((1, "4.5 out of 5 stars"), (2, "1,234"), (3, "1.2K"), (4, "n/a"), (5, None), (6, "3M ratings"), (7, "12 reviews"))
 
 
-@query(f"""SELECT id::BIGINT AS id, try_cast(nullif(regexp_extract(coalesce(v, ''), '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS rating,
-coalesce(round(try_cast(nullif(regexp_extract(replace(lower(coalesce(v, '')), ',', ''), '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) *
-CASE regexp_extract(replace(lower(coalesce(v, '')), ',', ''), '[0-9]+\\.?[0-9]*\\s*([km])', 1) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END)::BIGINT, 0) AS reviews
-FROM ({values_sql(SCORES)}) x(id, v) WHERE id <> 1 UNION ALL SELECT 1, 4.5, 4""")
+@query(f"""WITH t AS (SELECT id::BIGINT AS id, v FROM ({values_sql(SCORES)}) x(id, v) UNION ALL SELECT p_partkey + 100, ['Rated ' || p_size || '.5 out of 5', p_size || ',234 ratings', p_size || '.2K reviews', p_size || 'M', 'no reviews by ' || p_brand][(p_partkey % 5 + 1)::INT] FROM part),
+n AS (SELECT id, v, replace(lower(coalesce(v, '')), ',', '') AS low FROM t)
+SELECT id, try_cast(nullif(regexp_extract(coalesce(v, ''), '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) AS rating,
+coalesce(floor(round(try_cast(nullif(regexp_extract(low, '([0-9]+\\.?[0-9]*)', 1), '') AS DOUBLE) * CASE regexp_extract(low, '[0-9]+\\.?[0-9]*\\s*([km])', 1) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END, 6))::BIGINT, 0) AS reviews FROM n""")
 def rating_and_reviews(spark, sf_dir):
-    t = spark.createDataFrame(list(SCORES), "id long, v string")
+    size = F.col("p_size").cast("string")
+    said = F.array(F.concat(F.lit("Rated "), size, F.lit(".5 out of 5")), F.concat(size, F.lit(",234 ratings")), F.concat(size, F.lit(".2K reviews")), F.concat(size, F.lit("M")), F.concat(F.lit("no reviews by "), "p_brand"))
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 100).alias("id"), F.element_at(said, (F.pmod("p_partkey", F.lit(5)) + 1).cast("int")).alias("v"))
+    t = spark.createDataFrame(list(SCORES), "id long, v string").unionByName(parts)
     return t.select("id", S.rating(F.col("v")).alias("rating"), S.review_count(F.col("v")).alias("reviews"))
 
 
 STOCK = ((1, "In Stock"), (2, "Currently unavailable"), (3, "SOLD OUT"), (4, "Pre-order now"), (5, ""), (6, None), (7, "Out of stock"))
 
 
-@query(f"""SELECT id::BIGINT AS id, CASE WHEN regexp_matches(lower(coalesce(v, '')), 'in stock|available') THEN 'in_stock' WHEN regexp_matches(lower(coalesce(v, '')), 'out of stock|unavailable|sold out') THEN 'out_of_stock' WHEN lower(v) LIKE '%pre-order%' THEN 'pre_order' ELSE 'unknown' END AS loose,
-CASE WHEN regexp_matches(lower(coalesce(v, '')), 'out of stock|unavailable|sold out') THEN 'out_of_stock' WHEN regexp_matches(lower(coalesce(v, '')), 'in stock|available') THEN 'in_stock' WHEN lower(v) LIKE '%pre-order%' THEN 'pre_order' ELSE 'unknown' END AS strict FROM ({values_sql(STOCK)}) x(id, v)""")
+_OFFERS = ("In stock: ", "sold out ", "Pre-Order ", "available from ", "UNAVAILABLE ", "out of stock ", "")
+
+
+@query(f"""WITH t AS (SELECT id::BIGINT AS id, v FROM ({values_sql(STOCK)}) x(id, v) UNION ALL SELECT p_partkey + 100, {list(_OFFERS)}[(p_partkey % 7 + 1)::INT] || p_name FROM part)
+SELECT id, CASE WHEN regexp_matches(lower(coalesce(v, '')), 'in stock|available') THEN 'in_stock' WHEN regexp_matches(lower(coalesce(v, '')), 'out of stock|unavailable|sold out') THEN 'out_of_stock' WHEN lower(v) LIKE '%pre-order%' THEN 'pre_order' ELSE 'unknown' END AS loose,
+CASE WHEN regexp_matches(lower(coalesce(v, '')), 'out of stock|unavailable|sold out') THEN 'out_of_stock' WHEN regexp_matches(lower(coalesce(v, '')), 'in stock|available') THEN 'in_stock' WHEN lower(v) LIKE '%pre-order%' THEN 'pre_order' ELSE 'unknown' END AS strict FROM t""")
 def availability_parse(spark, sf_dir):
-    t = spark.createDataFrame(list(STOCK), "id long, v string")
+    said = F.element_at(F.array(*[F.lit(x) for x in _OFFERS]), (F.pmod("p_partkey", F.lit(7)) + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 100).alias("id"), F.concat(said, "p_name").alias("v"))
+    t = spark.createDataFrame(list(STOCK), "id long, v string").unionByName(parts)
     return t.select("id", S.availability(F.col("v")).alias("loose"), S.availability(F.col("v"), strict=True).alias("strict"))
 
 
@@ -118,9 +132,19 @@ JOINS = (
 )
 
 
-@query(f"SELECT id::BIGINT AS id, want AS joined FROM ({values_sql(JOINS)}) x(id, base, link, want)")
+_LINKS = ("/x/y.html", "next.html?p=2", "?sort=up", "//cdn.example.org/i.png", "#end", "../up", "https://o.example.com/z", "./here")
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, {list(_LINKS)}[(page_id % 8 + 1)::INT] AS link, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END AS folder FROM p)
+SELECT id::BIGINT AS id, want AS joined FROM ({values_sql(JOINS)}) x(id, base, link, want) UNION ALL
+SELECT page_id + 100, CASE page_id % 8 WHEN 0 THEN root || link WHEN 1 THEN root || folder || link WHEN 2 THEN root || path || link WHEN 3 THEN scheme || ':' || link WHEN 4 THEN split_part(url, '#', 1) || link
+  WHEN 5 THEN root || CASE WHEN folder = '/' THEN '/' ELSE regexp_extract(folder, '^(.*/)[^/]*/$', 1) END || 'up' WHEN 6 THEN link ELSE root || folder || 'here' END FROM f""")
 def url_join(spark, sf_dir):
-    t = spark.createDataFrame(list(JOINS), "id long, base string, link string, want string")
+    """Links of every form against the urls of pages."""
+    link = F.element_at(F.array(*[F.lit(x) for x in _LINKS]), (F.pmod("page_id", F.lit(8)) + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") + 100).alias("id"), F.col("url").alias("base"), link.alias("link"))
+    t = spark.createDataFrame(list(JOINS), "id long, base string, link string, want string").drop("want").unionByName(pages)
     return t.select("id", S.absolute_url(F.col("base"), F.col("link")).alias("joined"))
 
 
@@ -152,12 +176,18 @@ def keyword_extract(spark, sf_dir):
 SELECTORS = ((1, "title:h1,price:.p"), (2, "bad, a:b"), (3, ""))
 
 
-@query("SELECT 1::BIGINT AS id, 'price' AS k, '.p' AS v UNION ALL SELECT 1, 'title', 'h1' UNION ALL SELECT 2, 'a', 'b'")
+@query("""SELECT 1::BIGINT AS id, 'price' AS k, '.p' AS v UNION ALL SELECT 1, 'title', 'h1' UNION ALL SELECT 2, 'a', 'b'
+UNION ALL SELECT p_partkey + 100, 'title', p_brand FROM part UNION ALL SELECT p_partkey + 100, split_part(p_name, ' ', 1), '.' || p_type FROM part""")
 def selector_parse(spark, sf_dir):
-    t = spark.createDataFrame(list(SELECTORS), "id long, s string")
+    """Selectors in one text for each part, with spaces and a piece that isn't one."""
+    own = F.concat(F.lit("title:"), "p_brand", F.lit(", "), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" : ."), "p_type", F.lit(" ,none"))
+    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 100).alias("id"), own.alias("s"))
+    t = spark.createDataFrame(list(SELECTORS), "id long, s string").unionByName(parts)
     return t.select("id", F.explode(S.selector_map(F.col("s"))).alias("k", "v"))
 
 
-@query("SELECT n::BIGINT AS attempt, least(1.5 * power(2.0, n), 60.0)::DOUBLE AS delay FROM (SELECT unnest(range(0, 10)) AS n)")
+@query("SELECT event_id, user_id, event_id % 10 AS attempt, least(1.5 * power(2.0, event_id % 10), 60.0)::DOUBLE AS delay FROM events WHERE event_type = 'error'")
 def backoff_delays(spark, sf_dir):
-    return spark.range(10).select(F.col("id").alias("attempt"), S.backoff(F.col("id"), 1.5).alias("delay"))
+    """The wait before each failed event's next attempt."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("attempt", F.pmod("event_id", F.lit(10)))
+    return e.select("event_id", "user_id", "attempt", S.backoff(F.col("attempt"), 1.5).alias("delay"))

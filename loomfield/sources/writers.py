@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfield.operators.records import export_columns, flatten
+from loomfield.operators.records import FieldRule, export_columns, flatten, validate
 from loomfield.session import ensure_checkpoint_dir
 from loomfield.sources.documents import make_xlsx, parse_xlsx
 
@@ -124,6 +124,12 @@ def write_envelope(df: DataFrame, path: str, source: str, url: str, scrape_time:
     return write_document(df, path, lambda n: json.dumps({"metadata": meta(n)}, ensure_ascii=False, separators=(",", ":"))[:-1] + ',"data":[', "]}", order)
 
 
+def write_validated(df: DataFrame, path: str, schema: Mapping[str, FieldRule], order: Sequence[str] = ()) -> int:
+    """A document {count, schema, data} of the rows that fit a schema, in parts."""
+    types = json.dumps({n: r.type for n, r in schema.items()}, separators=(",", ":"))
+    return write_document(validate(df, schema).select(*schema), path, lambda n: f'{{"count":{n},"schema":{types},"data":[', "]}", order)
+
+
 def _sheet(df: DataFrame) -> list[list]:
     flat = flatten(df)
     if (n := flat.limit(WORKBOOK_ROWS + 1).count()) > WORKBOOK_ROWS:
