@@ -242,7 +242,7 @@ def _matches(n: Node, steps: tuple, top: Node) -> bool:
 # ---- XPath
 
 _STEP = re.compile(r"(?P<axis>//|/)(?:(?P<text>text\(\))|@(?P<attr>[\w:-]+)|(?P<tag>\*|[A-Za-z][\w-]*)(?P<preds>(?:\[[^\]]*\])*))")
-_PRED = re.compile(r"""\[\s*(?:(?P<pos>\d+)|@(?P<attr>[\w:-]+)\s*(?:=\s*["'](?P<eq>[^"']*)["'])?|(?P<fn>starts-with|contains)\(\s*(?:@(?P<fattr>[\w:-]+)|(?P<ftext>text\(\)|\.))\s*,\s*["'](?P<fv>[^"']*)["']\s*\))\s*\]""")
+_PRED = re.compile(r"""\[\s*(?:(?P<pos>\d+)|@(?P<attr>[\w:-]+)\s*(?:=\s*(?P<q>["'])(?P<eq>(?:(?!(?P=q)).)*)(?P=q))?|(?P<fn>starts-with|contains)\(\s*(?:@(?P<fattr>[\w:-]+)|(?P<ftext>text\(\)|\.))\s*,\s*(?P<fq>["'])(?P<fv>(?:(?!(?P=fq)).)*)(?P=fq)\s*\))\s*\]""")
 
 
 @lru_cache(maxsize=512)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions.scalar import EMAIL, base_domain, blank, lookup, netloc
+from loomfield.operators import substring
 from loomfield.session import ensure_checkpoint_dir
 
 # ---- answers
@@ -139,13 +140,24 @@ def suggestions(flags: Mapping[str, Column]) -> Column:
 
 
 def best_agent(tasks: DataFrame, agents: DataFrame) -> DataFrame:
-    """tasks: task_type; agents: agent, specialization, completed.  Specialisation in either direction counts one,
-    experience a hundredth each; a score must be above 0; ties to the first name.  Agents are scanned once
-    for the different task types, and each task keeps one agent a type."""
-    a, t = F.lower("specialization"), F.lower("task_type")
-    score = F.when(a.contains(t) | t.contains(a), 1.0).otherwise(0.0) + F.col("completed") / 100
-    pairs = agents.select("agent", "specialization", "completed").crossJoin(tasks.select("task_type").distinct()).withColumn("score", score).where("score > 0")
-    return pairs.groupBy("task_type").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("agent"))).alias("b")).select("task_type", "b.agent", (-F.col("b.s")).alias("score"))
+    """tasks: task_type; agents: agent, specialization, completed.  A specialisation that holds the task's type, or is
+    held by it, in any case, counts one, experience a hundredth each; a score must be above 0; ties to the first
+    name.  Empty names hold nothing.
+
+    The best agent of each specialisation is found first, and the most experienced of all, who is the best of those
+    that don't fit; types and specialisations meet by what they hold, not in pairs."""
+    types = tasks.select("task_type", F.lower("task_type").alias("t")).where("t IS NOT NULL").distinct().checkpoint()
+    top = lambda rows, *by: rows.groupBy(*by).agg(F.min(F.struct((-F.col("completed") / 100).alias("s"), F.col("agent"))).alias("b"))
+    skilled = top(agents.where("specialization <> ''").withColumn("a", F.lower("specialization")), "a").checkpoint()
+    fit = substring.holding(skilled.select("a"), types.select("t")).select(F.col("text").alias("a"), F.col("needle").alias("t"))
+    fit = fit.unionAll(substring.holding(types.select("t"), skilled.select("a")).select(F.col("needle").alias("a"), F.col("text").alias("t"))).distinct()
+    fitting = types.join(fit, "t").join(skilled, "a").select("task_type", (1 - F.col("b.s")).alias("score"), F.col("b.agent").alias("agent"))
+    # one row, the same for every type
+    veteran = top(agents).first()
+    if veteran and veteran.b:
+        fitting = fitting.unionAll(types.select("task_type", F.lit(-veteran.b.s).alias("score"), F.lit(veteran.b.agent).alias("agent")))
+    best = fitting.where("score > 0").groupBy("task_type").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("agent"))).alias("b"))
+    return best.select("task_type", "b.agent", (-F.col("b.s")).alias("score"))
 
 
 # ---- schedules

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import rules
 from loomfield.operators import extract as X
+from loomfield.operators.html_tree import parse, xpath
 from loomfield.operators import records, relocation
 from loomfield.plans.registry import query
 from loomfield.plans.views import table
@@ -207,3 +208,12 @@ def blocked_elements(spark, sf_dir):
     """Elements that an ad blocker's simple rules hit, as one expression over all elements of all pages."""
     rows = X.flat_map(_pages(spark, sf_dir), X.elements, "tag string, class string, id string, src string")
     return rows.where(rules.is_blocked_element(F.col("class"), F.col("id"), F.col("src"))).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, len(string_split(html, '<div class=\"ad\"')) - 1 AS n_css, len(string_split(html, '<div class=\"ad\"')) - 1 AS n_xpath FROM pages")
+def built_selectors(spark, sf_dir):
+    """Elements like a given one, found in every page by both of its selectors."""
+    like = X.alike("<div class='selected ad' id='first'>x</div>")
+    css, path = like.css(), like.xpath()
+    found = X.flat_map(table(spark, sf_dir, "pages").select("page_id", "url", "html"), lambda h, u: [(len((root := parse(h)).select(css)), len(xpath(root, path)))], "n_css long, n_xpath long")
+    return found

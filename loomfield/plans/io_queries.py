@@ -112,10 +112,10 @@ def sitemap_filters(spark, sf_dir):
     return readers.filter_sitemap(rows, 0.5, "daily", 20, F.lit("2024-01-30").cast("date")).select("page_id", "url")
 
 
-@query("SELECT page_id FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 3 = 0) AND NOT regexp_matches(lower(url), '/tag/|/category/|/author/|/page/|\\.xml|\\.pdf|\\.jpg|\\.png')")
+@query("SELECT page_id FROM pages WHERE url IN (SELECT url FROM pages WHERE contains(url, '/en/')) AND NOT regexp_matches(lower(url), '/tag/|/category/|/author/|/page/|\\.xml|\\.pdf|\\.jpg|\\.png')")
 def pages_in_sitemaps(spark, sf_dir):
     """The pages that sitemaps list, each looked up by its url."""
-    listed = _sitemaps(spark, sf_dir).where("page_id % 3 = 0")
+    listed = _sitemaps(spark, sf_dir).where("contains(xml, '/en/')")
     return readers.sitemap_pages(table(spark, sf_dir, "pages").select("page_id", "url"), listed, "xml").select("page_id")
 
 

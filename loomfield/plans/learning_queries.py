@@ -8,6 +8,7 @@ from loomfield.functions import scalar as S
 from loomfield.operators import learning as L
 from loomfield.plans.registry import query
 from loomfield.plans.views import SKILLS, skills, table
+from loomfield.session import ensure_checkpoint_dir
 
 ANSWERS = ((1, '```json\n{"a": 1}\n```'), (2, '{"b": 2}'), (3, 'Sure: {"c": {"d": 3}} ok'), (4, "none"))
 
@@ -75,10 +76,19 @@ def site_suggestions(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id").distinct().select("user_id", F.array_join(tips, "; ").alias("tips"))
 
 
-@query("SELECT * FROM (VALUES ('click', 'clicker', 1.2::DOUBLE), ('view', 'veteran', 1.1), ('error', 'veteran', 1.1), ('signup', 'veteran', 1.1), ('purchase', 'buyer', 1.5)) t(task_type, agent, score)")
+@query("""WITH agents AS (SELECT * FROM (VALUES ('clicker', 'click', 20), ('veteran', 'nothing', 250), ('buyer', 'purchase and pay', 50)) t(agent, specialization, completed)
+UNION ALL SELECT s_name, ['Click and View', 'errors', 'sign', 'parts', NULL][(s_suppkey % 5 + 1)::INT], (s_suppkey % 150)::INT FROM supplier),
+types AS (SELECT DISTINCT event_type AS task_type FROM events UNION SELECT DISTINCT lower(p_type) || ' parts' FROM part),
+scored AS (SELECT task_type, agent, CASE WHEN contains(lower(specialization), lower(task_type)) OR contains(lower(task_type), lower(specialization)) THEN 1.0 ELSE 0.0 END + completed / 100 AS score FROM types, agents)
+SELECT task_type, agent, round(score, 6)::DOUBLE AS score FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY task_type ORDER BY score DESC, agent) = 1""")
 def agent_for_task(spark, sf_dir):
-    agents = spark.createDataFrame([("clicker", "click", 20), ("veteran", "nothing", 110), ("buyer", "purchase and pay", 50)], "agent string, specialization string, completed int")
-    return L.best_agent(table(spark, sf_dir, "events").select(F.col("event_type").alias("task_type")), agents)
+    """Types of events and parts, and an agent for each supplier."""
+    few = spark.createDataFrame([("clicker", "click", 20), ("veteran", "nothing", 250), ("buyer", "purchase and pay", 50)], "agent string, specialization string, completed int")
+    skill = F.element_at(F.array(F.lit("Click and View"), F.lit("errors"), F.lit("sign"), F.lit("parts"), F.lit(None).cast("string")), (F.pmod("s_suppkey", F.lit(5)) + 1).cast("int"))
+    agents = few.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("agent"), skill.alias("specialization"), F.pmod("s_suppkey", F.lit(150)).cast("int").alias("completed")))
+    types = table(spark, sf_dir, "events").select(F.col("event_type").alias("task_type")).unionAll(table(spark, sf_dir, "part").select(F.concat(F.lower("p_type"), F.lit(" parts"))))
+    ensure_checkpoint_dir(spark)
+    return L.best_agent(types, agents).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT o_orderkey, date_trunc('day', o_orderdate) + INTERVAL 1 DAY + INTERVAL 30 MINUTE AS next_run FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate) AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_orderdate + INTERVAL 15 MINUTE FROM orders WHERE o_orderdate = date_trunc('day', o_orderdate) AND o_orderkey % 2 = 1")
@@ -99,9 +109,10 @@ def demonstration_durations(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(span, 3).alias("seconds"), F.count("*").alias("n_actions"))
 
 
-@query("""WITH u AS (SELECT page_id, url, page_id % 3 = 0 AS tried FROM pages) SELECT page_id, CASE WHEN tried THEN 'ok' ELSE 'missing' END AS status FROM u""")
+@query("""SELECT page_id, coalesce('quality ' || any_value(quality), 'missing') AS status FROM pages LEFT JOIN labels ON doc_id = page_id GROUP BY page_id""")
 def batch_statuses(spark, sf_dir):
-    """Requested urls with their results; those without one become error rows instead of vanishing."""
-    asked = table(spark, sf_dir, "pages").select("page_id", "url")
-    results = asked.where("page_id % 3 = 0").select("page_id", F.lit("ok").alias("found"))
-    return asked.join(results, "page_id", "left").select("page_id", F.coalesce("found", F.lit("missing")).alias("status"))
+    """Requested pages with their results, the labels of their numbers; those without one become error rows instead of
+    vanishing."""
+    results = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("page_id")).agg(F.max("quality").alias("quality"))
+    asked = table(spark, sf_dir, "pages").select("page_id")
+    return asked.join(results, "page_id", "left").select("page_id", F.coalesce(F.concat(F.lit("quality "), F.col("quality").cast("string")), F.lit("missing")).alias("status"))

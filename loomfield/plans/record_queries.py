@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import scalar as S
@@ -138,18 +139,19 @@ def technique_overlap(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in ("cloudflare", "captcha", "antibot")])
     found = table(spark, sf_dir, "events").select(F.explode(F.filter(kinds, lambda x: F.pmod(F.col("event_id") + F.length(x), F.lit(3)) == 0)).alias("k"))
     techniques = spark.createDataFrame([("stealth", "cloudflare"), ("stealth", "antibot"), ("solver", "captcha")], "technique string, k string")
-    return found.groupBy("k").count().join(F.broadcast(techniques), "k").groupBy("technique").agg(F.sum("count").alias("n"))
+    return found.groupBy("k").count().join(techniques, "k").groupBy("technique").agg(F.sum("count").alias("n"))
 
 
 @query("""WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS x FROM orders GROUP BY 1), b AS (SELECT c_custkey, list_transform(range(0, c_custkey % 4), lambda i: c_name || '-' || i) AS y FROM customer)
 SELECT c_custkey, i::INT AS i, x[i + 1] AS order_key, y[i + 1] AS label FROM (SELECT c_custkey, coalesce(x, []) AS x, y, unnest(range(0, greatest(len(coalesce(x, [])), len(y)))) AS i FROM b LEFT JOIN a ON c_custkey = o_custkey)""")
 def positional_zip(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("x"))
-    n = F.pmod("c_custkey", F.lit(4)).cast("int")
-    labels = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat("c_name", F.lit("-"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
-    b = table(spark, sf_dir, "customer").select("c_custkey", labels.alias("y"))
-    both = b.join(a, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("x", F.coalesce("x", F.array().cast("array<long>")))
-    return both.select("c_custkey", F.posexplode(F.arrays_zip("x", "y")).alias("i", "z")).select("c_custkey", "i", F.col("z.x").alias("order_key"), F.col("z.y").alias("label"))
+    """Two lists of each customer side by side: both as rows with their places, joined on them, so that no list is held
+    whole and a customer with very many orders is rows like others."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    known = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.pmod("c_custkey", F.lit(4)).cast("int").alias("n"))
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), place.alias("i"), F.col("o_orderkey").alias("order_key")).join(known.select("c_custkey"), "c_custkey", "left_semi")
+    b = known.where("n > 0").select("c_custkey", "c_name", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("c_custkey", "i", F.concat("c_name", F.lit("-"), F.col("i").cast("string")).alias("label"))
+    return a.join(b, ["c_custkey", "i"], "full").select("c_custkey", "i", "order_key", "label")
 
 
 @query("""SELECT p_partkey, p_brand AS meta_brand, p_size AS meta_size_value, p_name || '; ' || p_type AS tags, '' AS none, '[{"k":' || p_size || '}]' AS rows FROM part""")
@@ -217,11 +219,11 @@ def validated_envelope(spark, sf_dir):
     return rows.withColumn("count", F.get_json_object(F.lit(frame), "$.count").cast("bigint"))
 
 
-@query("""SELECT id, name FROM (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 2 = 0) UNION ALL SELECT p_partkey, upper(p_name) FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0""")
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE upper(p_name) END AS name FROM part""")
 def skill_import(spark, sf_dir):
-    """Exported skills as JSON rows, read back and added where their key isn't there yet."""
+    """All skills exported as JSON rows, read back and added where their key isn't there yet, which every second one's is."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    exported = p.where("id % 3 = 0").withColumn("name", F.upper("name")).select(F.to_json(F.struct("id", "name")).alias("line"))
+    exported = p.withColumn("name", F.upper("name")).select(F.to_json(F.struct("id", "name")).alias("line"))
     given = exported.select(F.from_json("line", "id long, name string").alias("r")).select("r.*")
     return R.insert_or_ignore(p.where("id % 2 = 0"), given, ["id"])
 
