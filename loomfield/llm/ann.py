@@ -3,9 +3,11 @@
 Trees are fitted on a bounded sample: a node's hyperplane is drawn through two random sample points and
 put at the median of their projections.  Every vector is indexed: it goes down each tree to one leaf.  A
 query keeps one priority queue over all trees, ordered by the largest margin on the way to a node, and
-pops leaves until the sample vectors in them reach ``fraction`` of the sample.  Leaves are grouped in
-tree order; vectors and queries meet in their leaves' groups, large groups being split in parts, where
-distances of leaf candidates are computed exactly.  Each part sends the k best of each query.
+pops leaves until none is left that can hold a nearer vector than the k best of the sample, as a margin is
+less than any distance over it, or until the sample vectors in the leaves reach ``fraction`` of the sample.
+Leaves are grouped in tree order; vectors and queries meet in their leaves' groups, where distances of leaf
+candidates are computed exactly.  Large groups are split in parts, on both sides, each of which sends the k
+best of each of its queries.
 
 Equal vectors are one row of the index with their k + 1 smallest ids, more of which can't be needed.
 """
@@ -17,7 +19,7 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.shared import Workspace
@@ -28,6 +30,8 @@ LEAF = 64
 GROUP_LEAVES = 32
 #: Rows of a part of a group.
 PART = 20_000
+#: Queries of a part of a group.
+QUERY_PART = 2_000
 #: Part of the sample that popped leaves must hold, over all trees together, so TREES is all of everything.
 #: Vectors without structure need this much: their tenth neighbour is hardly nearer than the thousandth.
 FRACTION = 1.4
@@ -37,7 +41,7 @@ class Forest:
     """Trees as flat arrays; child values below zero are leaves, -1 the first of a tree."""
 
     def __init__(self, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = 11):
-        self.total = len(sample)
+        self.total, self.sample = len(sample), sample
         # in units of the largest component, so that squares neither overflow nor vanish
         self.unit = float(np.abs(sample).max(initial=0.0)) or 1.0
         self.trees = [self._grow(sample / self.unit, leaf, np.random.default_rng([seed, t])) for t in range(trees)]
@@ -82,14 +86,21 @@ class Forest:
                 work += [(kids[node][0], rows[low]), (kids[node][1], rows[~low])]
         return out
 
-    def search(self, q: np.ndarray, fraction: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of one queue shared by all trees."""
-        q = q / self.unit
+    def bound(self, q: np.ndarray, k: int) -> float:
+        """No less than the distance of q's k-th nearest other vector, as the sample has k of them so near."""
+        d = distances(self.sample, q)
+        return float(np.partition(d, k)[k]) if len(d) > k else float("inf")
+
+    def search(self, q: np.ndarray, fraction: float, bound: float = float("inf")) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order of one queue shared by all trees, down to the margin ``bound``."""
+        q, most = q / self.unit, bound / self.unit * (1 + 1e-9)
         queue = [(0.0, t, self.trees[t][4]) for t in range(len(self.trees))]
         heapq.heapify(queue)
         found, seen, need = [], 0, fraction * self.total
         while queue and seen < need:
             margin, t, node = heapq.heappop(queue)
+            if margin > most:
+                break
             normals, cuts, kids, sizes, _ = self.trees[t]
             while node >= 0:
                 d = float(q @ normals[node] - cuts[node])
@@ -152,6 +163,13 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, fraction: float = F
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _by_group(numbers: dict[tuple[int, int], int]) -> Column:
+    """The number of the row's tree and group, of which there are as many as the sample allows; null without one."""
+    if not numbers:
+        return F.lit(None).cast("int")
+    return F.try_element_at(F.create_map(*[F.lit(x) for (t, g), n in sorted(numbers.items()) for x in (f"{t}/{g}", n)]), F.concat_ws("/", "tree", "grp"))
+
+
 def _nearest(rows: DataFrame, ws: Workspace, every: int, k: int, fraction: float, trees: int, sample: int, leaf: int) -> DataFrame:
     """(query_id, vec_id, score) of some more than the k best of each query, among vectors of one length."""
     spark = rows.sparkSession
@@ -176,7 +194,7 @@ def _nearest(rows: DataFrame, ws: Workspace, every: int, k: int, fraction: float
     indexed = index.mapInArrow(places, "tree int, grp int, leaf long, v array<double>, ids array<long>")
     sizes = indexed.groupBy("tree", "grp").count().collect()  # as many as the forest has groups
     parts = {(r.tree, r.grp): -(-r["count"] // PART) for r in sizes}
-    n_parts = F.element_at(F.create_map(*[F.lit(x) for (t, g), n in sorted(parts.items()) for x in (f"{t}/{g}", n)]), F.concat_ws("/", "tree", "grp"))
+    n_parts = _by_group(parts)
     indexed = indexed.withColumn("part", F.pmod(F.xxhash64("v"), n_parts).cast("int"))
 
     def visits(batches):
@@ -185,13 +203,20 @@ def _nearest(rows: DataFrame, ws: Workspace, every: int, k: int, fraction: float
             x, out = _fixed(b.column(1), b.num_rows), []
             for i, (d, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 by: dict[tuple[int, int], list[int]] = {}
-                for t, leaf_ in f.search(x[i], fraction):
+                for t, leaf_ in f.search(x[i], fraction, f.bound(x[i], k)):
                     by.setdefault((t, leaf_ // GROUP_LEAVES), []).append(leaf_)
-                out += [(t, g, p, d, v, ls) for (t, g), ls in by.items() for p in range(parts.get((t, g), 0))]
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["tree", "grp", "part", "query_id", "v", "leaves"])
-
-    queries = asked.mapInArrow(visits, "tree int, grp int, part int, query_id long, v array<double>, leaves array<long>")
+                out += [(t, g, d, v, ls) for (t, g), ls in by.items() if (t, g) in parts]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], ["tree", "grp", "query_id", "v", "leaves"])
+
+    queries = ws.save(asked.mapInArrow(visits, "tree int, grp int, query_id long, v array<double>, leaves array<long>"))
+    sizes = queries.groupBy("tree", "grp").count().collect()
+    n_asked = _by_group({(r.tree, r.grp): -(-r["count"] // QUERY_PART) for r in sizes})
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(0)) - 1))
+    queries = queries.withColumn("asked", F.pmod(F.xxhash64("query_id"), n_asked).cast("int")).select("*", each(n_parts).alias("part"))
+    # groups that no query looks into go no further
+    indexed = indexed.where(n_asked.isNotNull()).select("*", each(n_asked).alias("asked"))
+    keys = ["tree", "grp", "part", "asked"]
 
     def best(key, data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -214,5 +239,5 @@ def _nearest(rows: DataFrame, ws: Workspace, every: int, k: int, fraction: float
                 out += [(qid, i, s) for s, i in got]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    near = indexed.groupBy("tree", "grp", "part").cogroup(queries.groupBy("tree", "grp", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
+    near = indexed.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
     return near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -71,3 +71,33 @@ def test_lengths_and_extreme_vectors(spark):
         rows = [(i, [scale * (i + 1), 0.0]) for i in range(300)]
         got = {r["rank"]: (r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=300, k=3).collect()}
         assert {k: i for k, (i, _) in got.items()} == {1: 1, 2: 2, 3: 3} and all(abs(s / scale - k) < 1e-9 for k, (_, s) in got.items())
+
+
+def test_parts_of_queries_find_what_one_part_does(spark, monkeypatch):
+    rows = vectors(700)
+    whole = run(spark, rows, every=7, leaf=32)
+    monkeypatch.setattr(ann, "QUERY_PART", 9)
+    monkeypatch.setattr(ann, "PART", 120)
+    assert run(spark, rows, every=7, leaf=32) == whole
+
+
+def test_margins_end_the_search_without_a_loss():
+    """On clustered vectors the bound of the sample ends the search early, all the more the larger the table is, and what
+    it leaves out is no neighbour."""
+    shares = []
+    for n in (1000, 4000, 16_000):
+        rng = np.random.default_rng(n)
+        x = rng.normal(size=(60, 16))[rng.integers(0, 60, n)] * 4 + 0.3 * rng.normal(size=(n, 16))
+        forest = ann.Forest(x[: min(n, 4000)])
+        leaves = [forest.leaves(t, x) for t in range(len(forest.trees))]
+        share = []
+        for q in x[:40]:
+            seen = np.zeros(n, bool)
+            found = forest.search(q, fraction=100.0, bound=forest.bound(q, 10))
+            for t, leaf in found:
+                seen |= leaves[t] == leaf
+            near = np.argsort(ann.distances(x, q))[:11]
+            assert seen[near].all()
+            share.append(seen.mean())
+        shares.append(np.mean(share))
+    assert shares[2] <= shares[0] and shares[2] < 0.4, shares
