@@ -199,3 +199,22 @@ def test_op12(spark):
     assert (got.predicted == (got.score >= 0.5)).all()
     out = truth[truth.held_out]
     assert out[out.toxic == 1].predicted.mean() >= 0.75 and out[out.toxic == 0].predicted.mean() <= 0.01
+
+
+def test_op2_rejects_hosts_whose_documents_fail(spark, tmp_path):
+    """The registered query over a table with three bad hosts, a mixed one and a small one: their good documents go as
+    well where the shrunk rate says so, as in the SQL."""
+    good, bad = " ".join(f"word{i} and" for i in range(12)), "bad"
+    rows = [(i, good + f" {i}", f"h{i % 20}") for i in range(800)]
+    rows += [(1000 + 100 * h + i, bad if i % 10 else good, f"spam{h}") for h in range(3) for i in range(60)]
+    rows += [(2000 + i, bad if i % 5 < 2 else good, "mixed") for i in range(60)] + [(3000, bad, "tiny"), (3001, good, "tiny")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op2_host_quality"](spark, str(tmp_path))
+    order = sorted(got.columns)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(order)} FROM ({SQL['op2_host_quality']})").fetchall()
+    out = got.collect()
+    assert sorted(tuple(r[c] for c in order) for r in out) == sorted(want)
+    lost = {r.doc_id for r in out if not r.base_failed and not r.kept}
+    assert lost == {1000 + 100 * h + i for h in range(3) for i in range(0, 60, 10)}
