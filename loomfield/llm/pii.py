@@ -23,18 +23,22 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.shared import Workspace, fresh
 
-#: Titles by gender, also all in capitals; a name is a title and one to three words.
+#: Titles by gender, also all in capitals; a name is a title and all words with a capital that follow it, particles
+#: between them.
 TITLES = {
     "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "г-н", "господин", "κύριος", "מר", "السيد"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа", "госпожа", "κυρία", "גברת", "السيدة"),
     "n": ("Dr", "Prof", "Mx"),
 }
+#: Words in lower case that names go on behind; they stay as they are.
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "ter", "af", "al", "el", "bin", "ben", "y", "ван", "де", "фон", "бен", "בן", "بن")
 _END, _START = r"(?![\p{L}\p{N}_])", r"(?<![\p{L}\p{N}_])"
 _TITLE = "|".join(sorted({v for ts in TITLES.values() for t in ts for v in (t, t.upper())}, key=lambda t: (-len(t), t)))
 _TAIL = r"[\p{L}\p{M}]*(?:['’-](?!s(?!\p{L}))[\p{L}\p{M}]+){0,3}"
 _WORD = rf"(?:\p{{Lu}}|[\p{{IsHebrew}}\p{{IsArabic}}&&\p{{L}}]){_TAIL}"
 #: Types by priority where several begin at one place; each has one group in the joint pattern.  Repeated
-#: groups are bounded, as a matcher goes one level deeper for each round of one: a host has 127 labels at most.
+#: groups are bounded or possessive, as a matcher goes one level deeper for each round of others: a host has 127
+#: labels at most, a name any number of words.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+(?<!\.)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,126}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -42,7 +46,7 @@ PATTERNS = {
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": r"(?<![\p{L}\p{N}_.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\p{L}\p{N}_]|-[0-9])",
     "phone": r"(?<![\p{L}\p{N}_.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?[0-9]{2,4}[ .-][0-9]{2,4}(?:[ .-][0-9]{2,4})?|[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4}|(?<=\+[0-9]{1,3}[ .-]?)[0-9]{6,12})(?![\p{L}\p{N}_]|-[0-9])",
-    "name": _START + rf"(?:{_TITLE})\.? {_WORD}(?: {_WORD}){{0,2}}",
+    "name": _START + rf"(?:{_TITLE})\.? {_WORD}(?: (?:(?:{'|'.join(PARTICLES)}) )*+{_WORD})*+",
 }
 _NUMBERS = ("ip", "ssn", "iban", "card", "phone")
 #: Where a title stands before a name.
@@ -232,7 +236,8 @@ def _name(key: str, name: Column, gender: Column, attempt_of) -> Column:
 
     def one(w: Column, i: Column) -> Column:
         drawn = _let(attempt_of(F.lit("word"), F.lower(w)), lambda n: F.struct(n.alias("n"), _stream(key, F.lit("word"), F.lower(w), n).alias("s")))
-        return _let(drawn, lambda d: F.when((i == 0) & (F.size(words) > 1), _word(w, d["s"], d["n"], gender)).otherwise(_word(w, d["s"], d["n"])))
+        made = _let(drawn, lambda d: F.when((i == 0) & (F.size(words) > 1), _word(w, d["s"], d["n"], gender)).otherwise(_word(w, d["s"], d["n"])))
+        return F.when(w.isin(*PARTICLES), w).otherwise(made)
 
     return F.array_join(F.transform(words, one), " ")
 
@@ -289,7 +294,7 @@ ROUNDS = 20
 def _entities(found: DataFrame) -> DataFrame:
     """found, with a column mention, as a row per entity: kind, canon, mention.  A name's entities are its words."""
     found = found.withColumn("kind", entity_type(F.col("mention"))).where("kind is not null")
-    parts = F.when(F.col("kind") == "name", words_of(F.col("mention"))).otherwise(F.array("mention"))
+    parts = F.when(F.col("kind") == "name", F.filter(words_of(F.col("mention")), lambda w: ~w.isin(*PARTICLES))).otherwise(F.array("mention"))
     found = found.withColumn("mention", F.explode(parts)).withColumn("kind", F.when(F.col("kind") == "name", "word").otherwise(F.col("kind")))
     return found.withColumn("canon", canonical(F.col("kind"), F.col("mention")))
 

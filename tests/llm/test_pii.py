@@ -134,3 +134,24 @@ def test_short_names_stay_distinct(spark):
     words = [f"{a}{b}" for a in "ABCDEFGHIJ" for b in "aeiouy"]
     got = run(spark, [(i, f"Mr {w} said") for i, w in enumerate(words)]).collect()
     assert len({r.text for r in got}) == len(words) and not {r.text.split(" ")[1] for r in got} & set(words)
+
+
+def test_names_of_any_number_of_words(spark):
+    """No part of a name stays, however long it is and whatever its script; particles and what follows the name do."""
+    texts = {
+        "Mr. John Ronald Reuel Tolkien wrote": ("John", "Ronald", "Reuel", "Tolkien"),
+        "Frau Anna von der Leyen kam": ("Anna", "Leyen"),
+        "Señora María de la Cruz Fernández y Gómez habla": ("María", "Cruz", "Fernández", "Gómez"),
+        "г-н Иван Петрович фон Дервиз здесь": ("Иван", "Петрович", "Дервиз"),
+        "κύριος Νίκος Παπαδόπουλος Κωνσταντίνου Γεωργίου εδώ": ("Νίκος", "Παπαδόπουλος", "Κωνσταντίνου", "Γεωργίου"),
+        "Mr. Smith de facto left": ("Smith",),
+        "Dr. " + " ".join(["Abel"] * 6000) + " end": ("Abel",),
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.replace_pii(df, "k").collect()}
+    for i, (text, parts) in enumerate(texts.items()):
+        new = got[i].text
+        assert got[i].n_name == 1 and len(new.split()) == len(text.split())
+        assert not set(parts) & set(new.split()), new[:200]
+        kept = [w for w in text.split() if w in pii.PARTICLES]
+        assert [w for w in new.split() if w in pii.PARTICLES] == kept and new.split()[-1] == text.split()[-1]
