@@ -4,10 +4,11 @@ demonstrations, skill names, agents for tasks, next runs of schedules."""
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Iterable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.scalar import EMAIL, base_domain, blank, lookup, netloc
@@ -204,19 +205,50 @@ def next_run(expression: str, after: dt.datetime) -> dt.datetime | None:
 
 
 def next_runs(jobs: DataFrame, cron: str = "cron", after: str = "last_run") -> DataFrame:
-    """jobs with next_run; null where the expression or the time is null or the expression is wrong."""
+    """jobs with next_run, as next_run() has it; null where the expression or the time is null or the expression wrong.
 
-    @F.pandas_udf("timestamp_ntz")
-    def run(crons: pd.Series, times: pd.Series) -> pd.Series:
-        def one(c, t):
+    Each different expression is read once.  Its days are laid out as a calendar, as long as the jobs' times and eight
+    years, shared by all expressions with the same days; a job then looks up its own day and the next one that fits."""
+    ensure_checkpoint_dir(jobs.sparkSession)
+
+    @F.pandas_udf("string")
+    def read(crons: pd.Series) -> pd.Series:
+        def one(c):
             try:
-                return None if c is None or pd.isna(t) else next_run(c, t.to_pydatetime())
-            except ValueError:
+                minutes, hours, days, months, weekdays = map(sorted, cron_fields(c))
+            except (ValueError, AttributeError):
                 return None
-
-        return pd.Series([one(c, t) for c, t in zip(crons, times)], dtype="datetime64[ns]")
-
-    return jobs.withColumn("next_run", run(F.col(cron), F.col(after)))
+            either = c.split()[2] != "*" and c.split()[4] != "*"
+            return json.dumps({"times": [60 * h + m for h in hours for m in minutes], "day": json.dumps([days, months, weekdays, either])})
+
+        return crons.map(one)
+
+    plans = jobs.select(F.col(cron).alias("__cron")).where("__cron IS NOT NULL").distinct().select("__cron", F.from_json(read("__cron"), "times array<int>, day string").alias("p"))
+    plans = plans.where("p.day IS NOT NULL").select("__cron", "p.times", "p.day").checkpoint()
+    at = F.col(after).cast("timestamp_ntz")
+    first, last = jobs.agg(F.min(F.to_date(at)), F.max(F.to_date(at))).first()
+    none = F.lit(None).cast("timestamp_ntz")
+    if first is None or plans.isEmpty():
+        return jobs.withColumn("next_run", none)
+    part = lambda i: F.from_json(F.get(F.from_json("day", "array<string>"), F.lit(i)), "array<int>")
+    days = plans.select("day").distinct().select("day", part(0).alias("days"), part(1).alias("months"), part(2).alias("weekdays"), F.get(F.from_json("day", "array<string>"), F.lit(3)).cast("boolean").alias("either"))
+    span = F.sequence(F.lit(first), F.date_add(F.lit(last), 8 * 366))
+    dates = days.withColumn("date", F.explode(span))
+    a, b = F.array_contains("days", F.dayofmonth("date")), F.array_contains("weekdays", F.dayofweek("date") - 1)
+    fits = F.array_contains("months", F.month("date")) & F.when(F.col("either"), a | b).otherwise(a & b)
+    later = Window.partitionBy("day").orderBy("date").rowsBetween(1, Window.unboundedFollowing)
+    calendar = dates.withColumn("fits", fits).select("day", "date", "fits", F.min(F.when(F.col("fits"), F.col("date"))).over(later).alias("next"))
+    # names of its own, as jobs may have columns like these
+    calendar = calendar.where(F.col("date") <= F.lit(last)).select(*[F.col(c).alias(f"__{c}") for c in ("day", "date", "fits", "next")])
+    plans = plans.select("__cron", F.col("times").alias("__times"), F.col("day").alias("__day"))
+
+    rows = jobs.withColumn("__date", F.to_date(at)).withColumn("__cron", F.col(cron)).join(plans, "__cron", "left").join(calendar, ["__day", "__date"], "left")
+    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.expr(f"extract(SECOND FROM cast(`{after}` AS timestamp_ntz))")
+    today = F.try_element_at(F.filter("__times", lambda m: m * 60 > seconds), F.lit(1))
+    on = lambda date, minute: date.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minute)
+    soon = F.col("__next") < F.date_add("__date", 8 * 366)
+    run = F.when(F.col("__fits") & today.isNotNull(), on(F.col("__date"), today)).when(soon, on(F.col("__next"), F.get("__times", F.lit(0))))
+    return rows.select(*[F.col(f"`{c}`") for c in jobs.columns], run.alias("next_run"))
 
 
 def expectations(df: DataFrame, rules: Iterable[tuple[str, Column]]) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 
@@ -19,3 +20,22 @@ def test_next_runs():
 def test_bad_expressions(bad):
     with pytest.raises(ValueError):
         cron_fields(bad)
+
+
+def test_next_runs_of_a_table_are_those_of_each_job(spark):
+    from loomfield.operators.learning import next_runs
+
+    rnd = random.Random(2)
+    crons = ["*/15 * * * *", "0 9 * * 1-5", "0 0 29 2 *", "0 0 13 * 5", "5 4 * * 7", "0 0 31 2 *", "30 23 1,15 1-3 *", "* * * * *", "0 0 * * 0", "a b", None, "59 23 31 12 *"]
+    rows = [(i, rnd.choice(crons), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rnd.randint(0, 3 * 366 * 86400), microseconds=rnd.choice([0, 5]))) for i in range(300)]
+    rows += [(1000 + i, c, dt.datetime(2024, 2, 29, 0, 0)) for i, c in enumerate(crons)] + [(2000, "* * * * *", None)]
+    df = spark.createDataFrame(rows, "id long, cron string, last_run timestamp_ntz").selectExpr("*", "'x' AS day", "1 AS next", "2 AS fits", "3 AS times")
+
+    def one(c, t):
+        try:
+            return next_run(c, t) if c is not None and t is not None else None
+        except ValueError:
+            return None
+
+    assert {r.id: r.next_run for r in next_runs(df).collect()} == {i: one(c, t) for i, c, t in rows}
+    assert [r.next_run for r in next_runs(df.where("id = 2000")).collect()] == [None] and next_runs(df.limit(0)).collect() == []
