@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sqlite3
 import uuid
 
 from pyspark.sql import functions as F
@@ -90,14 +89,18 @@ def line_files(spark, sf_dir):
     return readers.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'a.db' AS path, n_nationkey::BIGINT AS key, n_name AS name FROM nation")
+@query("SELECT c_custkey AS key, c_name AS name, round(c_acctbal, 2) AS balance FROM customer")
 def sqlite_tables(spark, sf_dir):
-    con = sqlite3.connect(":memory:")
-    con.execute("CREATE TABLE nation (key INTEGER, name TEXT)")
-    con.executemany("INSERT INTO nation VALUES (?, ?)", [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()])
-    con.commit()
-    files = spark.createDataFrame([("a.db", bytearray(con.serialize()))], "path string, content binary")
-    return documents.sqlite_rows(files, "SELECT key, name FROM nation", "key bigint, name string")
+    """SQLite files that tasks make of the customers, read by tasks."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.round("c_acctbal", 2).alias("balance"))
+    return documents.sqlite_rows(writers.sqlite_files(rows, "customers", 700), "SELECT key, name, balance FROM customers", "key bigint, name string, balance double").drop("path")
+
+
+@query("SELECT s_suppkey::VARCHAR || ',' || s_name AS cells FROM supplier")
+def workbook_parts(spark, sf_dir):
+    """Workbooks that tasks make of the suppliers, read by tasks."""
+    files = writers.workbook_files(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), rows=40)
+    return documents.xlsx_rows(files).where("row > 0").select(F.array_join("cells", ",").alias("cells"))
 
 
 def _sitemaps(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
@@ -137,6 +138,54 @@ def _sheet(df: DataFrame) -> list[list]:
     return [flat.columns, *map(list, flat.toLocalIterator(prefetchPartitions=True))]
 
 
+def files_of(df: DataFrame, make: Callable[[list[str], list[tuple]], bytes], suffix: str, rows: int = 10_000) -> DataFrame:
+    """(path, content): files of ``rows`` rows at most, made side by side by the tasks that have the rows; none goes
+    through the driver.  make(columns, rows) gives a file's bytes.  Paths are numbered by task."""
+    columns = df.columns
+
+    def run(batches):
+        part, n, held = TaskContext.get().partitionId(), 0, []
+
+        def flush():
+            nonlocal n, held
+            out = pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}{suffix}"]), pa.array([make(columns, held)], pa.binary())], ["path", "content"])
+            n, held = n + 1, []
+            return out
+
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                held.append(row)
+                if len(held) == rows:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return df.mapInArrow(run, "path string, content binary")
+
+
+def workbook_files(df: DataFrame, sheet: str = "data", rows: int = 10_000) -> DataFrame:
+    """(path, content) of workbooks with a header row each; nested fields flattened."""
+    return files_of(flatten(df), lambda columns, held: make_xlsx({sheet: [columns, *map(list, held)]}), ".xlsx", rows)
+
+
+def sqlite_files(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
+    """(path, content) of SQLite files with one table of df's columns; values other than numbers and texts as text."""
+
+    def make(columns: list[str], held: list[tuple]) -> bytes:
+        con = sqlite3.connect(":memory:")
+        quoted = ['"' + c.replace('"', '""') + '"' for c in (name, *columns)]
+        try:
+            con.execute(f"CREATE TABLE {quoted[0]} ({', '.join(quoted[1:])})")
+            plain = ([v if v is None or isinstance(v, int | float | str | bytes) else str(v) for v in row] for row in held)
+            con.executemany(f"INSERT INTO {quoted[0]} VALUES ({', '.join('?' * len(columns))})", plain)
+            con.commit()
+            return con.serialize()
+        finally:
+            con.close()
+
+    return files_of(df, make, ".db", rows)
+
+
 def workbook(df: DataFrame | Mapping[str, DataFrame], sheet: str = "data", append_to: bytes | None = None) -> bytes:
     """Bounded results as sheets with a header row; lists and structs as JSON or joined text.  Several are given by
     sheet names; append_to: a workbook whose other sheets are kept, as text."""

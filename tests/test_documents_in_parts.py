@@ -33,3 +33,17 @@ def test_empty_partitions_and_no_rows(spark, tmp_path):
     assert readers.read_document(spark, str(tmp_path / "none"), "id long")[0].collect() == []
     assert writers.write_envelope(few, str(tmp_path / "two"), "s", "u", "t", ["id"]) == 2
     assert json.loads(text_of(tmp_path / "two"))["metadata"]["record_count"] == 2
+
+
+def test_files_that_tasks_make(spark):
+    from loomfield.sources import documents
+
+    df = spark.range(0, 95, 1, 4).select("id", F.when(F.col("id") % 2 > 0, F.concat(F.lit("ü'\""), F.col("id").cast("string"))).alias("a b"))
+    files = writers.sqlite_files(df, "my table", 10)
+    paths = [r.path for r in files.collect()]
+    assert len(paths) == len(set(paths)) == 4 * 3 and all(p.endswith(".db") for p in paths)
+    got = documents.sqlite_rows(files, 'SELECT id, "a b" AS x FROM "my table"', "id long, x string")
+    assert sorted((r.id, r.x) for r in got.collect()) == sorted(map(tuple, df.collect()))
+    sheets = documents.xlsx_rows(writers.workbook_files(df, rows=30)).collect()
+    assert sum(r.row > 0 for r in sheets) == 95 and {tuple(r.cells) for r in sheets if r.row == 0} == {("id", "a b")}
+    assert writers.sqlite_files(df.where("id < 0"), "t").collect() == []
