@@ -33,6 +33,29 @@ def flat_object(answer: Column) -> Column:
     return F.to_json(F.try_parse_json(F.nullif(F.regexp_extract(answer, r"(?s)(\{[^{}]*\})", 1), F.lit(""))))
 
 
+#: What a prompt of each kind asks for, as the type of its answer.  Names are fixed values.
+TEMPLATES = {
+    "products": "products array<struct<name string, price string, original_price string, description string, image_url string, rating string, reviews_count string, in_stock boolean, brand string>>",
+    "articles": "article struct<title string, author string, published_date string, content string, excerpt string, category string, tags array<string>, image_url string, reading_time string>",
+    "contacts": "contacts struct<company_name string, emails array<string>, phones array<string>, address string, social_media struct<twitter string, linkedin string, facebook string, instagram string>>",
+    "jobs": "jobs array<struct<title string, company string, location string, salary string, description string, requirements array<string>, benefits array<string>, posted_date string, job_type string, remote string>>",
+    "prices": "prices array<struct<item_name string, current_price string, original_price string, currency string, discount_percent string, available boolean, unit_price string>>",
+}
+
+
+def template_items(answers: DataFrame, answer: str, template: str, keep: Sequence[str]) -> DataFrame:
+    """keep and the fields of each item that a template's answers hold, with the template's types: a row for every
+    product, job or price, one for an article or contact.  Answers are repaired first; one without the template's
+    object gives no row, fields that it lacks are null, those that the template lacks are left out."""
+    if template not in TEMPLATES:
+        raise ValueError(f"unknown template {template!r}, there are {sorted(TEMPLATES)}")
+    schema = TEMPLATES[template]
+    name, kind = schema.split(" ", 1)
+    held = F.from_json(repaired_json(F.col(answer)), schema)[name]
+    items = F.explode(held) if kind.startswith("array") else F.explode(F.when(held.isNotNull(), F.array(held)))
+    return answers.select(*keep, items.alias("__item")).where("__item IS NOT NULL").select(*keep, "__item.*")
+
+
 def prompted(html: Column, prompt: Column) -> dict[str, Column]:
     """Arrays of what a prompt's words ask for, null for what they don't."""
     low, none = F.lower(blank(prompt)), F.lit(None).cast("array<string>")
@@ -111,6 +134,7 @@ SKILL_NAMES = {
     "auth_required": "Auth Handler",
     "empty_content": "Empty Content Fix",
 }
+#: Fixed values.
 METHOD_HINTS = {"use_browser": "Browser Method", "add_delay": "Delayed Approach", "rotate_proxy": "Proxy Method", "solve_captcha": "Auto-Solve"}
 
 

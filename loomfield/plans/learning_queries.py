@@ -30,6 +30,18 @@ def prompted_extraction(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(got["titles"]).alias("n_titles"), F.size(got["links"]).alias("n_links"), F.size(got["prices"]).alias("n_prices"))
 
 
+@query("""SELECT p_partkey, unnest(CASE WHEN p_partkey % 3 > 0 THEN [p_name, p_brand] ELSE [p_name] END) AS name, p_retailprice::DECIMAL(12, 1)::VARCHAR AS price, CASE WHEN p_size > 25 THEN true END AS in_stock, NULL AS rating FROM part WHERE p_partkey % 7 > 0""")
+def template_products(spark, sf_dir):
+    """Answers about the parts, in words or fenced, as typed rows; every seventh one holds nothing."""
+    price = F.col("p_retailprice").cast("decimal(12,1)").cast("string")
+    item = lambda name: F.struct(F.col(name).alias("name"), price.alias("price"), F.when(F.col("p_size") > 25, True).alias("in_stock"), F.lit(1).alias("odd"))
+    items = F.when(F.pmod("p_partkey", F.lit(3)) > 0, F.array(item("p_name"), item("p_brand"))).otherwise(F.array(item("p_name")))
+    body = F.to_json(F.struct(items.alias("products")))
+    said = F.when(F.pmod("p_partkey", F.lit(7)) == 0, "nothing here").when(F.pmod("p_partkey", F.lit(2)) == 0, F.concat(F.lit("Here: "), body, F.lit(" and so on"))).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    answers = table(spark, sf_dir, "part").select("p_partkey", said.alias("answer"))
+    return L.template_items(answers, "answer", "products", ["p_partkey"]).select("p_partkey", "name", "price", "in_stock", "rating")
+
+
 @query("""SELECT * FROM (VALUES (1::BIGINT, '{"n":1}'), (1, '{"n":2}'), (2, '{"x":[{"y":1}]}')) t(id, item)
 UNION ALL SELECT event_id + 10, CASE WHEN event_id % 4 = 0 THEN unnest([replace(props, ' ', ''), '{"n":2}']) ELSE '{"x":[' || replace(props, ' ', '') || ']}' END FROM events WHERE event_id % 4 = 0
 UNION ALL SELECT event_id + 10, '{"x":[' || replace(props, ' ', '') || ']}' FROM events WHERE event_id % 4 = 1""")

@@ -39,3 +39,15 @@ def test_next_runs_of_a_table_are_those_of_each_job(spark):
 
     assert {r.id: r.next_run for r in next_runs(df).collect()} == {i: one(c, t) for i, c, t in rows}
     assert [r.next_run for r in next_runs(df.where("id = 2000")).collect()] == [None] and next_runs(df.limit(0)).collect() == []
+
+
+def test_answers_by_template(spark):
+    from loomfield.operators.learning import TEMPLATES, template_items
+
+    said = [(1, 'Sure {"article": {"title": "T", "tags": ["a", "b"], "odd": 1}}'), (2, '{"article": null}'), (3, "no"), (4, None), (5, '{"jobs": [{"title": "x", "requirements": ["r"]}, null]}')]
+    df = spark.createDataFrame(said, "id long, answer string")
+    assert [(r.id, r.title, r.tags, r.author) for r in template_items(df, "answer", "articles", ["id"]).collect()] == [(1, "T", ["a", "b"], None)]
+    assert [(r.id, r.title, r.requirements) for r in template_items(df, "answer", "jobs", ["id"]).collect()] == [(5, "x", ["r"])]
+    assert all(template_items(df, "answer", t, ["id"]).count() <= 1 for t in TEMPLATES)
+    with pytest.raises(ValueError):
+        template_items(df, "answer", "recipes", ["id"])
