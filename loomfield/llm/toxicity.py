@@ -29,7 +29,7 @@ ROWS = 20_000
 SHARD_ROWS = 2_500
 #: Most weights of a model: the largest ones stay.
 WEIGHTS = 1 << 18
-ROUNDS = 2
+ROUNDS = 3
 PASSES = 5
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 6.0, 0.0
 #: Words apart in n-grams: neighbours, and with one or two words skipped.
