@@ -212,6 +212,30 @@ def write_workbook(df: DataFrame, path: str) -> None:
     _put(df.sparkSession, path, workbook(df))
 
 
+def write_workbooks(df: DataFrame, path: str, rows: int = 10_000) -> None:
+    """A folder of workbooks of ``rows`` rows at most, made and written by the tasks that have the rows, so that a
+    result of any size fits.
+
+    Spark's text writer ends each file with a line break; the workbook, a zip file, declares it as its comment.  The
+    driver only renames the files."""
+    spark = df.sparkSession
+
+    def lined(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([d[:-2] + b"\1\0" for d in b.column(0).to_pylist()], pa.binary())], ["content"])
+
+    files = workbook_files(df, rows=rows).select("content").mapInArrow(lined, "content binary")
+    files.select(F.col("content").cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    fs, p = _files(spark, path)
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if name.startswith("part-"):
+            if s.getLen():
+                fs.rename(s.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, name.removesuffix(".txt") + ".xlsx"))
+            else:  # a task without rows
+                fs.delete(s.getPath(), False)
+
+
 def write_everywhere(df: DataFrame, paths: Sequence[str], write: Callable[[DataFrame, str], None] = write_parquet) -> dict[str, str | None]:
     """The same rows to several stores; each path with None, or with the error of a store that failed, which doesn't
     keep the others from their copies.  The rows are computed once."""
@@ -228,7 +252,7 @@ def write_everywhere(df: DataFrame, paths: Sequence[str], write: Callable[[DataF
         held.unpersist()
 
 
-WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"json": write_json_array, "ndjson": write_ndjson, "csv": write_csv, "parquet": write_parquet, "xlsx": write_workbook}
+WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"json": write_json_array, "ndjson": write_ndjson, "csv": write_csv, "parquet": write_parquet, "xlsx": write_workbooks}
 
 
 def write_all(df: DataFrame, base: str, formats: Sequence[str]) -> dict[str, str]:

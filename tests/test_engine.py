@@ -2,6 +2,7 @@
 
 import json
 import random
+import zipfile
 
 import pytest
 from hypothesis import given, settings
@@ -117,6 +118,22 @@ def test_round_trips(spark, tmp_path):
     assert sorted(r.a for r in readers.read_json(spark, str(tmp_path / "d.json")).collect()) == [1, 2]
 
 
+def test_workbooks_of_results_beyond_a_sheet(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "WORKBOOK_ROWS", 50)
+    df = spark.range(120).selectExpr("id", "concat('é ', id, '\n') as s").repartition(3)
+    path = writers.write_all(df, str(tmp_path / "all"), ["xlsx"])["xlsx"]
+    got = documents.xlsx_rows(readers.read_objects(spark, path)).where("row > 0").collect()
+    assert sorted(int(r.cells[0]) for r in got) == list(range(120)) and all(r.cells[1] == f"é {r.cells[0]}\n" for r in got)
+    writers.write_workbooks(df, str(tmp_path / "small"), rows=7)
+    files = list((tmp_path / "small").glob("part-*"))
+    assert len(files) >= 18 and all(f.suffix == ".xlsx" and len(documents.parse_xlsx(f.read_bytes())) <= 8 for f in files)
+    for f in files:  # the line break at the end is the archive's comment
+        with zipfile.ZipFile(f) as z:
+            assert z.comment == b"\n" and z.testzip() is None
+    writers.write_workbooks(df.limit(0), str(tmp_path / "none"))
+    assert readers.read_objects(spark, str(tmp_path / "none"), "*.xlsx").count() == 0
+
+
 def test_sitemaps_and_robots(spark):
     xml = "<urlset><url><loc> https://a.com/1 </loc><priority>.8</priority><lastmod>2024-01-05</lastmod></url><url><loc>https://a.com/2</loc></url></urlset>"
     index = "<sitemapindex><sitemap><loc>https://a.com/s.xml</loc></sitemap></sitemapindex>"
