@@ -6,17 +6,20 @@ then taken with probability min(1, rate * weight of its cell), with the rate set
 tokens meet the budget; a keyed hash of doc_id decides, so that a rerun takes the same documents.
 
 Tokens are those of the tokenizer that packing uses.  Topics come from the data: token counts in hashed
-dimensions, damped and weighted by rarity, are clustered by their directions on a bounded sample, and every
-document goes to the nearest centre.
+dimensions, damped and weighted by rarity, are clustered by their directions, and every document goes to the
+nearest centre.  Rarity, centres and the order of the topics are those of all documents; only the places where
+the centres start are found on a bounded number of them.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,8 +32,11 @@ from loomfield.llm.shared import Workspace, fresh, small_or_shuffled
 DRIVER_CELLS = 200_000
 TOLERANCE, RAKING_ROUNDS = 1e-8, 2000
 MARGINS = ("source", "lang", "topic")
-#: Number of topics, dimensions of the term vectors, and documents that centres are fitted on at most.
-TOPICS, DIMENSIONS, SAMPLE = 8, 2048, 2000
+#: Number of topics, dimensions of the term vectors, documents that give the centres' starts at most, and rounds
+#: over all documents, which end before if no centre moves.
+TOPICS, DIMENSIONS, SAMPLE, TOPIC_ROUNDS = 8, 2048, 2000, 15
+#: Sums of unit vectors are whole numbers of this fraction, so that they don't depend on the tasks' order.
+_FINE = float(1 << 32)
 _ROWS = 256
 
 
@@ -56,6 +62,31 @@ class Topics:
             return "none"
         return f"topic{int((self.weights[:, held] @ np.log1p(counts[held])).argmax())}"
 
+    def of_all(self, terms: Terms) -> list[str]:
+        """The topics of many documents."""
+        out = ["none"] * terms.rows
+        if len(self.centres) and len(terms.held):
+            for i, k in zip(terms.held.tolist(), terms.scores(self.weights, np.log1p(terms.n)).argmax(0).tolist()):
+                out[i] = f"topic{k}"
+        return out
+
+
+class Terms:
+    """Documents' term counts, one document after the other: dimensions at (uint16) and counts n (uint32) of two binary
+    columns.  held: the rows with terms; start: where theirs begin."""
+
+    def __init__(self, at: pa.Array, n: pa.Array):
+        ends = np.array([0, *np.cumsum(pc.binary_length(at).to_numpy(zero_copy_only=False))], np.int64) // 2
+        self.rows, size = len(at), np.diff(ends)
+        self.held = np.flatnonzero(size)
+        self.start, self.size = ends[:-1][self.held], size[self.held]
+        self.at = np.frombuffer(b"".join(at.to_pylist()), "<u2").astype(np.int64)
+        self.n = np.frombuffer(b"".join(n.to_pylist()), "<u4")
+
+    def scores(self, weights: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The products of each row of weights with each held document's values."""
+        return np.array([np.add.reduceat(w[self.at] * values, self.start) for w in weights])
+
 
 def fit_topics(counts: np.ndarray, topics: int = TOPICS, rounds: int = 15, seed: int = 7) -> Topics:
     """Spherical k-means; the first centres are drawn by their distance from earlier ones.  Topics are numbered
@@ -104,29 +135,112 @@ def sampled_counts(docs: DataFrame, tokenizer_path: str, sample: int = SAMPLE) -
     return out
 
 
-def with_measures(docs: DataFrame, text: str, tokenizer_path: str, topics: Topics | None, names: tuple[str, str], keep_text: bool = True) -> DataFrame:
-    """docs with their numbers of tokens and, unless topics is None, their topics, under the two names."""
+def with_measures(docs: DataFrame, text: str, tokenizer_path: str, names: Sequence[str], keep_text: bool = True) -> DataFrame:
+    """docs with their numbers of tokens and, if there are three names, their terms' dimensions and counts, under the names."""
     place, schema = docs.columns.index(text), StructType([f for f in docs.schema.fields if keep_text or f.name != text])
-    schema = schema.add(names[0], "long")
-    if topics is not None:
-        schema = schema.add(names[1], "string")
-    held = docs.sparkSession.sparkContext.broadcast(topics)
+    for name, kind in zip(names, ("long", "binary", "binary")):
+        schema = schema.add(name, kind)
 
     def run(batches):
-        encoder, topics = shared_encoder(tokenizer_path), held.value
+        encoder = shared_encoder(tokenizer_path)
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
                 ids = [encoder.encode(t.as_py() or "") for t in batch.column(place)]
                 columns = [c for i, c in enumerate(batch.columns) if keep_text or i != place]
                 columns.append(pa.array([len(x) // 4 for x in ids], pa.int64()))
-                if topics is not None:
-                    columns.append(pa.array([topics.of(term_counts(x)) for x in ids], pa.string()))
+                if len(names) > 1:
+                    counts = [term_counts(x) for x in ids]
+                    terms = [np.flatnonzero(c) for c in counts]
+                    columns.append(pa.array([t.astype("<u2").tobytes() for t in terms], pa.binary()))
+                    columns.append(pa.array([c[t].astype("<u4").tobytes() for c, t in zip(counts, terms)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def _start(rows: DataFrame, sample: int) -> Topics:
+    """fit_topics() over the documents that sampled_counts() takes, whose terms are there already."""
+    n = rows.where("h IS NOT NULL").count()
+    bound = (1 << 63) - 1 if n <= 2 * sample else int((1 << 64) * (2 * sample / n)) - (1 << 63)
+    drawn = rows.where(F.col("h") <= F.lit(bound)).orderBy("h").limit(sample).collect()
+    counts = np.zeros((len(drawn), DIMENSIONS), np.int64)
+    for row, r in zip(counts, drawn):
+        row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u4")
+    return fit_topics(counts)
+
+
+def fit_all(rows: DataFrame, sample: int = SAMPLE, rounds: int = TOPIC_ROUNDS) -> Topics:
+    """Spherical k-means over all documents.  rows: h (a hash of id and text; null for null texts), at and n (terms).
+
+    A round is a pass whose tasks give the sums of their unit vectors by centre; the driver holds the centres."""
+    start = _start(rows, sample)
+    if not len(start.centres):
+        return start
+    terms = rows.select("at", "n")
+
+    def rare(batches):
+        found, held = np.zeros(DIMENSIONS, np.int64), 0
+        for b in batches:
+            t = Terms(b.column(0), b.column(1))
+            found += np.bincount(t.at, minlength=DIMENSIONS)
+            held += len(t.held)
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, DIMENSIONS), pa.int64()), pa.array([held, *found.tolist()], pa.int64())], ["place", "v"])
+
+    def total(run, size: int) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        for r in terms.mapInArrow(run, "place long, v long").groupBy("place").agg(F.sum("v").alias("v")).collect():
+            out[r.place + 1] = r.v
+        return out
+
+    found = total(rare, DIMENSIONS + 1)
+    rarity, centres = np.log((found[0] + 1) / (found[1:] + 1)), start.centres
+
+    def sums(centres: np.ndarray):
+        def run(batches):
+            out = np.zeros((len(centres), DIMENSIONS + 1))
+            for b in batches:
+                t = Terms(b.column(0), b.column(1))
+                if not len(t.held):
+                    continue
+                x = np.log1p(t.n) * rarity[t.at]
+                norm = np.sqrt(np.add.reduceat(x * x, t.start))
+                k = t.scores(centres, x).argmax(0)
+                some = norm > 0
+                out[:, 0] += np.bincount(k[some], minlength=len(centres))
+                x = x / np.repeat(np.where(some, norm, 1.0), t.size)
+                out[:, 1:] += np.bincount(np.repeat(k, t.size) * DIMENSIONS + t.at, x, len(centres) * DIMENSIONS).reshape(len(centres), -1)
+            out[:, 1:] *= _FINE
+            flat = np.rint(out.ravel()).astype(np.int64)
+            place = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(place - 1), pa.array(flat[place])], ["place", "v"])
+
+        return total(run, centres.size + len(centres)).reshape(len(centres), -1)
+
+    for _ in range(rounds):
+        got = sums(centres)
+        new = got[:, 1:] / _FINE
+        norm = np.linalg.norm(new, axis=1, keepdims=True)
+        new = np.where(got[:, :1] > 0, new / np.maximum(norm, 1e-12), centres)
+        still = np.abs(new - centres).max() < 1e-9
+        centres = new
+        if still:
+            break
+    else:
+        got = sums(centres)
+    return Topics(rarity, centres[np.argsort(-got[:, 0], kind="stable")])
+
+
+def topic_of(topics: Topics, at: Column, n: Column) -> Column:
+    """The topic of each row's terms."""
+
+    @F.arrow_udf("string")
+    def run(at: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array(topics.of_all(Terms(at, n)), pa.string())
+
+    return run(at, n)
+
+
 def tempered(tokens: np.ndarray, power: float) -> np.ndarray:
     """Shares of the cells in proportion to their tokens to a power below one: rare cells gain.  Margins are summed
     from these shares, so that targets never contradict each other, however margins depend on one another."""
@@ -247,6 +361,10 @@ def unit(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _hash(docs: DataFrame) -> Column:
+    return F.when(docs["text"].isNotNull(), F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+
+
 def _with_cells(rows: DataFrame, cells: DataFrame, names: dict[str, str], own: dict[str, str]) -> DataFrame:
     """rows joined with their cells' weight and probability; a margin's null is a value like others.  Beyond the
     size for a broadcast a cell with very many rows is split by adaptive execution."""
@@ -271,12 +389,14 @@ def mix(
     gives an empty result.
     """
     ws = Workspace(docs.sparkSession)
-    topics = None if topic else fit_topics(sampled_counts(docs, tokenizer_path))
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), *([docs[topic].cast("string").alias("topic")] if topic else []),
-        unit(docs["doc_id"].cast("long"), docs["text"], seed).alias("unit"), docs["text"].cast("string").alias("text"),
+        unit(docs["doc_id"].cast("long"), docs["text"], seed).alias("unit"), _hash(docs).alias("h"), docs["text"].cast("string").alias("text"),
     )
-    rows = ws.save(with_measures(rows, "text", tokenizer_path, topics, ("tokens", "topic"), keep_text=False))
+    rows = ws.save(with_measures(rows, "text", tokenizer_path, ("tokens",) if topic else ("tokens", "at", "n"), keep_text=False))
+    if not topic:
+        measured, rows = rows, ws.save(rows.withColumn("topic", topic_of(fit_all(rows), F.col("at"), F.col("n"))).drop("h", "at", "n"))
+        ws.drop(measured)
     names = {m: f"cell_{m}" for m in MARGINS} | {"weight": "weight", "probability": "probability"}
     joined = _with_cells(rows, plan(rows, ws, share, power, targets, driver_cells), names, {m: m for m in MARGINS})
     return joined.select("doc_id", *MARGINS, "tokens", "weight", "probability", (F.col("unit") < F.col("probability")).alias("taken"))
@@ -286,13 +406,14 @@ def keep_mixed(docs: DataFrame, tokenizer_path: str, share: float = 0.8, power:
     """The rows of docs that mix() takes, with all their columns, in no new order.  Documents are written once
     with their measures, so that none is tokenized twice; texts aren't shuffled while the cells are small."""
     ws = Workspace(docs.sparkSession)
-    own = {m: fresh(docs, f"mix_{m}") for m in MARGINS} | {"tokens": fresh(docs, "mix_tokens"), "unit": fresh(docs, "mix_unit")}
+    own = {m: fresh(docs, f"mix_{m}") for m in (*MARGINS, "tokens", "unit", "h", "at", "n")}
     rows = docs.select(
         *[docs[c] for c in docs.columns], docs["source"].cast("string").alias(own["source"]), docs["lang"].cast("string").alias(own["lang"]),
-        unit(docs["doc_id"].cast("long"), docs["text"], seed).alias(own["unit"]),
+        unit(docs["doc_id"].cast("long"), docs["text"], seed).alias(own["unit"]), _hash(docs).alias(own["h"]),
     )
-    topics = fit_topics(sampled_counts(docs, tokenizer_path))
-    rows = ws.save(with_measures(rows, "text", tokenizer_path, topics, (own["tokens"], own["topic"])))
+    rows = ws.save(with_measures(rows, "text", tokenizer_path, (own["tokens"], own["at"], own["n"])))
+    topics = fit_all(rows.select(*[F.col(own[c]).alias(c) for c in ("h", "at", "n")]))
+    rows = rows.withColumn(own["topic"], topic_of(topics, F.col(own["at"]), F.col(own["n"])))
     cells = plan(rows.select(*[F.col(own[m]).alias(m) for m in MARGINS], F.col(own["tokens"]).alias("tokens")), ws, share, power)
     names = {m: fresh(docs, f"cell_{m}") for m in MARGINS} | {"probability": fresh(docs, "cell_probability")}
     joined = _with_cells(rows, cells, names, own)

@@ -92,6 +92,28 @@ def test_topics_follow_the_words(spark):
     assert not named[0] & named[1] and not named[0] & named[2] and not named[1] & named[2]
 
 
+def test_topics_are_fitted_on_all_documents(spark, monkeypatch):
+    """Centres that start on a few documents end where those of all documents are."""
+    rnd = random.Random(4)
+    fields = [[f"{p}{i}" for i in range(60)] for p in ("gene", "court", "goal", "star", "rain", "bread", "road", "paint")]
+    rows = [(i, " ".join(rnd.choice(fields[i % 8]) for _ in range(60)), "en", "s") for i in range(640)]
+    encoder = mixing.shared_encoder(PATH)
+    counts = np.array([mixing.term_counts(encoder.encode(r[1])) for r in rows])
+    terms = [np.flatnonzero(c) for c in counts]
+    df = spark.createDataFrame([(i, bytearray(t.astype("<u2").tobytes()), bytearray(c[t].astype("<u4").tobytes())) for i, (c, t) in enumerate(zip(counts, terms))], "h long, at binary, n binary")
+    got = mixing.fit_all(df.selectExpr("xxhash64(h) as h", "at", "n"), sample=40)
+    assert np.allclose(got.rarity, np.log(641 / ((counts > 0).sum(0) + 1)))
+    x = np.log1p(counts) * got.rarity
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = (x @ got.centres.T).argmax(1)
+    for k in set(at.tolist()):  # each centre is the mean direction of all its documents
+        mean = x[at == k].sum(0)
+        assert np.allclose(got.centres[k], mean / np.linalg.norm(mean), atol=1e-6)
+    sizes = np.bincount(at, minlength=len(got.centres))
+    assert (np.diff(sizes) <= 0).all()
+    assert {mixing.Topics.of(got, c) for c in counts} == {f"topic{k}" for k in set(at.tolist())}
+
+
 def test_probabilities_against_plain_fitting(spark):
     """The query's own margins: raked by dictionaries, the rate by bisection."""
     got = mixing.mix(spark.createDataFrame(corpus(400), SCHEMA), PATH, share=0.7).collect()
