@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near copies, told by exact shingle sets (see the README: SimHash can't
-    tell a similarity of 0.8).  Texts without words are copies of each other; rows
+    """Keeps the smallest doc_id of each group of near copies: pairs within few SimHash bits, and pairs by min-hashes that
+    SimHash can't tell (see the README), both verified on exact shingle sets.  Texts without words are copies of each other; rows
     without a doc_id stay, and of rows that repeat one one stays."""
     return simhash.drop_near_duplicates(docs, width=5, similarity=(4, 5))
 

@@ -2,19 +2,19 @@
 
 1. A text's shingles are those of its SimHash, each as a 64-bit hash.  Equal sets are one node, under their
    smallest doc_id.
-2. 120 minima under random multiplications form 24 bands of five.  Two sets of similarity s share a band
+2. Its SimHash fingerprint gives the cells of the operator's sub-grids of segment counts; sets that share one
+   are candidates if the Manhattan bound and the Hamming distance allow ``bits`` differing bits.
+3. Fingerprints of pairs at 0.8 differ in more bits than any grid can bear, so 120 minima under random multiplications form 24 bands of five.  Two sets of similarity s share a band
    with probability 1 - (1 - s^5)^24: 0.99993 at 0.8, more above.
-3. Sets that share a band are candidates if their sizes allow the similarity, and are verified on their
-   exact sets, taken from the texts once more.
-4. Large groups fill a band's cells with thousands of sets.  Each set is compared with its cell's first one
+   Sets that share a band are candidates if their sizes allow the similarity.
+4. Candidates of both kinds are verified on their exact sets, taken from the texts once more.
+5. Large groups fill a grid's or a band's cells with thousands of sets.  Each set is compared with its cell's first one
    and the one before it, verified links are contracted, and only cells which still hold two components
    are joined, across components.
 """
 
 from __future__ import annotations
 
-from itertools import islice, repeat
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.shared import Workspace, components, only, small_or_shuffled
-from loomfield.llm.simhash import SEED
+from loomfield.llm.simhash import SEED, grid_cells, groups_for, majority, shingle_hashes, within
 
 THRESHOLD = (4, 5)  # similarity 0.8 as a fraction, so that bounds are exact
 BANDS, ROWS = 24, 5
@@ -34,12 +34,7 @@ _FOLD = _RNG.integers(1, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """The different 64-bit hashes of a text's word shingles, in order; none for null and wordless texts."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    width = min(width, len(words))
-    if not words:
-        return np.empty(0, np.uint64)
-    runs = map(b" ".join, zip(*(islice(words, i, None) for i in range(width))))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(words) - width + 1))
+    return np.unique(shingle_hashes(text, width))
 
 
 def mark(hashes: np.ndarray) -> int:
@@ -60,21 +55,23 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, mark, n, bands) of every row; one Arrow pass, no shuffle."""
+    """(doc_id, mark, n, fp, bands) of every row; one Arrow pass, no shuffle."""
 
     def run(batches):
         for batch in batches:
-            marks, sizes, cells = [], [], []
+            marks, sizes, prints, cells = [], [], [], []
             for t in batch.column(1):
-                h = shingles(t.as_py(), width)
+                h = shingle_hashes(t.as_py(), width)
+                prints.append(majority(h))
+                h = np.unique(h)
                 marks.append(mark(h))
                 sizes.append(len(h))
                 cells.append(bands(h))
             at = np.cumsum([0, *map(len, cells)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int64), *cells])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "mark", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists], ["doc_id", "mark", "n", "fp", "bands"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, mark long, n long, bands array<long>")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, mark long, n long, fp long, bands array<long>")
 
 
 def _exact(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -107,20 +104,30 @@ def _may_match(a: str, b: str, threshold: tuple[int, int]):
     return (q * F.col(a) >= p * F.col(b)) & (q * F.col(b) >= p * F.col(a))
 
 
-def classes(sets: DataFrame, docs: DataFrame, ws: Workspace, width: int, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def _candidates(a: str, b: str, threshold: tuple[int, int], bits: int):
+    """Whether two rows of a cell are to be verified: by size, and in the cells of a grid by their fingerprints."""
+    return _may_match(f"{a}n", f"{b}n", threshold) & ((F.col("band") < BANDS) | within(F.col(f"{a}fp"), F.col(f"{b}fp"), bits))
+
+
+def classes(sets: DataFrame, docs: DataFrame, ws: Workspace, width: int, threshold: tuple[int, int] = THRESHOLD, bits: int = 4) -> DataFrame:
     """(mark, component_id) of every different set with a doc_id; component_id is the smallest doc_id
-    reachable over links of at least that similarity.  Empty sets are equal to each other."""
-    reps = ws.save(sets.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")))
+    reachable over links of at least that similarity.  Empty sets are equal to each other.
+
+    Bands from BANDS on are the sub-grids of fingerprints."""
+    # equal sets may have different fingerprints, as these count repeats; the smallest doc_id's one goes on
+    first_row = F.min_by(F.struct("n", "fp", "bands"), F.struct("doc_id", "fp"))
+    reps = ws.save(sets.where("doc_id is not null").groupBy("mark").agg(F.min("doc_id").alias("id"), first_row.alias("r")).select("mark", "id", "r.*"))
     w = Window.partitionBy("band", "cell").orderBy("id", "mark")
-    row = F.struct("mark", "id", "n")
-    cells = reps.select("mark", "id", "n", F.posexplode("bands").alias("band", "cell"))
+    row = F.struct("mark", "id", "n", "fp")
+    grid = F.when(F.col("n") > 0, grid_cells(F.col("fp"), bits, groups_for(reps.count(), bits))).otherwise(F.array().cast("array<long>"))
+    cells = reps.select("mark", "id", "n", "fp", F.posexplode(F.concat(F.when(F.col("n") > 0, F.col("bands")).otherwise(F.array().cast("array<long>")), grid)).alias("band", "cell"))
     crowded = ws.save(cells.select("*", F.lag(row).over(w).alias("prior"), F.first(row).over(w).alias("head"), F.lead("id").over(w).alias("next")).where("prior is not null or next is not null").drop("next"))
-    near = crowded.where("prior is not null").select("mark", "id", "n", F.explode(F.array("prior", "head")).alias("a")).where(_may_match("a.n", "n", threshold))
+    near = crowded.where("prior is not null").select("band", "mark", "id", "n", "fp", F.explode(F.array("prior", "head")).alias("a")).where(_candidates("a.", "", threshold, bits))
     near = ws.save(near.select(F.col("a.mark").alias("mark_a"), F.col("a.id").alias("id_a"), F.col("mark").alias("mark_b"), F.col("id").alias("id_b")).distinct())
     links = _verified(near, docs, ws, width, threshold)
     first = ws.save(components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), ws))
 
-    members = crowded.select("band", "cell", "mark", "id", "n").join(first.withColumnRenamed("node", "id"), "id", "left")
+    members = crowded.select("band", "cell", "mark", "id", "n", "fp").join(first.withColumnRenamed("node", "id"), "id", "left")
     members = ws.save(members.withColumn("component", F.coalesce("component", "id")))
     ws.drop(crowded)
     mixed = members.groupBy("band", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "cell")
@@ -128,7 +135,8 @@ def classes(sets: DataFrame, docs: DataFrame, ws: Workspace, width: int, thresho
     ws.drop(members)
     a, b = mixed.alias("a"), mixed.alias("b")
     same = (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.component") < F.col("b.component"))
-    pairs = a.join(b, same & _may_match("a.n", "b.n", threshold)).select(*[F.col(f"{e}.{c}").alias(f"{c}_{e}") for e in "ab" for c in ("mark", "id")], F.col("a.component").alias("left"), F.col("b.component").alias("right")).distinct()
+    alike = _may_match("a.n", "b.n", threshold) & ((F.col("a.band") < BANDS) | within(F.col("a.fp"), F.col("b.fp"), bits))
+    pairs = a.join(b, same & alike).select(*[F.col(f"{e}.{c}").alias(f"{c}_{e}") for e in "ab" for c in ("mark", "id")], F.col("a.component").alias("left"), F.col("b.component").alias("right")).distinct()
     tried = near.unionAll(near.select("mark_b", "id_b", "mark_a", "id_a")).select("mark_a", "mark_b")
     pairs = ws.save(pairs.join(tried, ["mark_a", "mark_b"], "left_anti").select("mark_a", "id_a", "mark_b", "id_b", "left", "right"))
     ws.drop(mixed)
@@ -138,7 +146,7 @@ def classes(sets: DataFrame, docs: DataFrame, ws: Workspace, width: int, thresho
     return to.join(second.withColumnRenamed("node", "c"), "c", "left").select("mark", F.coalesce("component", "c").alias("component_id"))
 
 
-def members(docs: DataFrame, ws: Workspace, width: int, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def members(docs: DataFrame, ws: Workspace, width: int, threshold: tuple[int, int] = THRESHOLD, bits: int = 4) -> DataFrame:
     """(doc_id, component_id) of every row; component_id is null where no row reachable has a doc_id."""
     sets = ws.save(_sets(docs, width))
-    return sets.join(ws.save(classes(sets, docs, ws, width, threshold)), "mark", "left").select("doc_id", "component_id")
+    return sets.join(ws.save(classes(sets, docs, ws, width, threshold, bits)), "mark", "left").select("doc_id", "component_id")

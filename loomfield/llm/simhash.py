@@ -32,18 +32,27 @@ SEGMENTS = 32
 _BLOCK = 1 << 15
 
 
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The 64-bit hashes of a text's word shingles in order, repeats included; none for null and wordless texts."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    width = min(width, len(words))
+    shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(width))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - width + 1)
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """Signed 64-bit SimHash of a text's word shingles, repeats counted; null and wordless texts give 0.
 
     Words are runs of characters other than ASCII space and 09-0D; A-Z are lower-cased.  Fewer words
     than ``width`` make one shingle.  A bit is set if it is set in over half of the hashes.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    width = min(width, len(words))
-    shingles = map(b" ".join, zip(*(islice(words, i, None) for i in range(width))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - width + 1)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _BLOCK):
         part = hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8)
@@ -95,6 +104,17 @@ def _masks(bits: int, groups: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in keep]
 
 
+def grid_cells(fp: Column, bits: int, groups: int) -> Column:
+    """The array of a fingerprint's cells, one for each sub-grid."""
+    seg = _segment_counts(fp)
+    return F.array(*[seg.bitwiseAND(F.lit(m)) for m in _masks(bits, groups)])
+
+
+def within(a: Column, b: Column, bits: int) -> Column:
+    """Whether two fingerprints link: the Manhattan bound over the segments' counts, then the exact Hamming distance."""
+    return (_manhattan(_segment_counts(a), _segment_counts(b)) <= bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits)
+
+
 def classes(prints: DataFrame, ws: Workspace, bits: int = 4, groups: int | None = None) -> DataFrame:
     """(fp, component_id) of every different fingerprint; component_id is the smallest doc_id reachable
     over links of at most ``bits`` (0 to 7) differing bits; ``groups``, else groups_for(), changes the cost only.
@@ -104,8 +124,7 @@ def classes(prints: DataFrame, ws: Workspace, bits: int = 4, groups: int | None
     if not 0 <= bits <= 7:
         raise ValueError("bits must be between 0 and 7")
     reps = ws.save(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    seg = _segment_counts(F.col("fp"))
-    cells = reps.select("fp", F.posexplode(F.array(*[seg.bitwiseAND(F.lit(m)) for m in _masks(bits, groups or groups_for(reps.count(), bits))])).alias("grid", "cell"))
+    cells = reps.select("fp", F.posexplode(grid_cells(F.col("fp"), bits, groups or groups_for(reps.count(), bits))).alias("grid", "cell"))
     w = Window.partitionBy("grid", "cell").orderBy("fp")
     crowded = ws.save(cells.select("grid", "cell", "fp", F.lag("fp").over(w).alias("fp0"), F.lead("fp").over(w).alias("fp1")).where("fp0 is not null or fp1 is not null").drop("fp1"))
     near = crowded.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp0"))) <= bits)
@@ -146,7 +165,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, similar
     """docs without all but the smallest doc_id of each component; columns and texts stay as they are.
 
     Links are fingerprints within ``bits``, or, if ``similarity`` is given as a fraction (p, q), all pairs of
-    documents whose sets of shingles reach that Jaccard similarity, which few bits can't tell (copies.py).
+    documents whose sets of shingles reach that Jaccard similarity: of the pairs within ``bits`` those that do, and
+    those that few bits can't tell (copies.py).
     Null, empty and wordless texts are copies of each other.  A null doc_id names no document: such rows stay.
     Of rows which repeat a doc_id one stays.  An empty table gives an empty result.
     """
@@ -154,7 +174,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, bits: int = 4, similar
     if similarity:
         from loomfield.llm import copies
 
-        named = ws.save(copies.members(docs, ws, width, similarity))
+        named = ws.save(copies.members(docs, ws, width, similarity, bits))
     else:
         prints = ws.save(fingerprints(docs, width))
         named = ws.save(prints.join(ws.save(classes(prints, ws, bits)), "fp").select("doc_id", "component_id"))

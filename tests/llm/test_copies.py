@@ -85,3 +85,18 @@ def test_shared_bands_by_similarity():
             x, y = h[:half], copies.np.concatenate([h[:both], h[half:]])
             found += bool((copies.bands(x) == copies.bands(y)).any())
         assert found >= 299, (s, found)
+
+
+def test_pairs_within_few_bits_are_candidates(spark, monkeypatch):
+    """The pipeline's stage links fingerprints as the operator does: pairs that share no band are found, if they match."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(12):
+        body = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join([*body[:-1], "other"]))]
+    near = [i for i in range(0, 24, 2) if bin((simhash.fingerprint(rows[i][1], 5) ^ simhash.fingerprint(rows[i + 1][1], 5)) & (2**64 - 1)).count("1") <= 4]
+    assert len(near) >= 10
+    # bands without any match
+    monkeypatch.setattr(copies, "bands", lambda h: copies.np.array([copies.mark(h) + k for k in range(copies.BANDS)], copies.np.int64))
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == set(range(24)) - {i + 1 for i in near}
