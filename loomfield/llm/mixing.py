@@ -308,8 +308,10 @@ def plan(docs: DataFrame, ws: Workspace, share: float, power: float, targets: di
     weights = rake(codes, tokens, arrays) if tokens.sum() else np.ones(len(held))
     rate = rate_for(tokens, weights, share * tokens.sum()) if held else 1.0
     taken = np.where(weights > 0, np.minimum(1.0, rate * np.where(weights > 0, weights, 1.0)), 0.0)
-    schema = "source string, lang string, topic string, tokens long, n_docs long, weight double, probability double"
-    return ws.save(docs.sparkSession.createDataFrame([(*r, float(w), float(p)) for r, w, p in zip(held, weights, taken)], schema))
+    # as an Arrow table: plain rows would start a second set of Python workers in every executor
+    kinds = {"source": pa.string(), "lang": pa.string(), "topic": pa.string(), "tokens": pa.int64(), "n_docs": pa.int64(), "weight": pa.float64(), "probability": pa.float64()}
+    columns = [*[[r[i] for r in held] for i in range(5)], weights, taken]
+    return ws.save(docs.sparkSession.createDataFrame(pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds.items(), columns)})))
 
 
 def _normal(goal: dict, have: dict) -> dict:

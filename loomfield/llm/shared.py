@@ -160,5 +160,5 @@ def components(edges: DataFrame, ws: Workspace, jumps: int = 2) -> DataFrame:
         old, e = e, ws.save(e.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         ws.drop(old)
     if total is None:
-        return ws.spark.createDataFrame([], "node long, component long")
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return total.select("node", F.col("to").alias("component"))

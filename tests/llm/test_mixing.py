@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from loomfield.llm import mixing
+from loomfield.llm.shared import Workspace, components
 
 
 def corpus(n=900, seed=1):
@@ -145,3 +146,19 @@ def test_targets_that_contradict_each_other_are_reported():
     t = np.ones(2)
     with pytest.warns(UserWarning, match="off by a factor"):
         mixing.rake([np.array([0, 1]), np.array([0, 1])], t, [np.array([0.9, 0.1]), np.array([0.1, 0.9])])
+
+
+def test_no_second_set_of_python_workers(spark, monkeypatch):
+    """Rows that the driver gives as plain Python objects pass through RDD workers, beside those of the texts, whose memory stays."""
+
+    def refuse(*_, **__):
+        raise AssertionError("plain rows from the driver")
+
+    df = spark.createDataFrame(corpus(40), SCHEMA).persist()
+    none = spark.range(3).selectExpr("id as a", "id as b")
+    assert df.count() == 40
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refuse)
+    assert mixing.keep_mixed(df, PATH, share=1.0).count() == mixing.mix(df, PATH).count() == 40
+    got = components(none, Workspace(spark))
+    assert got.dtypes == [("node", "bigint"), ("component", "bigint")] and got.count() == 0
+    df.unpersist()
