@@ -8,6 +8,7 @@ from one bucket, nothing is padded, and no sequence crosses documents.  One Arro
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 
 from loomfield.llm.shared import only, small_batches
 
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-#: Chunks and words that a worker remembers.
-_CHUNKS, _WORDS = 200_000, 200_000
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: Chunks and words that a worker remembers, none longer than _LONG; they stay in its memory through all later tasks.
+_CHUNKS, _WORDS, _LONG = 50_000, 200_000, 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,7 +35,8 @@ class WordEncoder:
 
     The vocabulary's rules never join characters across white space, so a text's ids are those of its
     space-separated chunks.  Chunks, and plain words without case and final punctuation, are encoded
-    once and remembered, up to _CHUNKS and _WORDS; chunks of other forms go through the whole tokenizer.
+    once and remembered, up to _CHUNKS and _WORDS.  Letters with ASCII punctuation behind them are a word and one run
+    of punctuation to those rules; chunks of other forms go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,8 +52,9 @@ class WordEncoder:
         got = self.words.get(word)
         if got is None:
             spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-            if len(self.words) < _WORDS:
+            ids = [t.id for t in self.model.tokenize(spelled)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.words) < _WORDS and len(word) <= _LONG:
                 self.words[word] = got
         return got
 
@@ -61,7 +64,7 @@ class WordEncoder:
             got = self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
         else:
             got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) < _CHUNKS and len(chunk) <= 64:
+        if len(self.chunks) < _CHUNKS and len(chunk) <= _LONG:
             self.chunks[chunk] = got
         return got
 

@@ -25,6 +25,24 @@ def test_encoder_equals_whole_text():
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_with_punctuation_behind_them_need_no_whole_tokenizer(monkeypatch):
+    whole, mine = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    forms = ["NICHT!!", "tihawh$$$", "ENSH,!!", "thon.###", "a'", "été'!", "x_", "b\\]^`{|}~", "c<|", "ÉCOLE?\"", "d" + "-" * 3000]
+    wanted = [whole.encode(t, add_special_tokens=False).ids for t in forms]
+    monkeypatch.setattr(mine, "tokenizer", None)
+    assert [np.frombuffer(mine.encode(t), "<u4").tolist() for t in forms] == wanted
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "_CHUNKS", 50)
+    monkeypatch.setattr(packing, "_WORDS", 80)
+    whole, mine = Tokenizer.from_file(PATH), packing.WordEncoder(PATH)
+    text = " ".join(["z" * 5000, "y" * 3000 + ".", *(f"{c}{d}x" for c in "abcdefghij" for d in "klmnopqrst")])
+    assert np.frombuffer(mine.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert len(mine.chunks) == 50 and len(mine.words) == 80
+    assert max(map(len, [*mine.chunks, *mine.words])) <= 64
+
+
 def test_round_trip(spark):
     whole = Tokenizer.from_file(PATH)
     rows = [(i, t) for i, t in enumerate(texts())] + [(5000, None), (5001, "same"), (5001, "same"), (None, "no id")]
